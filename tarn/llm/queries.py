@@ -7,13 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import contamination, quality, shards, urls
+from tarn.llm import contamination, idfiles, packing, quality, shards, tokens, urls
+from tarn.shared import shared_path, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = tokens.encode_texts(_table(spark, sf_dir, "documents"), _tokenizer(), ["doc_id"], end_id=1)
+    pieces = packing.cut(encoded, ["doc_id"]).withColumn("ids_crc32", F.crc32("ids"))
+    return packing.pack(pieces, ["doc_id", "piece", "start", "length", "ids_crc32"])
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality_rules(_table(spark, sf_dir, "documents"), keep=["doc_id"])
     return judged.select("doc_id", *(f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")), F.array_join("quality.beyond", ",").alias("beyond"))
@@ -35,13 +48,20 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ranked_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = tokens.encode_texts(_table(spark, sf_dir, "documents"), _tokenizer(), ["doc_id"], end_id=2)
+    path = shared_path(spark, "idfiles")
+    idfiles.write_ids(written(encoded, "encoded"), path)
+    return idfiles.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urls.judge_urls(_table(spark, sf_dir, "pages"))
     return judged.select("page_id", *(f"url_verdict.{c}" for c in ("host", "path", "rule", "verdict", "strict_hits", "soft_hits")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_stratified_shards, op5_decontamination, op10_url_filter)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_stratified_shards, op5_decontamination, op7_ranked_id_files, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
