@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import contamination, idfiles, packing, quality, shards, tokens, urls
+from tarn.llm import contamination, idfiles, neardup, packing, passages, quality, shards, tokens, urls
 from tarn.shared import shared_path, written
 
 
@@ -40,6 +40,10 @@ def op3_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "class_id")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination.find_benchmark(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select(
@@ -48,6 +52,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = passages.remove_repeats(_table(spark, sf_dir, "documents"), ["doc_id"])
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_ranked_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = tokens.encode_texts(_table(spark, sf_dir, "documents"), _tokenizer(), ["doc_id"], end_id=2)
     path = shared_path(spark, "idfiles")
@@ -61,7 +70,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_stratified_shards, op5_decontamination, op7_ranked_id_files, op10_url_filter)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_stratified_shards, op4_order_minhash, op5_decontamination, op6_repeated_passages, op7_ranked_id_files, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
