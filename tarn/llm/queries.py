@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import contamination, idfiles, neardup, packing, passages, quality, shards, tokens, urls
+from tarn.llm import contamination, html, idfiles, neardup, packing, passages, preferences, quality, shards, tokens, urls
 from tarn.shared import shared_path, written
 
 
@@ -64,13 +64,24 @@ def op7_ranked_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(_table(spark, sf_dir, "pages"), ["page_id", "url"]).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = preferences.turns_of(_table(spark, sf_dir, "conversations"))
+    pairs = preferences.preference_pairs(*preferences.swapped_replies(turns))
+    ranges = (F.array_join(F.transform(f"{s}_trained", lambda r: F.concat_ws("-", r["start"].cast("string"), r["stop"].cast("string"))), ",").alias(f"{s}_trained") for s in ("chosen", "rejected"))
+    return pairs.select(F.col("pair").alias("conv_id"), "prompt_turns", "prompt", "chosen", "rejected", *ranges)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urls.judge_urls(_table(spark, sf_dir, "pages"))
     return judged.select("page_id", *(f"url_verdict.{c}" for c in ("host", "path", "rule", "verdict", "strict_hits", "soft_hits")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_stratified_shards, op4_order_minhash, op5_decontamination, op6_repeated_passages, op7_ranked_id_files, op10_url_filter)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_stratified_shards, op4_order_minhash, op5_decontamination, op6_repeated_passages, op7_ranked_id_files, op8_line_blocks, op9_preferences, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
