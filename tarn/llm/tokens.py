@@ -16,10 +16,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarn.llm import rows
+
 #: Texts are worked on in slices of about so many bytes.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 #: Ids of so many different parts are remembered by a task; then it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
+#: Parts encoded in one call, set apart by spaces.
+TOGETHER = 2_000
+#: Marks at the end of a part are parts of their own: no token holds a letter or digit and one of them.
+_MARKS = r"([A-Za-z0-9])([.,;:!?]+)([ \n\r\t]|$)"
 
 
 class Encoder:
@@ -30,34 +36,43 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.known: dict[str, np.ndarray] = {}
-
-    def _parts(self, parts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [p for p in parts if p not in self.known]
-        for part, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[part] = np.array(got.ids, np.uint32)
-        return [self.known[p] for p in parts]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.pool, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _learn(self, parts: list[str]) -> None:
+        """Encode parts that are not known; a token belongs to the part in which it starts."""
+        groups = [parts[i : i + TOGETHER] for i in range(0, len(parts), TOGETHER)]
+        ids, counts = [self.pool], [np.diff(self.ends)]
+        for group, got in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
+            stops = np.cumsum(np.fromiter(map(len, group), np.int64, len(group)) + 1)
+            begin = np.fromiter((a for a, _ in got.offsets), np.int64, len(got))
+            counts.append(np.bincount(np.searchsorted(stops, begin, "right"), minlength=len(group)))
+            ids.append(np.array(got.ids, np.uint32))
+        self.known.update(zip(parts, range(len(self.known), len(self.known) + len(parts))))
+        self.pool, self.ends = np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
 
     def __call__(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text's ids); null is empty; end_id closes each text."""
-        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.fill_null(texts, ""), _MARKS, r"\1 \2\3"))
         rows, coded = split.offsets.to_numpy().astype(np.int64), split.flatten().dictionary_encode()
         rows = rows - rows[0]
-        each = self._parts(coded.dictionary.to_pylist())
-        if end_id is not None:
-            each.append(np.array([end_id], np.uint32))
-        lengths = np.array([len(x) for x in each] or [0], np.int64)
-        pool = np.concatenate([*each, np.zeros(0, np.uint32)])
+        parts = coded.dictionary.to_pylist()
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        self._learn([p for p in parts if p not in self.known])
+        which = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+        starts, lengths, pool = self.ends[which], self.ends[which + 1] - self.ends[which], self.pool
         at = coded.indices.to_numpy().astype(np.int64)
         if end_id is not None:  # one more part at the end of each row
-            at = np.insert(at, rows[1:], len(each) - 1)
+            at = np.insert(at, rows[1:], len(parts))
             rows = rows + np.arange(len(rows))
-        starts = np.cumsum(lengths) - lengths
-        n = lengths[at] if len(at) else np.zeros(0, np.int64)
+            starts, lengths, pool = np.append(starts, len(pool)), np.append(lengths, 1), np.append(pool, np.uint32(end_id))
+        n = lengths[at]
         ends = np.concatenate([[0], np.cumsum(n)])
-        places = np.arange(ends[-1]) + np.repeat((starts[at] if len(at) else n) - ends[:-1], n)
+        places = np.arange(ends[-1]) + np.repeat(starts[at] - ends[:-1], n)
         return pool[places], ends[rows]
 
 
@@ -78,9 +93,9 @@ def _encode(tokenizer_path: str, end_id: int | None, keep: int):
         for batch in batches:
             for i, j in slices(batch.column(keep)):
                 cut = batch.slice(i, j - i)
-                ids, rows = encoder(cut.column(keep), end_id)
-                raw = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((rows * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
-                yield pa.RecordBatch.from_arrays([*(cut.column(c) for c in range(keep)), pa.array(np.diff(rows)), raw], [*(f"k{c}" for c in range(keep)), "n_tokens", "ids"])
+                ids, at = encoder(cut.column(keep), end_id)
+                raw = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((at * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
+                yield pa.RecordBatch.from_arrays([*(cut.column(c) for c in range(keep)), pa.array(np.diff(at)), raw], [*(f"k{c}" for c in range(keep)), "n_tokens", "ids"])
 
     return work
 
@@ -93,7 +108,6 @@ def encode_texts(documents: DataFrame, tokenizer_path: str, keep: Sequence[str],
     empty; ``end_id``, if given, follows every text. Rows stay one to one, repeated ones included, and
     other columns are not read. ``keep`` may not hold the two new names.
     """
-    types = dict(documents.dtypes)
-    schema = ", ".join([*(f"k{i} {types[c]}" for i, c in enumerate(keep)), "n_tokens long, ids binary"])
-    narrow = documents.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), F.col(f"`{text}`").cast("string").alias("text"))
+    schema = rows.schema(documents, keep, "n_tokens long, ids binary")
+    narrow = documents.select(*rows.passing(keep), F.col(f"`{text}`").cast("string").alias("text"))
     return narrow.mapInArrow(_encode(tokenizer_path, end_id, len(keep)), schema).toDF(*keep, "n_tokens", "ids")
