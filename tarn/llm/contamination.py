@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarn.llm.rows import passing, schema
 from tarn.llm.words import ALNUM, FOLD, Words, covered, mix, row_sums, runs, split
 from tarn.shared import written
 
@@ -168,10 +169,7 @@ def _in_block(documents: DataFrame, keep: list[str], text: str, block: _Block) -
     for word, n in counted.collect():  # at most a row for each word of the block
         rarity[word] = n
     block.index(rarity)
-    types = dict(documents.dtypes)
-    names = [f"k{i}" for i in range(len(keep))]
-    schema = ", ".join([*(f"{k} {types[c]}" for k, c in zip(names, keep)), _FOUND])
-    return documents.select(*(F.col(f"`{c}`").alias(k) for k, c in zip(names, keep)), F.col(text).alias("text")).mapInArrow(_search(block, len(keep)), schema)
+    return documents.select(*passing(keep), F.col(text).alias("text")).mapInArrow(_search(block, len(keep)), schema(documents, keep, _FOUND))
 
 
 def find_benchmark(
@@ -185,8 +183,8 @@ def find_benchmark(
     merged ranges of word numbers; and ``items``, the ids of items with an occurring window, as
     sorted strings. Words are lower-cased (A-Z) runs of ASCII letters, digits and non-ASCII
     characters. Null and empty texts have no words; items without words or id match nothing; repeated
-    rows and items with equal text each count for themselves. Clashing names in ``keep`` are not
-    possible, as found columns of the same name would be; other columns are not read.
+    rows and items with equal text each count for themselves. ``keep`` may not hold the new
+    names; other columns are not read.
     """
     windows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text")).mapInArrow(_windows(n), "item string, window binary")
     windows = written(windows.distinct(), "windows")

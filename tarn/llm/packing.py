@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarn.llm import rows as rows_of
 from tarn.shared import written
 
 CAPACITY = 4096
@@ -161,16 +162,15 @@ def pack(pieces: DataFrame, keep: Sequence[str], length: str = "length", capacit
     are packed each for themselves; an empty table gives an empty table. ``keep`` may not hold the two
     new names; other columns are not read.
     """
-    types = dict(pieces.dtypes)
     names = [f"k{i}" for i in range(len(keep))]
-    narrow = pieces.select(*(F.col(f"`{c}`").alias(n) for n, c in zip(names, keep)), F.col(f"`{length}`").cast("long").alias("length"))
+    narrow = pieces.select(*rows_of.passing(keep), F.col(f"`{length}`").cast("long").alias("length"))
     wrong = F.raise_error(F.concat(F.lit(f"a length is not from 1 to {capacity}: "), F.coalesce(F.col("length").cast("string"), F.lit("null"))))
     narrow = narrow.withColumn("length", F.when(F.col("length").between(1, capacity), F.col("length")).otherwise(wrong.cast("long")))
     rows = written(narrow, "pieces")
     full = rows.filter(F.col("length") == capacity)
     done = [full.select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     rest, before, turn = rows.filter(F.col("length") < capacity), 0, 0
-    schema = ", ".join([*(f"{n} {types[c]}" for n, c in zip(names, keep)), "length long, group long, bin long, offset long, loose boolean"])
+    schema = rows_of.schema(pieces, keep, "length long, group long, bin long, offset long, loose boolean")
     while True:
         groups = -(-rest.count() // group_rows)
         last = groups <= 1 or (before and groups > before // 2)

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarn.llm.rows import passing, schema
 from tarn.llm.words import Words, covered, grams, mix, row_sums, runs, split, whole
 from tarn.shared import written
 
@@ -317,18 +318,16 @@ def remove_repeats(
     not hold the new names; other columns are not read. Words are compared as 64-bit hashes, windows
     of different parts as 128-bit ones. The table is read four times and its texts shuffled twice.
     """
-    types = dict(documents.dtypes)
-    names = [f"k{i}" for i in range(len(keep))]
     words = F.col(f"`{text}`").cast("string")
     size = documents.agg(F.sum(F.octet_length(words))).first()[0] or 0
     parts, shards = size // part_bytes + 1, size // shard_bytes + 1
     part = F.pmod(F.xxhash64(F.col(f"`{order}`"), words), F.lit(parts)).cast("int")
-    rows = documents.select(*(F.col(f"`{c}`").alias(k) for k, c in zip(names, keep)), F.col(f"`{order}`").cast("long").alias("doc"), words.alias("text"), part.alias("part"))
+    rows = documents.select(*passing(keep), F.col(f"`{order}`").cast("long").alias("doc"), words.alias("text"), part.alias("part"))
     sent = written(rows.select("part", "text").mapInArrow(_send_anchors(n, shards), _SENT), "anchors")
     met = sent.filter(F.col("shard").isNotNull()).select("shard", "anchors", "parts").groupBy("shard").applyInArrow(_meet_anchors, "part int, found binary")
     found = met.unionByName(sent.filter(F.col("part").isNotNull()).select("part", "found"))
     narrow = rows.select("doc", "part", "text")
     windows = narrow.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_send_windows(n, shards), "shard int, windows binary")
     confirmed = written(windows.groupBy("shard").applyInArrow(_meet_windows, "part int, found binary"), "confirmed")
-    schema = ", ".join([*(f"{k} {types[c]}" for k, c in zip(names, keep)), "n_words long, n_removed long, removed array<struct<first:int,last:int>>, kept string"])
-    return rows.groupBy("part").cogroup(confirmed.groupBy("part")).applyInArrow(_remove(n, len(keep)), schema).toDF(*keep, "n_words", "n_removed", "removed", "kept")
+    result = schema(documents, keep, "n_words long, n_removed long, removed array<struct<first:int,last:int>>, kept string")
+    return rows.groupBy("part").cogroup(confirmed.groupBy("part")).applyInArrow(_remove(n, len(keep)), result).toDF(*keep, "n_words", "n_removed", "removed", "kept")

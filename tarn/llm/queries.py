@@ -15,14 +15,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = tokens.encode_texts(_table(spark, sf_dir, "documents"), _tokenizer(), ["doc_id"], end_id=1)
+    encoded = tokens.encode_texts(_table(spark, sf_dir, "documents"), tokenizer_path(), ["doc_id"], end_id=1)
     pieces = packing.cut(encoded, ["doc_id"]).withColumn("ids_crc32", F.crc32("ids"))
     return packing.pack(pieces, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
@@ -58,7 +58,7 @@ def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ranked_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = tokens.encode_texts(_table(spark, sf_dir, "documents"), _tokenizer(), ["doc_id"], end_id=2)
+    encoded = tokens.encode_texts(_table(spark, sf_dir, "documents"), tokenizer_path(), ["doc_id"], end_id=2)
     path = shared_path(spark, "idfiles")
     idfiles.write_ids(written(encoded, "encoded"), path)
     return idfiles.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
