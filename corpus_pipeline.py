@@ -1,15 +1,70 @@
-"""Corpus pipeline: quality, near duplicates, repeated passages, benchmark contamination, packing."""
+"""Corpus pipeline: quality, near duplicates, repeated passages, benchmark contamination, packing.
+
+A stage's columns travel as one struct, so no column of the input clashes with one an operator adds.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tarn.llm import contamination, neardup, packing, passages, quality, tokens
+from tarn.llm.queries import tokenizer_path
+from tarn.shared import written
+
+
+def _whole(docs: DataFrame, *columns: str) -> DataFrame:
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(F.col(f"`{c}`") for c in columns))
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    judged = quality.quality_rules(_whole(docs, "text", "lang", "source"), keep=["row"])
+    return judged.filter("quality.kept").select("row.*")
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays, that of the least id."""
+    return neardup.near_duplicates(_whole(docs, "doc_id", "text"), keep=["row"]).filter("stays").select("row.*")
+
+
+def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in passages of earlier documents go; a document that loses words is the rest, joined by
+    one space, and goes if nothing is left. Others stay as they are."""
+    left = passages.remove_repeats(_whole(docs, "doc_id", "text"), keep=["row"])
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text"))
+    now = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)}
+    columns = (now.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns)
+    return left.filter("n_removed = 0 or n_removed < n_words").select(*columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth or more lies in benchmark windows go."""
+    found = contamination.find_benchmark(_whole(docs, "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["row"])
+    return found.filter(~contamination.is_contaminated()).select("row.*")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 4096 ids and their places in sequences."""
+    encoded = tokens.encode_texts(docs, tokenizer_path(), ["doc_id"], end_id=1)
+    pieces = packing.cut(encoded, ["doc_id"]).withColumn("ids_crc32", F.crc32("ids"))
+    return packing.pack(pieces, ["doc_id", "piece", "start", "length", "ids_crc32"])
+
 
-STAGES: list = []
+STAGES = [
+    ("quality rules", quality_stage),
+    ("near duplicates", near_duplicate_stage),
+    ("repeated passages", repeated_passage_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("best-fit packing", packing_stage),
+]
+#: Alignment, sketches and tokenization are beyond SQL; tests/llm compares run() with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        docs = written(docs, f"stage{k}") if k < len(STAGES) - 1 else docs
     return docs
