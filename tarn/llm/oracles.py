@@ -1,5 +1,129 @@
-"""DuckDB SQL for the operators that SQL can express."""
+"""DuckDB SQL for the operators that SQL can express: 2, 3, 5, 6, 9 and 10.
 
-from tarn.llm import shards, urls
+Token ids (1, 7), sketches with alignment (4) and markup (8) are beyond it; tests/llm holds those
+against brute force.
+"""
 
-ORACLES: dict[str, str] = {}
+from tarn.llm import passages, preferences, quality, shards, urls
+
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+_ALNUM = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _quality() -> str:
+    measures = {name: of.replace(" div ", " // ") for name, (of, _) in quality.MEASURES.items()}
+    slack = " ".join(f"when '{name}' then {least}" for name, (_, least) in quality.MEASURES.items())
+    each = " union all ".join(f"select lang, source, '{name}' measure, {of} v from counts where not base_failed" for name, of in measures.items())
+    beyond = ", ".join(f"case when n_words > 0 and {of} > fence['{name}'] then '{name}' end" for name, of in measures.items())
+
+    def level(columns: str, rows: str) -> str:
+        by = columns + ", " if columns else ""
+        return f"""
+        select {by}max(n_all) n_rows, map_from_entries(list((measure, fence))) fence from (
+          select {by}measure, max(n_all) n_all, cast(min(top) filter (up_to * 10 >= n_all * 9) + greatest({quality.REACH} * (min(top) filter (up_to * 10 >= n_all * 9) - min(top) filter (up_to * 10 >= n_all * 5)), case measure {slack} end) as bigint) fence
+          from (select {by}measure, top, sum(n) over (partition by {by}measure order by bucket) up_to, sum(n) over (partition by {by}measure) n_all
+                from (select {by}measure, bucket, any_value(top) top, sum(n) n from {rows} group by {by}measure, bucket))
+          group by {by}measure) group by {columns or 'all'}"""
+
+    return f"""
+    with docs as (select doc_id, coalesce('=' || lang, '') lang, coalesce('=' || source, '') source, coalesce(text, '') text, {_WORDS} w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) l from documents),
+    windows as (select doc_id, p, array_to_string(w[p:p + 4], ' ') win from (select doc_id, w, unnest(range(1, len(w) - 3)) p from docs where len(w) >= 5)),
+    again as (select doc_id, unnest(range(p, p + 5)) p from (select *, count(*) over (partition by doc_id, win) c from windows) where c > 1),
+    repeats as (select doc_id, count(distinct p) n from again group by 1),
+    base as (select doc_id, lang, source, len(w) n_words, length(array_to_string(w, '')) word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) n_symbols,
+        len(l) - len(list_distinct(l)) n_dup_lines, len(l) n_lines, coalesce(r.n, 0) n_repeat_words from docs left join repeats r using (doc_id)),
+    counts as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed from base),
+    measured as ({each}),
+    shifted as (select *, greatest(0, case when v < 1 then 0 else cast(floor(log2(v)) as int) + 1 end - 6) s from measured),
+    sketch as (select lang, source, measure, s * 32 + (v >> s) bucket, any_value((((v >> s) + 1) << s) - 1) top, count(*) n from shifted group by all),
+    own as ({level("lang, source", "sketch")}), by_lang as ({level("lang", "sketch")}), overall as ({level("", "sketch")}),
+    fences as (select o.lang, o.source, case when o.n_rows >= {quality.LEAST_ROWS} then o.fence when l.n_rows >= {quality.LEAST_ROWS} then l.fence else a.fence end fence
+        from own o join by_lang l using (lang) cross join overall a),
+    judged as (select c.*, case when base_failed then [] else list_sort(list_filter([{beyond}], lambda x: x is not null)) end beyond from counts c left join fences using (lang, source))
+    select doc_id, n_words::bigint n_words, word_chars::bigint word_chars, n_symbols::bigint n_symbols, n_dup_lines::bigint n_dup_lines, n_repeat_words::bigint n_repeat_words, base_failed,
+        not base_failed and len(beyond) = 0 kept, array_to_string(beyond, ',') beyond from judged"""
+
+
+def _shards() -> str:
+    # one byte at a time; the table of 256 is made by its rule
+    step = "list_reduce(list_prepend(k, range(8)), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)"
+    return f"""
+    with crc as (select list(v order by k) t from (select k, {step} v from range(256) r(k))),
+    docs as (select doc_id, source, text, octet_length(encode(coalesce(text, ''))) + 1 size, md5('{shards.SEED}:' || coalesce(doc_id::varchar, '')) key from documents),
+    fractions as (select *, (2 * row_number() over (partition by source order by key) - 1) / (2 * count(*) over (partition by source))::double fraction from docs),
+    places as (select *, row_number() over (order by fraction, source nulls first, key) - 1 place, count(*) over () total from fractions),
+    dealt as (select *, place * 8 // total shard from places)
+    select doc_id, size::bigint size, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::bigint)),
+            lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])))::bigint text_crc32,
+        'rows' law, shard::int shard, (place - (shard * total + 7) // 8)::bigint slot, null::int grown_shard, source from dealt, crc"""
+
+
+def _decontamination() -> str:
+    return f"""
+    with docs as (select doc_id, {_ALNUM} w from documents), items as (select item_id::varchar item, {_ALNUM} w from benchmark),
+    wanted as (select distinct item, case when len(w) < 13 then w else w[p:p + 12] end win from (select item, w, unnest(range(1, greatest(2, len(w) - 11))) p from items where len(w) > 0)),
+    sizes as (select distinct len(win) n from wanted),
+    windows as (select doc_id, n, p, w[p:p + n - 1] win from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) p from docs, sizes where len(w) >= n)),
+    hits as (select doc_id, n, p, item from windows join wanted using (win)),
+    hit_words as (select doc_id, count(distinct q) n from (select doc_id, unnest(range(p, p + n)) q from hits) group by 1),
+    hit_items as (select doc_id, list_sort(list(distinct item)) items from hits group by 1)
+    select doc_id, len(w)::bigint n_words, coalesce(h.n, 0)::bigint n_hit, coalesce(len(items), 0)::bigint n_items, sha256(coalesce(array_to_string(items, ','), '')) items_sha256,
+        coalesce(h.n, 0) > 0 and 20 * coalesce(h.n, 0) >= len(w) contaminated from docs left join hit_words h using (doc_id) left join hit_items using (doc_id)"""
+
+
+def _passages() -> str:
+    n = passages.WINDOW
+    return f"""
+    with docs as (select doc_id, {_WORDS} w from documents),
+    windows as (select doc_id, p, array_to_string(w[p:p + {n - 1}], ' ') win from (select doc_id, w, unnest(range(1, len(w) - {n - 2})) p from docs where len(w) >= {n})),
+    later as (select doc_id, p from (select *, min(doc_id) over (partition by win) f from windows) where doc_id > f),
+    gone as (select doc_id, list(distinct q) g, count(distinct q) n from (select doc_id, unnest(range(p, p + {n})) q from later) group by 1)
+    select doc_id, len(w)::bigint n_words, coalesce(n, 0)::bigint n_removed,
+        sha256(array_to_string(case when n is null then w else list_filter(w, lambda x, i: not list_contains(g, i)) end, ' ')) kept_sha256 from docs left join gone using (doc_id)"""
+
+
+def _preferences() -> str:
+    head, end = len(preferences.BEFORE) + len(preferences.AFTER_ROLE), len(preferences.END)
+
+    def rendered(turns: str) -> str:
+        return f"array_to_string(list_transform({turns}, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), '')"
+
+    def trained(turns: str) -> str:
+        before = f"coalesce(list_sum(list_transform({turns}[1:i - 1], lambda q: length(q.role) + length(q.text) + {head + end})), 0)::bigint"
+        one = f"({before} + {head} + length(t.role))::varchar || '-' || ({before} + {head + end} + length(t.role) + length(t.text))::varchar"
+        return f"array_to_string(list_filter(list_transform({turns}, lambda t, i: case when t.role = '{preferences.TRAINED_ROLE}' then {one} end), lambda x: x is not null), ',')"
+
+    return f"""
+    with turns as (select conv_id, list(struct_pack(turn := turn, role := coalesce(role, ''), text := coalesce(text, '')) order by turn, coalesce(role, ''), coalesce(text, '')) t
+        from conversations where conv_id is not null group by 1),
+    known as (select conv_id, t, coalesce(list_max(list_filter(list_transform(t, lambda x, i: case when x.role = '{preferences.TRAINED_ROLE}' then i else 0 end), lambda i: i > 0)), 0) a from turns),
+    replies as (select conv_id - 1 conv_id, t[a].text reply from known where a > 0),
+    sides as (select conv_id, case when a > 0 then t[1:a] else t end c,
+        case when a = 0 then t when reply is null then t[1:a - 1] else list_append(t[1:a - 1], struct_pack(turn := t[a].turn, role := t[a].role, text := reply)) end r
+        from known left join replies using (conv_id)),
+    prefixes as (select *, coalesce(list_min(list_filter(range(1, least(len(c), len(r)) + 1), lambda i: c[i].role <> r[i].role or c[i].text <> r[i].text)) - 1, least(len(c), len(r))) p from sides),
+    cut as (select conv_id, p, c[1:p] head, c[p + 1:len(c)] c, r[p + 1:len(r)] r from prefixes)
+    select conv_id, p::int prompt_turns, {rendered("head")} prompt, {rendered("c")} chosen, {rendered("r")} rejected, {trained("c")} chosen_trained, {trained("r")} rejected_trained from cut"""
+
+
+def _urls() -> str:
+    by_length = sorted(urls.RULES, key=lambda r: -len(r[0]))
+    fits = [(rule, says, f"(host = '{rule.partition('/')[0]}' or ends_with(host, '.{rule.partition('/')[0]}')) and starts_with(path, '/{rule.partition('/')[2]}')") for rule, says in by_length]
+    rule = "case " + " ".join(f"when {fit} then '{r}'" for r, _, fit in fits) + " end"
+    ruled = "case " + " ".join(f"when {fit} then '{says}'" for _, says, fit in fits) + " end"
+
+    def hits(terms) -> str:
+        return f"len(list_filter([{', '.join(repr(t) for t in terms)}], lambda t: regexp_matches(low, '(^|[^a-z0-9])' || t || '([^a-z0-9]|$)')))::int"
+
+    return f"""
+    with folded as (select page_id, coalesce(url, '') url, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') low from pages),
+    parts as (select page_id, low, regexp_extract(low, '(?s)^.*?://([^/?#]*)', 1) host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) path from folded),
+    counted as (select *, {hits(urls.STRICT)} strict_hits, {hits(urls.SOFT)} soft_hits from parts)
+    select page_id, host, path, {rule} as rule, coalesce({ruled}, case when strict_hits > 0 or soft_hits >= {urls.SOFT_LIMIT} then 'block' else 'allow' end) verdict, strict_hits, soft_hits from counted"""
+
+
+ORACLES: dict[str, str] = {
+    "op2_quality_rules": _quality(), "op3_stratified_shards": _shards(), "op5_decontamination": _decontamination(),
+    "op6_repeated_passages": _passages(), "op9_preferences": _preferences(), "op10_url_filter": _urls(),
+}
