@@ -1,0 +1,59 @@
+"""Preference pairs."""
+
+from tarn.llm.preferences import preference_pairs, swapped_replies, turns_of
+
+TURNS = "conv_id long, turn long, role string, text string"
+
+
+def talk(spark, *rows):
+    return turns_of(spark.createDataFrame([*rows], TURNS).repartition(3))
+
+
+def pairs(chosen, rejected):
+    return {r["pair"]: r for r in preference_pairs(chosen, rejected).collect()}
+
+
+def trained(row, side):
+    return [row[side][s["start"] : s["stop"]] for s in row[f"{side}_trained"]]
+
+
+def test_prefix_once_and_masks(spark):
+    start = [(1, 0, "system", "S"), (1, 1, "user", "é"), (1, 2, "assistant", "A")]
+    got = pairs(talk(spark, *start, (1, 3, "user", "more"), (1, 4, "assistant", "good")), talk(spark, *start, (1, 3, "assistant", "bad")))[1]
+    assert got["prompt_turns"] == 3
+    assert got["prompt"] == "<|system|>\nS<|end|>\n<|user|>\né<|end|>\n<|assistant|>\nA<|end|>\n"
+    assert got["chosen"] == "<|user|>\nmore<|end|>\n<|assistant|>\ngood<|end|>\n" and got["rejected"] == "<|assistant|>\nbad<|end|>\n"
+    assert trained(got, "chosen") == ["good<|end|>\n"] and trained(got, "rejected") == ["bad<|end|>\n"]
+
+
+def test_sides_that_are_equal_shorter_or_missing(spark):
+    a = talk(spark, (1, 0, "user", "x"), (2, 0, "user", "x"), (2, 1, "assistant", "y"), (3, 0, "user", "z"))
+    b = talk(spark, (1, 0, "user", "x"), (2, 0, "user", "x"), (4, 0, "assistant", "x"))
+    got = pairs(a, b)
+    assert [(got[k]["prompt_turns"], got[k]["chosen"] != "", got[k]["rejected"] != "") for k in (1, 2, 3, 4)] == [(1, False, False), (1, True, False), (0, True, False), (0, False, True)]
+
+
+def test_role_and_text_both_count(spark):
+    got = pairs(talk(spark, (1, 0, "user", "x"), (2, 0, "user", "x")), talk(spark, (1, 0, "system", "x"), (2, 0, "user", "y")))
+    assert [got[k]["prompt_turns"] for k in (1, 2)] == [0, 0]
+
+
+def test_nulls_ties_repeats_long_and_empty(spark):
+    rows = [(None, 0, "user", "lost"), (1, None, "user", "first"), (1, 5, None, None), (1, 5, "assistant", "b"), (1, 5, "assistant", "b"), (2, 0, "user", "x" * 300_000)]
+    got = {r["pair"]: r["turns"] for r in talk(spark, *rows).collect()}
+    assert [(t["turn"], t["role"], t["text"][:5]) for t in got[1]] == [(None, "user", "first"), (5, "", ""), (5, "assistant", "b"), (5, "assistant", "b")]
+    assert set(got) == {1, 2} and len(got[2][0]["text"]) == 300_000
+    assert preference_pairs(talk(spark), talk(spark)).count() == 0
+
+
+def test_swapped_replies(spark):
+    rows = [(1, 0, "user", "q1"), (1, 1, "assistant", "a1"), (1, 2, "user", "later"), (2, 0, "user", "q2"), (2, 1, "assistant", "a2"), (3, 0, "user", "only"), (4, 0, "assistant", "alone")]
+    got = pairs(*swapped_replies(talk(spark, *rows)))
+    assert [(k, got[k]["prompt_turns"], trained(got[k], "chosen"), trained(got[k], "rejected")) for k in sorted(got)] == [
+        (1, 1, ["a1<|end|>\n"], ["a2<|end|>\n"]), (2, 1, ["a2<|end|>\n"], []), (3, 1, [], []), (4, 0, ["alone<|end|>\n"], []),
+    ]
+
+
+def test_plan_has_no_python(spark, capsys):
+    preference_pairs(*swapped_replies(talk(spark, (1, 0, "user", "x")))).explain()
+    assert "Python" not in capsys.readouterr().out

@@ -1,0 +1,46 @@
+"""Stratified shards."""
+
+from collections import Counter
+
+import pytest
+
+from tarn.llm.shards import stratified_shards, write_shards
+
+ROWS = [(i, "hot" if i % 3 == 0 else f"s{i % 5}" if i % 7 else None, "x" * (i % 4)) for i in range(500)]
+OF = "doc_id long, source string, text string"
+
+
+@pytest.mark.parametrize("cells", [5_000, 20])
+def test_counts_slots_and_mixture(spark, cells):
+    got = stratified_shards(spark.createDataFrame(ROWS, OF).repartition(4), 8, cell_rows=cells).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(500))
+    sizes = Counter(r["shard"] for r in got)
+    assert set(sizes) == set(range(8)) and max(sizes.values()) - min(sizes.values()) <= 1
+    for shard, n in sizes.items():
+        assert sorted(r["slot"] for r in got if r["shard"] == shard) == list(range(n))
+    for source, n in Counter(r["source"] for r in got).items():
+        share = Counter(r["shard"] for r in got if r["source"] == source)
+        assert all(abs(share[s] - n / 8) <= 2 for s in range(8))
+
+
+def test_same_for_any_partitioning_and_cell_size(spark):
+    placed = [{(r["doc_id"], r["shard"], r["slot"]) for r in stratified_shards(spark.createDataFrame(ROWS, OF).repartition(n), 8, cell_rows=c).collect()} for n, c in ((1, 7), (5, 5_000))]
+    assert placed[0] == placed[1]
+    other = {(r["doc_id"], r["shard"], r["slot"]) for r in stratified_shards(spark.createDataFrame(ROWS, OF), 8, seed=1).collect()}
+    assert other != placed[0]
+
+
+def test_few_rows_nulls_repeats_clashing_names(spark):
+    frame = spark.createDataFrame([(None, None, "a", 9), (None, None, "a", 9), (1, "s", None, 9)], "doc_id long, source string, text string, shard int")
+    got = stratified_shards(frame, 8).collect()
+    assert len(got) == 3 and len({(r["shard"], r["slot"]) for r in got}) == 3
+    clash = frame.withColumnsRenamed({"shard": "stratum"}).withColumnsRenamed({"text": "cell"})
+    assert set(stratified_shards(clash, 2).columns) == {"doc_id", "source", "cell", "stratum", "shard", "slot"}
+    assert stratified_shards(frame.limit(0), 8).count() == 0
+
+
+def test_written_shards(spark, tmp_path):
+    path = str(tmp_path / "out")
+    write_shards(stratified_shards(spark.createDataFrame(ROWS, OF), 4), path, 2)
+    back = spark.read.parquet(path)
+    assert back.count() == 500 and back.select("shard").distinct().count() == 4
