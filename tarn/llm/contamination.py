@@ -64,6 +64,8 @@ def _rarity(vocabulary: np.ndarray):
         for batch in batches:
             for i, j, data, offsets in runs(batch.column(0)):
                 w = split(data, offsets, ALNUM, FOLD)
+                if not len(vocabulary):
+                    continue
                 at = np.searchsorted(vocabulary, w.hash)
                 at[at == len(vocabulary)] = 0
                 known = vocabulary[at] == w.hash
