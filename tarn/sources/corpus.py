@@ -29,6 +29,16 @@ def read_markdown(spark: SparkSession, source: str, root: str | None = None) ->
     single = source.lower().endswith(".md")
     root = (root or (posixpath.dirname(source) if single else source)).rstrip("/")
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[mM][dD]").text(source, wholetext=True)
+    return _relative(files, root)
+
+
+def stream_markdown(spark: SparkSession, folder: str) -> DataFrame:
+    """The same rows as a stream: files that come into the folder."""
+    files = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[mM][dD]").text(folder, wholetext=True)
+    return _relative(files, folder.rstrip("/"))
+
+
+def _relative(files: DataFrame, root: str) -> DataFrame:
     path = F.regexp_replace(F.col("_metadata.file_path"), r"^[a-z][a-z0-9+.-]*:(//[^/]*)?(?=/)", "")
     base = re.sub(r"^[a-z][a-z0-9+.-]*:(//[^/]*)?(?=/)", "", root) + "/"
     path = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
