@@ -7,14 +7,15 @@ done part by part:
 1. Anchors. Equal windows hold the same anchor: the least hash of their ANCHOR-word grams. Anchors are
    a fraction of all windows, and one that stands in a single document ends here. Each task counts its
    own anchors first, so a passage that everyone repeats is sent once a task.
-2. Windows on recurring anchors. Each part sends a 128-bit hash of each with its least and greatest
-   document; their meeting confirms which recur and names each one's first document.
+2. Windows on recurring anchors. Each part sends a 96-bit hash of each with its least document; their
+   meeting confirms which recur, and answers with one bit each: is there an earlier document elsewhere?
 3. Passages. Runs of windows confirmed against an earlier document are the part's passages. They are
    compiled into Aho-Corasick automata, in shards of bounded size, with one character for each word,
    and all documents of the part are streamed through them to locate every occurrence.
 
-Hashes travel between parts in packed blobs, one for each pair of sender and shard of the hash range.
-No step sees more than a part or a shard, and both stay the same size as the corpus grows.
+Hashes and documents travel in packed blobs: hashes one for each pair of part and shard of the hash
+range, documents compressed together by part. No step sees more than a part or a shard, and both stay
+the same size as the corpus grows.
 """
 
 from __future__ import annotations
@@ -31,22 +32,35 @@ from tarn.llm.words import Words, covered, grams, mix, row_sums, runs, split, wh
 from tarn.shared import written
 
 WINDOW = 13
-ANCHOR = 8
+ANCHOR = 7
 PART_BYTES = 2 << 20
 #: Bytes of text for each shard of the hash range.
 SHARD_BYTES = 32 << 20
-#: Anchors that a task holds before it sends them.
+#: Anchors that a task holds before it sends them, and bytes of documents before it packs them.
 HELD = 2_000_000
+HELD_BYTES = 32 << 20
 #: Words of the passages of one automaton.
 AUTOMATON_WORDS = 400_000
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
+_LOW = np.uint64(0xFFFFFFFF)
 
-_ENTRY = np.dtype([("a", "<u8"), ("b", "<u8"), ("low", "<i8"), ("high", "<i8"), ("part", "<i4")])
-_CONFIRMED = np.dtype([("a", "<u8"), ("b", "<u8"), ("first", "<i8")])
+_ENTRY = np.dtype([("a", "<u8"), ("b", "<u4"), ("low", "<i8")])
 
 
-def _blobs(column: pa.ChunkedArray, dtype) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x.as_buffer(), dtype) for x in column] or [np.zeros(0, dtype)])
+def _blob(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length, each with its own type, compressed."""
+    raw = b"".join(np.ascontiguousarray(x).tobytes() for x in arrays)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unblob(blob: bytes, *types: str) -> list[np.ndarray]:
+    raw = pa.decompress(memoryview(blob)[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    sizes = [np.dtype(t).itemsize for t in types]
+    n, at, out = len(raw) // sum(sizes), 0, []
+    for t, size in zip(types, sizes):
+        out.append(np.frombuffer(raw, t, n, at))
+        at += n * size
+    return out
 
 
 def _by(key: np.ndarray, *values: np.ndarray) -> Iterator[tuple]:
@@ -58,8 +72,10 @@ def _by(key: np.ndarray, *values: np.ndarray) -> Iterator[tuple]:
         yield int(key[a]), *(v[a:b] for v in values)
 
 
-def _anchors(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start of each window, its anchor)."""
+def _anchors(words: Words, n: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start of each window, its anchor): the shard, then 32 bits of the hash. Anchors are a filter:
+    two that fall together by chance cost work, and no more of them do as the corpus grows, since a
+    shard holds the same number."""
     starts = whole(words, n)
     k = min(ANCHOR, n)
     gram = grams(words.hash, k)
@@ -68,7 +84,8 @@ def _anchors(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     least = gram[starts]
     for j in range(1, n - k + 1):
         least = np.minimum(least, gram[starts + j])
-    return starts, least
+    least = mix(least)
+    return starts, (least % np.uint64(shards)) << np.uint64(32) | least >> np.uint64(32)
 
 
 def _window_hashes(words: Words, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,10 +94,10 @@ def _window_hashes(words: Words, starts: np.ndarray, n: int) -> tuple[np.ndarray
         h = words.hash[starts + j]
         a = a * _SECOND + h
         b = (b ^ h) * np.uint64(0x2545F4914F6CDD1D) + (b >> np.uint64(31))
-    return mix(a), mix(b)
+    return mix(a), (mix(b) & _LOW).astype(np.uint32)
 
 
-_SENT = "shard int, anchors binary, parts binary, part int, found binary"
+_SENT = "shard int, anchors binary, part int, found binary"
 
 
 def _send_anchors(n: int, shards: int):
@@ -92,12 +109,12 @@ def _send_anchors(n: int, shards: int):
         order = np.argsort(anchor, kind="stable")
         anchor, part = anchor[order], part[order]
         first = np.r_[True, anchor[1:] != anchor[:-1]]
-        often = np.repeat(np.diff(np.flatnonzero(np.r_[first, True])) > 1, np.diff(np.flatnonzero(np.r_[first, True])))
+        size = np.diff(np.flatnonzero(np.r_[first, True]))
+        often = np.repeat(size > 1, size)
         # to the shards: a lone anchor with its part, one seen twice without (its parts are told here)
-        shard = (anchor[first] % np.uint64(shards)).astype(np.int32)
-        sent = [(s, a.tobytes(), p.astype(np.int32).tobytes(), None, None) for s, a, p in _by(shard, anchor[first], np.where(often, -1, part)[first])]
-        sent += [(None, None, None, p, np.unique(a).tobytes()) for p, a in _by(part[often], anchor[often])]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*sent), (pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary()))], ["shard", "anchors", "parts", "part", "found"])
+        sent = [(s, _blob((a & _LOW).astype("<u4"), p.astype("<i4")), None, None) for s, a, p in _by((anchor[first] >> np.uint64(32)).astype(np.int32), anchor[first], np.where(often, -1, part)[first])]
+        sent += [(None, None, p, _blob(np.unique(a))) for p, a in _by(part[often], anchor[often])]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*sent), (pa.int32(), pa.binary(), pa.int32(), pa.binary()))], ["shard", "anchors", "part", "found"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -105,7 +122,7 @@ def _send_anchors(n: int, shards: int):
             parts = batch.column(0).to_numpy()
             for i, j, data, offsets in runs(batch.column(1)):
                 words = split(data, offsets)
-                starts, anchor = _anchors(words, n)
+                starts, anchor = _anchors(words, n, shards)
                 row = words.row_of()[starts]
                 new = np.r_[True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])][: len(row)]
                 row, anchor = row[new], anchor[new]
@@ -126,74 +143,99 @@ def _send_anchors(n: int, shards: int):
 
 def _meet_anchors(table: pa.Table) -> pa.Table:
     """A shard's anchors: those sent twice or more go back to the parts that hold them."""
-    anchor, part = _blobs(table.column("anchors"), "<u8"), _blobs(table.column("parts"), "<i4")
+    held = [_unblob(x.as_py(), "<u4", "<i4") for x in table.column("anchors")]
+    anchor, part = (np.concatenate(x) for x in zip(*held))
     order = np.argsort(anchor, kind="stable")
     anchor, part = anchor[order], part[order]
     same = anchor[1:] == anchor[:-1]
     back = (np.r_[False, same] | np.r_[same, False])[: len(anchor)] & (part >= 0)
-    out = [(p, a.tobytes()) for p, a in _by(part[back], anchor[back])]
+    shard = np.uint64(table.column("shard")[0].as_py()) << np.uint64(32)
+    out = [(p, _blob(a.astype(np.uint64) | shard)) for p, a in _by(part[back], anchor[back])]
     return pa.table({"part": pa.array([p for p, _ in out], pa.int32()), "found": pa.array([f for _, f in out], pa.binary())})
 
 
-def _documents(table: pa.Table) -> Iterator[tuple[int, int, Words, np.ndarray, np.ndarray]]:
-    """(first row, row after the last, words, document ids, where those are known) of a part's rows."""
-    for batch in table.select(["doc", "text"]).combine_chunks().to_batches():
-        doc = batch.column(0)
-        known = doc.is_valid().to_numpy(zero_copy_only=False)
-        ids = doc.fill_null(0).to_numpy()
-        for i, j, data, offsets in runs(batch.column(1)):
-            yield i, j, split(data, offsets), ids[i:j], known[i:j]
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents (part, ...) packed by part."""
 
-
-def _send_windows(n: int, shards: int):
-    def work(documents: pa.Table, side: pa.Table) -> pa.Table:
-        found, sent = np.unique(_blobs(side.column("found"), "<u8")), []
-        part = documents.column("part")[0].as_py() if len(documents) else 0
+    def flush(held: list) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        out = []
+        for p, at in _by(rows.column(0).to_numpy(), np.arange(len(rows))):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_table(rows.take(at).combine_chunks())
+            out.append((p, sink.getvalue().to_pybytes()))
+        return pa.RecordBatch.from_pydict({"part": pa.array([p for p, _ in out], pa.int32()), "rows": pa.array([r for _, r in out], pa.binary())})
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size > HELD_BYTES:
+            yield flush(held)
+            held, size = [], 0
+    if held:
+        yield flush(held)
+
+
+class _Part:
+    """The documents of a part, their words, and their windows on recurring anchors."""
+
+    def __init__(self, packed: pa.Table, found: list[bytes], n: int, shards: int):
+        rows = pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in packed.column("rows")]).combine_chunks()
+        self.rows, self.number = rows, packed.column("part")[0].as_py()
+        doc, text = rows.column("doc").combine_chunks(), rows.column("text").combine_chunks()
+        known, ids = doc.is_valid().to_numpy(zero_copy_only=False), doc.fill_null(0).to_numpy()
+        anchors = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_unblob(x, "<u8")[0] for x in found)]))
+        self.runs: list[tuple[int, int, Words, np.ndarray, np.ndarray, np.ndarray]] = []
         entries = [np.zeros(0, _ENTRY)]
-        for _, _, words, doc, known in _documents(documents):
-            starts, anchor = _anchors(words, n)
+        for i, j, data, offsets in runs(text):
+            words = split(data, offsets)
+            starts, anchor = _anchors(words, n, shards)
             row = words.row_of()[starts]
-            starts = starts[np.isin(anchor, found) & known[row]]
+            starts = starts[np.isin(anchor, anchors) & known[i:j][row]]
             one = np.zeros(len(starts), _ENTRY)
             one["a"], one["b"] = _window_hashes(words, starts, n)
-            one["low"] = one["high"] = doc[words.row_of()[starts]]
+            one["low"] = ids[i:j][words.row_of()[starts]]
+            self.runs.append((i, j, words, ids[i:j], known[i:j], starts))
             entries.append(one)
-        entries = _merge(np.concatenate(entries))
-        entries["part"] = part
-        for s, x in _by((entries["a"] % np.uint64(shards)).astype(np.int32), entries):
-            sent.append((s, x.tobytes()))
-        return pa.table({"shard": pa.array([s for s, _ in sent], pa.int32()), "windows": pa.array([x for _, x in sent], pa.binary())})
-
-    return work
-
+        every = np.concatenate(entries)
+        order = np.lexsort((every["b"], every["a"]))
+        new = np.r_[True, (every["a"][order][1:] != every["a"][order][:-1]) | (every["b"][order][1:] != every["b"][order][:-1])][: len(order)]
+        #: Different windows in order of hash, with the least document of the part; and each window's place among them.
+        self.entries = every[order][new].copy()
+        self.place = np.zeros(len(every), np.int64)
+        self.place[order] = np.cumsum(new) - 1
+        if len(order):
+            self.entries["low"] = np.minimum.reduceat(every["low"][order], np.flatnonzero(new))
+        self.shard = (self.entries["a"] % np.uint64(shards)).astype(np.int32)
 
-def _groups(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Entries in order of hash, and where each window's begin."""
-    entries = entries[np.lexsort((entries["b"], entries["a"]))]
-    new = np.r_[True, (entries["a"][1:] != entries["a"][:-1]) | (entries["b"][1:] != entries["b"][:-1])][: len(entries)]
-    return entries, np.flatnonzero(new)
 
+def _send_windows(n: int, shards: int):
+    def work(packed: pa.Table, side: pa.Table) -> pa.Table:
+        sent = []
+        if len(packed):
+            part = _Part(packed, side.column("found").to_pylist(), n, shards)
+            sent = [(s, part.number, _blob(x["a"], x["b"], x["low"])) for s, x in _by(part.shard, part.entries)]
+        columns = ([x[k] for x in sent] for k in range(3))
+        return pa.table({k: pa.array(v, t) for k, v, t in zip(("shard", "part", "windows"), columns, (pa.int32(), pa.int32(), pa.binary()))})
 
-def _merge(entries: np.ndarray) -> np.ndarray:
-    if not len(entries):
-        return entries
-    entries, at = _groups(entries)
-    one = entries[at].copy()
-    one["low"], one["high"] = np.minimum.reduceat(entries["low"], at), np.maximum.reduceat(entries["high"], at)
-    return one
+    return work
 
 
 def _meet_windows(table: pa.Table) -> pa.Table:
-    """A shard's windows: each part that holds one in a later document learns the first document."""
-    entries, out = _blobs(table.column("windows"), _ENTRY), []
-    if len(entries):
-        entries, at = _groups(entries)
-        first = np.repeat(np.minimum.reduceat(entries["low"], at), np.diff(np.r_[at, len(entries)]))
-        later = entries["high"] > first
-        told = np.zeros(int(later.sum()), _CONFIRMED)
-        told["a"], told["b"], told["first"] = entries["a"][later], entries["b"][later], first[later]
-        out = [(p, x.tobytes()) for p, x in _by(entries["part"][later], told)]
-    return pa.table({"part": pa.array([p for p, _ in out], pa.int32()), "found": pa.array([f for _, f in out], pa.binary())})
+    """A shard's windows: each part learns, in the order it sent them, which stand in an earlier document
+    of another part."""
+    held = [_unblob(x.as_py(), "<u8", "<u4", "<i8") for x in table.column("windows")]
+    a, b, low = (np.concatenate(x) for x in zip(*held))
+    order = np.lexsort((b, a))
+    new = np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])]
+    first = np.minimum.reduceat(low[order], np.flatnonzero(new))
+    earlier = np.zeros(len(a), bool)
+    earlier[order] = first[np.cumsum(new) - 1] < low[order]
+    ends = np.cumsum([len(x) for x, _, _ in held])
+    bits = [np.packbits(earlier[e - len(x) : e]).tobytes() for e, (x, _, _) in zip(ends, held)]
+    return pa.table({"part": table.column("part"), "shard": table.column("shard"), "bits": pa.array(bits, pa.binary())})
 
 
 def _ranges(starts: np.ndarray, n: int, words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -214,28 +256,18 @@ def _characters(codes: np.ndarray) -> str:
     return codes.astype("<u4").tobytes().decode("utf-32-le")
 
 
-def _locate(words: Words, doc: np.ndarray, known: np.ndarray, confirmed: np.ndarray, n: int) -> np.ndarray:
-    """Mask of the words that go, by streaming the rows through automata of their passages."""
+def _locate(words: Words, doc: np.ndarray, known: np.ndarray, starts: np.ndarray, before: np.ndarray, n: int) -> np.ndarray:
+    """Mask of the words that go, by streaming the rows through automata of their passages. ``starts``
+    are the windows on recurring anchors; a document loses one whose ``before`` is smaller than its id."""
     import ahocorasick
 
     gone = np.zeros(len(words.start), bool)
-    starts = whole(words, n)
-    if not len(starts) or not len(confirmed):
-        return gone
-    a, b = _window_hashes(words, starts, n)
-    at = np.minimum(np.searchsorted(confirmed["a"], a), len(confirmed) - 1)
-    while True:  # equal first halves stand side by side
-        more = (confirmed["a"][at] == a) & (confirmed["b"][at] != b) & (np.r_[confirmed["a"][1:], confirmed["a"][-1:] + np.uint64(1)][at] == a)
-        if not more.any():
-            break
-        at = at + more
-    row = words.row_of()[starts]
-    is_later = (confirmed["a"][at] == a) & (confirmed["b"][at] == b) & (doc[row] > confirmed["first"][at]) & known[row]
+    is_later = before < doc[words.row_of()[starts]]
     begin, end = _ranges(starts[is_later], n, words)
     if not len(begin):
         return gone
-    first_of = np.zeros(len(words.start) + 1, np.int64)
-    first_of[starts[is_later]] = confirmed["first"][at[is_later]]
+    before_at = np.zeros(len(words.start), np.int64)
+    before_at[starts] = before
     shard = np.cumsum(end - begin) // AUTOMATON_WORDS
     for s in np.unique(shard):
         mine = np.flatnonzero(shard == s)
@@ -245,7 +277,7 @@ def _locate(words: Words, doc: np.ndarray, known: np.ndarray, confirmed: np.ndar
         text = _characters(np.where(vocabulary[code] == words.hash, code + 1, 0))
         automaton, latest = ahocorasick.Automaton(ahocorasick.STORE_INTS), []
         for x, y in zip(begin[mine].tolist(), end[mine].tolist()):
-            key, late = text[x:y], int(first_of[x : y - n + 1].max())
+            key, late = text[x:y], int(before_at[x : y - n + 1].max())
             old = automaton.get(key, -1)
             if old < 0:
                 automaton.add_word(key, len(latest))
@@ -279,16 +311,24 @@ def kept_text(words: Words, gone: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(out))])
 
 
-def _remove(n: int, keep: int):
+def _remove(n: int, shards: int, keep: int, text_at: int):
     names = [*(f"k{c}" for c in range(keep)), "n_words", "n_removed", "removed", "kept"]
     spans_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-
-    def work(documents: pa.Table, side: pa.Table) -> pa.Table:
-        documents = documents.combine_chunks()
-        confirmed, _ = _groups(np.unique(_blobs(side.column("found"), _CONFIRMED)))
-        out = []
-        for i, j, words, doc, known in _documents(documents):
-            gone = _locate(words, doc, known, confirmed, n)
+    anywhere = np.iinfo(np.int64).min
+
+    def work(packed: pa.Table, side: pa.Table) -> pa.Table:
+        part = _Part(packed, side.filter(side.column("found").is_valid()).column("found").to_pylist(), n, shards)
+        earlier = np.zeros(len(part.entries), bool)
+        for shard, bits in zip(side.column("shard").to_pylist(), side.column("bits").to_pylist()):
+            if bits is not None:
+                at = np.flatnonzero(part.shard == shard)
+                earlier[at] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(at)).astype(bool)
+        # a window's document must be greater than this: any is, where an earlier one is elsewhere
+        before = np.where(earlier, anywhere, part.entries["low"])[part.place]
+        out, used = [], 0
+        for i, j, words, doc, known, starts in part.runs:
+            gone = _locate(words, doc, known, starts, before[used : used + len(starts)], n)
+            used += len(starts)
             row = words.row_of()
             parted = np.r_[row[1:] != row[:-1], True][: len(row)]
             edge = np.flatnonzero(gone & ~(np.r_[False, gone[:-1]][: len(gone)] & ~np.r_[True, parted[:-1]][: len(gone)]))
@@ -296,7 +336,7 @@ def _remove(n: int, keep: int):
             spans = [[] for _ in range(i, j)]
             for a, b in zip(edge.tolist(), stop.tolist()):
                 spans[row[a]].append({"first": a - words.rows[row[a]], "last": b - words.rows[row[a]]})
-            columns = [documents.column(f"k{c}").slice(i, j - i).combine_chunks() for c in range(keep)]
+            columns = [part.rows.column("text" if c == text_at else f"k{c}").slice(i, j - i).combine_chunks() for c in range(keep)]
             columns += [pa.array(words.count(), pa.int64()), pa.array(row_sums(gone, words.rows), pa.int64()), pa.array(spans, spans_type), kept_text(words, gone)]
             out.append(pa.table(columns, names))
         return pa.concat_tables(out)
@@ -316,18 +356,23 @@ def remove_repeats(
     fewer than ``n`` words, lose nothing. Of rows with equal ids neither is the smaller; a row with a
     null id loses nothing and takes nothing from others. Windows are judged on the input. ``keep`` may
     not hold the new names; other columns are not read. Words are compared as 64-bit hashes, windows
-    of different parts as 128-bit ones. The table is read four times and its texts shuffled twice.
+    as 96-bit ones. The table is read four times and its texts shuffled twice, compressed; a text that
+    is also in ``keep`` travels once.
     """
     words = F.col(f"`{text}`").cast("string")
     size = documents.agg(F.sum(F.octet_length(words))).first()[0] or 0
     parts, shards = size // part_bytes + 1, size // shard_bytes + 1
-    part = F.pmod(F.xxhash64(F.col(f"`{order}`"), words), F.lit(parts)).cast("int")
-    rows = documents.select(*passing(keep), F.col(f"`{order}`").cast("long").alias("doc"), words.alias("text"), part.alias("part"))
-    sent = written(rows.select("part", "text").mapInArrow(_send_anchors(n, shards), _SENT), "anchors")
-    met = sent.filter(F.col("shard").isNotNull()).select("shard", "anchors", "parts").groupBy("shard").applyInArrow(_meet_anchors, "part int, found binary")
-    found = met.unionByName(sent.filter(F.col("part").isNotNull()).select("part", "found"))
-    narrow = rows.select("doc", "part", "text")
-    windows = narrow.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_send_windows(n, shards), "shard int, windows binary")
-    confirmed = written(windows.groupBy("shard").applyInArrow(_meet_windows, "part int, found binary"), "confirmed")
+    part = F.pmod(F.xxhash64(F.col(f"`{order}`"), words), F.lit(parts)).cast("int").alias("part")
+    text_at = list(keep).index(text) if text in keep and dict(documents.dtypes)[text] == "string" else -1
+    narrow = [part, F.col(f"`{order}`").cast("long").alias("doc"), words.alias("text")]
+    others = [c for i, c in enumerate(passing(keep)) if i != text_at]
+    sent = written(documents.select(part, words).mapInArrow(_send_anchors(n, shards), _SENT), "anchors")
+    met = sent.filter(F.col("shard").isNotNull()).select("shard", "anchors").groupBy("shard").applyInArrow(_meet_anchors, "part int, found binary")
+    found = written(met.unionByName(sent.filter(F.col("part").isNotNull()).select("part", "found")), "found")
+    dealt = documents.select(*narrow).mapInArrow(_deal, "part int, rows binary")
+    windows = dealt.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_send_windows(n, shards), "shard int, part int, windows binary")
+    earlier = written(windows.groupBy("shard").applyInArrow(_meet_windows, "part int, shard int, bits binary"), "earlier")
+    side = found.select("part", F.lit(None).cast("int").alias("shard"), "found", F.lit(None).cast("binary").alias("bits")).unionByName(earlier.select("part", "shard", F.lit(None).cast("binary").alias("found"), "bits"))
     result = schema(documents, keep, "n_words long, n_removed long, removed array<struct<first:int,last:int>>, kept string")
-    return rows.groupBy("part").cogroup(confirmed.groupBy("part")).applyInArrow(_remove(n, len(keep)), result).toDF(*keep, "n_words", "n_removed", "removed", "kept")
+    dealt = documents.select(*narrow, *others).mapInArrow(_deal, "part int, rows binary")
+    return dealt.groupBy("part").cogroup(side.groupBy("part")).applyInArrow(_remove(n, shards, len(keep), text_at), result).toDF(*keep, "n_words", "n_removed", "removed", "kept")
