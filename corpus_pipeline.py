@@ -1,6 +1,6 @@
 """Corpus pipeline: quality, near duplicates, repeated passages, benchmark contamination, packing.
 
-A stage's columns travel as one struct, so no column of the input clashes with one an operator adds.
+Columns have plain names while an operator works, so none of the input clashes with one it adds.
 """
 
 from __future__ import annotations
@@ -13,35 +13,39 @@ from tarn.llm.queries import tokenizer_path
 from tarn.shared import written
 
 
-def _whole(docs: DataFrame, *columns: str) -> DataFrame:
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(F.col(f"`{c}`") for c in columns))
+def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str], list[str]]:
+    """The documents with columns c0, c1, ..., the plain name of each column, and all plain names."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names)), names
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    judged = quality.quality_rules(_whole(docs, "text", "lang", "source"), keep=["row"])
-    return judged.filter("quality.kept").select("row.*")
+    plain, of, names = _plain(docs)
+    judged = quality.quality_rules(plain, names, of["text"], of["lang"], of["source"])
+    return judged.filter("quality.kept").select(*names).toDF(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays, that of the least id."""
-    return neardup.near_duplicates(_whole(docs, "doc_id", "text"), keep=["row"]).filter("stays").select("row.*")
+    plain, of, names = _plain(docs)
+    return neardup.near_duplicates(plain, names, of["text"], of["doc_id"]).filter("stays").select(*names).toDF(*docs.columns)
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in passages of earlier documents go; a document that loses words is the rest, joined by
     one space, and goes if nothing is left. Others stay as they are."""
-    left = passages.remove_repeats(_whole(docs, "doc_id", "text"), keep=["row"])
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text"))
-    now = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)}
-    columns = (now.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns)
-    return left.filter("n_removed = 0 or n_removed < n_words").select(*columns)
+    plain, of, names = _plain(docs)
+    left = passages.remove_repeats(plain, names, of["text"], of["doc_id"]).filter("n_removed = 0 or n_removed < n_words")
+    now = {of["text"]: F.col("kept"), of["n_chars"]: F.length("kept").cast(docs.schema["n_chars"].dataType)}
+    return left.select(*(F.when(F.col("n_removed") > 0, now[c]).otherwise(F.col(c)).alias(c) if c in now else c for c in names)).toDF(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more lies in benchmark windows go."""
-    found = contamination.find_benchmark(_whole(docs, "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["row"])
-    return found.filter(~contamination.is_contaminated()).select("row.*")
+    plain, of, names = _plain(docs)
+    found = contamination.find_benchmark(plain, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), names, of["text"])
+    return found.filter(~contamination.is_contaminated()).select(*names).toDF(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
