@@ -18,13 +18,14 @@ from tarn.plans.settings import Settings
 from tarn.shared import written
 from tarn.sources.corpus import read_markdown
 from tarn.sources.pointers import Generations
-from tarn.sources.requests import Requests
+from tarn.sources.requests import Requests, request_hash
 
 DOCUMENTS = "id long, source_repo string, source_commit string, source_path string, language string, title string, content_hash string, created_at timestamp"
 CHUNKS = (
     "id long, document_id long, chunk_index int, chunker_version string, heading_path array<string>, content_raw string, retrieval_text string, char_count int, content_hash string,"
     " metadata map<string,string>, embedding_model string, embedding_dimensions int, embedding array<float>"
 )
+FORMAT_VERSION = 1
 METHODS = ("dense_exact", "dense_ann", "bm25", "rrf", "rrf_rerank")
 
 
@@ -58,15 +59,17 @@ class Engine:
             self._publish(self.spark.createDataFrame([], DOCUMENTS), self.spark.createDataFrame([], CHUNKS))
         return self.tables.current()
 
-    def _publish(self, documents: DataFrame, chunks: DataFrame) -> str:
+    def _publish(self, documents: DataFrame, chunks: DataFrame, after: str | None = None) -> str:
         name, path = self.tables.new()
         documents.write.parquet(f"{path}/documents")
         chunks.write.partitionBy("embedding_model").parquet(f"{path}/chunks")
-        self.tables.publish(name, {"format_version": 1})
+        self.tables.publish(name, {"format_version": FORMAT_VERSION}, after)
         self._lists = None
         return name
 
     def _table(self, table: str, schema: str) -> DataFrame:
+        if (found := self.tables.manifest(self.init()).get("format_version")) != FORMAT_VERSION:
+            raise ValueError(f"the tables have format {found}, not {FORMAT_VERSION}")
         return self.spark.read.schema(schema).parquet(f"{self.tables.path(self.init())}/{table}")
 
     @property
@@ -89,14 +92,12 @@ class Engine:
         """Take in a folder of Markdown files, or one, once for each key (by default the request's hash)."""
         s = self.settings
         payload = {"source": source, "repo": repo, "commit": commit, "language": language, "chunker": chunking.VERSION, "limits": asdict(s.limits), "model": s.embedding_model, "dimensions": s.embedding_dimensions}
-        from tarn.sources.requests import request_hash
-
         return self.requests.once(key or f"ingest-{request_hash(payload)}", payload, lambda: self.ingest_texts(read_markdown(self.spark, source, root), repo, commit, language))
 
     def ingest_texts(self, files: DataFrame, repo: str, commit: str, language: str) -> dict:
         """Take in a table (source_path, text). Chunks whose text, chunker and vector space are as before
         keep their vectors; others are embedded; those beyond a document's end go."""
-        began, s = time.monotonic(), self.settings
+        began, s, start = time.monotonic(), self.settings, self.init()
         parsed = markdown.parse_markdown(files.select("source_path", "text"))
         key = {"source_repo": F.lit(repo), "source_commit": F.lit(commit), "language": F.lit(language)}
         parsed = written(parsed.withColumns(key).select(*upsert.DOCUMENT_KEY, "language", "title", F.col("document_hash").alias("content_hash"), "blocks"), "parsed")
@@ -114,7 +115,7 @@ class Engine:
         merged = upsert.upsert(upsert.without_stale(before, sizes), changed, upsert.CHUNK_KEY, "id")
         counts = judged.agg(F.count("*").alias("chunks"), F.count_if("is_changed").alias("embedded")).first()
         stale = upsert.stale_chunks(before, sizes).count()
-        name = self._publish(documents, merged)
+        name = self._publish(documents, merged, after=start)
         return {"documents": parsed.count(), "chunks": counts["chunks"], "embedded": counts["embedded"], "skipped": counts["chunks"] - counts["embedded"], "deleted": stale, "generation": name, "seconds": time.monotonic() - began}
 
     def rebuild_bm25(self, key: str | None = None) -> dict:

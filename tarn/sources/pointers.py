@@ -65,6 +65,10 @@ class Files:
         return system.exists(at)
 
 
+class ConcurrentChange(RuntimeError):
+    """Another writer has published since this one began."""
+
+
 class Generations:
     """``root/generations/generation-<id>/`` with a manifest each, and ``root/CURRENT``."""
 
@@ -78,8 +82,12 @@ class Generations:
         name = f"generation-{uuid.uuid4().hex}"
         return name, self.path(name)
 
-    def publish(self, name: str, manifest: dict) -> None:
+    def publish(self, name: str, manifest: dict, after: str | None = None) -> None:
+        """Make a generation current. One that was built from another (``after``) can be the only one to
+        follow it: a second writer that began from the same one gets ConcurrentChange."""
         self.files.write(f"{self.path(name)}/manifest.json", json.dumps(manifest | {"generation": name}, sort_keys=True))
+        if after is not None and not self.files.create(f"{self.path(after)}/NEXT", name):
+            raise ConcurrentChange(f"{after} has a successor already")
         self.files.write(f"{self.root}/CURRENT", name)
 
     def current(self) -> str | None:

@@ -146,3 +146,18 @@ def test_settings_from_environment(monkeypatch):
     monkeypatch.setenv("TARN_ROOT", "/r")
     monkeypatch.setenv("TARN_DENSE_TOP_K", "7")
     assert (Settings.from_environment().root, Settings.from_environment(dense_top_k=9).dense_top_k, Settings.from_environment().dense_top_k) == ("/r", 9, 7)
+
+
+def test_only_one_writer_follows_a_generation(spark, tmp_path):
+    from tarn.sources.pointers import ConcurrentChange, Generations
+
+    store = Generations(spark, str(tmp_path))
+    first, second, third = (store.new()[0] for _ in range(3))
+    store.publish(first, {})
+    store.publish(second, {}, after=first)
+    with pytest.raises(ConcurrentChange):
+        store.publish(third, {}, after=first)
+    assert store.current() == second
+    store.files.write(f"{tmp_path}/CURRENT", "../x")
+    with pytest.raises(ValueError):
+        store.current()
