@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.shared import written
+
 DOCUMENT_KEY = ("source_repo", "source_commit", "source_path")
 CHUNK_KEY = ("document_id", "chunk_index")
 #: A chunk keeps its vector while all of these stay.
@@ -19,13 +21,14 @@ REUSE = ("content_hash", "chunker_version", "embedding_model", "embedding_dimens
 
 def with_new_ids(rows: DataFrame, key: Sequence[str], identity: str, first: int) -> DataFrame:
     """Number the rows from ``first`` on in order of their key. Ranges are numbered side by side: a
-    window inside each range, plus the counts of the ranges before it."""
-    ordered = rows.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    window inside each range, plus the counts of the ranges before it. The ranges are written, so that
+    numbers and counts see the same ones."""
+    ordered = written(rows.repartitionByRange(*key).withColumn("__part", F.spark_partition_id()), "ranges")
     counts = ordered.groupBy("__part").agg(F.count("*").alias("__n"))
     before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # a row a partition
     own = F.row_number().over(Window.partitionBy("__part").orderBy(*key))
     numbered = ordered.withColumn("__own", own).join(F.broadcast(before), "__part")
-    return numbered.withColumn(identity, (F.col("__before") + F.col("__own") - 1 + first).cast("long")).drop("__part", "__at", "__own", "__before")
+    return numbered.withColumn(identity, (F.col("__before") + F.col("__own") - 1 + first).cast("long")).drop("__part", "__own", "__before")
 
 
 def changed_chunks(new: DataFrame, current: DataFrame, key: Sequence[str] = CHUNK_KEY, reuse: Sequence[str] = REUSE) -> DataFrame:
