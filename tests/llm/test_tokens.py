@@ -12,7 +12,7 @@ from tarn.llm.tokens import Encoder, encode_texts, slices
 PATH = str(public_tokenizers.path("word_bpe_49k.json"))
 PLAIN = Tokenizer.from_file(PATH)
 ENCODER = Encoder(PATH)
-PIECES = ["word", "Word,", "it's", "don't.", "'s!", "a.b", "x1,", "7;", "é", "é,", "≠", " ", "　", "<|endoftext|>", "<|ENDOFTEXT|>", "a<|startoftext|>.", " ", "\n", "\t\r", "\x0b", "漢字", "🎉!", "İ", "...", "?", "Σ", "́", "\x00"]
+PIECES = ["word", "Word,", "it's", "don't.", "'s!", "a.b", "x1,", "7;", "é", "é,", "≠", " ", "　", "<|endoftext|>", "<|ENDOFTEXT|>", "a<|startoftext|>.", " ", "\n", "\t\r", "\x0b", "漢字", "🎉!", "İ", "...", "?", "Σ", "́", "\x00", "H\u0331", "T\u0308a", "CAPS,", "MiXed"]
 
 
 @settings(max_examples=400, deadline=None)
@@ -24,6 +24,12 @@ def test_equals_plain(texts):
     assert [ids[a:b].tolist() for a, b in zip(rows[:-1], rows[1:])] == want
 
 
+def test_many_new_parts_at_once():
+    encoder, texts = Encoder(PATH), [" ".join(f"{a}{b}{c}" for b in "xyzäİßﬁ") for a in ("word", "Ünder", "9", "a-") for c in map(chr, range(0x61, 0x300))]
+    ids, rows = encoder(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(rows[:-1], rows[1:])] == [x.ids for x in PLAIN.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_slices_cover_all_rows():
     texts = pa.array(["a" * 10, None, "", "b" * 100, "c"])
     got = list(slices(texts, 12))
