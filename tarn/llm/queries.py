@@ -58,9 +58,9 @@ def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ranked_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = tokens.encode_texts(_table(spark, sf_dir, "documents"), tokenizer_path(), ["doc_id"], end_id=2)
+    encoded = tokens.encode_texts(_table(spark, sf_dir, "documents"), tokenizer_path(), ["doc_id"], end_id=2, id_bytes=2)
     path = shared_path(spark, "idfiles")
-    idfiles.write_ids(written(encoded, "encoded"), path)
+    idfiles.write_ids(written(encoded, "encoded"), path, id_bytes=2)
     return idfiles.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
