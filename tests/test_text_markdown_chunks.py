@@ -150,7 +150,7 @@ def packed(texts, target, most, overlap):
             current += "\n\n" + text
         else:
             done.append((section, current))
-            seeded = current[len(current) - overlap :] + "\n\n" + text if overlap else text
+            seeded = current[-overlap:] + "\n\n" + text if overlap else text
             current = seeded if len(seeded) <= most else text
     return done + [(section, current)] * bool(current)
 
