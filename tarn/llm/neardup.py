@@ -11,9 +11,11 @@ Rows of equal words are one node. Nodes with an equal sketch are compared: all o
 most SMALL; in a larger one each with the group's most central node, the one that meets most others in
 all its groups, so a large group costs one comparison a member. Members of a large group that then
 still holds several classes are sketched anew and finer: FINE_SKETCHES of FINE_SAMPLED shingles, in
-which texts at J = 0.5 (say, far copies of one original) agree once in 1,000 and which fail together for
-J = 0.8 three times in 10,000. Groups of these are compared likewise, in large ones also with a second
-central node outside the class of the first.
+which texts at J = 0.5 (say, far copies of one original) agree once in 1,000. Groups of these are
+compared likewise, in large ones also with a second central node outside the class of the first. These
+two rounds only bring classes together cheaply; members of large groups that hold several classes even
+then are joined exactly: two near texts share one of the rarest shingles of each (a prefix filter), and
+every such pair of different classes is compared.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +41,10 @@ FINE_SAMPLED = 10
 FINE_SMALL = 4
 #: Similarity as a fraction: at least 4 of 5.
 NEAR = (4, 5)
+#: Counts of shingles are kept for so many hash buckets. They only order the shingles.
+BUCKETS = 1 << 20
+#: Members of a shingle that are compared in one task with all others of it.
+DEALT = 1_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = mix(np.arange(1, 2 * (SKETCHES + FINE_SKETCHES) + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)).reshape(2, -1)
 _MULTIPLY, _SHIFT = _SEEDS[0] | np.uint64(1), _SEEDS[1]
@@ -78,6 +85,12 @@ def order_sketches(h: np.ndarray, count: int = SKETCHES, sampled: int = SAMPLED,
     return out
 
 
+def prefix(n: int) -> int:
+    """How many first shingles of a text of n, in any order that all texts share, hold one of every near
+    text's: two near texts have at least NEAR of the longer one in common."""
+    return n - -(-NEAR[0] * n // NEAR[1]) + 1
+
+
 def aligned(a: np.ndarray, b: np.ndarray, most_gaps: int) -> int:
     """Length of the longest common subsequence of two sequences of hashes, within the band of places
     that differ by at most most_gaps; bit-parallel over the whole band."""
@@ -166,6 +179,36 @@ def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in held], pa.int32()), pa.array(each, pa.list_(pa.int64()))], ["node", "n", "sketches"])
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, shingles) to (bucket, n): how often shingles of each bucket occur."""
+    total = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        for x in batch.column("shingles"):
+            np.add.at(total, np.frombuffer(x.as_buffer(), "<u4") & np.uint32(BUCKETS - 1), 1)
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["bucket", "n"])
+
+
+def _rarest(counts: Broadcast):
+    """(node, class, shingles) to (key, node, class, n, place): the prefix of each, the rarest first."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(BUCKETS, np.int64)
+        seen[counts.value[0]] = counts.value[1]
+        for batch in batches:
+            held = [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column("shingles")]
+            first = [h[np.lexsort((h, seen[h & np.uint32(BUCKETS - 1)]))[: prefix(len(h))]] for h in held]
+            sizes = np.array([len(k) for k in first], np.int64)
+            row = np.repeat(np.arange(len(first)), sizes)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            key = np.concatenate([*first, np.zeros(0, np.uint32)]).astype(np.int64)
+            n = np.array([len(h) for h in held], np.int32)[row]
+            node, of = (batch.column(c).take(pa.array(row)) for c in ("node", "class"))
+            yield pa.RecordBatch.from_arrays([pa.array(key), node, of, pa.array(n), pa.array(place.astype(np.int32))], ["key", "node", "class", "n", "place"])
+
+    return work
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         left, right = batch.column("left"), batch.column("right")
@@ -207,6 +250,27 @@ def _propose(live: DataFrame, small: int, seconds: bool = False) -> DataFrame:
     return pairs.distinct()
 
 
+def _exact(content: DataFrame) -> DataFrame:
+    """All pairs (a, b) of nodes (node, class, shingles) of different classes that can be near: those that
+    share a shingle of both prefixes, with enough of each behind it.
+
+    A shingle's members outside its largest class meet all its members, and are dealt to tasks where
+    they are many, so a class that has come together costs no comparison within itself."""
+    spark = content.sparkSession
+    counted = content.select("node", "shingles").mapInArrow(_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = spark.sparkContext.broadcast((counted["bucket"].to_numpy(), counted["n"].to_numpy()))
+    rows = written(content.select("node", "class", "shingles").mapInArrow(_rarest(counts), "key long, node long, class long, n int, place int"), "rarest")
+    kinds = rows.groupBy("key", "class").agg(F.count("*").alias("size")).groupBy("key")
+    kinds = kinds.agg(F.max_by("class", F.struct("size", "class")).alias("top"), (F.sum("size") - F.max("size")).alias("others")).filter("others > 0")
+    live = rows.join(kinds.select("key", "top", F.expr(f"cast((others - 1) div {DEALT} as int)").alias("last")), "key")
+    others = live.filter("class != top").withColumn("part", F.expr("cast(pmod(xxhash64(node), last + 1) as int)"))
+    every = live.withColumn("part", F.explode(F.expr("sequence(0, last)")))
+    top, low = NEAR
+    enough = f"least(a.n - a.place, b.n - b.place) * {top + low} >= (a.n + b.n) * {top}"
+    pairs = others.alias("a").join(every.alias("b"), F.expr(f"a.key = b.key and a.part = b.part and a.class != b.class and (b.class = b.top or a.node < b.node) and {_NEAR_SIZE} and {enough}"))
+    return pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+
+
 def _linked(pairs: DataFrame, content: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes that are near, by their shingles (node, shingles)."""
     sides = (content.select(F.col("node").alias(n), F.col("shingles").alias(side)) for n, side in (("a", "left"), ("b", "right")))
@@ -269,12 +333,18 @@ def near_duplicates(documents: DataFrame, keep: Sequence[str], text: str = "text
     links = _linked(_propose(live, small), content)
     label = classes(links)
     # large groups that still hold several classes
-    opened = _live(_labelled(live.filter(F.col("size") > small), label)).select("node").distinct()
-    fine = content.join(opened, "node", "left_semi").mapInArrow(_fine, "node long, n int, sketches array<long>")
-    live = written(_live(_labelled(fine.select("node", "n", F.explode("sketches").alias("key")), label)), "fine")
+    large = live.filter(F.col("size") > small)
+    opened = _live(_labelled(large, label)).select("node").distinct()
+    fine = _labelled(content.join(opened, "node", "left_semi").mapInArrow(_fine, "node long, n int, sketches array<long>"), label)
+    live = written(_live(fine.select("node", "n", "class", F.explode("sketches").alias("key"))), "fine")
     if not live.isEmpty():
         links = links.unionByName(_linked(_propose(live, FINE_SMALL, seconds=True), content))
         label = classes(links)
+    # what the leaders leave apart
+    opened = written(_live(_labelled(large, label)).select("node", "class").distinct(), "open")
+    if not opened.isEmpty():
+        links = links.unionByName(_linked(_exact(content.join(opened, "node")), content))
+        label = classes(links)
     of_row = node_of.join(label, "node", "left").select("row", F.coalesce("class", "node").alias("class"))
     of_row = written(of_row, "classes")
     ranked = F.struct(F.col("order").isNull().alias("last"), "order", "row")
@@ -290,6 +360,7 @@ def _nodes(rows: DataFrame, first: DataFrame) -> DataFrame:
 
 
 def _labelled(members: DataFrame, label: DataFrame) -> DataFrame:
-    """Members (key, node, n) with their class of now."""
+    """Members (node and more) with their class of now."""
     now = label.withColumnRenamed("class", "now")
-    return members.select("key", "node", "n").join(now, "node", "left").select("key", "node", "n", F.coalesce("now", "node").alias("class"))
+    more = [c for c in members.columns if c not in ("class", "size")]
+    return members.select(*more).join(now, "node", "left").select(*more, F.coalesce("now", "node").alias("class"))

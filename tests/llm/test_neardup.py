@@ -101,6 +101,28 @@ def test_a_large_group_of_near_copies(spark):
     assert got == brute(rows)
 
 
+def versions(head, own, families):
+    """Two texts of each family: a head that all share, a word of the family, own words."""
+    start = " ".join(f"h{k}" for k in range(head))
+    return [(2 * i + j, f"{start} f{i}" + "".join(f" o{2 * i + j}x{k}" for k in range(own))) for i in range(families) for j in (0, 1)]
+
+
+@pytest.mark.parametrize("head, own, families", [(44, 5, 120)])
+def test_pairs_in_a_large_group_that_no_leader_connects(spark, head, own, families):
+    """40 of 46 shingles (8 of 10) in common with all, 41 (9) with one: every pair is a class."""
+    rows = versions(head, own, families)
+    got = {r["doc_id"]: r["class_id"] for r in classes_of(spark, rows).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
+def test_prefix_holds_a_shingle_of_every_near_text():
+    for n in range(1, 60):
+        for m in range(1, n + 1):
+            need = -(-4 * (n + m) // 9)
+            if need <= m:
+                assert neardup.prefix(n) > n - need and neardup.prefix(m) > m - need
+
+
 def test_edges(spark):
     long = " ".join(f"w{k % 5000}" for k in range(30_000))
     rows = [(5, None), (4, None), (3, ""), (2, ""), (9, " \n"), (8, "one two"), (7, "One, two!"), (6, "one three"), (None, "null id of a text"), (1, "null id of a text"), (11, long), (10, long + " tail"), (12, "!!!"), (13, "???")]
