@@ -107,7 +107,7 @@ def versions(head, own, families):
     return [(2 * i + j, f"{start} f{i}" + "".join(f" o{2 * i + j}x{k}" for k in range(own))) for i in range(families) for j in (0, 1)]
 
 
-@pytest.mark.parametrize("head, own, families", [(44, 5, 120)])
+@pytest.mark.parametrize("head, own, families", [(44, 5, 120), (12, 1, 250)])
 def test_pairs_in_a_large_group_that_no_leader_connects(spark, head, own, families):
     """40 of 46 shingles (8 of 10) in common with all, 41 (9) with one: every pair is a class."""
     rows = versions(head, own, families)
@@ -115,6 +115,15 @@ def test_pairs_in_a_large_group_that_no_leader_connects(spark, head, own, famili
     assert got == {i: i - i % 2 for i, _ in rows}
 
 
+def test_short_texts_always_share_a_key():
+    """4 and 5 shingles with 4 in common, and 10 and 10 with 9."""
+    rng = np.random.default_rng(3)
+    for a, b, both in [(4, 5, 4), (10, 10, 9), (30, 30, 27), (24, 30, 24)]:
+        for _ in range(2_000):
+            h = rng.integers(0, 2**63, a + b - both).astype(np.uint64)
+            assert np.isin(neardup.short_keys(h[:a]), neardup.short_keys(h[a - both :])).any()
+
+
 def test_prefix_holds_a_shingle_of_every_near_text():
     for n in range(1, 60):
         for m in range(1, n + 1):
