@@ -6,7 +6,8 @@ where they border on the text, empty lines. A line counts with its characters ou
 a sliding window of lines surges from nothing where a run of text begins and dives to nothing where it
 ends; the run with the most characters is the main text, and every line of it is kept. Lines inside
 ``article`` (else ``main``) weigh more, and its edges are empty lines, so that what surrounds it ends
-there.
+there. What was left out within the container of the heaviest run is no border, and articles beside its
+article are read with it.
 """
 
 from __future__ import annotations
@@ -43,6 +44,9 @@ BEGINNINGS = ("advert", "comment", "cookie", "sidebar", "footer", "navbar", "bre
 #: Only outside an article: there it can hold the title.
 OUTSIDE = frozenset({"header"})
 
+#: Blocks that are a part of a text, not its container.
+PARTS = frozenset("p section article main h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure table tbody tr td th".split())
+
 _TAG = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>", re.S)
 _NAMED = re.compile(r"(?:^|[\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
@@ -101,17 +105,38 @@ def _ends(tokens: list[tuple[str, str, str]]) -> list[int]:
     return ends
 
 
-def lines_of(html: str) -> list[tuple[str, int]]:
-    """(text, weight) of each line; borders are empty lines."""
-    tokens = _tokens(html)
-    ends = _ends(tokens)
+def _container(tokens: list[tuple[str, str, str]], ends: list[int], first: int, last: int) -> tuple[int, int]:
+    """Opening and closing token of the nearest container of tokens first..last; (-1, all) for the page."""
+    for k in range(first - 1, -1, -1):
+        kind, name, _ = tokens[k]
+        if kind == "open" and ends[k] > last and name not in INLINE and name not in PARTS:
+            return k, ends[k]
+    return -1, len(tokens)
+
+
+def _around(tokens: list[tuple[str, str, str]], ends: list[int]) -> list[int]:
+    """The opening token of each token's nearest container, -1 for the page."""
+    out, opened = [], [-1]
+    for k, (kind, name, _) in enumerate(tokens):
+        while opened[-1] >= 0 and ends[opened[-1]] <= k:
+            opened.pop()
+        out.append(opened[-1])
+        if kind == "open" and ends[k] > k and name not in INLINE and name not in PARTS:
+            opened.append(k)
+    return out
+
+
+def lines_of(tokens: list[tuple[str, str, str]], ends: list[int], within: tuple[int, int] = (0, 0)) -> list[tuple[str, int, int, int]]:
+    """(text, weight, token that ends it, article's token or -1) of each line; borders are empty lines,
+    except those of elements between the tokens ``within``."""
     holders = [k for k, (kind, name, more) in enumerate(tokens) if kind == "open" and name in ("article", "main") and not (name == "article" and _beside(name, more, True))]
     main = "article" if any(tokens[k][1] == "article" for k in holders) else "main"
     holders = [k for k in holders if tokens[k][1] == main]
-    lines: list[tuple[str, int]] = []
+    lines: list[tuple[str, int, int, int]] = []
     words: list[str] = []
     linked = in_link = depth = k = 0
-    edge = [("", 0)] * WINDOW
+    holder = -1
+    edge = [("", 0, -1, -1)] * WINDOW
 
     def close_line() -> None:
         nonlocal linked
@@ -119,7 +144,7 @@ def lines_of(html: str) -> list[tuple[str, int]]:
         if text:
             own = max(0, len(text) - linked)
             weight = 0 if not depth and linked > LINK_SHARE * len(text) else max(1, own)
-            lines.append((text, weight * (ARTICLE_WEIGHT if depth else 1)))
+            lines.append((text, weight * (ARTICLE_WEIGHT if depth else 1), k, holder if depth else -1))
         words.clear()
         linked = 0
 
@@ -134,7 +159,9 @@ def lines_of(html: str) -> list[tuple[str, int]]:
         elif name in (main,) and holders:
             close_line()
             if kind == "open" and k in holders:
-                lines += [] if depth else edge
+                if not depth:
+                    lines += edge
+                    holder = k
                 depth += 1
             elif kind == "open" and ends[k] > 0:
                 k = ends[k]
@@ -144,7 +171,7 @@ def lines_of(html: str) -> list[tuple[str, int]]:
         elif kind == "open" and name not in ("html", "body") and ends[k] > 0 and (name in NO_TEXT or _beside(name, more, depth > 0) and not any(k < h < ends[k] for h in holders)):
             if name not in INLINE:
                 close_line()
-            if name in BORDERS and not depth:
+            if name in BORDERS and not depth and not within[0] < k < within[1]:
                 lines += edge
             k = ends[k]
         elif name == "br":
@@ -156,18 +183,31 @@ def lines_of(html: str) -> list[tuple[str, int]]:
     return lines
 
 
-def main_text(html: str | None) -> str:
-    """Lines of the heaviest run, joined by one space."""
-    lines = lines_of(html or "")
+def _heaviest(lines: list[tuple[str, int, int, int]]) -> list[tuple[str, int, int, int]]:
     best, top, begin, heavy = (0, 0), 0, 0, 0
-    for i, (_, weight) in enumerate(lines):
-        if not any(w for _, w in lines[max(0, i - WINDOW + 1) : i + 1]):  # dive: nothing in the last lines
+    for i, (_, weight, _, _) in enumerate(lines):
+        if not any(line[1] for line in lines[max(0, i - WINDOW + 1) : i + 1]):  # dive: nothing in the last lines
             begin, heavy = i + 1, 0
             continue
         heavy += weight
         if heavy > top:  # up to here: a run ends with its last line that counts
             best, top = (begin, i + 1), heavy
-    return " ".join(text for text, _ in lines[best[0] : best[1]] if text)
+    return [line for line in lines[best[0] : best[1]] if line[0]]
+
+
+def main_text(html: str | None) -> str:
+    """Lines of the heaviest run and of those that share its container, joined by one space."""
+    tokens = _tokens(html or "")
+    ends = _ends(tokens)
+    lines = lines_of(tokens, ends)
+    run = _heaviest(lines)
+    if run and run[0][3] >= 0:
+        around = _around(tokens, ends)
+        near = {line[3] for line in lines if line[3] >= 0 and around[line[3]] == around[run[0][3]]}
+        run = [line for line in lines if line[3] in near]
+    elif run:
+        run = _heaviest(lines_of(tokens, ends, _container(tokens, ends, run[0][2] - 1, run[-1][2] - 1)))
+    return " ".join(line[0] for line in run)
 
 
 def extract(html: Column) -> Column:

@@ -38,6 +38,16 @@ def test_pages(source, text):
     assert main_text(source) == text
 
 
+@pytest.mark.parametrize("source, text", [
+    ("<div><p>part one</p><aside>Related</aside><p>part two</p></div>", "part one part two"),
+    (page("<div><section><header>h</header><p>part one</p></section><section><header>h</header><p>part two</p></section></div>"), "part one part two"),
+    (page("<div><article><p>part one</p></article><article><p>part two</p></article></div>"), "part one part two"),
+    (page("<div><p>part one</p><nav>Pages</nav><p>part two</p></div>", before="<div><p>Site</p></div><nav>Menu</nav>"), "part one part two"),
+])
+def test_parts_of_one_container_stay_together(source, text):
+    assert main_text(source) == text
+
+
 def test_generated_pages_equal_their_articles():
     pages = pd.read_parquet("/root/testdata/sf0.001/pages.parquet") if Path("/root/testdata").exists() else pd.DataFrame({"html": []})
     for source in pages.html:
