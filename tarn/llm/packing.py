@@ -48,18 +48,51 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-#: Effort of the local search. Bins with more pieces than PAIRED are not searched for pairs, as their
-#: short pieces find places by moves; a giver turns to so many of the fullest bins with room.
-PAIRED = 40
-TAKERS = 200
-
-
 class _Bin:
-    __slots__ = ("items", "free")
+    __slots__ = ("items", "free", "tried", "sums", "takes")
 
     def __init__(self, items: list[tuple[int, int]], capacity: int):
         self.items = sorted(items)  # (length, piece)
         self.free = capacity - sum(n for n, _ in items)
+        self.changed()
+
+    def changed(self) -> None:
+        self.tried = -1  # so many changes of others were tried
+        self.sums = self.takes = None
+
+    def twice(self) -> list[tuple[int, int]]:
+        """At most two items of each length: all that pairs can tell apart."""
+        return [x for i, x in enumerate(self.items) if i < 2 or self.items[i - 2][0] < x[0]]
+
+    def gives(self) -> tuple[int, int]:
+        """Bit sets of the lengths of single items and of pairs."""
+        if self.sums is None:
+            one = two = 0
+            for n, _ in self.twice():
+                two |= one << n
+                one |= 1 << n
+            self.sums = one, two
+        return self.sums
+
+    def accepts(self) -> tuple[int, int]:
+        """Bit sets of the lengths that fill it further in place of nothing or one item, and of a pair."""
+        if self.takes is None:
+            spread = []
+            for bits in (self.gives()[0], self.gives()[1], 1):
+                done, out = 1, bits << 1  # longer by 1 .. free
+                while done < self.free:
+                    step = min(done, self.free - done)
+                    out |= out << step
+                    done += step
+                spread.append(out)
+            self.takes = spread[0] | spread[2], spread[1]
+        return self.takes
+
+    def can_give(self, taker: _Bin) -> bool:
+        """Whether there is an exchange that fills the taker further."""
+        one, two = self.gives()
+        single, pair = taker.accepts()
+        return bool(one & (single | pair) or two & single)
 
     def take(self, item: tuple[int, int]) -> None:
         self.items.pop(bisect_left(self.items, item))
@@ -88,15 +121,16 @@ def _exchange(giver: _Bin, taker: _Bin) -> bool:
         other = taker.least(item[0] - taker.free)
         if other and gain < item[0] - other[0] <= taker.free:
             best, gain = ([item], [other]), item[0] - other[0]
-    if gain < taker.free and max(len(giver.items), len(taker.items)) <= PAIRED:
-        for x, one in enumerate(giver.items):  # two for one
-            for two in giver.items[x + 1 :]:
+    if gain < taker.free:
+        given, taken = giver.twice(), taker.twice()
+        for x, one in enumerate(given):  # two for one
+            for two in given[x + 1 :]:
                 both = one[0] + two[0]
                 other = taker.least(both - taker.free)
                 if other and gain < both - other[0] <= taker.free:
                     best, gain = ([one, two], [other]), both - other[0]
-        for x, one in enumerate(taker.items):  # one for two
-            for two in taker.items[x + 1 :]:
+        for x, one in enumerate(taken):  # one for two
+            for two in taken[x + 1 :]:
                 both = one[0] + two[0]
                 at = bisect_left(giver.items, (both + taker.free + 1, -1)) - 1
                 if at >= 0 and gain < giver.items[at][0] - both:
@@ -116,24 +150,27 @@ def _exchange(giver: _Bin, taker: _Bin) -> bool:
 def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Local search until no exchange is left or no fewer bins can hold the total.
 
-    The emptiest bin gives to the others, the fullest first. Every exchange raises the sum of squared
-    fills, a whole number with an upper bound, so it ends."""
+    The emptiest bin gives to the others, the fullest first; a pair of bins that could exchange nothing
+    meets again when one of them has changed. Every exchange raises the sum of squared fills, a whole
+    number with an upper bound, so it ends."""
     least = -(-int(sum(lengths[k] for b in bins for k in b)) // capacity)
     all_bins = [_Bin([(int(lengths[k]), k) for k in b], capacity) for b in bins]
-    used, stuck = len(all_bins), set()
-    while used > least:
+    used, log, moved = len(all_bins), [], True
+    while used > least and moved:
         under = sorted((b for b in all_bins if b.items and b.free), key=lambda b: b.free)
-        giver = next((b for b in reversed(under) if id(b) not in stuck), None)
-        if giver is None:
-            break
         moved = False
-        for taker in under[:TAKERS]:
-            while taker is not giver and giver.items and taker.free and giver.free >= taker.free and _exchange(giver, taker):
-                moved = True
-        used -= not giver.items
-        stuck = stuck if not moved else set()
-        if not moved:
-            stuck.add(id(giver))
+        for giver in reversed(under):
+            takers = under if giver.tried < 0 else sorted({id(b): b for b in log[giver.tried :] if b.items}.values(), key=lambda b: b.free)
+            for taker in takers:
+                while taker is not giver and giver.items and taker.free and giver.free >= taker.free and giver.can_give(taker) and _exchange(giver, taker):
+                    giver.changed()
+                    taker.changed()
+                    log += [giver, taker]
+                    moved = True
+            if moved:
+                break
+            giver.tried = len(log)
+        used -= moved and not giver.items
     return [[k for _, k in b.items] for b in all_bins if b.items]
 
 

@@ -50,6 +50,13 @@ def test_exchanges_raise_squared_fill(bins, lengths):
     assert squares(better) >= squares(bins)
 
 
+def test_takers_beyond_the_fullest():
+    """250 bins that can take nothing come before the one that can."""
+    bins = [[k] for k in range(250)] + [[250], [251], [253]]
+    lengths = np.array([96] * 250 + [50, 44, 6, 40])
+    assert len(improve(bins, lengths, 100)) == 252
+
+
 def packed(frame, **more):
     return pack(frame, ["id"], **more).collect()
 
