@@ -9,24 +9,27 @@ about J ** SAMPLED (less in short texts, as shingles are drawn without replaceme
 SHORT shingles are also keyed by their PREFIX, of which two near ones always share one; a longer pair
 at J = 0.8 fails in all SKETCHES 3 to 5 times in 100,000.
 
-Rows of equal words are one node. Nodes with an equal sketch are compared: all of them in a group of at
-most SMALL; in a larger one each with the group's most central node, the one that meets most others in
-all its groups, so a large group costs one comparison a member. Members of a large group that then
-still holds several classes are sketched anew and finer: FINE_SKETCHES of FINE_SAMPLED shingles, in
-which texts at J = 0.5 (say, far copies of one original) agree once in 1,000. Groups of these are
-compared likewise, in large ones also with a second central node outside the class of the first. These
-two rounds only bring classes together cheaply; members of large groups that hold several classes even
-then are joined exactly: two near texts share one of the rarest shingles of each (a prefix filter), and
-every such pair of different classes is compared.
+Rows of equal words (equal 128-bit BLAKE2 digests of them) are one node. All nodes that share a key are
+compared, unless they are known to be of one class:
+
+1. in a group of at most SMALL nodes, all pairs; in a larger one each with the group's most central
+   node, the one that meets most others in all its groups. A large group of copies comes together here
+   at the cost of one comparison a member;
+2. in the large groups that still hold several classes, every member outside the largest class with
+   every member of another class. Both sides are dealt to tasks by their size, so neither a group nor
+   a class has to fit anywhere, and no pair is ever a row: a task finds those that share a shingle of
+   both prefixes (the rarest ones, of which two near texts share one), counts what they share and
+   aligns what can be near. A pair that shares several keys is compared in the first one only.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,22 +41,20 @@ SHINGLE = 5
 SKETCHES = 20
 SAMPLED = 4
 SMALL = 16
-FINE_SKETCHES = 72
-FINE_SAMPLED = 10
-FINE_SMALL = 4
 #: Similarity as a fraction: at least 4 of 5.
 NEAR = (4, 5)
 #: Texts of at most so many shingles need no luck: no text of up to 24 is near one of over 30.
 SHORT = 30
-#: Counts of shingles are kept for so many hash buckets. They only order the shingles.
-BUCKETS = 1 << 20
-#: Members of a shingle that are compared in one task with all others of it.
-DEALT = 1_000
+#: Shingles of the members outside the largest class, and of all members, that meet in one task.
+OTHERS_DEALT = 500_000
+MEMBERS_DEALT = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_SEEDS = mix(np.arange(1, 2 * (SKETCHES + FINE_SKETCHES) + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)).reshape(2, -1)
+_SEEDS = mix(np.arange(1, 2 * SKETCHES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)).reshape(2, -1)
 _MULTIPLY, _SHIFT = _SEEDS[0] | np.uint64(1), _SEEDS[1]
 #: Hash values that are held at once for one text.
 HELD = 4_000_000
+#: Capitals to small letters, all that is no word to spaces.
+_NORMAL = bytes(int(FOLD[b]) if ALNUM[FOLD[b]] else 0x20 for b in range(256))
 
 
 def shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -72,13 +73,12 @@ def shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return h & ~np.uint64(1), np.searchsorted(row, np.arange(len(words.rows)))
 
 
-def order_sketches(h: np.ndarray, count: int = SKETCHES, sampled: int = SAMPLED, seed: int = 0) -> np.ndarray:
-    """``count`` sketches of one text with at least one shingle, each of ``sampled`` shingles, by the
-    hash functions from number ``seed`` on."""
-    n, k = len(h), min(sampled, len(h))
-    out, step = np.zeros(count, np.uint64), max(1, HELD // n)
-    for s in range(0, count, step):
-        own = slice(seed + s, seed + min(s + step, count))
+def order_sketches(h: np.ndarray) -> np.ndarray:
+    """The sketches of one text with at least one shingle."""
+    n, k = len(h), min(SAMPLED, len(h))
+    out, step = np.zeros(SKETCHES, np.uint64), max(1, HELD // n)
+    for s in range(0, SKETCHES, step):
+        own = slice(s, min(s + step, SKETCHES))
         hashed = (h[None, :] ^ _SHIFT[own, None]) * _MULTIPLY[own, None]
         least = np.argpartition(hashed, k - 1, axis=1)[:, :k] if k < n else np.tile(np.arange(n), (len(hashed), 1))
         least.sort(axis=1)  # text order
@@ -89,8 +89,8 @@ def order_sketches(h: np.ndarray, count: int = SKETCHES, sampled: int = SAMPLED,
     return out
 
 
-def prefix(n: int) -> int:
-    """How many first shingles of a text of n, in any order that all texts share, hold one of every near
+def prefix(n):
+    """How many first shingles of a text of n (or of each of an array), in any order that all texts share, hold one of every near
     text's: two near texts have at least NEAR of the longer one in common."""
     return n - -(-NEAR[0] * n // NEAR[1]) + 1
 
@@ -102,7 +102,8 @@ def short_keys(h: np.ndarray) -> np.ndarray:
 
 def aligned(a: np.ndarray, b: np.ndarray, most_gaps: int) -> int:
     """Length of the longest common subsequence of two sequences of hashes, within the band of places
-    that differ by at most most_gaps; bit-parallel over the whole band."""
+    that differ by at most most_gaps: the longest increasing run of the places that match. Labelled
+    shingles differ within a text, so it takes n log n steps."""
     short = min(len(a), len(b))
     differ = np.flatnonzero(a[:short] != b[:short])
     ahead = int(differ[0]) if len(differ) else short
@@ -111,20 +112,20 @@ def aligned(a: np.ndarray, b: np.ndarray, most_gaps: int) -> int:
     differ = np.flatnonzero(a[::-1][:short] != b[::-1][:short])
     behind = int(differ[0]) if len(differ) else short
     a, b = a[: len(a) - behind], b[: len(b) - behind]
-    common = np.isin(b, a)
-    if not common.any():
-        return ahead + behind
-    places: dict[int, int] = {}
-    for i in np.flatnonzero(np.isin(a, b)).tolist():
-        places[int(a[i])] = places.get(int(a[i]), 0) | 1 << i
-    all_ones, band = (1 << len(a)) - 1, (1 << (2 * most_gaps + 1)) - 1
-    row = all_ones
-    for j in np.flatnonzero(common).tolist():
-        match = places[int(b[j])] & (band << (j - most_gaps) if j >= most_gaps else band >> (most_gaps - j))
-        if match:
-            hit = row & match
-            row = ((row + hit) | (row - hit)) & all_ones
-    return ahead + behind + len(a) - row.bit_count()
+    order = np.argsort(a, kind="stable")
+    low, high = np.searchsorted(a[order], b), np.searchsorted(a[order], b, "right")
+    times = high - low
+    j = np.repeat(np.arange(len(b)), times)
+    # of equal shingles the last comes first, so that no two of them follow each other in a run
+    i = order[np.repeat(high, times) - 1 - (np.arange(len(j)) - np.repeat(np.cumsum(times) - times, times))]
+    i = i[np.abs(i - j) <= most_gaps]
+    if (i[1:] > i[:-1]).all():
+        return ahead + behind + len(i)
+    ends: list[int] = []  # the least place that ends a run of each length
+    for x in i.tolist():
+        at = bisect_left(ends, x)
+        ends[at : at + 1] = [x]
+    return ahead + behind + len(ends)
 
 
 def is_near(a: np.ndarray, b: np.ndarray) -> bool:
@@ -145,84 +146,113 @@ def is_near(a: np.ndarray, b: np.ndarray) -> bool:
 _SKETCH = "n int, fa long, fb long, sketches array<long>"
 
 
+def _print(text: bytes) -> bytes:
+    """Digest of the words of a text, or of the bytes of one without words."""
+    words = text.translate(_NORMAL).split()
+    return blake2b(b" ".join(words) if words else text, digest_size=16, person=b"words" if words else b"bytes").digest()
+
+
 def _sketch(columns: int, text_at: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            empty = batch.column(text_at).is_null().to_numpy(zero_copy_only=False)
+            empty = batch.column(text_at).is_null()
             for i, j, data, offsets in runs(batch.column(text_at)):
-                words = split(data, offsets, ALNUM, FOLD)
-                raw = split(data, offsets, np.ones(256, bool))  # a text without words is known by its bytes
-                h, rows = shingles(words)
-                n, print_a, print_b, sketches = [], [], [], []
-                for r in range(j - i):
-                    w = words.hash[words.rows[r] : words.rows[r + 1]]
-                    kind, w = (1, w) if len(w) else (2, raw.hash[raw.rows[r] : raw.rows[r + 1]])
-                    place = np.arange(1, len(w) + 1, dtype=np.uint64) * _ODD + np.uint64(kind)
-                    a, b = int(mix(w ^ place).sum()), int((mix(w + place * _ODD) * _ODD).sum())
-                    own = h[rows[r] : rows[r + 1]]
-                    missing = empty[i + r]
-                    n.append(len(own))
-                    print_a.append(None if missing else np.uint64(a).astype(np.int64))
-                    print_b.append(None if missing else np.uint64(b).astype(np.int64))
-                    sketches.append(np.concatenate([order_sketches(own), short_keys(own)]).astype(np.int64) if len(own) else np.zeros(0, np.int64))
+                h, rows = shingles(split(data, offsets, ALNUM, FOLD))
+                raw, ends = data.tobytes(), offsets.tolist()
+                prints = np.frombuffer(b"".join(_print(raw[x:y]) for x, y in zip(ends[:-1], ends[1:])), "<i8").reshape(-1, 2)
+                missing = empty.slice(i, j - i).to_numpy(zero_copy_only=False)
+                each = [h[x:y] for x, y in zip(rows[:-1], rows[1:])]
+                sketches = [np.concatenate([order_sketches(own), short_keys(own)]).astype(np.int64) if len(own) else np.zeros(0, np.int64) for own in each]
                 cut = batch.slice(i, j - i)
-                arrays = [*cut.columns, pa.array(n, pa.int32()), pa.array(print_a, pa.int64()), pa.array(print_b, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))]
+                arrays = [*cut.columns, pa.array(np.diff(rows), pa.int32()), *(pa.array(prints[:, k], pa.int64(), mask=missing) for k in range(2)), pa.array(sketches, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(arrays, [*(f"k{c}" for c in range(columns)), "n", "fa", "fb", "sketches"])
 
     return work
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, text) to (node, labelled shingle hashes)."""
-    for batch in batches:
-        for i, j, data, offsets in runs(batch.column(1)):
-            h, rows = shingles(split(data, offsets, ALNUM, FOLD))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([h[a:b].astype("<u4").tobytes() for a, b in zip(rows[:-1], rows[1:])], pa.binary())], ["node", "shingles"])
-
-
-def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, shingles) to (node, n, fine sketches)."""
-    for batch in batches:
-        held = [mix(np.frombuffer(x.as_buffer(), "<u4") * _ODD) for x in batch.column(1)]
-        each = [order_sketches(h, FINE_SKETCHES, FINE_SAMPLED, SKETCHES).astype(np.int64) for h in held]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in held], pa.int32()), pa.array(each, pa.list_(pa.int64()))], ["node", "n", "sketches"])
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, shingles) to (bucket, n): how often shingles of each bucket occur."""
-    total = np.zeros(BUCKETS, np.int64)
-    for batch in batches:
-        for x in batch.column("shingles"):
-            np.add.at(total, np.frombuffer(x.as_buffer(), "<u4") & np.uint32(BUCKETS - 1), 1)
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["bucket", "n"])
-
-
-def _rarest(counts: Broadcast):
-    """(node, class, shingles) to (key, node, class, n, place): the prefix of each, the rarest first."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(BUCKETS, np.int64)
-        seen[counts.value[0]] = counts.value[1]
-        for batch in batches:
-            held = [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column("shingles")]
-            first = [h[np.lexsort((h, seen[h & np.uint32(BUCKETS - 1)]))[: prefix(len(h))]] for h in held]
-            sizes = np.array([len(k) for k in first], np.int64)
-            row = np.repeat(np.arange(len(first)), sizes)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            key = np.concatenate([*first, np.zeros(0, np.uint32)]).astype(np.int64)
-            n = np.array([len(h) for h in held], np.int32)[row]
-            node, of = (batch.column(c).take(pa.array(row)) for c in ("node", "class"))
-            yield pa.RecordBatch.from_arrays([pa.array(key), node, of, pa.array(n), pa.array(place.astype(np.int32))], ["key", "node", "class", "n", "place"])
-
-    return work
+def _each(texts: pa.Array) -> list[np.ndarray]:
+    """The labelled shingles of every text."""
+    out = []
+    for _, _, data, offsets in runs(texts):
+        h, rows = shingles(split(data, offsets, ALNUM, FOLD))
+        out += [h[x:y] for x, y in zip(rows[:-1], rows[1:])]
+    return out
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, left, right) of nodes and their texts to the pairs (a, b) that are near."""
     for batch in batches:
-        left, right = batch.column("left"), batch.column("right")
-        near = [is_near(np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")) for x, y in zip(left, right)]
-        yield pa.RecordBatch.from_arrays([c.filter(pa.array(near, pa.bool_())) for c in (batch.column("a"), batch.column("b"))], ["a", "b"])
+        node = np.concatenate([batch.column("a").to_numpy(), batch.column("b").to_numpy()])
+        _, first, at = np.unique(node, return_index=True, return_inverse=True)
+        n, held = len(batch), _each(pa.concat_arrays([batch.column("left"), batch.column("right")]).take(pa.array(first)))
+        near = [is_near(held[i], held[j]) for i, j in zip(at[:n].tolist(), at[n:].tolist())]
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near, pa.bool_())) for c in ("a", "b")], ["a", "b"])
+
+
+class _Postings:
+    """Which rows hold each token."""
+
+    def __init__(self, token: np.ndarray, row: np.ndarray, tokens: int):
+        order = np.argsort(token, kind="stable")
+        self.row = row[order]
+        self.start = np.searchsorted(token[order], np.arange(tokens + 1))
+
+    def of(self, tokens: np.ndarray) -> np.ndarray:
+        """Rows that hold any of the tokens, as often as they do."""
+        low, n = self.start[tokens], self.start[tokens + 1] - self.start[tokens]
+        return self.row[np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)]
+
+
+def _compare(table: pa.Table) -> pa.Table:
+    """One cell of a large group: rows that are ``other`` with rows that are ``member`` of another class,
+    each linked once to each class it is near to."""
+    node, of, outside = (table.column(c).to_numpy() for c in ("node", "class", "outside"))
+    held = [h for chunk in table.column("text").chunks for h in _each(chunk)]
+    n = np.array([len(h) for h in held], np.int64)
+    row = np.repeat(np.arange(len(held)), n)
+    known, token = np.unique(np.concatenate(held), return_inverse=True)
+    rarity = np.empty(len(known), np.int64)
+    rarity[np.argsort(np.bincount(token), kind="stable")] = np.arange(len(known))
+    token = rarity[token]  # numbered from the rarest on
+    order = np.lexsort((token, row))
+    token = token[order]
+    start = np.cumsum(n) - n
+    is_member = np.flatnonzero(table.column("member").to_numpy())
+    first = np.arange(len(token)) - start[row] < prefix(n)[row]
+    inside = np.zeros(len(held), bool)
+    inside[is_member] = True
+    early = _Postings(token[inside[row] & first], row[inside[row] & first], len(known))
+    whole_texts = _Postings(token[inside[row]], row[inside[row]], len(known))
+    sketches = np.array([x[:SKETCHES] for x in table.column("sketches").to_pylist()], np.int64)
+    key = table.column("key")[0].as_py()
+    earlier = np.flatnonzero((sketches == key).all(axis=0))
+    sketches = sketches[:, : earlier[0] if len(earlier) else SKETCHES]
+    up = {int(x): int(x) for x in of}
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    top, low = NEAR
+    a, b = [], []
+    for i in np.flatnonzero(table.column("other").to_numpy()).tolist():
+        own = token[start[i] : start[i] + n[i]]
+        met = np.unique(early.of(own[: prefix(int(n[i]))]))
+        met = met[(of[met] != of[i]) & (np.minimum(n[met], n[i]) * low >= np.maximum(n[met], n[i]) * top) & (~outside[met] | (node[met] > node[i]))]
+        if not len(met):
+            continue
+        shared = np.bincount(whole_texts.of(own), minlength=len(held))[met]
+        met = met[shared * (low + top) >= top * (n[met] + n[i])]
+        met = met[~(sketches[met] == sketches[i]).any(axis=1)]
+        for j in met.tolist():
+            x, y = root(int(of[i])), root(int(of[j]))
+            if x != y and is_near(held[i], held[j]):
+                up[max(x, y)] = min(x, y)
+                a.append(min(node[i], node[j]))
+                b.append(max(node[i], node[j]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 _NEAR_SIZE = f"least(a.n, b.n) * {NEAR[1]} >= greatest(a.n, b.n) * {NEAR[0]}"
@@ -245,44 +275,32 @@ def _with(live: DataFrame, leaders: DataFrame) -> DataFrame:
     return pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
 
 
-def _propose(live: DataFrame, small: int, seconds: bool = False) -> DataFrame:
+def _propose(live: DataFrame, small: int) -> DataFrame:
     """Pairs (a, b) of live members to compare: all in groups of at most ``small``, else each member with
-    the group's most central node, and with ``seconds`` with the most central one of another class."""
+    the group's most central node."""
     few, many = live.filter(F.col("size") <= small), live.filter(F.col("size") > small)
     central = many.join(many.groupBy("node").agg(F.sum("size").alias("met")), "node")
-    best = F.max(F.struct("met", "node", "n", "class")).alias("b")
-    leaders = central.groupBy("key").agg(best)
-    pairs = _all_pairs(few).unionByName(_with(many, leaders))
-    if seconds:
-        others = central.join(leaders.select("key", F.col("b.class").alias("first")), "key").filter("class != first")
-        pairs = pairs.unionByName(_with(many, others.groupBy("key").agg(best)))
-    return pairs.distinct()
-
-
-def _exact(content: DataFrame) -> DataFrame:
-    """All pairs (a, b) of nodes (node, class, shingles) of different classes that can be near: those that
-    share a shingle of both prefixes, with enough of each behind it.
-
-    A shingle's members outside its largest class meet all its members, and are dealt to tasks where
-    they are many, so a class that has come together costs no comparison within itself."""
-    spark = content.sparkSession
-    counted = content.select("node", "shingles").mapInArrow(_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = spark.sparkContext.broadcast((counted["bucket"].to_numpy(), counted["n"].to_numpy()))
-    rows = written(content.select("node", "class", "shingles").mapInArrow(_rarest(counts), "key long, node long, class long, n int, place int"), "rarest")
-    kinds = rows.groupBy("key", "class").agg(F.count("*").alias("size")).groupBy("key")
-    kinds = kinds.agg(F.max_by("class", F.struct("size", "class")).alias("top"), (F.sum("size") - F.max("size")).alias("others")).filter("others > 0")
-    live = rows.join(kinds.select("key", "top", F.expr(f"cast((others - 1) div {DEALT} as int)").alias("last")), "key")
-    others = live.filter("class != top").withColumn("part", F.expr("cast(pmod(xxhash64(node), last + 1) as int)"))
-    every = live.withColumn("part", F.explode(F.expr("sequence(0, last)")))
-    top, low = NEAR
-    enough = f"least(a.n - a.place, b.n - b.place) * {top + low} >= (a.n + b.n) * {top}"
-    pairs = others.alias("a").join(every.alias("b"), F.expr(f"a.key = b.key and a.part = b.part and a.class != b.class and (b.class = b.top or a.node < b.node) and {_NEAR_SIZE} and {enough}"))
-    return pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+    leaders = central.groupBy("key").agg(F.max(F.struct("met", "node", "n", "class")).alias("b"))
+    return _all_pairs(few).unionByName(_with(many, leaders)).distinct()
+
+
+def _cells(members: DataFrame, others: int, all_members: int) -> DataFrame:
+    """Members (key, node, n, class) of large groups that hold several classes, dealt to cells (key, o, m)
+    in which every member outside the group's largest class meets every member, in some cell.
+
+    ``others`` and ``all_members`` bound the shingles of either side of a cell, about."""
+    by_class = members.groupBy("key", "class").agg(F.struct(F.count("*").alias("rows"), F.sum("n").alias("n"), "class").alias("size"))
+    kinds = by_class.groupBy("key").agg(F.max("size").alias("top"), F.sum("size.n").alias("all"), F.count("*").alias("classes")).filter("classes > 1")
+    kinds = kinds.select("key", F.col("top.class").alias("top"), F.expr(f"cast((all - top.n) div {others} as int)").alias("last_o"), F.expr(f"cast(all div {all_members} as int)").alias("last_m"))
+    placed = members.join(kinds, "key").withColumns({"outside": F.expr("class != top"), "at_o": F.expr("cast(pmod(xxhash64(node), last_o + 1) as int)"), "at_m": F.expr("cast(pmod(xxhash64(node, 1), last_m + 1) as int)")})
+    met = "array_union(if(outside, transform(sequence(0, last_m), i -> struct(at_o as o, i as m)), array()), transform(sequence(0, last_o), i -> struct(i as o, at_m as m)))"
+    cells = placed.withColumn("cell", F.explode(F.expr(met)))
+    return cells.select("key", "cell.o", "cell.m", "node", "class", "outside", F.expr("outside and cell.o = at_o").alias("other"), F.expr("cell.m = at_m").alias("member"))
 
 
 def _linked(pairs: DataFrame, content: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that are near, by their shingles (node, shingles)."""
-    sides = (content.select(F.col("node").alias(n), F.col("shingles").alias(side)) for n, side in (("a", "left"), ("b", "right")))
+    """The pairs (a, b) of nodes that are near, by their texts (node, text)."""
+    sides = (content.select(F.col("node").alias(n), F.col("text").alias(side)) for n, side in (("a", "left"), ("b", "right")))
     joined = pairs.join(next(sides), "a").join(next(sides), "b")
     return written(joined.mapInArrow(_verify, "a long, b long"), "links")
 
@@ -312,7 +330,7 @@ def classes(links: DataFrame) -> DataFrame:
     return label if label is not None else links.select(F.col("a").alias("node"), F.col("a").alias("class")).limit(0)
 
 
-def near_duplicates(documents: DataFrame, keep: Sequence[str], text: str = "text", order: str = "doc_id", small: int = SMALL) -> DataFrame:
+def near_duplicates(documents: DataFrame, keep: Sequence[str], text: str = "text", order: str = "doc_id", small: int = SMALL, dealt: tuple[int, int] = (OTHERS_DEALT, MEMBERS_DEALT)) -> DataFrame:
     """Give every document the class of its near duplicates.
 
     Returns a row for each row: the columns named in ``keep``, then ``class_id`` (the least ``order``
@@ -337,23 +355,17 @@ def near_duplicates(documents: DataFrame, keep: Sequence[str], text: str = "text
     keys = alone.filter("n > 0").select(F.col("row").alias("node"), "n", F.explode("sketches").alias("key"))
     live = written(_live(keys.withColumn("class", F.col("node"))), "live")
     # whole texts are shuffled here only, and by the same plan for few nodes and for many
-    texts = rows.select(F.col("row").alias("node"), at[text]).hint("merge").join(live.select("node").distinct(), "node", "left_semi")
-    content = written(texts.mapInArrow(_words, "node long, shingles binary"), "shingles")
+    texts = rows.select(F.col("row").alias("node"), F.col(at[text]).alias("text"), "sketches").hint("merge").join(live.select("node").distinct(), "node", "left_semi")
+    content = written(texts, "content")
     links = _linked(_propose(live, small), content)
     label = classes(links)
     # large groups that still hold several classes
-    large = live.filter(F.col("size") > small)
-    opened = _live(_labelled(large, label)).select("node").distinct()
-    fine = _labelled(content.join(opened, "node", "left_semi").mapInArrow(_fine, "node long, n int, sketches array<long>"), label)
-    live = written(_live(fine.select("node", "n", "class", F.explode("sketches").alias("key"))), "fine")
-    if not live.isEmpty():
-        links = links.unionByName(_linked(_propose(live, FINE_SMALL, seconds=True), content))
-        label = classes(links)
-    # what the leaders leave apart
-    opened = written(_live(_labelled(large, label)).select("node", "class").distinct(), "open")
-    if not opened.isEmpty():
-        links = links.unionByName(_linked(_exact(content.join(opened, "node")), content))
-        label = classes(links)
+    large = live.filter(F.col("size") > small).select("key", "node", "n")
+    if not large.isEmpty():
+        of_node = large.select("node").distinct().join(label, "node", "left").select("node", F.coalesce("class", "node").alias("class"))
+        cells = _cells(large.join(of_node, "node"), *dealt)
+        more = written(cells.join(content, "node").groupBy("key", "o", "m").applyInArrow(_compare, "a long, b long").distinct(), "more_links")
+        label = classes(links.unionByName(more))
     of_row = node_of.join(label, "node", "left").select("row", F.coalesce("class", "node").alias("class"))
     of_row = written(of_row, "classes")
     ranked = F.struct(F.col("order").isNull().alias("last"), "order", "row")
@@ -366,10 +378,3 @@ def near_duplicates(documents: DataFrame, keep: Sequence[str], text: str = "text
 def _nodes(rows: DataFrame, first: DataFrame) -> DataFrame:
     """(row, node). A second print that is null belongs to a null text, alone by its first."""
     return rows.select("row", "fa", "fb").join(first.withColumnsRenamed({"fa": "a", "fb": "b"}), F.expr("fa = a and fb <=> b")).select("row", "node")
-
-
-def _labelled(members: DataFrame, label: DataFrame) -> DataFrame:
-    """Members (node and more) with their class of now."""
-    now = label.withColumnRenamed("class", "now")
-    more = [c for c in members.columns if c not in ("class", "size")]
-    return members.select(*more).join(now, "node", "left").select(*more, F.coalesce("now", "node").alias("class"))

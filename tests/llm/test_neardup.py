@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tarn.llm import neardup
 
@@ -97,8 +98,10 @@ def test_a_large_group_of_near_copies(spark):
     rng = random.Random(5)
     original = [f"w{rng.randint(0, 500)}" for _ in range(150)]
     rows = [(i, " ".join(edited(rng, original, rng.choice([0.005, 0.02, 0.1, 0.3])))) for i in range(60)] + [(100 + i, " ".join(original)) for i in range(20)]
-    got = {r["doc_id"]: r["class_id"] for r in classes_of(spark, rows, small=4).collect()}
-    assert got == brute(rows)
+    expected = brute(rows)
+    for dealt in ((neardup.OTHERS_DEALT, neardup.MEMBERS_DEALT), (600, 900)):
+        got = {r["doc_id"]: r["class_id"] for r in classes_of(spark, rows, small=4, dealt=dealt).collect()}
+        assert got == expected
 
 
 def versions(head, own, families):
@@ -132,6 +135,29 @@ def test_prefix_holds_a_shingle_of_every_near_text():
                 assert neardup.prefix(n) > n - need and neardup.prefix(m) > m - need
 
 
+def thue_morse(n):
+    """Two words of n letters that every polynomial of their bytes modulo 2**64 takes for one."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_built_against_polynomial_hashes_differ(spark):
+    one, two = thue_morse(2048)
+    rows = [(0, one), (1, two), (2, " ".join([one] * 6)), (3, " ".join([two] * 6)), (4, " ".join([one] * 6))]
+    assert {r["doc_id"]: r["class_id"] for r in classes_of(spark, rows).collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 2}
+
+
+def test_two_cuts_of_the_input_give_equal_classes(spark):
+    rng = random.Random(11)
+    original = [f"w{rng.randint(0, 90)}" for _ in range(120)]
+    rows = [(i, " ".join(edited(rng, original, rng.choice([0.01, 0.04, 0.07])))) for i in range(150)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [{r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(f, ["doc_id"]).collect()} for f in (frame.repartition(7, "doc_id"), frame.orderBy(F.desc("doc_id")).coalesce(1))]
+    assert got[0] == got[1] and len(set(got[0].values())) > 1
+
+
 def test_edges(spark):
     long = " ".join(f"w{k % 5000}" for k in range(30_000))
     rows = [(5, None), (4, None), (3, ""), (2, ""), (9, " \n"), (8, "one two"), (7, "One, two!"), (6, "one three"), (None, "null id of a text"), (1, "null id of a text"), (11, long), (10, long + " tail"), (12, "!!!"), (13, "???")]
