@@ -1,37 +1,48 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one for each block of the page. Parts that are never main text by their
-element or by what their class, id or role says (menus, adverts, forms, comments ...) leave nothing, or,
-where they border on the text, empty lines. A line counts with its characters outside links. The sum of
-a sliding window of lines surges from nothing where a run of text begins and dives to nothing where it
-ends; the run with the most characters is the main text, and every line of it is kept. Lines inside
-``article`` (else ``main``) weigh more, and its edges are empty lines, so that what surrounds it ends
-there. What was left out within the container of the heaviest run is no border, and articles beside its
-article are read with it.
+element or by what their class, id or role says (menus, adverts, forms, comments ...) leave nothing. A
+line counts with its characters outside links, a list of links not at all, and each edge of a container
+(div, article ... but not a paragraph, list or table) is as many empty lines as the sliding window has.
+The window's sum surges from nothing where a run of text begins and dives to nothing where it ends; its
+greatest sum is the run's density.
+
+The heaviest run is the core of the main text. All runs in the core's container belong to it. Then the
+container widens to the one around it, which adds what lies from the first to the last run of over half
+the core's density, and a heading just before, until there is none. So a column of
+short notes, a list of links or a line of copyright beside the text stays out whatever its class is
+called. ``article`` and ``main`` are containers whose text stands and falls together; they settle what
+is near a tie (theirs counts ARTICLE_WEIGHT times), and articles beside the core's are read with it.
+
+Every step is linear in the page: a tag's quotes are trusted until one is never closed, and nothing is
+looked for behind the last ``>``.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from html import unescape
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Lines of the sliding window, and empty lines of a border.
+#: Lines of the sliding window.
 WINDOW = 3
-#: A character inside the page's article counts so many times.
-ARTICLE_WEIGHT = 10
+#: An article's or main part's text counts so many times where it is weighed against other runs.
+ARTICLE_WEIGHT = 2
 #: A line with a larger share of its characters in links is a link list and counts as empty.
 LINK_SHARE = 0.6
 
 #: Elements whose text is no text of the page.
 NO_TEXT = frozenset("head title script style noscript template svg math iframe object canvas audio video map textarea select option datalist button input label fieldset legend meter progress".split())
-#: Elements beside the text, and those of them that border on it.
+#: Elements beside the text.
 BESIDE = frozenset("nav aside footer form dialog menu search".split())
-BORDERS = frozenset("nav aside footer header menu".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark nobr output q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,9 +56,13 @@ BEGINNINGS = ("advert", "comment", "cookie", "sidebar", "footer", "navbar", "bre
 OUTSIDE = frozenset({"header"})
 
 #: Blocks that are a part of a text, not its container.
-PARTS = frozenset("p section article main h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure table tbody tr td th".split())
+PARTS = frozenset("html body p section h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure table tbody thead tfoot tr td th br hr".split())
+HEADINGS = frozenset("h1 h2 h3".split())
+HOLDERS = frozenset({"article", "main"})
 
-_TAG = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+_COMMENT_END = re.compile(r"--!?>")
 _NAMED = re.compile(r"(?:^|[\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _PARTS = re.compile(r"[a-z]+")
@@ -70,144 +85,236 @@ def _beside(name: str, attributes: str, in_article: bool) -> bool:
 
 def _tokens(html: str) -> list[tuple[str, str, str]]:
     """(kind, name or text, attributes): kind is text, open or close. Comments and raw elements go."""
-    out, at, n = [], 0, len(html)
-    while at < n:
-        found = _TAG.search(html, at)
-        if not found:
-            out.append(("text", html[at:], ""))
+    out, at, n, quotes = [], 0, len(html), True
+    last = html.rfind(">")
+    begin = 0  # of the text at hand
+
+    def text(until: int) -> None:
+        if until > begin:
+            out.append(("text", html[begin:until], ""))
+
+    while True:
+        at = html.find("<", at)
+        if at < 0:
             break
-        if found.start() > at:
-            out.append(("text", html[at : found.start()], ""))
-        at = found.end()
-        name = (found[2] or found[5] or "").lower()
-        if not name:
+        if html.startswith("<!--", at):
+            text(at)
+            short = next((x for x in ("<!-->", "<!--->") if html.startswith(x, at)), "")
+            end = None if short else _COMMENT_END.search(html, at + 4)
+            begin = at = at + len(short) if short else end.end() if end else n
             continue
-        if found[1] or found[4]:
+        if at > last:
+            break
+        found = _NAME.match(html, at + 1)
+        if not found:
+            if html[at + 1 : at + 2] in ("!", "?", "/"):
+                text(at)
+                begin = at = html.index(">", at) + 1
+            else:
+                at += 1
+            continue
+        whole = _QUOTED.match(html, found.end()) if quotes else None
+        if not whole:
+            quotes = False
+        end = whole.end() if whole else html.index(">", at) + 1
+        text(at)
+        begin = at = end
+        name = found[2].lower()
+        if found[1]:
             out.append(("close", name, ""))
             continue
-        out.append(("open", name, found[3] or found[6] or ""))
+        out.append(("open", name, html[found.end() : end - 1]))
         if name in RAW:
-            end = re.compile(rf"</{name}[\s/>]", re.I).search(html, at)
-            at = end.start() if end else n
-            if not end:
+            closing = _closing(name).search(html, at)
+            begin = at = closing.start() if closing else n
+            if not closing:
                 out.append(("close", name, ""))
+    text(n)
     return out
 
 
+@lru_cache
+def _closing(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}[\s/>]", re.I)
+
+
 def _ends(tokens: list[tuple[str, str, str]]) -> list[int]:
     """For each opening tag the token that closes it, or -1."""
-    ends, opened = [-1] * len(tokens), {}
+    ends, opened = [-1] * len(tokens), defaultdict(list)
     for k, (kind, name, _) in enumerate(tokens):
         if kind == "open" and name not in VOID:
-            opened.setdefault(name, []).append(k)
-        elif kind == "close" and opened.get(name):
+            opened[name].append(k)
+        elif kind == "close" and opened[name]:
             ends[opened[name].pop()] = k
     return ends
 
 
-def _container(tokens: list[tuple[str, str, str]], ends: list[int], first: int, last: int) -> tuple[int, int]:
-    """Opening and closing token of the nearest container of tokens first..last; (-1, all) for the page."""
-    for k in range(first - 1, -1, -1):
-        kind, name, _ = tokens[k]
-        if kind == "open" and ends[k] > last and name not in INLINE and name not in PARTS:
-            return k, ends[k]
-    return -1, len(tokens)
-
-
-def _around(tokens: list[tuple[str, str, str]], ends: list[int]) -> list[int]:
-    """The opening token of each token's nearest container, -1 for the page."""
-    out, opened = [], [-1]
-    for k, (kind, name, _) in enumerate(tokens):
-        while opened[-1] >= 0 and ends[opened[-1]] <= k:
-            opened.pop()
-        out.append(opened[-1])
-        if kind == "open" and ends[k] > k and name not in INLINE and name not in PARTS:
-            opened.append(k)
-    return out
-
-
-def lines_of(tokens: list[tuple[str, str, str]], ends: list[int], within: tuple[int, int] = (0, 0)) -> list[tuple[str, int, int, int]]:
-    """(text, weight, token that ends it, article's token or -1) of each line; borders are empty lines,
-    except those of elements between the tokens ``within``."""
-    holders = [k for k, (kind, name, more) in enumerate(tokens) if kind == "open" and name in ("article", "main") and not (name == "article" and _beside(name, more, True))]
-    main = "article" if any(tokens[k][1] == "article" for k in holders) else "main"
-    holders = [k for k in holders if tokens[k][1] == main]
-    lines: list[tuple[str, int, int, int]] = []
-    words: list[str] = []
-    linked = in_link = depth = k = 0
-    holder = -1
-    edge = [("", 0, -1, -1)] * WINDOW
-
-    def close_line() -> None:
-        nonlocal linked
-        text = " ".join("".join(words).split())
-        if text:
-            own = max(0, len(text) - linked)
-            weight = 0 if not depth and linked > LINK_SHARE * len(text) else max(1, own)
-            lines.append((text, weight * (ARTICLE_WEIGHT if depth else 1), k, holder if depth else -1))
-        words.clear()
-        linked = 0
-
-    while k < len(tokens):
-        kind, name, more = tokens[k]
-        if kind == "text":
-            text = unescape(name)
-            words.append(text)
-            linked += len(text.strip()) * bool(in_link)
-        elif name == "a":
-            in_link = int(kind == "open")
-        elif name in (main,) and holders:
-            close_line()
-            if kind == "open" and k in holders:
-                if not depth:
-                    lines += edge
-                    holder = k
-                depth += 1
-            elif kind == "open" and ends[k] > 0:
-                k = ends[k]
-            elif kind == "close" and depth:
-                depth -= 1
-                lines += [] if depth else edge
-        elif kind == "open" and name not in ("html", "body") and ends[k] > 0 and (name in NO_TEXT or _beside(name, more, depth > 0) and not any(k < h < ends[k] for h in holders)):
-            if name not in INLINE:
+class Line(NamedTuple):
+    text: str
+    weight: int
+    container: int  # opening token of the nearest container, -1 for the page
+    holder: int  # opening token of the article or main part, or -1
+    heading: bool
+
+
+class Page:
+    """Lines of a page and the containers around them; text without weight is an empty line."""
+
+    def __init__(self, html: str):
+        self.tokens = _tokens(html)
+        self.ends = _ends(self.tokens)
+        self.lines: list[Line] = []
+        #: The container around each container.
+        self.around: dict[int, int] = {}
+        self._read()
+
+    def _read(self) -> None:
+        tokens, ends = self.tokens, self.ends
+        holders = [k for k, (kind, name, more) in enumerate(tokens) if kind == "open" and name in HOLDERS and not (name == "article" and _beside(name, more, True))]
+        # main parts hold the text only where no article does
+        if any(tokens[k][1] == "article" for k in holders):
+            holders = [k for k in holders if tokens[k][1] == "article"]
+        is_holder = set(holders)
+        edge = [Line("", 0, -1, -1, False)] * WINDOW
+        words: list[str] = []
+        opened: list[int] = []  # containers that are open
+        held: list[int] = []  # articles that are open
+        linked = in_link = k = 0
+        heading = False
+
+        def close_line() -> None:
+            nonlocal linked, heading
+            text = " ".join("".join(words).split())
+            if text:
+                weight = max(1, len(text) - linked) if held or linked <= LINK_SHARE * len(text) else 0
+                self.lines.append(Line(text, weight, opened[-1] if opened else -1, held[0] if held else -1, heading))
+            words.clear()
+            linked, heading = 0, False
+
+        def leave() -> None:
+            """Containers that end at token k or before."""
+            while opened and ends[opened[-1]] <= k:
+                opened.pop()
+                self.lines += edge
+            while held and 0 <= ends[held[-1]] <= k:
+                held.pop()
+
+        while k < len(tokens):
+            kind, name, more = tokens[k]
+            if kind == "text":
+                text = unescape(name)
+                words.append(text)
+                linked += len(text.strip()) * bool(in_link)
+            elif name == "a":
+                in_link = int(kind == "open")
+            elif name in INLINE:
+                pass
+            elif name == "br":
+                words.append(" ")
+            else:
                 close_line()
-            if name in BORDERS and not depth and not within[0] < k < within[1]:
-                lines += edge
-            k = ends[k]
-        elif name == "br":
-            words.append(" ")
-        elif name not in INLINE:
-            close_line()
-        k += 1
-    close_line()
-    return lines
-
-
-def _heaviest(lines: list[tuple[str, int, int, int]]) -> list[tuple[str, int, int, int]]:
-    best, top, begin, heavy = (0, 0), 0, 0, 0
-    for i, (_, weight, _, _) in enumerate(lines):
-        if not any(line[1] for line in lines[max(0, i - WINDOW + 1) : i + 1]):  # dive: nothing in the last lines
-            begin, heavy = i + 1, 0
-            continue
-        heavy += weight
-        if heavy > top:  # up to here: a run ends with its last line that counts
-            best, top = (begin, i + 1), heavy
-    return [line for line in lines[best[0] : best[1]] if line[0]]
+                leave()
+                # an article that encloses others, or an element that encloses one, is not beside the text
+                if kind == "open" and name not in ("html", "body") and ends[k] > 0 and k not in is_holder:
+                    inner = bisect_left(holders, k)
+                    encloses = inner < len(holders) and holders[inner] < ends[k]
+                    if name in NO_TEXT or _beside(name, more, bool(held)) and not encloses or name == "article":
+                        k = ends[k]
+                        self.lines += edge
+                        continue
+                if kind == "open" and name not in PARTS and ends[k] > k:
+                    self.around[k] = opened[-1] if opened else -1
+                    opened.append(k)
+                    self.lines += edge
+                if kind == "open" and k in is_holder:
+                    held.append(k)
+                heading = kind == "open" and name in HEADINGS
+            if kind == "open" and name in INLINE and ends[k] > 0 and (name in NO_TEXT or _beside(name, more, bool(held))):
+                k = ends[k]
+            k += 1
+        close_line()
+
+
+class Run(NamedTuple):
+    first: int
+    last: int
+    weight: int
+    density: int
+
+
+def runs_of(lines: Sequence[Line]) -> list[Run]:
+    """From each surge to the dive after it, which comes when nothing is in the window's lines."""
+    out: list[Run] = []
+    first = last = -1
+    weight = density = 0
+    for i, line in enumerate(lines):
+        if line.weight:
+            if first < 0:
+                first, weight, density = i, 0, 0
+            last, weight = i, weight + line.weight
+            density = max(density, sum(x.weight for x in lines[max(first, i - WINDOW + 1) : i + 1]))
+        elif first >= 0 and i - last >= WINDOW:
+            out.append(Run(first, last + 1, weight, density))
+            first = -1
+    return out + ([Run(first, last + 1, weight, density)] if first >= 0 else [])
 
 
 def main_text(html: str | None) -> str:
-    """Lines of the heaviest run and of those that share its container, joined by one space."""
-    tokens = _tokens(html or "")
-    ends = _ends(tokens)
-    lines = lines_of(tokens, ends)
-    run = _heaviest(lines)
-    if run and run[0][3] >= 0:
-        around = _around(tokens, ends)
-        near = {line[3] for line in lines if line[3] >= 0 and around[line[3]] == around[run[0][3]]}
-        run = [line for line in lines if line[3] in near]
-    elif run:
-        run = _heaviest(lines_of(tokens, ends, _container(tokens, ends, run[0][2] - 1, run[-1][2] - 1)))
-    return " ".join(line[0] for line in run)
+    """The text of the core run's widened container, its lines joined by one space."""
+    page = Page(html or "")
+    lines, around = page.lines, page.around
+    runs = runs_of(lines)
+    if not runs:
+        return ""
+    by_holder: dict[int, int] = defaultdict(int)
+    for line in lines:
+        by_holder[line.holder] += line.weight
+
+    def score(run: Run) -> tuple[int, int]:
+        holder = lines[run.first].holder
+        return (run.weight if holder < 0 else ARTICLE_WEIGHT * by_holder[holder], run.weight)
+
+    core = max(runs, key=score)
+    holder = lines[core.first].holder
+    if holder >= 0:
+        beside = {h for h in by_holder if h >= 0 and around.get(h, -1) == around.get(holder, -1)}
+        return " ".join(line.text for line in lines if line.text and line.holder in beside)
+    # of the core's lines, the container that holds all
+    path = [lines[core.first].container]
+    while path[-1] >= 0:
+        path.append(around[path[-1]])
+    level = {c: i for i, c in enumerate(path)}
+
+    def depth(container: int) -> int:
+        """Place in the path of the nearest container that is on it."""
+        passed = []
+        while container not in level:
+            passed.append(container)
+            container = around[container]
+        level.update(dict.fromkeys(passed, level[container]))
+        return level[container]
+
+    def of(run: Run) -> int:
+        return max(depth(line.container) for line in lines[run.first : run.last] if line.weight)
+
+    at = [of(run) for run in runs]
+    by_level: dict[int, list[int]] = defaultdict(list)
+    for i, x in enumerate(at):
+        by_level[x].append(i)
+    own = at[runs.index(core)]
+    inside = [i for i, x in enumerate(at) if x <= own]
+    # in its own container all runs, but on the page itself only what a wider container may add
+    taken = set(inside) if path[own] >= 0 else {runs.index(core)}
+    for wider in sorted(x for x in by_level if x > own or path[x] < 0):
+        low, high = min(taken), max(taken)
+        dense = [i for i in by_level[wider] if 2 * runs[i].density > core.density]
+        low, high = min([low, *dense]), max([high, *dense])
+        taken |= {i for i in range(low, high + 1) if at[i] <= wider}
+        if low and at[low - 1] <= wider and any(line.heading for line in lines[runs[low - 1].first : runs[low - 1].last]):
+            taken.add(low - 1)
+        if not dense:
+            break
+    return " ".join(line.text for i in sorted(taken) for line in lines[runs[i].first : runs[i].last] if line.text)
 
 
 def extract(html: Column) -> Column:

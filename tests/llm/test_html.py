@@ -55,6 +55,44 @@ def test_generated_pages_equal_their_articles():
         assert main_text(source) == " ".join(html.unescape(re.sub("<[^>]*>", " ", re.sub("</?b>", "", article))).split())
 
 
+LONG = "A sentence with quite some words in it, as texts have them. "
+
+
+@pytest.mark.parametrize("source, text", [
+    # no article, no main, no class that says anything
+    ("<body><div class='x1'><ul><li><a href='/'>Home</a></li><li><a href='/n'>News of today</a></li></ul></div><div class='x2'><h1>Head</h1><p>" + LONG + "</p><p>Short.</p><p>" + LONG + "</p></div><div class='x3'>Copyright 2024 Somebody</div></body>", f"Head {LONG}Short. {LONG}"),
+    # columns in a wrapper
+    ("<div><div><p><a>One</a></p><p><a>Two</a></p></div><div><p>" + LONG * 3 + "</p><p>" + LONG + "</p></div><div><p>Weather: fine</p><p>Votes: 17</p></div></div>", f"{LONG * 3}{LONG}"),
+    # each paragraph in a box of its own, a picture between
+    ("<div><div><div><p>" + LONG + "</p></div></div><div><img src=a></div><div><div>Why?</div></div><div><div><p>" + LONG + "</p></div></div></div><div><div>All rights reserved</div></div>", f"{LONG}Why? {LONG}"),
+    # the head line in a box before the text
+    ("<div><div><h1>Head</h1></div><div><p>" + LONG * 2 + "</p><p>" + LONG + "</p></div><div>Tags</div></div>", f"Head {LONG * 2}{LONG}"),
+    # text right in the body
+    ("<body><div><a>Menu</a></div><p>" + LONG + "</p><div>note</div><p>" + LONG + "</p><div>(c) 2024</div></body>", f"{LONG}note {LONG}"),
+    # density decides against a small article
+    ("<article><p>Teaser.</p></article><div><p>" + LONG * 2 + "</p><p>" + LONG * 2 + "</p></div>", f"{LONG * 2}{LONG * 2}"),
+])
+def test_pages_without_a_tag_that_tells(source, text):
+    assert main_text(source) == text.strip()
+
+
+ODD = [
+    "<p>word ", "<", "<a href=\"", "<div class='ad'>", "&amp", "<!--", "<article>", "<a \"> \"", "<div>", "<div>a", "<article><div class='ad'>x</div>", "<div class='ad'><article>", "<script>", "</div>x", "<!x",
+    "<p title='", "<div><p>text</p></div>", "<title>", "<div><div>x</div>", "<form>", "<a>", "<h1>x",
+]
+
+
+@pytest.mark.parametrize("part", ODD)
+def test_time_is_linear_in_the_page(part):
+    def seconds(times):
+        began = time.process_time()
+        main_text(part * times + "x")
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(16_000) < 8 * max(seconds(4_000), 0.02)
+
+
 def test_long_and_odd_pages_end_soon():
     began = time.monotonic()
     for source in ("<p>word " * 50_000, "<" * 100_000, "<a href=\"" * 20_000, "<div class='ad'>" * 20_000 + "x", "&amp" * 100_000, "<!--" * 50_000, "<article>" * 5_000 + "x"):
