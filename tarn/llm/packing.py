@@ -48,130 +48,129 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-class _Bin:
-    __slots__ = ("items", "free", "tried", "sums", "takes")
-
-    def __init__(self, items: list[tuple[int, int]], capacity: int):
-        self.items = sorted(items)  # (length, piece)
-        self.free = capacity - sum(n for n, _ in items)
-        self.changed()
-
-    def changed(self) -> None:
-        self.tried = -1  # so many changes of others were tried
-        self.sums = self.takes = None
-
-    def twice(self) -> list[tuple[int, int]]:
-        """At most two items of each length: all that pairs can tell apart."""
-        return [x for i, x in enumerate(self.items) if i < 2 or self.items[i - 2][0] < x[0]]
-
-    def gives(self) -> tuple[int, int]:
-        """Bit sets of the lengths of single items and of pairs."""
-        if self.sums is None:
-            one = two = 0
-            for n, _ in self.twice():
-                two |= one << n
-                one |= 1 << n
-            self.sums = one, two
-        return self.sums
-
-    def accepts(self) -> tuple[int, int]:
-        """Bit sets of the lengths that fill it further in place of nothing or one item, and of a pair."""
-        if self.takes is None:
-            spread = []
-            for bits in (self.gives()[0], self.gives()[1], 1):
-                done, out = 1, bits << 1  # longer by 1 .. free
-                while done < self.free:
-                    step = min(done, self.free - done)
-                    out |= out << step
-                    done += step
-                spread.append(out)
-            self.takes = spread[0] | spread[2], spread[1]
-        return self.takes
-
-    def can_give(self, taker: _Bin) -> bool:
-        """Whether there is an exchange that fills the taker further."""
-        one, two = self.gives()
-        single, pair = taker.accepts()
-        return bool(one & (single | pair) or two & single)
-
-    def take(self, item: tuple[int, int]) -> None:
-        self.items.pop(bisect_left(self.items, item))
-        self.free += item[0]
-
-    def put(self, item: tuple[int, int]) -> None:
-        insort(self.items, item)
-        self.free -= item[0]
-
-    def least(self, length: int) -> tuple[int, int] | None:
-        """The shortest item of at least this length."""
-        at = bisect_left(self.items, (length, -1))
-        return self.items[at] if at < len(self.items) else None
-
-
-def _exchange(giver: _Bin, taker: _Bin) -> bool:
-    """Make one exchange that fills the taker further, if there is one. The taker is at least as full
-    as the giver, so the sum of squared fills rises."""
-    for item in reversed(giver.items):  # a move
-        if item[0] <= taker.free:
-            giver.take(item)
-            taker.put(item)
-            return True
-    best, gain = None, 0
-    for item in giver.items:  # one for one: the taker's item is shorter by no more than its room
-        other = taker.least(item[0] - taker.free)
-        if other and gain < item[0] - other[0] <= taker.free:
-            best, gain = ([item], [other]), item[0] - other[0]
-    if gain < taker.free:
-        given, taken = giver.twice(), taker.twice()
-        for x, one in enumerate(given):  # two for one
-            for two in given[x + 1 :]:
-                both = one[0] + two[0]
-                other = taker.least(both - taker.free)
-                if other and gain < both - other[0] <= taker.free:
-                    best, gain = ([one, two], [other]), both - other[0]
-        for x, one in enumerate(taken):  # one for two
-            for two in taken[x + 1 :]:
-                both = one[0] + two[0]
-                at = bisect_left(giver.items, (both + taker.free + 1, -1)) - 1
-                if at >= 0 and gain < giver.items[at][0] - both:
-                    best, gain = ([giver.items[at]], [one, two]), giver.items[at][0] - both
-    if not best:
-        return False
-    for item in best[0]:
-        giver.take(item)
-    for item in best[1]:
-        taker.take(item)
-        giver.put(item)
-    for item in best[0]:
-        taker.put(item)
-    return True
+def least_bins(lengths: np.ndarray, capacity: int) -> int:
+    """A number of bins that no packing goes below: for each cut k up to half the capacity, every piece
+    longer than capacity - k is alone but for shorter ones than k, every piece over half the capacity has
+    a bin of its own, and the pieces from k on need at least their total."""
+    n = np.sort(lengths.astype(np.int64))
+    sums = np.concatenate([[0], np.cumsum(n)])
+    k = np.concatenate([[0], np.unique(n[2 * n <= capacity])])
+    first, half, alone = np.searchsorted(n, k), np.searchsorted(2 * n, capacity, "right"), np.searchsorted(n, capacity - k, "right")
+    own = len(n) - half
+    room = (alone - half) * capacity - (sums[alone] - sums[half])  # beside those of over half
+    more = -(-np.maximum(0, sums[half] - sums[first] - room) // capacity)
+    return int((own + more).max(initial=0))
+
+
+class _Search:
+    """Bins that are not full, by what they hold and by how much is free in them.
+
+    Sizes are whole numbers up to the capacity, so what is looked up (the fullest bin that a size fits
+    into, the shortest item that a size may replace) takes as long for many bins as for few."""
+
+    def __init__(self, bins: list[list[int]], lengths: np.ndarray, capacity: int):
+        self.capacity = capacity
+        self.items = [sorted((int(lengths[k]), k) for k in b) for b in bins]
+        self.free = [capacity - sum(n for n, _ in b) for b in self.items]
+        #: By size of an item: (free, bin) of all bins that hold one and may take; and size plus the most free.
+        self.holders: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
+        self.reach = np.zeros(capacity + 1, np.int64)
+        #: By room: the bins that have it free; and a bit for each room that some bin has.
+        self.with_free: list[set[int]] = [set() for _ in range(capacity + 1)]
+        self.frees = 0
+
+    def _note(self, size: int) -> None:
+        held = self.holders[size]
+        self.reach[size] = size + held[-1][0] if held else 0
+
+    def add(self, b: int) -> None:
+        """The bin may take."""
+        free = self.free[b]
+        if not free or not self.items[b]:
+            return
+        self.with_free[free].add(b)
+        self.frees |= 1 << free
+        for size in {n for n, _ in self.items[b]}:
+            insort(self.holders[size], (free, b))
+            self._note(size)
+
+    def drop(self, b: int) -> None:
+        free = self.free[b]
+        if b not in self.with_free[free]:
+            return
+        self.with_free[free].remove(b)
+        if not self.with_free[free]:
+            self.frees ^= 1 << free
+        for size in {n for n, _ in self.items[b]}:
+            held = self.holders[size]
+            held.pop(bisect_left(held, (free, b)))
+            self._note(size)
+
+    def _swap(self, giver: int, taker: int, given: list[tuple[int, int]], back: list[tuple[int, int]]) -> None:
+        self.drop(taker)
+        for x in given:
+            self.items[giver].remove(x)
+            insort(self.items[taker], x)
+        for y in back:
+            self.items[taker].remove(y)
+            insort(self.items[giver], y)
+        gain = sum(n for n, _ in given) - sum(n for n, _ in back)
+        self.free[giver] += gain
+        self.free[taker] -= gain
+        self.add(taker)
+
+    def exchange(self, giver: int) -> bool:
+        """Make one exchange that fills another bin further at the giver's cost, if there is one. The
+        giver has at least as much free as any bin that may take, so the sum of squared fills rises."""
+        items = self.items[giver]
+        for x in reversed(items):  # a move, into the fullest bin with room
+            fits = self.frees >> x[0]
+            if fits:
+                free = x[0] + (fits & -fits).bit_length() - 1
+                self._swap(giver, next(iter(self.with_free[free])), [x], [])
+                return True
+        # at most two items of each size: all that pairs can tell apart
+        some = [x for i, x in enumerate(items) if i < 2 or items[i - 2][0] < x[0]]
+        offers = {x[0]: [x] for x in some}
+        for i, x in enumerate(some):
+            for y in some[i + 1 :]:
+                offers.setdefault(x[0] + y[0], [x, y])
+        best, back = 0, 0
+        for size, given in offers.items():  # one or two for the shortest item that they may replace
+            if size - best > 1:
+                at = self.reach[1 : min(size, self.capacity + 1) - best] >= size
+                found = int(at.argmax()) if len(at) else 0
+                if len(at) and at[found]:
+                    best, back, most = size - found - 1, found + 1, given
+        if not best:
+            return False
+        held = self.holders[back]
+        taker = held[bisect_left(held, (best, -1))][1]
+        self._swap(giver, taker, most, [next(y for y in self.items[taker] if y[0] == back)])
+        return True
 
 
 def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    """Local search until no exchange is left or no fewer bins can hold the total.
-
-    The emptiest bin gives to the others, the fullest first; a pair of bins that could exchange nothing
-    meets again when one of them has changed. Every exchange raises the sum of squared fills, a whole
-    number with an upper bound, so it ends."""
-    least = -(-int(sum(lengths[k] for b in bins for k in b)) // capacity)
-    all_bins = [_Bin([(int(lengths[k]), k) for k in b], capacity) for b in bins]
-    used, log, moved = len(all_bins), [], True
+    """Local search until no exchange is left or no fewer bins can hold the pieces.
+
+    Turn by turn every bin gives, the emptiest first, until it is empty or has nothing that would fill
+    another bin further; then it takes no part until the next turn. Every exchange raises the sum of
+    squared fills, a whole number with an upper bound, so it ends."""
+    search, least = _Search(bins, lengths, capacity), least_bins(lengths, capacity)
+    used, moved = sum(1 for b in search.items if b), True
     while used > least and moved:
-        under = sorted((b for b in all_bins if b.items and b.free), key=lambda b: b.free)
         moved = False
-        for giver in reversed(under):
-            takers = under if giver.tried < 0 else sorted({id(b): b for b in log[giver.tried :] if b.items}.values(), key=lambda b: b.free)
-            for taker in takers:
-                while taker is not giver and giver.items and taker.free and giver.free >= taker.free and giver.can_give(taker) and _exchange(giver, taker):
-                    giver.changed()
-                    taker.changed()
-                    log += [giver, taker]
-                    moved = True
-            if moved:
-                break
-            giver.tried = len(log)
-        used -= moved and not giver.items
-    return [[k for _, k in b.items] for b in all_bins if b.items]
+        for b in range(len(bins)):
+            search.add(b)
+        while search.frees and used > least:
+            giver = next(iter(search.with_free[search.frees.bit_length() - 1]))
+            search.drop(giver)
+            while search.items[giver] and search.exchange(giver):
+                moved = True
+            used -= not search.items[giver]
+        for b in range(len(bins)):
+            search.drop(b)
+    return [[k for _, k in b] for b in search.items if b]
 
 
 def pack_lengths(lengths: np.ndarray, capacity: int) -> list[list[int]]:
