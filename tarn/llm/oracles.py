@@ -16,14 +16,16 @@ def _quality() -> str:
     each = " union all ".join(f"select lang, source, '{name}' measure, {of} v from counts where not base_failed" for name, of in measures.items())
     beyond = ", ".join(f"case when n_words > 0 and {of} > fence['{name}'] then '{name}' end" for name, of in measures.items())
 
-    def level(columns: str, rows: str) -> str:
+    def fence(columns: str, rows: str) -> str:
         by = columns + ", " if columns else ""
+        high, mid = (f"min(top) filter (up_to * 4 >= n_all * {q})" for q in (3, 2))
         return f"""
-        select {by}max(n_all) n_rows, map_from_entries(list((measure, fence))) fence from (
-          select {by}measure, max(n_all) n_all, cast(min(top) filter (up_to * 10 >= n_all * 9) + greatest({quality.REACH} * (min(top) filter (up_to * 10 >= n_all * 9) - min(top) filter (up_to * 10 >= n_all * 5)), case measure {slack} end) as bigint) fence
-          from (select {by}measure, top, sum(n) over (partition by {by}measure order by bucket) up_to, sum(n) over (partition by {by}measure) n_all
-                from (select {by}measure, bucket, any_value(top) top, sum(n) n from {rows} group by {by}measure, bucket))
-          group by {by}measure) group by {columns or 'all'}"""
+        select {by}measure, cast(high + greatest({quality.REACH} * (high - mid), case measure {slack} end) as bigint) fence from (
+          select {by}measure, {high} high, {mid} mid
+          from (select {by}measure, top, sum(weight) over (partition by {by}measure order by bucket) up_to, sum(weight) over (partition by {by}measure) n_all from {rows}) group by {by}measure)"""
+
+    def lent(rows: str, by: str) -> str:
+        return f"(select *, weight * {quality.PRIOR_ROWS * quality.PARTS} // sum(weight) over (partition by {by}measure) part from {rows})"
 
     return f"""
     with docs as (select doc_id, coalesce('=' || lang, '') lang, coalesce('=' || source, '') source, coalesce(text, '') text, {_WORDS} w,
@@ -37,9 +39,15 @@ def _quality() -> str:
     measured as ({each}),
     shifted as (select *, greatest(0, case when v < 1 then 0 else cast(floor(log2(v)) as int) + 1 end - 6) s from measured),
     sketch as (select lang, source, measure, s * 32 + (v >> s) bucket, any_value((((v >> s) + 1) << s) - 1) top, count(*) n from shifted group by all),
-    own as ({level("lang, source", "sketch")}), by_lang as ({level("lang", "sketch")}), overall as ({level("", "sketch")}),
-    fences as (select o.lang, o.source, case when o.n_rows >= {quality.LEAST_ROWS} then o.fence when l.n_rows >= {quality.LEAST_ROWS} then l.fence else a.fence end fence
-        from own o join by_lang l using (lang) cross join overall a),
+    overall as (select measure, bucket, any_value(top) top, sum(n) * {quality.PARTS} weight from sketch group by all),
+    of_lang as (select lang, measure, bucket, any_value(top) top, sum(weight) weight from (
+        select lang, measure, bucket, top, n * {quality.PARTS} weight from sketch union all
+        select k.lang, measure, bucket, top, part from (select distinct lang, measure from sketch) k join {lent("overall", "")} using (measure)) group by all),
+    of_source as (select lang, source, measure, bucket, any_value(top) top, sum(weight) weight from (
+        select lang, source, measure, bucket, top, n * {quality.PARTS} weight from sketch union all
+        select lang, k.source, measure, bucket, top, part from (select distinct lang, source, measure from sketch) k join {lent("of_lang", "lang, ")} using (lang, measure)) group by all),
+    lang_fence as ({fence("lang", "of_lang")}), source_fence as ({fence("lang, source", "of_source")}),
+    fences as (select lang, source, map_from_entries(list((measure, least(s.fence, {quality.LIMIT} * l.fence)))) fence from source_fence s join lang_fence l using (lang, measure) group by all),
     judged as (select c.*, case when base_failed then [] else list_sort(list_filter([{beyond}], lambda x: x is not null)) end beyond from counts c left join fences using (lang, source))
     select doc_id, n_words::bigint n_words, word_chars::bigint word_chars, n_symbols::bigint n_symbols, n_dup_lines::bigint n_dup_lines, n_repeat_words::bigint n_repeat_words, base_failed,
         not base_failed and len(beyond) = 0 kept, array_to_string(beyond, ',') beyond from judged"""

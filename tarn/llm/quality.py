@@ -4,12 +4,16 @@ Every document is measured row by row. Each measure of the documents that pass t
 into a quantile sketch per language and source: a log-linear histogram (32 buckets for each power of
 two, so a quantile is off by at most 1/32 of its value) held as rows (group, measure, bucket, count).
 Sketches merge by adding counts, so they are summed before any shuffle, a hot source costs no more
-than a rare one, and the sketch of a language, or of all, is the sum of its sources' sketches. Groups
-too small for stable quantiles take the merged sketch of their language, or that of all languages.
+than a rare one, and the sketch of a language, or of all, is the sum of its sources' sketches.
 
-A document is kept if no measure lies beyond its group's fence: the 0.9 quantile plus ``reach`` times
-the distance from the median to it, never closer than ``slack``. The fences are joined to the
-measured rows by language and source.
+A group's quantiles come from its own sketch and PRIOR_ROWS further rows that are spread like its
+language (a language's likewise from all languages). So a small group judges much like its language and
+a large one by itself, with every shade between.
+
+A document is kept if no measure lies beyond its group's fence: the upper quartile plus ``reach`` times
+the distance from the median to it, never closer than ``slack``, and never beyond LIMIT times the
+fence of the language, so that neither a tenth of junk in a source nor a source of nothing else moves
+its fence out of reach. The fences are joined to the measured rows by language and source.
 """
 
 from __future__ import annotations
@@ -21,18 +25,20 @@ from pyspark.sql import functions as F
 
 from tarn.shared import written
 
-#: measure: (expression over the base counts, least distance of the fence from the 0.9 quantile)
+#: measure: (expression over the base counts, least distance of the fence from the upper quartile)
 MEASURES = {
     "symbols": ("n_symbols * 1000 div n_words", 100),
     "dup_lines": ("n_dup_lines * 1000 div n_lines", 300),
     "repeats": ("n_repeat_words * 1000 div n_words", 150),
-    "long_words": ("word_chars * 100 div n_words", 400),
-    "short_words": ("n_words * 10000 div word_chars", 1500),
+    "long_words": ("word_chars * 100 div n_words", 150),
+    "short_words": ("n_words * 10000 div word_chars", 600),
 }
 REACH = 4
-LEAST_ROWS = 200
-#: A group's fences are copied so often, and its rows dealt over as many keys, that no join key is hot.
-SALTS = 16
+LIMIT = 2
+#: Rows of the coarser group that count with a group's own.
+PRIOR_ROWS = 200
+#: Counts are kept in parts of a row, as whole numbers.
+PARTS = 100
 
 _BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words")
 _SPACE = r"[\\x20\\x09-\\x0D]"
@@ -95,20 +101,31 @@ def _within(expression: str, counts: str) -> str:
     return " ".join(f"{counts}.{x}" if x in _BASE else x for x in expression.split())
 
 
+def blended(own: DataFrame, coarser: DataFrame | None, group: Sequence[str], above: Sequence[str], prior_rows: int) -> DataFrame:
+    """Rows (group..., measure, bucket, weight): the sketch ``own`` (with counts n) in parts of rows, plus
+    prior_rows rows that are spread like ``coarser``, which has its weights by the columns ``above``."""
+    weighed = own.select(*group, "measure", "bucket", (F.col("n") * PARTS).alias("weight"))
+    if coarser is None:
+        return weighed
+    total = F.sum("weight").over(Window.partitionBy(*above, "measure"))
+    share = coarser.withColumn("total", total).select(*above, "measure", "bucket", F.expr(f"weight * {prior_rows * PARTS} div total").alias("weight"))
+    lent = own.select(*group, "measure").distinct().join(share, [*above, "measure"]).select(*group, "measure", "bucket", "weight")
+    return weighed.unionByName(lent).groupBy(*group, "measure", "bucket").agg(F.sum("weight").alias("weight"))
+
+
 def fences(sketch: DataFrame, group: Sequence[str], reach: int) -> DataFrame:
-    """Rows (group..., rows, fence): the sketch's number of rows and a map of measure to fence."""
+    """Rows (group..., measure, fence)."""
     own = Window.partitionBy(*group, "measure")
-    summed = sketch.withColumn("up_to", F.sum("n").over(own.orderBy("bucket"))).withColumn("all", F.sum("n").over(own))
-    least = [F.min(F.when(F.col("up_to") * 10 >= F.col("all") * q, bucket_top(F.col("bucket")))).alias(name) for q, name in ((5, "mid"), (9, "high"))]
-    each = summed.groupBy(*group, "measure").agg(F.max("all").alias("rows"), *least)
+    summed = sketch.withColumn("up_to", F.sum("weight").over(own.orderBy("bucket"))).withColumn("all", F.sum("weight").over(own))
+    least = [F.min(F.when(F.col("up_to") * 4 >= F.col("all") * q, bucket_top(F.col("bucket")))).alias(name) for q, name in ((2, "mid"), (3, "high"))]
     slack = F.create_map(*(x for name, (_, s) in MEASURES.items() for x in (F.lit(name), F.lit(s))))[F.col("measure")]
     fence = (F.col("high") + F.greatest(reach * (F.col("high") - F.col("mid")), slack)).cast("long")
-    return each.groupBy(*group).agg(F.max("rows").alias("rows"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("measure", fence.alias("fence"))))).alias("fence"))
+    return summed.groupBy(*group, "measure").agg(*least).select(*group, "measure", fence.alias("fence"))
 
 
 def quality_rules(
     documents: DataFrame, keep: Sequence[str] | None = None, text: str = "text", lang: str = "lang", source: str = "source",
-    reach: int = REACH, least_rows: int = LEAST_ROWS, into: str = "quality",
+    reach: int = REACH, prior_rows: int = PRIOR_ROWS, into: str = "quality",
 ) -> DataFrame:
     """Measure, sketch, and judge ``documents``.
 
@@ -125,14 +142,16 @@ def quality_rules(
     measured = written(base_counts(rows, "text", "counts").drop("text"), "measured")
     sketch = sketches(measured, ["lang", "source"], "counts")
     sketch = written(sketch, "sketch")
-    by_lang = fences(merged(sketch, ["lang"]), ["lang"], reach).select("lang", F.when(F.col("rows") >= least_rows, F.col("fence")).alias("lang_fence"))
-    overall = fences(merged(sketch.withColumn("every", F.lit(1)), ["every"]), ["every"], reach).select("every", F.col("fence").alias("every_fence"))
-    own = fences(sketch, ["lang", "source"], reach).withColumn("every", F.lit(1))
-    chosen = own.join(by_lang, "lang").join(overall, "every")
-    chosen = chosen.select("lang", "source", F.coalesce(F.when(F.col("rows") >= least_rows, F.col("fence")), "lang_fence", "every_fence").alias("fence"))
-    chosen = written(chosen, "fences").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = measured.withColumn("salt", F.pmod(F.xxhash64("row", "counts"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(chosen, ["lang", "source", "salt"], "left")
+    by_lang = merged(sketch, ["lang"])
+    overall = blended(merged(by_lang, []), None, [], [], 0)
+    of_lang = blended(by_lang, overall, ["lang"], [], prior_rows)
+    of_source = blended(sketch, of_lang, ["lang", "source"], ["lang"], prior_rows)
+    bound = fences(of_lang, ["lang"], reach).select("lang", "measure", (LIMIT * F.col("fence")).alias("most"))
+    each = fences(of_source, ["lang", "source"], reach).join(bound, ["lang", "measure"])
+    pairs = F.array_sort(F.collect_list(F.struct("measure", F.least("fence", "most").alias("fence"))))
+    chosen = written(each.groupBy("lang", "source").agg(F.map_from_entries(pairs).alias("fence")), "fences")
+    # a row a group on the right: rows of a hot source that do not fit one task are split at run time
+    joined = measured.join(chosen, ["lang", "source"], "left")
     failed = base_failed("counts")
     beyond = F.array_sort(F.array_compact(F.array(*(F.when(F.expr(_within(of, "counts")) > F.col("fence")[name], F.lit(name)) for name, (of, _) in MEASURES.items()))))
     beyond = F.when(failed, F.array().cast("array<string>")).otherwise(beyond)

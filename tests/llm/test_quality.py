@@ -57,25 +57,59 @@ def corpus(n=300):
     return rows
 
 
-@pytest.mark.parametrize("least", [1, 40, 10_000])
-def test_fences_by_group_language_and_all(spark, least):
+def fence_of(weights, slack):
+    """Fence of {bucket's largest value: weight}."""
+    total, values = sum(weights.values()), {}
+    for q in (2, 3):
+        up_to = 0
+        for top in sorted(weights):
+            up_to += weights[top]
+            if 4 * up_to >= q * total:
+                values[q] = top
+                break
+    return values[3] + max(quality.REACH * (values[3] - values[2]), slack)
+
+
+def expected_fences(rows, value, slack, prior):
+    """Fence of each (lang, source) of rows (lang, source, counts), from whole sketches in plain Python."""
+    top = lambda v: (lambda s: (((v >> s) + 1) << s) - 1)(max(0, v.bit_length() - 6))
+    tally = {}
+    for lang, source, c in rows:
+        for key in ((lang, source), lang, None):
+            own = tally.setdefault(key, {})
+            own[top(value(c))] = own.get(top(value(c)), 0) + quality.PARTS
+
+    def with_prior(own, above):
+        return {t: own.get(t, 0) + above.get(t, 0) * prior * quality.PARTS // sum(above.values()) for t in {*own, *above}}
+
+    of_lang = {k: with_prior(w, tally[None]) for k, w in tally.items() if isinstance(k, str)}
+    bound = {k: quality.LIMIT * fence_of(w, slack) for k, w in of_lang.items()}
+    return {k: min(fence_of(with_prior(w, of_lang[k[0]]), slack), bound[k[0]]) for k, w in tally.items() if isinstance(k, tuple)}
+
+
+@pytest.mark.parametrize("prior", [1, 40, 10_000])
+def test_fences_by_group_language_and_all(spark, prior):
     rows = corpus()
-    got = {r["doc_id"]: r["quality"] for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), least_rows=least).collect()}
+    got = {r["doc_id"]: r["quality"] for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), prior_rows=prior).collect()}
     assert len(got) == len(rows)
-    bucket = lambda v: (lambda s: (((v >> s) + 1) << s) - 1)(max(0, v.bit_length() - 6))
-    value = lambda c: c["n_symbols"] * 1000 // c["n_words"]
-    group = {}
-    for i, t, lang, source in rows:
-        for key in ((lang, source), lang, None):
-            group.setdefault(key, []).append(value(counts(t)))
-    for i, t, lang, source in rows:
-        values = sorted(next(group[k] for k in ((lang, source), lang, None) if len(group[k]) >= least or k is None))
-        at = lambda q: bucket(values[-(-len(values) * q // 10) - 1])
-        fence = at(9) + max(quality.REACH * (at(9) - at(5)), 100)
-        assert ("symbols" in got[i]["beyond"]) == (value(counts(t)) > fence), i
+    for name, value in (("symbols", lambda c: c["n_symbols"] * 1000 // c["n_words"]), ("long_words", lambda c: c["word_chars"] * 100 // c["n_words"])):
+        fences = expected_fences([(lang, source, counts(t)) for _, t, lang, source in rows], value, quality.MEASURES[name][1], prior)
+        for i, t, lang, source in rows:
+            assert (name in got[i]["beyond"]) == (value(counts(t)) > fences[lang, source]), (i, name)
     assert not got[7]["kept"] and got[8]["kept"]
 
 
+def test_large_groups_judge_by_themselves_and_small_ones_with_their_language(spark):
+    """A source of code-like texts keeps them, a source with three such texts does not, and one that is
+    all junk cannot set its fence beyond LIMIT times its language's."""
+    rng = random.Random(1)
+    text = lambda marks: " ".join(f"w{rng.randint(0, 5000)}" + "#" * (k < marks) for k in range(100))
+    rows = [(text(rng.randint(0, 2)), "plain") for _ in range(4000)] + [(text(rng.randint(14, 18)), "code") for _ in range(600)] + [(text(14), "small") for _ in range(3)] + [(text(100), "junk") for _ in range(300)]
+    frame = spark.createDataFrame([(i, t, "en", s) for i, (t, s) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    kept = quality.quality_rules(frame, ["source"]).groupBy("source").agg(F.avg(F.col("quality.kept").cast("int")).alias("share")).collect()
+    assert {r["source"]: r["share"] for r in kept} == {"plain": 1.0, "code": 1.0, "small": 0.0, "junk": 0.0}
+
+
 def test_edges(spark):
     rows = [(1, None, None, None), (2, "", "en", "s"), (2, "", "en", "s"), (3, "same line of words\n" * 10, "en", None), (None, " ".join(f"w{i}" for i in range(60_000)), "en", "s"), (4, "nine words are too few for this base rule", "en", "s")]
     frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, lang string, source string, counts string, fence int")
