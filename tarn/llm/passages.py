@@ -1,21 +1,23 @@
-"""Substring dedup: repeated passages, found by window hashes and located by Aho-Corasick automata.
+"""Substring dedup: repeated passages, confirmed word for word and located by Aho-Corasick automata.
 
 A window is ``n`` consecutive words of one document. A word goes if a window over it also starts in a
 document with a smaller id. Rows are dealt over parts of about ``part_bytes`` of text, and the work is
-done part by part:
-
-1. Anchors. Equal windows hold the same anchor: the least hash of their ANCHOR-word grams. Anchors are
-   a fraction of all windows, and one that stands in a single document ends here. Each task counts its
-   own anchors first, so a passage that everyone repeats is sent once a task.
-2. Windows on recurring anchors. Each part sends a 96-bit hash of each with its least document; their
-   meeting confirms which recur, and answers with one bit each: is there an earlier document elsewhere?
-3. Passages. Runs of windows confirmed against an earlier document are the part's passages. They are
-   compiled into Aho-Corasick automata, in shards of bounded size, with one character for each word,
-   and all documents of the part are streamed through them to locate every occurrence.
-
-Hashes and documents travel in packed blobs: hashes one for each pair of part and shard of the hash
-range, documents compressed together by part. No step sees more than a part or a shard, and both stay
-the same size as the corpus grows.
+done part by part and shard by shard:
+
+1. Candidates. Equal windows hold the same anchor: the least hash of their ANCHOR-word grams. Anchors
+   are a fraction of all windows, and one that stands in a single document ends here. Each task counts
+   its own anchors first, so a passage that everyone repeats is sent once a task. Then each part sends
+   a 96-bit hash of every window on a recurring anchor, and learns which other parts hold too. Hashes
+   only ever leave windows out; those that differ are never taken for equal by them.
+2. Confirmed passages. Each part sends the words of its runs of candidate windows, cut where the anchor
+   changes, so that equal windows meet in one shard. The shard compares them word for word and finds
+   the first document of each. Passages go back to the parts in which a later document holds them.
+3. Location. Each part compiles the passages it was sent into Aho-Corasick automata, in shards of
+   bounded size, with one character for each word, and streams all its documents through them. What
+   they find in a later document than the passage's first one goes.
+
+What travels is packed by pair of part and shard, documents compressed together by part. No step sees
+more than a part or a shard, and both stay the same size as the corpus grows.
 """
 
 from __future__ import annotations
@@ -24,28 +26,30 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.rows import passing, schema
-from tarn.llm.words import Words, covered, grams, mix, row_sums, runs, split, whole
+from tarn.llm.words import Words, covered, grams, mix, ranges, row_sums, runs, split, utf8, whole
 from tarn.shared import written
 
 WINDOW = 13
 ANCHOR = 7
 PART_BYTES = 2 << 20
-#: Bytes of text for each shard of the hash range.
+#: Bytes of text for each shard of the hash range, and for each shard in which words are compared.
 SHARD_BYTES = 32 << 20
+TEXT_SHARD_BYTES = 8 << 20
 #: Anchors that a task holds before it sends them, and bytes of documents before it packs them.
 HELD = 2_000_000
 HELD_BYTES = 32 << 20
 #: Words of the passages of one automaton.
 AUTOMATON_WORDS = 400_000
+#: Windows of one piece of text that is sent to be compared.
+SENT_WINDOWS = 64
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 _LOW = np.uint64(0xFFFFFFFF)
 
-_ENTRY = np.dtype([("a", "<u8"), ("b", "<u4"), ("low", "<i8")])
-
 
 def _blob(*arrays: np.ndarray) -> bytes:
     """Arrays of one length, each with its own type, compressed."""
@@ -178,76 +182,185 @@ def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(held)
 
 
-class _Part:
-    """The documents of a part, their words, and their windows on recurring anchors."""
-
-    def __init__(self, packed: pa.Table, found: list[bytes], n: int, shards: int):
-        rows = pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in packed.column("rows")]).combine_chunks()
-        self.rows, self.number = rows, packed.column("part")[0].as_py()
-        doc, text = rows.column("doc").combine_chunks(), rows.column("text").combine_chunks()
-        known, ids = doc.is_valid().to_numpy(zero_copy_only=False), doc.fill_null(0).to_numpy()
-        anchors = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_unblob(x, "<u8")[0] for x in found)]))
-        self.runs: list[tuple[int, int, Words, np.ndarray, np.ndarray, np.ndarray]] = []
-        entries = [np.zeros(0, _ENTRY)]
-        for i, j, data, offsets in runs(text):
-            words = split(data, offsets)
-            starts, anchor = _anchors(words, n, shards)
-            row = words.row_of()[starts]
-            starts = starts[np.isin(anchor, anchors) & known[i:j][row]]
-            one = np.zeros(len(starts), _ENTRY)
-            one["a"], one["b"] = _window_hashes(words, starts, n)
-            one["low"] = ids[i:j][words.row_of()[starts]]
-            self.runs.append((i, j, words, ids[i:j], known[i:j], starts))
-            entries.append(one)
-        every = np.concatenate(entries)
-        order = np.lexsort((every["b"], every["a"]))
-        new = np.r_[True, (every["a"][order][1:] != every["a"][order][:-1]) | (every["b"][order][1:] != every["b"][order][:-1])][: len(order)]
-        #: Different windows in order of hash, with the least document of the part; and each window's place among them.
-        self.entries = every[order][new].copy()
-        self.place = np.zeros(len(every), np.int64)
-        self.place[order] = np.cumsum(new) - 1
-        if len(order):
-            self.entries["low"] = np.minimum.reduceat(every["low"][order], np.flatnonzero(new))
-        self.shard = (self.entries["a"] % np.uint64(shards)).astype(np.int32)
+_CANDIDATES = "shard int, part int, windows binary, runs array<string>, docs array<long>, places array<int>, shards array<int>"
 
 
 def _send_windows(n: int, shards: int):
+    """A part's documents and recurring anchors to a row (shard, part, windows) for each shard that its
+    windows fall in, and one row (part, runs, docs, places, shards): the runs of these windows as text,
+    their documents, the number of each window among the part's different ones, and the shard of those."""
+
     def work(packed: pa.Table, side: pa.Table) -> pa.Table:
-        sent = []
-        if len(packed):
-            part = _Part(packed, side.column("found").to_pylist(), n, shards)
-            sent = [(s, part.number, _blob(x["a"], x["b"], x["low"])) for s, x in _by(part.shard, part.entries)]
-        columns = ([x[k] for x in sent] for k in range(3))
-        return pa.table({k: pa.array(v, t) for k, v, t in zip(("shard", "part", "windows"), columns, (pa.int32(), pa.int32(), pa.binary()))})
+        none = np.zeros(0, np.int64)
+        out = {name: [] for name in ("shard", "part", "windows", "runs", "docs", "places", "shards")}
+
+        def row(**values) -> None:
+            for name, held in out.items():
+                held.append(values.get(name))
+
+        anchors = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_unblob(x, "<u8")[0] for x in side.column("found").to_pylist())]))
+        if len(packed) and len(anchors):
+            number = packed.column("part")[0].as_py()
+            rows = pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in packed.column("rows")]).combine_chunks()
+            ids = rows.column("doc").combine_chunks().to_numpy()
+            hashes, texts, docs = [(np.zeros(0, np.uint64), np.zeros(0, np.uint32))], [pa.array([], pa.string())], [none]
+            for i, j, data, offsets in runs(rows.column("text").combine_chunks()):
+                words = split(data, offsets)
+                starts, anchor = _anchors(words, n, shards)
+                starts = starts[np.isin(anchor, anchors)]
+                hashes.append(_window_hashes(words, starts, n))
+                first, last = _runs(starts, words.row_of()[starts])
+                texts.append(words.spans(first, last + n))
+                docs.append(ids[i:j][words.row_of()[first]])
+            a, b = (np.concatenate(x) for x in zip(*hashes))
+            order = np.lexsort((b, a))
+            new = np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])][: len(order)]
+            place = np.zeros(len(a), np.int32)
+            place[order] = np.cumsum(new) - 1
+            a, b = a[order][new], b[order][new]
+            of = (a % np.uint64(shards)).astype(np.int32)
+            for shard, x, y in _by(of, a, b):
+                row(shard=shard, part=number, windows=_blob(x, y))
+            row(part=number, runs=pa.concat_arrays(texts).to_pylist(), docs=np.concatenate(docs), places=place, shards=of)
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+        return pa.table({name: pa.array(held, kind) for (name, held), kind in zip(out.items(), kinds)})
 
     return work
 
 
 def _meet_windows(table: pa.Table) -> pa.Table:
-    """A shard's windows: each part learns, in the order it sent them, which stand in an earlier document
-    of another part."""
-    held = [_unblob(x.as_py(), "<u8", "<u4", "<i8") for x in table.column("windows")]
-    a, b, low = (np.concatenate(x) for x in zip(*held))
+    """A shard's windows: each part learns, in the order it sent them, which stand in another part."""
+    held = [_unblob(x.as_py(), "<u8", "<u4") for x in table.column("windows")]
+    a, b = (np.concatenate(x) for x in zip(*held))
     order = np.lexsort((b, a))
-    new = np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])]
-    first = np.minimum.reduceat(low[order], np.flatnonzero(new))
-    earlier = np.zeros(len(a), bool)
-    earlier[order] = first[np.cumsum(new) - 1] < low[order]
-    ends = np.cumsum([len(x) for x, _, _ in held])
-    bits = [np.packbits(earlier[e - len(x) : e]).tobytes() for e, (x, _, _) in zip(ends, held)]
+    same = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
+    shared = np.zeros(len(a), bool)
+    shared[order] = np.r_[same, False] | np.r_[False, same]
+    ends = np.cumsum([len(x) for x, _ in held])
+    bits = [np.packbits(shared[e - len(x) : e]).tobytes() for e, (x, _) in zip(ends, held)]
     return pa.table({"part": table.column("part"), "shard": table.column("shard"), "bits": pa.array(bits, pa.binary())})
 
 
-def _ranges(starts: np.ndarray, n: int, words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of consecutive windows of one row, as word ranges; long ones in pieces that share n - 1 words."""
+def _runs(starts: np.ndarray, row: np.ndarray, *cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) window of each run of consecutive windows of one row; ``cut`` holds values that must
+    not change within a run."""
     if not len(starts):
         return starts, starts
-    row = words.row_of()[starts]
-    new = np.r_[True, (np.diff(starts) > 1) | (np.diff(row) > 0)]
-    first, last = starts[new], starts[np.r_[new[1:], True]]
-    step = AUTOMATON_WORDS // 2
-    pieces = [(a, min(a + step, b + 1)) for x, b in zip(first.tolist(), last.tolist()) for a in range(x, b + 1, step)]
-    return np.array([a for a, _ in pieces]), np.array([b + n - 1 for _, b in pieces])
+    new = np.r_[True, (np.diff(starts) > 1) | (row[1:] != row[:-1])]
+    for values in cut:
+        new[1:] |= values[1:] != values[:-1]
+    return starts[new], starts[np.r_[new[1:], True]]
+
+
+_SEGMENTS = "shard int, part int, segments array<string>, low array<long>, high array<long>"
+
+
+def _send_segments(n: int, text_shards: int):
+    """A part's runs and the bits about their windows to the runs that recur, as text with the first and
+    the last document of the part that holds them, for the shards in which words are compared."""
+
+    def work(held: pa.Table, side: pa.Table) -> pa.Table:
+        out = {name: [] for name in ("shard", "part", "segments", "low", "high")}
+        if len(held):
+            own = {name: held.column(name)[0].values for name in ("runs", "docs", "places", "shards")}
+            docs, place, of = (own[x].to_numpy() for x in ("docs", "places", "shards"))
+            recurs = np.zeros(len(of), bool)
+            for shard, bits in zip(side.column("shard").to_pylist(), side.column("bits").to_pylist()):
+                at = np.flatnonzero(of == shard)
+                recurs[at] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(at)).astype(bool)
+            segments, doc, shard, used = [], [], [], 0
+            low, high = np.full(len(of), np.iinfo(np.int64).max), np.full(len(of), np.iinfo(np.int64).min)
+            for i, j, data, offsets in runs(own["runs"]):
+                words = split(data, offsets)
+                starts = whole(words, n)
+                mine = place[used : used + len(starts)]
+                used += len(starts)
+                np.minimum.at(low, mine, docs[i:j][words.row_of()[starts]])
+                np.maximum.at(high, mine, docs[i:j][words.row_of()[starts]])
+            recurs |= low < high
+            used = 0
+            for i, j, data, offsets in runs(own["runs"]):
+                words = split(data, offsets)
+                starts, anchor = _anchors(words, n, text_shards)
+                keep = recurs[place[used : used + len(starts)]]
+                used += len(starts)
+                starts, anchor = starts[keep], anchor[keep]
+                row = words.row_of()[starts]
+                first, last = _runs(starts, row, anchor)
+                at, piece = ranges(np.zeros(len(first), np.int64), (last - first) // SENT_WINDOWS + 1)
+                first, last = first[piece] + at * SENT_WINDOWS, np.minimum(last[piece], first[piece] + (at + 1) * SENT_WINDOWS - 1)
+                segments.append(words.spans(first, last + n))
+                doc.append(docs[i:j][words.row_of()[first]])
+                shard.append((anchor[np.searchsorted(starts, first)] >> np.uint64(32)).astype(np.int32))
+            if segments and (coded := pa.concat_arrays(segments).dictionary_encode()):
+                code, doc, shard = coded.indices.to_numpy(), np.concatenate(doc), np.concatenate(shard)
+                order = np.argsort(code, kind="stable")
+                begin = np.flatnonzero(np.r_[True, np.diff(code[order]) > 0])
+                low, high = np.minimum.reduceat(doc[order], begin), np.maximum.reduceat(doc[order], begin)
+                for s, which in _by(shard[order][begin], np.arange(len(begin))):
+                    for name, value in zip(out, (s, held.column("part")[0].as_py(), coded.dictionary.take(pa.array(which)), low[which], high[which])):
+                        out[name].append(value)
+        kinds = (pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        lists = [pa.array(x, t) if not pa.types.is_list(t) else _lists(x, t.value_type) for x, t in zip(out.values(), kinds)]
+        return pa.table(lists, list(out))
+
+    return work
+
+
+def _lists(values: list, kind: pa.DataType) -> pa.Array:
+    """A list array of arrays."""
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in values])]).astype(np.int32)
+    flat = pa.concat_arrays([pa.array([], kind), *(x if isinstance(x, pa.Array) else pa.array(x, kind) for x in values)])
+    return pa.ListArray.from_arrays(pa.array(ends), flat)
+
+
+def _window_numbers(code: np.ndarray, n: int) -> np.ndarray:
+    """Equal numbers for equal runs of n codes, from each place on, and for no others: pairs of numbers
+    are numbered anew, over twice as many codes each time."""
+    if len(code) < n:
+        return np.zeros(0, np.int64)
+    known, size, out, done = code.astype(np.int64), 1, None, 0
+    while True:
+        if n & size:  # so many codes more
+            out = known if out is None else np.unique(out[: len(known) - done] * (known.max() + 1) + known[done:], return_inverse=True)[1]
+            done += size
+        if 2 * size > n:
+            return out
+        known = np.unique(known[:-size] * (known.max() + 1) + known[size:], return_inverse=True)[1]
+        size *= 2
+
+
+def _confirm(n: int):
+    """A shard's segments to the passages in them of which an earlier document holds every window, with
+    the latest of the windows' first documents, for each part that has a later document."""
+
+    def work(table: pa.Table) -> pa.Table:
+        lists = {name: [x.values for x in table.column(name)] for name in ("segments", "low", "high")}
+        coded = pa.concat_arrays(lists["segments"]).dictionary_encode()
+        which = coded.indices.to_numpy()
+        part = np.repeat(table.column("part").to_numpy(), [len(x) for x in lists["segments"]])
+        low, high = (np.concatenate([x.to_numpy() for x in lists[name]]) for name in ("low", "high"))
+        least = np.full(len(coded.dictionary), np.iinfo(np.int64).max)
+        np.minimum.at(least, which, low)
+        texts = coded.dictionary
+        words = split(*utf8(texts))
+        starts = whole(words, n)
+        number = _window_numbers(words.texts().dictionary_encode().indices.to_numpy(), n)[starts]
+        row = words.row_of()[starts]
+        first = np.full(int(number.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(first, number, least[row])
+        first = first[number]
+        begin, end = _runs(starts, row, first)
+        at = np.searchsorted(starts, begin)
+        passages, first, row = words.spans(begin, end + n), first[at], row[at]
+        # the passages of each segment that each part holds, where one of its documents is later
+        low_at, high_at = np.searchsorted(row, which), np.searchsorted(row, which, "right")
+        passage, sent = ranges(low_at, high_at)
+        later = first[passage] < high[sent]
+        out = list(_by(part[sent[later]], passage[later]))
+        return pa.table({"part": pa.array([p for p, _ in out], pa.int32()), "passages": _lists([passages.take(pa.array(k)) for _, k in out], pa.string()), "first": _lists([first[k] for _, k in out], pa.int64())})
+
+    return work
 
 
 def _characters(codes: np.ndarray) -> str:
@@ -256,79 +369,60 @@ def _characters(codes: np.ndarray) -> str:
     return codes.astype("<u4").tobytes().decode("utf-32-le")
 
 
-def _locate(words: Words, doc: np.ndarray, known: np.ndarray, starts: np.ndarray, before: np.ndarray, n: int) -> np.ndarray:
-    """Mask of the words that go, by streaming the rows through automata of their passages. ``starts``
-    are the windows on recurring anchors; a document loses one whose ``before`` is smaller than its id."""
+def _automata(passages: pa.Array, first: np.ndarray) -> Iterator[tuple]:
+    """Automata over one character a word, each with its vocabulary (in order of character, from 1 on),
+    and (first document, words) of its passages."""
     import ahocorasick
 
-    gone = np.zeros(len(words.start), bool)
-    is_later = before < doc[words.row_of()[starts]]
-    begin, end = _ranges(starts[is_later], n, words)
-    if not len(begin):
-        return gone
-    before_at = np.zeros(len(words.start), np.int64)
-    before_at[starts] = before
-    shard = np.cumsum(end - begin) // AUTOMATON_WORDS
+    words = split(*utf8(passages))
+    shard = (words.rows[1:] - 1) // AUTOMATON_WORDS
     for s in np.unique(shard):
         mine = np.flatnonzero(shard == s)
-        inside = covered(begin[mine], end[mine], len(words.start))
-        vocabulary = np.unique(words.hash[inside])
-        code = np.minimum(np.searchsorted(vocabulary, words.hash), len(vocabulary) - 1)
-        text = _characters(np.where(vocabulary[code] == words.hash, code + 1, 0))
-        automaton, latest = ahocorasick.Automaton(ahocorasick.STORE_INTS), []
-        for x, y in zip(begin[mine].tolist(), end[mine].tolist()):
-            key, late = text[x:y], int(before_at[x : y - n + 1].max())
-            old = automaton.get(key, -1)
-            if old < 0:
-                automaton.add_word(key, len(latest))
-                latest.append((late, y - x))
-            elif late < latest[old][0]:
-                latest[old] = late, y - x
+        texts = words.texts().slice(int(words.rows[mine[0]]), int(words.rows[mine[-1] + 1] - words.rows[mine[0]])).dictionary_encode()
+        text, begin = _characters(texts.indices.to_numpy().astype(np.int64) + 1), words.rows[mine[0]]
+        automaton, known = ahocorasick.Automaton(ahocorasick.STORE_INTS), []
+        for k in mine.tolist():
+            key = text[words.rows[k] - begin : words.rows[k + 1] - begin]
+            if key not in automaton:
+                automaton.add_word(key, len(known))
+                known.append((int(first[k]), len(key)))
         automaton.make_automaton()
-        hits: list[tuple[int, int]] = []
+        yield automaton, texts.dictionary, known
+
+
+def _locate(words: Words, doc: np.ndarray, known: np.ndarray, automata: list[tuple], n: int) -> np.ndarray:
+    """Mask of the words that go: those in passages that the automata find in a row of a later document."""
+    hits = [np.zeros((0, 2), np.int64)]
+    texts = words.texts() if automata else None
+    for automaton, vocabulary, passages in automata:
+        code = pc.fill_null(pc.index_in(texts, vocabulary), -1).to_numpy().astype(np.int64) + 1
+        text, found = _characters(code), []
         for r in np.flatnonzero(known & (words.count() >= n)).tolist():
-            low, high, own = int(words.rows[r]), int(words.rows[r + 1]), int(doc[r])
-            for last, k in automaton.iter(text, low, high):
-                late, length = latest[k]
-                if own > late:
-                    hits.append((last + 1 - length, last + 1))
-        if hits:
-            gone |= covered(*np.array(hits).T, len(gone))
-    return gone
-
-
-def kept_text(words: Words, gone: np.ndarray) -> pa.Array:
-    """The words that stay, of each row, joined by one space."""
-    keep = np.flatnonzero(~gone)
-    row = words.row_of()[keep]
-    space = np.r_[row[1:] == row[:-1], False][: len(keep)].astype(np.int64)
-    n = words.end[keep] - words.start[keep] + space
-    ends = np.concatenate([[0], np.cumsum(n)])
-    source = np.arange(ends[-1]) + np.repeat(words.start[keep] - ends[:-1], n)
-    out = words.data[np.minimum(source, max(0, len(words.data) - 1))] if len(source) else np.zeros(0, np.uint8)
-    out[ends[1:][space > 0] - 1] = 0x20
-    offsets = ends[np.searchsorted(row, np.arange(len(words.rows)))].astype(np.int32)
-    return pa.Array.from_buffers(pa.string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(out))])
-
-
-def _remove(n: int, shards: int, keep: int, text_at: int):
+            own = int(doc[r])
+            for last, k in automaton.iter(text, int(words.rows[r]), int(words.rows[r + 1])):
+                first, length = passages[k]
+                if own > first:
+                    found.append((last + 1 - length, last + 1))
+        if found:
+            hits.append(np.array(found, np.int64))
+    begin, end = np.concatenate(hits).T
+    return covered(begin, end, len(words.start))
+
+
+def _remove(n: int, keep: int, text_at: int):
     names = [*(f"k{c}" for c in range(keep)), "n_words", "n_removed", "removed", "kept"]
     spans_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-    anywhere = np.iinfo(np.int64).min
 
     def work(packed: pa.Table, side: pa.Table) -> pa.Table:
-        part = _Part(packed, side.filter(side.column("found").is_valid()).column("found").to_pylist(), n, shards)
-        earlier = np.zeros(len(part.entries), bool)
-        for shard, bits in zip(side.column("shard").to_pylist(), side.column("bits").to_pylist()):
-            if bits is not None:
-                at = np.flatnonzero(part.shard == shard)
-                earlier[at] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(at)).astype(bool)
-        # a window's document must be greater than this: any is, where an earlier one is elsewhere
-        before = np.where(earlier, anywhere, part.entries["low"])[part.place]
-        out, used = [], 0
-        for i, j, words, doc, known, starts in part.runs:
-            gone = _locate(words, doc, known, starts, before[used : used + len(starts)], n)
-            used += len(starts)
+        held = pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in packed.column("rows")]).combine_chunks()
+        known, ids = (x.combine_chunks() for x in (held.column("doc").is_valid(), held.column("doc").fill_null(0)))
+        known, ids = known.to_numpy(zero_copy_only=False), ids.to_numpy()
+        sent = [(x.values, y.values.to_numpy()) for x, y in zip(side.column("passages"), side.column("first"))]
+        automata = list(_automata(pa.concat_arrays([x for x, _ in sent]), np.concatenate([y for _, y in sent]))) if sent else []
+        out = []
+        for i, j, data, offsets in runs(held.column("text").combine_chunks()):
+            words = split(data, offsets)
+            gone = _locate(words, ids[i:j], known[i:j], automata, n)
             row = words.row_of()
             parted = np.r_[row[1:] != row[:-1], True][: len(row)]
             edge = np.flatnonzero(gone & ~(np.r_[False, gone[:-1]][: len(gone)] & ~np.r_[True, parted[:-1]][: len(gone)]))
@@ -336,8 +430,9 @@ def _remove(n: int, shards: int, keep: int, text_at: int):
             spans = [[] for _ in range(i, j)]
             for a, b in zip(edge.tolist(), stop.tolist()):
                 spans[row[a]].append({"first": a - words.rows[row[a]], "last": b - words.rows[row[a]]})
-            columns = [part.rows.column("text" if c == text_at else f"k{c}").slice(i, j - i).combine_chunks() for c in range(keep)]
-            columns += [pa.array(words.count(), pa.int64()), pa.array(row_sums(gone, words.rows), pa.int64()), pa.array(spans, spans_type), kept_text(words, gone)]
+            columns = [held.column("text" if c == text_at else f"k{c}").slice(i, j - i).combine_chunks() for c in range(keep)]
+            left = np.flatnonzero(~gone)
+            columns += [pa.array(words.count(), pa.int64()), pa.array(row_sums(gone, words.rows), pa.int64()), pa.array(spans, spans_type), words.joined(left, row[left], j - i)]
             out.append(pa.table(columns, names))
         return pa.concat_tables(out)
 
@@ -345,34 +440,38 @@ def _remove(n: int, shards: int, keep: int, text_at: int):
 
 
 def remove_repeats(
-    documents: DataFrame, keep: Sequence[str], text: str = "text", order: str = "doc_id", n: int = WINDOW, part_bytes: int = PART_BYTES, shard_bytes: int = SHARD_BYTES,
+    documents: DataFrame, keep: Sequence[str], text: str = "text", order: str = "doc_id", n: int = WINDOW, part_bytes: int = PART_BYTES, shard_bytes: int = SHARD_BYTES, text_shard_bytes: int = TEXT_SHARD_BYTES,
 ) -> DataFrame:
     """Remove each word that a window covers whose word sequence also starts in a document with a
     smaller ``order`` (a whole number).
 
     Returns a row for each row: the columns named in ``keep``, then ``n_words`` and ``n_removed``
     (long), ``removed`` (array of ranges of word numbers) and ``kept`` (the words that stay, joined by
-    one space). Words are runs of anything but ASCII white space. Null and empty texts, and texts of
-    fewer than ``n`` words, lose nothing. Of rows with equal ids neither is the smaller; a row with a
-    null id loses nothing and takes nothing from others. Windows are judged on the input. ``keep`` may
-    not hold the new names; other columns are not read. Words are compared as 64-bit hashes, windows
-    as 96-bit ones. The table is read four times and its texts shuffled twice, compressed; a text that
-    is also in ``keep`` travels once.
+    one space). Words are runs of anything but ASCII white space, and compared as they are. Null and
+    empty texts, and texts of fewer than ``n`` words, lose nothing. Of rows with equal ids neither is the
+    smaller; a row with a null id loses nothing and takes nothing from others. Windows are judged on the
+    input. ``keep`` may not hold the new names; other columns are not read. The table is read four times
+    and its texts shuffled twice, compressed; a text that is also in ``keep`` travels once.
     """
     words = F.col(f"`{text}`").cast("string")
     size = documents.agg(F.sum(F.octet_length(words))).first()[0] or 0
-    parts, shards = size // part_bytes + 1, size // shard_bytes + 1
-    part = F.pmod(F.xxhash64(F.col(f"`{order}`"), words), F.lit(parts)).cast("int").alias("part")
+    parts, shards, text_shards = (size // x + 1 for x in (part_bytes, shard_bytes, text_shard_bytes))
+    doc = F.col(f"`{order}`").cast("long")
+    # rows without an id only pass through, so they may be dealt anyhow
+    part = F.pmod(F.when(doc.isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64(doc, words)), F.lit(parts)).cast("int").alias("part")
     text_at = list(keep).index(text) if text in keep and dict(documents.dtypes)[text] == "string" else -1
-    narrow = [part, F.col(f"`{order}`").cast("long").alias("doc"), words.alias("text")]
+    narrow = [part, doc.alias("doc"), words.alias("text")]
     others = [c for i, c in enumerate(passing(keep)) if i != text_at]
-    sent = written(documents.select(part, words).mapInArrow(_send_anchors(n, shards), _SENT), "anchors")
+    known = documents.filter(doc.isNotNull())
+    sent = written(known.select(part, words).mapInArrow(_send_anchors(n, shards), _SENT), "anchors")
     met = sent.filter(F.col("shard").isNotNull()).select("shard", "anchors").groupBy("shard").applyInArrow(_meet_anchors, "part int, found binary")
     found = written(met.unionByName(sent.filter(F.col("part").isNotNull()).select("part", "found")), "found")
-    dealt = documents.select(*narrow).mapInArrow(_deal, "part int, rows binary")
-    windows = dealt.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_send_windows(n, shards), "shard int, part int, windows binary")
-    earlier = written(windows.groupBy("shard").applyInArrow(_meet_windows, "part int, shard int, bits binary"), "earlier")
-    side = found.select("part", F.lit(None).cast("int").alias("shard"), "found", F.lit(None).cast("binary").alias("bits")).unionByName(earlier.select("part", "shard", F.lit(None).cast("binary").alias("found"), "bits"))
+    dealt = known.select(*narrow).mapInArrow(_deal, "part int, rows binary")
+    candidates = written(dealt.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_send_windows(n, shards), _CANDIDATES), "candidates")
+    bits = candidates.filter(F.col("shard").isNotNull()).select("shard", "part", "windows").groupBy("shard").applyInArrow(_meet_windows, "part int, shard int, bits binary")
+    held = candidates.filter(F.col("shard").isNull()).select("part", "runs", "docs", "places", "shards")
+    segments = held.groupBy("part").cogroup(bits.groupBy("part")).applyInArrow(_send_segments(n, text_shards), _SEGMENTS)
+    passages = written(segments.groupBy("shard").applyInArrow(_confirm(n), "part int, passages array<string>, first array<long>"), "passages")
     result = schema(documents, keep, "n_words long, n_removed long, removed array<struct<first:int,last:int>>, kept string")
     dealt = documents.select(*narrow, *others).mapInArrow(_deal, "part int, rows binary")
-    return dealt.groupBy("part").cogroup(side.groupBy("part")).applyInArrow(_remove(n, shards, len(keep), text_at), result).toDF(*keep, "n_words", "n_removed", "removed", "kept")
+    return dealt.groupBy("part").cogroup(passages.groupBy("part")).applyInArrow(_remove(n, len(keep), text_at), result).toDF(*keep, "n_words", "n_removed", "removed", "kept")

@@ -57,6 +57,30 @@ class Words:
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.rows) - 1), np.diff(self.rows))
 
+    def texts(self) -> pa.Array:
+        """Each word's bytes."""
+        n = self.end - self.start
+        ends = np.concatenate([[0], np.cumsum(n)])
+        at = np.arange(ends[-1]) + np.repeat(self.start - ends[:-1], n)
+        return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(self.data[at]))])
+
+    def joined(self, which: np.ndarray, group: np.ndarray, groups: int) -> pa.Array:
+        """For each group from 0 to groups - 1 the words ``which`` of it, in that order, joined by one
+        space; ``group`` is the group of each and never falls."""
+        space = np.r_[group[1:] == group[:-1], False][: len(group)].astype(np.int64)
+        n = self.end[which] - self.start[which] + space
+        ends = np.concatenate([[0], np.cumsum(n)])
+        source = np.arange(ends[-1]) + np.repeat(self.start[which] - ends[:-1], n)
+        out = self.data[np.minimum(source, max(0, len(self.data) - 1))] if len(source) else np.zeros(0, np.uint8)
+        out[ends[1:][space > 0] - 1] = 0x20
+        offsets = ends[np.searchsorted(group, np.arange(groups + 1))].astype(np.int32)
+        return pa.Array.from_buffers(pa.string(), groups, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(out))])
+
+    def spans(self, first: np.ndarray, last: np.ndarray) -> pa.Array:
+        """Words first..last-1 of each span, joined by one space."""
+        which, span = ranges(first, last)
+        return self.joined(which, span, len(first))
+
     def text(self, first: int, last: int) -> bytes:
         """Words first..last-1 joined by one space."""
         d = self.data
@@ -126,6 +150,12 @@ def whole(words: Words, n: int) -> np.ndarray:
     return np.flatnonzero(row[: len(row) - n + 1] == row[n - 1 :])
 
 
+def ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the numbers from first to last - 1 of each range, the range of each)."""
+    n = last - first
+    return np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n), np.repeat(np.arange(len(n)), n)
+
+
 def covered(starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
     """Boolean mask of the places that some range [start, end) covers."""
     mark = np.zeros(size + 1, np.int64)

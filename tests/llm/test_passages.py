@@ -4,10 +4,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tarn.llm import passages
 from tarn.llm.passages import remove_repeats
 from tarn.llm.words import split
 
@@ -34,7 +36,7 @@ def found(spark, rows, n, **more):
     return sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept"], [q for s in r["removed"] for q in range(s["first"], s["last"])]) for r in got), key=str)
 
 
-SMALL = {"part_bytes": 300, "shard_bytes": 200}
+SMALL = {"part_bytes": 300, "shard_bytes": 200, "text_shard_bytes": 150}
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -65,13 +67,49 @@ def test_edges(spark):
     assert found(spark, [], 13) == []
 
 
-def test_long_passages_in_pieces(spark, monkeypatch):
-    import tarn.llm.passages as module
-
-    text = " ".join(f"w{k % 977}" for k in range(3_000))
-    monkeypatch.setattr(module, "AUTOMATON_WORDS", 200)
-    data = np.frombuffer(text.encode(), np.uint8)
-    words = split(data, np.array([0, len(data)]))
-    starts = module.whole(words, 13)
-    gone = module._locate(words, np.array([2]), np.array([True]), starts, np.ones(len(starts), np.int64), 13)
-    assert gone.all()
+def test_equal_numbers_for_equal_windows():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 3, 7, 12, 13):
+        for length in (0, 1, 12, 13, 14, 60):
+            codes = rng.integers(0, 3, length)
+            windows = [tuple(codes[i : i + n]) for i in range(length - n + 1)]
+            numbers = passages._window_numbers(codes, n).tolist()
+            assert len(numbers) == len(windows) and len(set(zip(numbers, windows))) == len(set(windows)) == len(set(numbers))
+
+
+def test_passages_in_several_automata(spark, monkeypatch):
+    monkeypatch.setattr(passages, "AUTOMATON_WORDS", 200)
+    text = [f"w{k % 977}" for k in range(3_000)]
+    sent = pa.array([" ".join(text[k : k + 40]) for k in range(0, 2_988, 20)])
+    automata = list(passages._automata(sent, np.ones(len(sent), np.int64)))
+    assert len(automata) > 10
+    data = " ".join(text).encode()
+    words = split(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    assert passages._locate(words, np.array([2]), np.array([True]), automata, 13).all()
+    assert not passages._locate(words, np.array([1]), np.array([True]), automata, 13).any()
+
+
+def test_nothing_goes_without_automata(spark, monkeypatch):
+    """All that goes is what automata find: with none, nothing does."""
+    words = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, words), (2, "x " + words), (3, words + " y")]
+    packed = pa.table({"part": pa.array([0], pa.int32()), "rows": [passages._deal(iter([pa.RecordBatch.from_pydict({"part": pa.array([0] * 3, pa.int32()), "doc": [r[0] for r in rows], "text": [r[1] for r in rows]})])).__next__().column("rows")[0].as_py()]})
+    sent = pa.table({"passages": [[words]], "first": [[1]]})
+    removed = lambda side: passages._remove(13, 0, -1)(packed, side).column("n_removed").to_pylist()
+    assert removed(sent) == [0, 30, 30] and removed(sent.slice(0, 0)) == [0, 0, 0]
+
+
+def test_words_built_against_polynomial_hashes_differ(spark):
+    one = "a"
+    while len(one) < 2048:
+        one += one.translate(str.maketrans("ab", "ba"))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, " ".join([one] * 20)), (2, " ".join([two] * 20)), (3, " ".join([one] * 13))]
+    assert found(spark, rows, 13) == brute(rows, 13)
+
+
+def test_words_decide_where_all_hashes_are_equal(spark, monkeypatch):
+    """A shard compares words: segments that met by equal hashes and differ in one word share nothing."""
+    segments = [[" ".join(f"w{k}" for k in range(13)), " ".join(f"w{k}" for k in range(12)) + " other"], [" ".join(f"w{k}" for k in range(13))]]
+    got = passages._confirm(13)(pa.table({"shard": pa.array([0, 0], pa.int32()), "part": pa.array([1, 2], pa.int32()), "segments": segments, "low": [[5, 3], [7]], "high": [[5, 3], [9]]}))
+    assert got.to_pylist() == [{"part": 2, "passages": [segments[0][0]], "first": [5]}]
