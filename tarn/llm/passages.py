@@ -7,8 +7,8 @@ done part by part and shard by shard:
 1. Candidates. Equal windows hold the same anchor: the least hash of their ANCHOR-word grams. Anchors
    are a fraction of all windows, and one that stands in a single document ends here. Each task counts
    its own anchors first, so a passage that everyone repeats is sent once a task. Then each part sends
-   a 96-bit hash of every window on a recurring anchor, and learns which other parts hold too. Hashes
-   only ever leave windows out; those that differ are never taken for equal by them.
+   a short hash of every window on a recurring anchor, and learns which other parts hold too. Hashes
+   only ever leave windows out; windows that differ are never taken for equal by them.
 2. Confirmed passages. Each part sends the words of its runs of candidate windows, cut where the anchor
    changes, so that equal windows meet in one shard. The shard compares them word for word and finds
    the first document of each. Passages go back to the parts in which a later document holds them.
@@ -92,13 +92,13 @@ def _anchors(words: Words, n: int, shards: int) -> tuple[np.ndarray, np.ndarray]
     return starts, (least % np.uint64(shards)) << np.uint64(32) | least >> np.uint64(32)
 
 
-def _window_hashes(words: Words, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    a, b = np.zeros(len(starts), np.uint64), np.ones(len(starts), np.uint64)
+def _window_hashes(words: Words, starts: np.ndarray, n: int, shards: int) -> np.ndarray:
+    """The shard of each window, then 32 bits of its hash: like anchors, a filter only."""
+    h = np.zeros(len(starts), np.uint64)
     for j in range(n):
-        h = words.hash[starts + j]
-        a = a * _SECOND + h
-        b = (b ^ h) * np.uint64(0x2545F4914F6CDD1D) + (b >> np.uint64(31))
-    return mix(a), (mix(b) & _LOW).astype(np.uint32)
+        h = h * _SECOND + words.hash[starts + j]
+    h = mix(h)
+    return (h % np.uint64(shards)) << np.uint64(32) | h >> np.uint64(32)
 
 
 _SENT = "shard int, anchors binary, part int, found binary"
@@ -182,17 +182,16 @@ def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(held)
 
 
-_CANDIDATES = "shard int, part int, windows binary, runs array<string>, docs array<long>, places array<int>, shards array<int>"
+_CANDIDATES = "shard int, part int, windows binary, runs array<string>, docs array<long>"
 
 
 def _send_windows(n: int, shards: int):
     """A part's documents and recurring anchors to a row (shard, part, windows) for each shard that its
-    windows fall in, and one row (part, runs, docs, places, shards): the runs of these windows as text,
-    their documents, the number of each window among the part's different ones, and the shard of those."""
+    windows fall in, and one row (part, runs, docs): the runs of these windows as text, and the document
+    of each."""
 
     def work(packed: pa.Table, side: pa.Table) -> pa.Table:
-        none = np.zeros(0, np.int64)
-        out = {name: [] for name in ("shard", "part", "windows", "runs", "docs", "places", "shards")}
+        out = {name: [] for name in ("shard", "part", "windows", "runs", "docs")}
 
         def row(**values) -> None:
             for name, held in out.items():
@@ -203,26 +202,20 @@ def _send_windows(n: int, shards: int):
             number = packed.column("part")[0].as_py()
             rows = pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in packed.column("rows")]).combine_chunks()
             ids = rows.column("doc").combine_chunks().to_numpy()
-            hashes, texts, docs = [(np.zeros(0, np.uint64), np.zeros(0, np.uint32))], [pa.array([], pa.string())], [none]
+            hashes, texts, docs = [np.zeros(0, np.uint64)], [], []
             for i, j, data, offsets in runs(rows.column("text").combine_chunks()):
                 words = split(data, offsets)
                 starts, anchor = _anchors(words, n, shards)
                 starts = starts[np.isin(anchor, anchors)]
-                hashes.append(_window_hashes(words, starts, n))
+                hashes.append(_window_hashes(words, starts, n, shards))
                 first, last = _runs(starts, words.row_of()[starts])
                 texts.append(words.spans(first, last + n))
                 docs.append(ids[i:j][words.row_of()[first]])
-            a, b = (np.concatenate(x) for x in zip(*hashes))
-            order = np.lexsort((b, a))
-            new = np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])][: len(order)]
-            place = np.zeros(len(a), np.int32)
-            place[order] = np.cumsum(new) - 1
-            a, b = a[order][new], b[order][new]
-            of = (a % np.uint64(shards)).astype(np.int32)
-            for shard, x, y in _by(of, a, b):
-                row(shard=shard, part=number, windows=_blob(x, y))
-            row(part=number, runs=pa.concat_arrays(texts).to_pylist(), docs=np.concatenate(docs), places=place, shards=of)
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            different = np.unique(np.concatenate(hashes))
+            for shard, x in _by((different >> np.uint64(32)).astype(np.int32), different):
+                row(shard=shard, part=number, windows=_blob((x & _LOW).astype("<u4")))
+            row(part=number, runs=pa.concat_arrays(texts).to_pylist(), docs=np.concatenate(docs))
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64()))
         return pa.table({name: pa.array(held, kind) for (name, held), kind in zip(out.items(), kinds)})
 
     return work
@@ -230,14 +223,14 @@ def _send_windows(n: int, shards: int):
 
 def _meet_windows(table: pa.Table) -> pa.Table:
     """A shard's windows: each part learns, in the order it sent them, which stand in another part."""
-    held = [_unblob(x.as_py(), "<u8", "<u4") for x in table.column("windows")]
-    a, b = (np.concatenate(x) for x in zip(*held))
-    order = np.lexsort((b, a))
-    same = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
-    shared = np.zeros(len(a), bool)
+    held = [_unblob(x.as_py(), "<u4")[0] for x in table.column("windows")]
+    every = np.concatenate(held)
+    order = np.argsort(every, kind="stable")
+    same = every[order][1:] == every[order][:-1]
+    shared = np.zeros(len(every), bool)
     shared[order] = np.r_[same, False] | np.r_[False, same]
-    ends = np.cumsum([len(x) for x, _ in held])
-    bits = [np.packbits(shared[e - len(x) : e]).tobytes() for e, (x, _) in zip(ends, held)]
+    ends = np.cumsum([len(x) for x in held])
+    bits = [np.packbits(shared[e - len(x) : e]).tobytes() for e, x in zip(ends, held)]
     return pa.table({"part": table.column("part"), "shard": table.column("shard"), "bits": pa.array(bits, pa.binary())})
 
 
@@ -252,56 +245,55 @@ def _runs(starts: np.ndarray, row: np.ndarray, *cut: np.ndarray) -> tuple[np.nda
     return starts[new], starts[np.r_[new[1:], True]]
 
 
-_SEGMENTS = "shard int, part int, segments array<string>, low array<long>, high array<long>"
+_SEGMENTS = "shard int, part int, segments array<string>, low array<long>, high array<long>, places array<long>"
 
 
-def _send_segments(n: int, text_shards: int):
-    """A part's runs and the bits about their windows to the runs that recur, as text with the first and
-    the last document of the part that holds them, for the shards in which words are compared."""
+def _send_segments(n: int, shards: int, text_shards: int):
+    """A part's runs and the bits about their windows to the runs that recur, cut where the anchor changes,
+    for the shards in which words are compared: their text, the first and the last document of the part
+    that hold them, and, if they stand in one place of the part only, the number of their first window."""
 
     def work(held: pa.Table, side: pa.Table) -> pa.Table:
-        out = {name: [] for name in ("shard", "part", "segments", "low", "high")}
+        out = {name: [] for name in ("shard", "part", "segments", "low", "high", "places")}
         if len(held):
-            own = {name: held.column(name)[0].values for name in ("runs", "docs", "places", "shards")}
-            docs, place, of = (own[x].to_numpy() for x in ("docs", "places", "shards"))
-            recurs = np.zeros(len(of), bool)
+            texts, docs = held.column("runs")[0].values, held.column("docs")[0].values.to_numpy()
+            split_runs = [(i, j, split(data, offsets)) for i, j, data, offsets in runs(texts)]
+            starts = [whole(words, n) for _, _, words in split_runs]
+            window = np.concatenate([_window_hashes(words, at, n, shards) for (_, _, words), at in zip(split_runs, starts)])
+            doc = np.concatenate([docs[i:j][words.row_of()[at]] for (i, j, words), at in zip(split_runs, starts)])
+            different, which = np.unique(window, return_inverse=True)
+            of, recurs = (different >> np.uint64(32)).astype(np.int32), np.zeros(len(different), bool)
             for shard, bits in zip(side.column("shard").to_pylist(), side.column("bits").to_pylist()):
-                at = np.flatnonzero(of == shard)
-                recurs[at] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(at)).astype(bool)
-            segments, doc, shard, used = [], [], [], 0
-            low, high = np.full(len(of), np.iinfo(np.int64).max), np.full(len(of), np.iinfo(np.int64).min)
-            for i, j, data, offsets in runs(own["runs"]):
-                words = split(data, offsets)
-                starts = whole(words, n)
-                mine = place[used : used + len(starts)]
-                used += len(starts)
-                np.minimum.at(low, mine, docs[i:j][words.row_of()[starts]])
-                np.maximum.at(high, mine, docs[i:j][words.row_of()[starts]])
-            recurs |= low < high
-            used = 0
-            for i, j, data, offsets in runs(own["runs"]):
-                words = split(data, offsets)
-                starts, anchor = _anchors(words, n, text_shards)
-                keep = recurs[place[used : used + len(starts)]]
-                used += len(starts)
-                starts, anchor = starts[keep], anchor[keep]
-                row = words.row_of()[starts]
-                first, last = _runs(starts, row, anchor)
-                at, piece = ranges(np.zeros(len(first), np.int64), (last - first) // SENT_WINDOWS + 1)
-                first, last = first[piece] + at * SENT_WINDOWS, np.minimum(last[piece], first[piece] + (at + 1) * SENT_WINDOWS - 1)
+                a, b = np.searchsorted(of, (shard, shard + 1))
+                recurs[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
+            low, high = np.full(len(different), np.iinfo(np.int64).max), np.full(len(different), np.iinfo(np.int64).min)
+            np.minimum.at(low, which, doc)
+            np.maximum.at(high, which, doc)
+            keep, used = (recurs | (low < high))[which], 0
+            segments, doc, shard, place = [], [], [], []
+            for (i, j, words), at in zip(split_runs, starts):
+                mine = keep[used : used + len(at)]
+                anchor = _anchors(words, n, text_shards)[1][mine]
+                first, last = _runs(at[mine], words.row_of()[at[mine]], anchor)
+                # texts that repeat themselves keep one anchor for long
+                cut, piece = ranges(np.zeros(len(first), np.int64), (last - first) // SENT_WINDOWS + 1)
+                first, last = first[piece] + cut * SENT_WINDOWS, np.minimum(last[piece], first[piece] + (cut + 1) * SENT_WINDOWS - 1)
                 segments.append(words.spans(first, last + n))
                 doc.append(docs[i:j][words.row_of()[first]])
-                shard.append((anchor[np.searchsorted(starts, first)] >> np.uint64(32)).astype(np.int32))
-            if segments and (coded := pa.concat_arrays(segments).dictionary_encode()):
-                code, doc, shard = coded.indices.to_numpy(), np.concatenate(doc), np.concatenate(shard)
-                order = np.argsort(code, kind="stable")
-                begin = np.flatnonzero(np.r_[True, np.diff(code[order]) > 0])
-                low, high = np.minimum.reduceat(doc[order], begin), np.maximum.reduceat(doc[order], begin)
-                for s, which in _by(shard[order][begin], np.arange(len(begin))):
-                    for name, value in zip(out, (s, held.column("part")[0].as_py(), coded.dictionary.take(pa.array(which)), low[which], high[which])):
-                        out[name].append(value)
-        kinds = (pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        lists = [pa.array(x, t) if not pa.types.is_list(t) else _lists(x, t.value_type) for x, t in zip(out.values(), kinds)]
+                shard.append((anchor[np.searchsorted(at[mine], first)] >> np.uint64(32)).astype(np.int32))
+                # a number is left out between runs, so that none seems to go on with the next one
+                place.append(np.searchsorted(at, first) + used + i + words.row_of()[first])
+                used += len(at)
+            coded = pa.concat_arrays(segments).dictionary_encode()
+            code, doc, shard, place = coded.indices.to_numpy(), np.concatenate(doc), np.concatenate(shard), np.concatenate(place)
+            order = np.argsort(code, kind="stable")
+            begin = np.flatnonzero(np.r_[True, np.diff(code[order]) > 0])[: len(order)]
+            low, high = (f.reduceat(doc[order], begin) if len(begin) else doc for f in (np.minimum, np.maximum))
+            place = np.where(np.diff(np.r_[begin, len(order)]) == 1, place[order][begin], -1)
+            for s, at in _by(shard[order][begin], np.arange(len(begin))):
+                for name, value in zip(out, (s, held.column("part")[0].as_py(), coded.dictionary.take(pa.array(at)), low[at], high[at], place[at])):
+                    out[name].append(value)
+        lists = [pa.array(out["shard"], pa.int32()), pa.array(out["part"], pa.int32()), _lists(out["segments"], pa.string()), *(_lists(out[x], pa.int64()) for x in ("low", "high", "places"))]
         return pa.table(lists, list(out))
 
     return work
@@ -330,20 +322,22 @@ def _window_numbers(code: np.ndarray, n: int) -> np.ndarray:
         size *= 2
 
 
+_PASSAGES = "part int, passages array<string>, first array<long>, places array<long>"
+
+
 def _confirm(n: int):
-    """A shard's segments to the passages in them of which an earlier document holds every window, with
-    the latest of the windows' first documents, for each part that has a later document."""
+    """A shard's segments to the passages in them whose windows have one first document each, with that
+    document, for each part that has a later one; places are numbers of windows as above."""
 
     def work(table: pa.Table) -> pa.Table:
-        lists = {name: [x.values for x in table.column(name)] for name in ("segments", "low", "high")}
+        lists = {name: [x.values for x in table.column(name)] for name in ("segments", "low", "high", "places")}
         coded = pa.concat_arrays(lists["segments"]).dictionary_encode()
         which = coded.indices.to_numpy()
         part = np.repeat(table.column("part").to_numpy(), [len(x) for x in lists["segments"]])
-        low, high = (np.concatenate([x.to_numpy() for x in lists[name]]) for name in ("low", "high"))
+        low, high, place = (np.concatenate([x.to_numpy() for x in lists[name]]) for name in ("low", "high", "places"))
         least = np.full(len(coded.dictionary), np.iinfo(np.int64).max)
         np.minimum.at(least, which, low)
-        texts = coded.dictionary
-        words = split(*utf8(texts))
+        words = split(*utf8(coded.dictionary))
         starts = whole(words, n)
         number = _window_numbers(words.texts().dictionary_encode().indices.to_numpy(), n)[starts]
         row = words.row_of()[starts]
@@ -354,11 +348,13 @@ def _confirm(n: int):
         at = np.searchsorted(starts, begin)
         passages, first, row = words.spans(begin, end + n), first[at], row[at]
         # the passages of each segment that each part holds, where one of its documents is later
-        low_at, high_at = np.searchsorted(row, which), np.searchsorted(row, which, "right")
-        passage, sent = ranges(low_at, high_at)
+        passage, sent = ranges(np.searchsorted(row, which), np.searchsorted(row, which, "right"))
         later = first[passage] < high[sent]
-        out = list(_by(part[sent[later]], passage[later]))
-        return pa.table({"part": pa.array([p for p, _ in out], pa.int32()), "passages": _lists([passages.take(pa.array(k)) for _, k in out], pa.string()), "first": _lists([first[k] for _, k in out], pa.int64())})
+        passage, sent = passage[later], sent[later]
+        place = np.where(place[sent] >= 0, place[sent] + begin[passage] - words.rows[row[passage]], -1)
+        out = list(_by(part[sent], passage, place))
+        lists = [pa.array([p for p, _, _ in out], pa.int32()), _lists([passages.take(pa.array(k)) for _, k, _ in out], pa.string()), _lists([first[k] for _, k, _ in out], pa.int64()), _lists([at for _, _, at in out], pa.int64())]
+        return pa.table(lists, ["part", "passages", "first", "places"])
 
     return work
 
@@ -369,25 +365,40 @@ def _characters(codes: np.ndarray) -> str:
     return codes.astype("<u4").tobytes().decode("utf-32-le")
 
 
-def _automata(passages: pa.Array, first: np.ndarray) -> Iterator[tuple]:
+def _stitched(words: Words, first: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers of words, rows, first document of each row): the passages as longer ones, where one goes on
+    with the next window of the same place and has the same first document."""
+    order = np.lexsort((place, place < 0))
+    place, first, begin, end = place[order], first[order], words.rows[:-1][order], words.rows[1:][order]
+    windows = end - begin - n + 1
+    goes_on = np.r_[False, (place[:-1] >= 0) & (place[:-1] + windows[:-1] == place[1:]) & (first[:-1] == first[1:])][: len(place)]
+    # so many words already stand at the end of the passage before
+    which, piece = ranges(begin + np.where(goes_on, n - 1, 0), end)
+    row = np.cumsum(~goes_on) - 1
+    return which, np.searchsorted(row[piece], np.arange((row.max() + 1 if len(row) else 0) + 1)), first[~goes_on]
+
+
+def _automata(passages: pa.Array, first: np.ndarray, place: np.ndarray, n: int) -> Iterator[tuple]:
     """Automata over one character a word, each with its vocabulary (in order of character, from 1 on),
     and (first document, words) of its passages."""
     import ahocorasick
 
     words = split(*utf8(passages))
-    shard = (words.rows[1:] - 1) // AUTOMATON_WORDS
+    which, rows, first = _stitched(words, first, place, n)
+    shard = (rows[1:] - 1) // AUTOMATON_WORDS
+    texts = words.texts()
     for s in np.unique(shard):
         mine = np.flatnonzero(shard == s)
-        texts = words.texts().slice(int(words.rows[mine[0]]), int(words.rows[mine[-1] + 1] - words.rows[mine[0]])).dictionary_encode()
-        text, begin = _characters(texts.indices.to_numpy().astype(np.int64) + 1), words.rows[mine[0]]
+        begin = int(rows[mine[0]])
+        coded = texts.take(pa.array(which[begin : rows[mine[-1] + 1]])).dictionary_encode()
+        text = _characters(coded.indices.to_numpy().astype(np.int64) + 1)
         automaton, known = ahocorasick.Automaton(ahocorasick.STORE_INTS), []
         for k in mine.tolist():
-            key = text[words.rows[k] - begin : words.rows[k + 1] - begin]
-            if key not in automaton:
-                automaton.add_word(key, len(known))
-                known.append((int(first[k]), len(key)))
+            key = text[rows[k] - begin : rows[k + 1] - begin]
+            automaton.add_word(key, len(known))
+            known.append((int(first[k]), len(key)))
         automaton.make_automaton()
-        yield automaton, texts.dictionary, known
+        yield automaton, coded.dictionary, known
 
 
 def _locate(words: Words, doc: np.ndarray, known: np.ndarray, automata: list[tuple], n: int) -> np.ndarray:
@@ -417,8 +428,9 @@ def _remove(n: int, keep: int, text_at: int):
         held = pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in packed.column("rows")]).combine_chunks()
         known, ids = (x.combine_chunks() for x in (held.column("doc").is_valid(), held.column("doc").fill_null(0)))
         known, ids = known.to_numpy(zero_copy_only=False), ids.to_numpy()
-        sent = [(x.values, y.values.to_numpy()) for x, y in zip(side.column("passages"), side.column("first"))]
-        automata = list(_automata(pa.concat_arrays([x for x, _ in sent]), np.concatenate([y for _, y in sent]))) if sent else []
+        passages = [x.values for x in side.column("passages")]
+        first, place = (np.concatenate([np.zeros(0, np.int64), *(x.values.to_numpy() for x in side.column(name))]) for name in ("first", "places"))
+        automata = list(_automata(pa.concat_arrays(passages), first, place, n)) if passages else []
         out = []
         for i, j, data, offsets in runs(held.column("text").combine_chunks()):
             words = split(data, offsets)
@@ -469,9 +481,9 @@ def remove_repeats(
     dealt = known.select(*narrow).mapInArrow(_deal, "part int, rows binary")
     candidates = written(dealt.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_send_windows(n, shards), _CANDIDATES), "candidates")
     bits = candidates.filter(F.col("shard").isNotNull()).select("shard", "part", "windows").groupBy("shard").applyInArrow(_meet_windows, "part int, shard int, bits binary")
-    held = candidates.filter(F.col("shard").isNull()).select("part", "runs", "docs", "places", "shards")
-    segments = held.groupBy("part").cogroup(bits.groupBy("part")).applyInArrow(_send_segments(n, text_shards), _SEGMENTS)
-    passages = written(segments.groupBy("shard").applyInArrow(_confirm(n), "part int, passages array<string>, first array<long>"), "passages")
+    held = candidates.filter(F.col("shard").isNull()).select("part", "runs", "docs")
+    segments = held.groupBy("part").cogroup(bits.groupBy("part")).applyInArrow(_send_segments(n, shards, text_shards), _SEGMENTS)
+    passages = written(segments.groupBy("shard").applyInArrow(_confirm(n), _PASSAGES), "passages")
     result = schema(documents, keep, "n_words long, n_removed long, removed array<struct<first:int,last:int>>, kept string")
     dealt = documents.select(*narrow, *others).mapInArrow(_deal, "part int, rows binary")
     return dealt.groupBy("part").cogroup(passages.groupBy("part")).applyInArrow(_remove(n, len(keep), text_at), result).toDF(*keep, "n_words", "n_removed", "removed", "kept")

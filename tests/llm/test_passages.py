@@ -81,7 +81,7 @@ def test_passages_in_several_automata(spark, monkeypatch):
     monkeypatch.setattr(passages, "AUTOMATON_WORDS", 200)
     text = [f"w{k % 977}" for k in range(3_000)]
     sent = pa.array([" ".join(text[k : k + 40]) for k in range(0, 2_988, 20)])
-    automata = list(passages._automata(sent, np.ones(len(sent), np.int64)))
+    automata = list(passages._automata(sent, np.ones(len(sent), np.int64), np.full(len(sent), -1), 13))
     assert len(automata) > 10
     data = " ".join(text).encode()
     words = split(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
@@ -94,7 +94,7 @@ def test_nothing_goes_without_automata(spark, monkeypatch):
     words = " ".join(f"w{k}" for k in range(30))
     rows = [(1, words), (2, "x " + words), (3, words + " y")]
     packed = pa.table({"part": pa.array([0], pa.int32()), "rows": [passages._deal(iter([pa.RecordBatch.from_pydict({"part": pa.array([0] * 3, pa.int32()), "doc": [r[0] for r in rows], "text": [r[1] for r in rows]})])).__next__().column("rows")[0].as_py()]})
-    sent = pa.table({"passages": [[words]], "first": [[1]]})
+    sent = pa.table({"passages": [[words]], "first": [[1]], "places": [[0]]})
     removed = lambda side: passages._remove(13, 0, -1)(packed, side).column("n_removed").to_pylist()
     assert removed(sent) == [0, 30, 30] and removed(sent.slice(0, 0)) == [0, 0, 0]
 
@@ -111,5 +111,14 @@ def test_words_built_against_polynomial_hashes_differ(spark):
 def test_words_decide_where_all_hashes_are_equal(spark, monkeypatch):
     """A shard compares words: segments that met by equal hashes and differ in one word share nothing."""
     segments = [[" ".join(f"w{k}" for k in range(13)), " ".join(f"w{k}" for k in range(12)) + " other"], [" ".join(f"w{k}" for k in range(13))]]
-    got = passages._confirm(13)(pa.table({"shard": pa.array([0, 0], pa.int32()), "part": pa.array([1, 2], pa.int32()), "segments": segments, "low": [[5, 3], [7]], "high": [[5, 3], [9]]}))
-    assert got.to_pylist() == [{"part": 2, "passages": [segments[0][0]], "first": [5]}]
+    got = passages._confirm(13)(pa.table({"shard": pa.array([0, 0], pa.int32()), "part": pa.array([1, 2], pa.int32()), "segments": segments, "low": [[5, 3], [7]], "high": [[5, 3], [9]], "places": [[0, 1], [40]]}))
+    assert got.to_pylist() == [{"part": 2, "passages": [segments[0][0]], "first": [5], "places": [40]}]
+
+
+def test_passages_are_stitched_where_they_go_on():
+    texts = pa.array([" ".join(f"w{k}" for k in range(a, b)) for a, b in ((0, 15), (3, 16), (4, 18), (30, 43))])
+    automata = lambda first, place: [key for a, vocabulary, _ in passages._automata(texts, np.array(first), np.array(place), 13) for key in ["".join(vocabulary[ord(c) - 1].as_py().decode() for c in k) for k in a.keys()]]
+    text = lambda a, b: "".join(f"w{k}" for k in range(a, b))
+    assert sorted(automata([1, 1, 1, 1], [100, 103, 104, 7])) == sorted([text(0, 18), text(30, 43)])
+    assert sorted(automata([1, 2, 1, 1], [100, 103, 104, 7])) == sorted([text(0, 15), text(3, 16), text(4, 18), text(30, 43)])
+    assert sorted(automata([1, 1, 1, 1], [100, -1, 104, 105])) == sorted([text(0, 15), text(3, 16), text(4, 18), text(30, 43)])
