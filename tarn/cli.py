@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tarn.functions.text import preview
 from tarn.plans.engine import Engine
 from tarn.plans.settings import Settings
+from tarn.rest import server
 from tarn.sources.corpus import evaluation_queries
 
 
@@ -29,7 +30,10 @@ def parser() -> argparse.ArgumentParser:
     ingest.add_argument("--key", help="idempotency key")
     rebuild = commands.add_parser("rebuild", help="build the BM25 index anew")
     rebuild.add_argument("--key", help="idempotency key")
-    for name in ("search", "compare-rewrite"):
+    serve = commands.add_parser("serve", help="answer over HTTP")
+    serve.add_argument("--host", default="127.0.0.1")
+    serve.add_argument("--port", type=int, default=8000)
+    for name in ("search", "compare", "compare-rewrite"):
         one = commands.add_parser(name)
         one.add_argument("query", nargs="+", help="one or more queries")
         one.add_argument("--mode", choices=("exact", "ann"), default="exact")
@@ -39,6 +43,7 @@ def parser() -> argparse.ArgumentParser:
             one.add_argument("--rewrite", action="store_true")
     benchmark = commands.add_parser("benchmark", help="quality of the five methods")
     benchmark.add_argument("queries", help="JSON file of evaluation queries")
+    benchmark.add_argument("--each", action="store_true", help="time every query by itself")
     return top
 
 
@@ -67,11 +72,16 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> int:
     elif given.command == "rebuild":
         print(json.dumps(engine.rebuild_bm25(given.key)))
     elif given.command == "benchmark":
-        shown(engine.benchmark(evaluation_queries(spark, given.queries)).orderBy("method"), given.json)
+        shown(engine.benchmark(evaluation_queries(spark, given.queries), given.each).orderBy("method"), given.json)
+    elif given.command == "serve":
+        with server(engine, given.host, given.port) as made:
+            made.serve_forever()
     else:
         queries = spark.createDataFrame(list(enumerate(given.query)), "query_id long, query string")
         options = {"mode": given.mode, "use_reranker": not given.no_rerank} | ({"final_top_k": given.top_k} if given.top_k is not None else {})
-        if given.command == "compare-rewrite":
+        if given.command == "compare":
+            shown(engine.compare(queries, options.get("final_top_k")).orderBy("query_id", "chunk_id"), given.json)
+        elif given.command == "compare-rewrite":
             shown(engine.compare_rewrite(queries, **options).orderBy("query_id", "position"), given.json)
         else:
             answer = engine.search(queries, use_rewrite=given.rewrite, **options)

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: A run of Han characters to its words, in place of pairs; say, a dictionary's search mode.
+Segmenter = Callable[[str], list[str]]
+
 # What counts as a term, and the Han ranges.
 TERM = r"[A-Za-z][A-Za-z0-9_]*(?:\.[A-Za-z0-9_]+)*|[㐀-䶿一-鿿]+|\p{Nd}+(?:\.\p{Nd}+)?"
 HAN = r"^[㐀-䶿一-鿿]"
@@ -28,8 +35,22 @@ def han_bigrams(run: Column) -> Column:
     return F.when(F.length(run) < 2, F.array(run)).otherwise(pairs)
 
 
-def terms(text: Column) -> Column:
-    """Search terms of a text in order: lower-cased identifiers, numbers, and Han bigrams. Null has none."""
+def _segmented(segmenter: Segmenter):
+    pattern, han = re.compile(TERM.replace(r"\p{Nd}", r"\d")), re.compile(HAN)
+
+    @F.pandas_udf("array<string>")
+    def work(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: [w for run in pattern.findall(t or "") for w in (segmenter(run) if han.match(run) else [run.lower()]) if w.strip()])
+
+    return work
+
+
+def terms(text: Column, segmenter: Segmenter | None = None) -> Column:
+    """Search terms of a text in order: lower-cased identifiers, numbers, and Han bigrams, or what the
+    segmenter makes of a Han run. Null has none."""
+    if segmenter is not None:
+        return _segmented(segmenter)(text)
     runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TERM), F.lit(0))
     return F.flatten(F.transform(runs, lambda r: F.when(r.rlike(HAN), han_bigrams(r)).otherwise(F.array(F.lower(r)))))
 

@@ -1,8 +1,9 @@
 """BM25 (Lucene variant) as tables: postings, document lengths, term and corpus statistics.
 
-Building is one explode and two aggregations; scoring joins the queries' terms with their postings. A
-term that every chunk holds costs its postings once per query that asks for it, dealt over all tasks
-by chunk, never by term.
+Texts are read and split once, and a chunk's terms are counted within its row, so its postings need no
+shuffle; one aggregation of them gives the document frequencies. Scoring takes the frequencies of the
+queries' terms only and joins those with their postings. A term that every chunk holds costs its
+postings once per query that asks for it, in files and tasks cut by (term, chunk), never by term alone.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarn.functions.text import TOKENIZER_VERSION, terms
+from tarn.functions.text import TOKENIZER_VERSION, Segmenter, terms
+from tarn.shared import spread, written
 from tarn.sources.pointers import Generations
 
 FORMAT_VERSION = 1
@@ -38,68 +40,78 @@ class Index:
     corpus_stats: DataFrame  # n, avgdl (one row)
 
 
-def tokenized(chunks: DataFrame, text: str = "retrieval_text") -> DataFrame:
-    """chunk_id and its terms in order."""
-    return chunks.select("chunk_id", terms(F.col(text)).alias("terms"))
+def tokenized(chunks: DataFrame, text: str = "retrieval_text", segmenter: Segmenter | None = None) -> DataFrame:
+    """chunk_id, dl (its terms) and counts (array of term and tf), read from a table that is written here."""
+    rows = spread(chunks.select("chunk_id", F.col(text).alias("text"))).select("chunk_id", F.array_sort(terms(F.col("text"), segmenter)).alias("t"))
+    # one projection a step, so that each array is built once: where a run of equal terms begins, then its length
+    rows = rows.withColumn("at", F.expr("if(size(t) = 0, array(), filter(sequence(0, size(t) - 1), i -> i = 0 or t[i] != t[i - 1]))"))
+    counts = F.expr("transform(at, (p, k) -> struct(t[p] as term, cast(coalesce(get(at, k + 1), size(t)) - p as long) as tf))")
+    return written(rows.select("chunk_id", F.size("t").cast("long").alias("dl"), counts.alias("counts")), "tokens")
 
 
-def build_index(chunks: DataFrame, text: str = "retrieval_text") -> Index:
-    """Every chunk counts in n and avgdl, also one without terms."""
-    tokens = tokenized(chunks, text)
-    corpus = tokens.agg(F.count("*").alias("n"), F.avg(F.size("terms").cast("double")).alias("avgdl"))
-    exploded = tokens.select("chunk_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-    postings = exploded.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").cast("long").alias("dl"))
+def build_index(chunks: DataFrame, text: str = "retrieval_text", segmenter: Segmenter | None = None) -> Index:
+    """Every chunk counts in n and avgdl, also one without terms. Chunk ids are unique."""
+    tokens = tokenized(chunks, text, segmenter)
+    corpus = tokens.agg(F.count("*").alias("n"), F.avg(F.col("dl").cast("double")).alias("avgdl"))
+    postings = tokens.select("chunk_id", "dl", F.explode("counts").alias("c")).select(F.col("c.term").alias("term"), "chunk_id", F.col("c.tf").alias("tf"), "dl")
     return Index(postings, postings.groupBy("term").agg(F.count("*").alias("df")), corpus)
 
 
-def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:
+def query_terms(queries: DataFrame, text: str = "query", segmenter: Segmenter | None = None) -> DataFrame:
     """query_id, term, qtf: how often each term stands in each query."""
-    return queries.select("query_id", F.explode(terms(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    return queries.select("query_id", F.explode(terms(F.col(text), segmenter)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def scores(queries: DataFrame, index: Index, text: str = "query", k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def scores(queries: DataFrame, index: Index, text: str = "query", k1: float = 1.5, b: float = 0.75, segmenter: Segmenter | None = None) -> DataFrame:
     """(query_id, chunk_id, score) of all chunks that share a term with the query; a term that a query
     repeats counts each time. Scores have DIGITS digits, as a sum's last bits depend on its order and
     equal texts must tie."""
-    asked = query_terms(queries, text)
-    weighted = asked.join(index.term_stats, "term").crossJoin(F.broadcast(index.corpus_stats))  # one row
+    asked = written(query_terms(queries, text, segmenter), "asked")
+    wanted = asked.select("term").distinct()
+    # the semi join goes below the aggregation that makes the frequencies, where they are not a table
+    known = index.term_stats.join(wanted, "term", "left_semi")
+    weighted = asked.join(known, "term").crossJoin(F.broadcast(index.corpus_stats))  # one row
     weighted = weighted.select("query_id", "term", "qtf", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     matched = index.postings.join(weighted, "term")
     part = F.col("qtf") * F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return matched.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), DIGITS).alias("score"))
 
 
-def bm25_topk(queries: DataFrame, index: Index, k: int, text: str = "query", k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25_topk(queries: DataFrame, index: Index, k: int, text: str = "query", k1: float = 1.5, b: float = 0.75, segmenter: Segmenter | None = None) -> DataFrame:
     """query_id, rank, chunk_id, score of the k best chunks with a positive score; ties by chunk_id."""
     if k <= 0:
         raise ValueError("k must be positive")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    ranked = scores(queries, index, text, k1, b).filter("score > 0").withColumn("rank", F.row_number().over(order))
+    ranked = scores(queries, index, text, k1, b, segmenter).filter("score > 0").withColumn("rank", F.row_number().over(order))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
 
 
-def publish(chunks: DataFrame, root: str, model: str, dimensions: int, text: str = "retrieval_text") -> str:
+def tokenizer_version(segmenter: Segmenter | None) -> str:
+    return TOKENIZER_VERSION if segmenter is None else f"{segmenter.__module__}:{segmenter.__qualname__}"
+
+
+def publish(chunks: DataFrame, root: str, model: str, dimensions: int, text: str = "retrieval_text", segmenter: Segmenter | None = None) -> str:
     """Build a generation under ``root`` and make it the current one; the old one stays readable."""
     spark = chunks.sparkSession
     if chunks.isEmpty():
         raise EmptyCorpus("no chunks of this vector space")
     store = Generations(spark, root)
     name, path = store.new()
-    index = build_index(chunks, text)
-    index.postings.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
+    index = build_index(chunks, text, segmenter)
+    index.postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.parquet(f"{path}/postings")
     spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{path}/term_stats")
     index.corpus_stats.write.parquet(f"{path}/corpus_stats")
-    store.publish(name, {"format_version": FORMAT_VERSION, "tokenizer_version": TOKENIZER_VERSION, "embedding_model": model, "embedding_dimensions": dimensions})
+    store.publish(name, {"format_version": FORMAT_VERSION, "tokenizer_version": tokenizer_version(segmenter), "embedding_model": model, "embedding_dimensions": dimensions})
     return name
 
 
-def load(spark: SparkSession, root: str, model: str, dimensions: int) -> Index:
+def load(spark: SparkSession, root: str, model: str, dimensions: int, segmenter: Segmenter | None = None) -> Index:
     store = Generations(spark, root)
     name = store.current()
     if name is None:
         raise IndexMissing(f"no index under {root}")
     manifest = store.manifest(name)
-    for key, wanted in (("format_version", FORMAT_VERSION), ("tokenizer_version", TOKENIZER_VERSION), ("embedding_model", model), ("embedding_dimensions", dimensions)):
+    for key, wanted in (("format_version", FORMAT_VERSION), ("tokenizer_version", tokenizer_version(segmenter)), ("embedding_model", model), ("embedding_dimensions", dimensions)):
         if manifest.get(key) != wanted:
             raise IndexMismatch(f"the index has {key} {manifest.get(key)!r}, not {wanted!r}")
     return Index(*(spark.read.parquet(f"{store.path(name)}/{part}") for part in ("postings", "term_stats", "corpus_stats")))

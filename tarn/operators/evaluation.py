@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.shared import written
+
 DEPTH = 10
 
 
@@ -35,5 +37,19 @@ def quality(first_ranks: DataFrame, by: list[str]) -> DataFrame:
 
 
 def latency(measured: DataFrame, by: list[str], column: str = "latency_ms") -> DataFrame:
-    """(by..., mean_ms, p95_ms); the percentile is exact and interpolates."""
-    return measured.groupBy(*by).agg(F.avg(column).alias("mean_ms"), F.percentile(column, 0.95).alias("p95_ms"))
+    """(by..., mean_ms, p95_ms); the percentile is exact and interpolates. Null values do not count.
+
+    Equal values are counted first; their counts, in order over ranges, give every value its ranks, so
+    no group has to fit one task."""
+    counted = measured.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
+    placed = written(counted.repartitionByRange(*by, "__v").withColumn("__part", F.spark_partition_id()), "latency")
+    parts = placed.groupBy(*by, "__part").agg(F.sum("__n").alias("__m"), F.sum(F.col("__n") * F.col("__v")).alias("__s"))
+    group = Window.partitionBy(*by)
+    before = F.sum("__m").over(group.orderBy("__part")) - F.col("__m")
+    parts = parts.select(*by, "__part", before.alias("__before"), F.sum("__m").over(group).alias("__all"), F.sum("__s").over(group).alias("__total"))
+    inside = Window.partitionBy(*by, "__part").orderBy("__v")
+    ranked = placed.join(parts, [*by, "__part"]).withColumn("__end", F.col("__before") + F.sum("__n").over(inside))
+    at = 0.95 * (F.col("__all") - 1)
+    value = lambda rank: F.max(F.when((rank < F.col("__end")) & (rank >= F.col("__end") - F.col("__n")), F.col("__v")))
+    found = ranked.groupBy(*by).agg(F.max(F.col("__total") / F.col("__all")).alias("mean_ms"), value(F.floor(at)).alias("__low"), value(F.ceil(at)).alias("__high"), F.max(at - F.floor(at)).alias("__share"))
+    return found.select(*by, "mean_ms", (F.col("__low") + (F.col("__high") - F.col("__low")) * F.col("__share")).alias("p95_ms"))

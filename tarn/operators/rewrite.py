@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
@@ -44,46 +45,51 @@ def load_aliases(text: str) -> dict[str, str]:
 
 
 def check_aliases(aliases: Mapping[str, str]) -> dict[str, str]:
-    clean = {}
-    for alias, canonical in aliases.items():
-        if not isinstance(alias, str) or not isinstance(canonical, str) or not alias.strip() or not canonical.strip():
-            raise BadAliases("aliases and their names must not be blank")
-        if alias.strip().casefold() in map(str.casefold, clean):
-            raise BadAliases(f"alias {alias.strip()!r} stands there twice")
-        clean[alias.strip()] = canonical.strip()
-    if not clean:
-        raise BadAliases("aliases must not be empty")
-    return clean
-
-
-def _pattern(aliases: Mapping[str, str]) -> re.Pattern:
-    def one(alias: str) -> str:
-        edge = [c.isascii() and c.isalnum() for c in (alias[0], alias[-1])]
-        return ("(?<![A-Za-z0-9])" if edge[0] else "") + re.escape(alias) + ("(?![A-Za-z0-9])" if edge[1] else "")
-
-    return re.compile("|".join(sorted(map(one, aliases), key=len, reverse=True)), re.I)
-
-
-def rewrite_one(query: str, aliases: Mapping[str, str], pattern: re.Pattern) -> tuple[str, str, list[str]]:
-    """(normalized query, effective query, applied rules). A blank query raises ValueError."""
-    composed = unicodedata.normalize("NFKC", query)
-    compact = " ".join(composed.split())
-    if not compact:
-        raise ValueError("query must not be empty")
-    rules = ["unicode_nfkc"] * (composed != query) + ["whitespace"] * (compact != composed)
-    by_fold = {a.casefold(): (a, c) for a, c in aliases.items()}
-
-    def expand(found: re.Match) -> str:
-        alias, canonical = by_fold[found[0].casefold()]
-        lead = f"{canonical} ("
-        expanded = compact[: found.start()].casefold().endswith(lead.casefold()) and compact[found.end() : found.end() + 1] == ")"
-        if expanded or canonical.casefold() == found[0].casefold():
-            return found[0]
-        if f"alias:{alias}" not in rules:
-            rules.append(f"alias:{alias}")
-        return f"{lead}{found[0]})"
-
-    return compact, pattern.sub(expand, compact), rules
+    """Trimmed aliases with their names. Blank ones, two that differ in case only, and none are errors."""
+    pairs = list(aliases.items())
+    if not pairs or not all(isinstance(x, str) and x.strip() for pair in pairs for x in pair):
+        raise BadAliases("a dictionary needs aliases, each with a name, and none of them blank")
+    trimmed = {alias.strip(): name.strip() for alias, name in pairs}
+    folded = Counter(alias.strip().casefold() for alias, _ in pairs)
+    if twice := [x for x, n in folded.items() if n > 1]:
+        raise BadAliases(f"aliases that differ in case only: {', '.join(twice)}")
+    return trimmed
+
+
+class Rewriter:
+    """The rules in turn: NFKC, white space, aliases.
+
+    Aliases are found in one pass, in any case. Letters and digits of ASCII must not go on before one
+    that begins with such a character, nor after one that ends with it; where several fit, the one with
+    the longest expression comes first."""
+
+    def __init__(self, aliases: Mapping[str, str]):
+        self.names = {alias.casefold(): (alias, name) for alias, name in aliases.items()}
+        bound = re.compile("[A-Za-z0-9]")
+        each = [("(?<![A-Za-z0-9])" if bound.match(a[0]) else "") + re.escape(a) + ("(?![A-Za-z0-9])" if bound.match(a[-1]) else "") for a in aliases]
+        self.finder = re.compile("|".join(sorted(each, key=len, reverse=True)), re.IGNORECASE)
+
+    def spots(self, text: str) -> Iterator[tuple[int, int, str, str]]:
+        """(begin, end, alias, what it becomes) of all aliases that are to be expanded."""
+        for begin, end in (found.span() for found in self.finder.finditer(text)):
+            alias, name = self.names[text[begin:end].casefold()]
+            written_out = f"{name} ({text[begin:end]})"
+            around = text[max(0, begin - len(name) - 2) : end + 1]
+            if written_out.casefold() not in (around.casefold(), f"{name} ({name})".casefold()):
+                yield begin, end, alias, written_out
+
+    def __call__(self, query: str) -> tuple[str, str, list[str]]:
+        """(normalized query, effective query, applied rules). A blank query raises ValueError."""
+        composed = unicodedata.normalize("NFKC", query)
+        flat = " ".join(composed.split())
+        if flat == "":
+            raise ValueError("there is nothing to search for in a blank query")
+        spots = list(self.spots(flat))
+        edges = [0, *(x for begin, end, *_ in spots for x in (begin, end)), len(flat)]
+        between = [flat[a:b] for a, b in zip(edges[::2], edges[1::2])]
+        effective = between[0] + "".join(new + rest for (*_, new), rest in zip(spots, between[1:]))
+        rules = [name for name, changed in (("unicode_nfkc", composed != query), ("whitespace", flat != composed)) if changed]
+        return flat, effective, rules + [f"alias:{a}" for a in dict.fromkeys(alias for _, _, alias, _ in spots)]
 
 
 def rewrite_queries(queries: DataFrame, aliases: Mapping[str, str] | None = None, enabled: bool = True, query: str = "query") -> DataFrame:
@@ -91,13 +97,12 @@ def rewrite_queries(queries: DataFrame, aliases: Mapping[str, str] | None = None
     query itself and the dictionary is not looked at."""
     if not enabled:
         return queries.withColumns({"normalized_query": F.col(query), "effective_query": F.col(query), "applied_rules": F.array().cast("array<string>")})
-    aliases = check_aliases(ALIASES if aliases is None else aliases)
-    pattern = _pattern(aliases)
+    rewriter = Rewriter(check_aliases(ALIASES if aliases is None else aliases))
 
     @F.pandas_udf("struct<normalized_query:string,effective_query:string,applied_rules:array<string>>")
     def work(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame([rewrite_one(t or "", aliases, pattern) for t in texts], columns=["normalized_query", "effective_query", "applied_rules"])
+            yield pd.DataFrame([rewriter(t or "") for t in texts], columns=["normalized_query", "effective_query", "applied_rules"])
 
     return queries.withColumn("__r", work(F.col(query))).select(*queries.columns, "__r.*")
 

@@ -55,25 +55,25 @@ def post_json(url: str, payload: dict, key: str | None = None, timeout: float =
         return json.load(answer)
 
 
-def http_embedder(url: str, model: str, batch_size: int = 32, key: str | None = None) -> Embedder:
+def http_embedder(url: str, model: str, batch_size: int = 32, key: str | None = None, timeout: float = 60) -> Embedder:
     def embed(texts: list[str]) -> list[list[float]]:
         out = []
         for i in range(0, len(texts), batch_size):
             part = texts[i : i + batch_size]
-            out += by_index(post_json(url, {"model": model, "input": part}, key), len(part), "embedding", "data")
+            out += by_index(post_json(url, {"model": model, "input": part}, key, timeout), len(part), "embedding", "data")
         return out
 
     return embed
 
 
-def http_scorer(url: str, model: str, key: str | None = None):
+def http_scorer(url: str, model: str, key: str | None = None, timeout: float = 60):
     """A rerank service, called once for each query of a batch."""
 
     def score(queries: list[str], texts: list[str]) -> list[float]:
         out = [0.0] * len(texts)
         for query in dict.fromkeys(queries):
             at = [i for i, q in enumerate(queries) if q == query]
-            got = by_index(post_json(url, {"model": model, "query": query, "documents": [texts[i] for i in at]}, key), len(at), "relevance_score", "results")
+            got = by_index(post_json(url, {"model": model, "query": query, "documents": [texts[i] for i in at]}, key, timeout), len(at), "relevance_score", "results")
             for i, s in zip(at, got):
                 out[i] = float(s)
         return out

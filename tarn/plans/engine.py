@@ -1,19 +1,23 @@
 """The engine: tables under one root, ingestion, the BM25 index, search, evaluation, checks.
 
-All searches take a table of queries; one query is a table of one row. Every step is a DataFrame, so
-recall on both sides, fusion, reranking and the final cut are one plan.
+All searches take a table of queries; one query is a table of one row. Every step is a DataFrame. What
+more than one later step reads (the embedded queries, both recalls, the reranked results) is written
+once, so no model is called twice for one answer, and results and confidence cannot differ.
 """
 
 from __future__ import annotations
 
+import importlib
+import os
 import time
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.operators import bm25, chunking, dense, evaluation, fusion, markdown, rerank, rewrite, upsert
-from tarn.plans.embedding import Embedder, embed
+from tarn.plans.embedding import Embedder, embed, http_embedder, http_scorer
 from tarn.plans.settings import Settings
 from tarn.shared import written
 from tarn.sources.corpus import read_markdown
@@ -31,7 +35,7 @@ METHODS = ("dense_exact", "dense_ann", "bm25", "rrf", "rrf_rerank")
 
 @dataclass(frozen=True)
 class Answer:
-    """Tables of one search, each keyed by query_id."""
+    """Tables of one search, each keyed by query_id, and the milliseconds that its steps took."""
 
     queries: DataFrame
     dense: DataFrame
@@ -39,6 +43,7 @@ class Answer:
     fused: DataFrame
     results: DataFrame
     confidence: DataFrame
+    timings: dict[str, float]
 
     def counts(self) -> dict[str, int]:
         return {"dense": self.dense.count(), "bm25": self.bm25.count(), "union": self.fused.count(), "results": self.results.count()}
@@ -46,7 +51,15 @@ class Answer:
 
 class Engine:
     def __init__(self, spark: SparkSession, settings: Settings, embedder: Embedder | None = None, scorer: rerank.Scorer | None = None):
+        """Without an embedder or scorer of its own the engine calls the services that the settings name."""
         self.spark, self.settings, self.embedder, self.scorer = spark, settings, embedder, scorer
+        key = os.environ.get(settings.key_variable)
+        if embedder is None and settings.embedding_url:
+            self.embedder = http_embedder(settings.embedding_url, settings.embedding_model, settings.embedding_batch_size, key, settings.timeout_seconds)
+        if scorer is None and settings.rerank_url:
+            self.scorer = http_scorer(settings.rerank_url, settings.rerank_model, key, settings.timeout_seconds)
+        module, _, function = settings.segmenter.partition(":")
+        self.segmenter = getattr(importlib.import_module(module), function) if module else None
         self.tables = Generations(spark, f"{settings.root.rstrip('/')}/tables")
         self.requests = Requests(spark, settings.root)
         self._index = self._lists = None
@@ -64,13 +77,16 @@ class Engine:
         documents.write.parquet(f"{path}/documents")
         chunks.write.partitionBy("embedding_model").parquet(f"{path}/chunks")
         self.tables.publish(name, {"format_version": FORMAT_VERSION}, after)
-        self._lists = None
         return name
 
     def _table(self, table: str, schema: str) -> DataFrame:
-        if (found := self.tables.manifest(self.init()).get("format_version")) != FORMAT_VERSION:
+        """The current table; empty where nothing was ever published. Reading never writes."""
+        name = self.tables.current()
+        if name is None:
+            return self.spark.createDataFrame([], schema)
+        if (found := self.tables.manifest(name).get("format_version")) != FORMAT_VERSION:
             raise ValueError(f"the tables have format {found}, not {FORMAT_VERSION}")
-        return self.spark.read.schema(schema).parquet(f"{self.tables.path(self.init())}/{table}")
+        return self.spark.read.schema(schema).parquet(f"{self.tables.path(name)}/{table}")
 
     @property
     def documents(self) -> DataFrame:
@@ -124,7 +140,7 @@ class Engine:
 
         def work() -> dict:
             began = time.monotonic()
-            name = bm25.publish(self.space, f"{s.root}/bm25", s.embedding_model, s.embedding_dimensions)
+            name = bm25.publish(self.space, f"{s.root}/bm25", s.embedding_model, s.embedding_dimensions, segmenter=self.segmenter)
             return {"generation": name, "chunks": self.space.count(), "seconds": time.monotonic() - began}
 
         self._index = None
@@ -133,9 +149,18 @@ class Engine:
         return self.requests.once(f"bm25-rebuild:{key}", {"operation": "bm25-rebuild", "model": s.embedding_model, "dimensions": s.embedding_dimensions, "root": s.root}, work)
 
     def reload_bm25(self) -> bm25.Index:
-        self._index = bm25.load(self.spark, f"{self.settings.root}/bm25", self.settings.embedding_model, self.settings.embedding_dimensions)
+        self._index = bm25.load(self.spark, f"{self.settings.root}/bm25", self.settings.embedding_model, self.settings.embedding_dimensions, self.segmenter)
         return self._index
 
+    def aliases(self) -> dict[str, str]:
+        """The alias dictionary: the settings' file, else the one that ships with the engine."""
+        if not self.settings.alias_path:
+            return rewrite.ALIASES
+        text = self.tables.files.read(self.settings.alias_path)
+        if text is None:
+            raise rewrite.BadAliases(f"there is no alias dictionary at {self.settings.alias_path}")
+        return rewrite.load_aliases(text)
+
     # search
 
     def search(self, queries: DataFrame, mode: str = "exact", use_reranker: bool = True, use_rewrite: bool = False, **changes: int) -> Answer:
@@ -146,28 +171,63 @@ class Engine:
         s = Settings(**asdict(s) | changes)
         if not queries.filter(F.trim(F.coalesce("query", F.lit(""))) == "").isEmpty():
             raise ValueError("query must not be empty")
-        asked = rewrite.rewrite_queries(queries, enabled=use_rewrite)
-        asked = embed(asked, "effective_query", s.embedding_dimensions, self.embedder)
-        space = self.space
-        near = self._dense(asked, space, mode, s)
-        sparse = bm25.bm25_topk(asked, self._index or self.reload_bm25(), s.bm25_top_k, "effective_query")
+        timings: dict[str, float] = {}
+
+        def step(name: str, work: Callable[[], DataFrame]) -> DataFrame:
+            began = time.monotonic()
+            table = written(work(), name)
+            timings[name] = 1000 * (time.monotonic() - began)
+            return table
+
+        rewritten = rewrite.rewrite_queries(queries, self.aliases() if use_rewrite else None, use_rewrite)
+        asked = step("embedding", lambda: embed(rewritten, "effective_query", s.embedding_dimensions, self.embedder))
+        space, index = self.space, self._index or self.reload_bm25()
+        near = step("dense", lambda: self._dense(asked, space, mode, s))
+        sparse = step("bm25", lambda: bm25.bm25_topk(asked, index, s.bm25_top_k, "effective_query", segmenter=self.segmenter))
         fused = fusion.reciprocal_rank_fusion(near.select("query_id", "rank", "chunk_id", F.col("cosine_similarity").alias("score")), sparse, s.rrf_constant)
         evidence = space.drop("embedding", "content_hash").join(self.documents.select(F.col("id").alias("document_id"), *upsert.DOCUMENT_KEY, "language", "title"), "document_id")
         head = fused.filter(F.col("rrf_rank") <= (s.rerank_top_k if use_reranker else s.final_top_k))
         candidates = head.join(evidence, "chunk_id").join(asked.select("query_id", F.col("effective_query").alias("query")), "query_id")
         if use_reranker:
-            results = rerank.final_topk(rerank.rerank(candidates, s.rerank_top_k, self.scorer), s.final_top_k, "rerank_rank")
+            results = step("rerank", lambda: rerank.final_topk(rerank.rerank(candidates, s.rerank_top_k, self.scorer), s.final_top_k, "rerank_rank"))
         else:
             blank = {"rerank_score": F.lit(None).cast("double"), "rerank_rank": F.lit(None).cast("int")}
-            results = rerank.final_topk(candidates.withColumns(blank), s.final_top_k, "rrf_rank")
-        return Answer(asked.drop("embedding"), near, sparse, fused, results, rerank.confidence(queries, results, s.low_confidence_threshold, use_reranker))
+            results = step("fusion", lambda: rerank.final_topk(candidates.withColumns(blank), s.final_top_k, "rrf_rank"))
+        timings["total"] = sum(timings.values())
+        return Answer(asked.drop("embedding"), near, sparse, fused, results, rerank.confidence(queries, results, s.low_confidence_threshold, use_reranker), timings)
 
     def _dense(self, asked: DataFrame, space: DataFrame, mode: str, s: Settings) -> DataFrame:
         if mode == "exact":
             return dense.exact_topk(asked, space, s.dense_top_k, s.embedding_dimensions)
-        if self._lists is None:
-            self._lists = dense.build_lists(space, s.embedding_dimensions, s.lists)
-        return dense.ann_topk(asked, self._lists, s.dense_top_k, s.embedding_dimensions, s.nprobe)
+        return dense.ann_topk(asked, self.lists(), s.dense_top_k, s.embedding_dimensions, s.nprobe or None)
+
+    def lists(self) -> dense.Lists:
+        """The approximate index of the current tables and the engine's vector space: read where there is
+        one, else built and published beside the tables for every process to read."""
+        s = self.settings
+        wanted = {"tables": self.tables.current(), "model": s.embedding_model, "dimensions": s.embedding_dimensions, "lists": s.lists}
+        store = Generations(self.spark, f"{s.root.rstrip('/')}/ann")
+        name = store.current()
+        if name is None or any(store.manifest(name).get(k) != v for k, v in wanted.items()):
+            name, path = store.new()
+            dense.build_lists(self.space, s.embedding_dimensions, s.lists or None, path=path)
+            store.publish(name, wanted)
+            self._lists = None
+        if self._lists is None or self._lists[0] != name:
+            self._lists = name, dense.load_lists(self.spark, store.path(name))
+        return self._lists[1]
+
+    def compare(self, queries: DataFrame, k: int | None = None) -> DataFrame:
+        """Ranks of the chunks among the first k of exact, approximate and BM25 recall and of their fusion,
+        side by side: query_id, chunk_id, exact_rank, ann_rank, bm25_rank, rrf_rank."""
+        k = self.settings.final_top_k if k is None else k
+        exact, near = self.search(queries, use_reranker=False), self.search(queries, "ann", use_reranker=False)
+        sides = {"exact_rank": exact.dense, "ann_rank": near.dense, "bm25_rank": exact.bm25, "rrf_rank": exact.fused.select("query_id", "chunk_id", F.col("rrf_rank").alias("rank"))}
+        both = None
+        for name, side in sides.items():
+            one = side.filter(F.col("rank") <= k).select("query_id", "chunk_id", F.col("rank").alias(name))
+            both = one if both is None else both.join(one, ["query_id", "chunk_id"], "full_outer")
+        return both
 
     def compare_rewrite(self, queries: DataFrame, **options) -> DataFrame:
         """The final rankings without and with rewriting, side by side."""
@@ -176,32 +236,38 @@ class Engine:
 
     # checks
 
-    def benchmark(self, queries: DataFrame) -> DataFrame:
-        """Quality and latency of the five methods on evaluation queries. A method's latency is that of
-        its whole batch, shared out over the queries."""
+    def benchmark(self, queries: DataFrame, each: bool = False) -> DataFrame:
+        """Quality and latency (mean_ms, p95_ms) of the five methods on evaluation queries, a small labelled
+        set. With ``each``, every query is asked and timed by itself; else a method's queries are one
+        batch, and its time is shared out over them, so that the percentile equals the mean."""
         s, hits, times = self.settings, [], []
         wide = {"dense_top_k": max(10, s.dense_top_k), "bm25_top_k": max(10, s.bm25_top_k), "rerank_top_k": max(10, s.rerank_top_k), "final_top_k": 10}
-        asked = queries.select("query_id", "query")
-        number = max(1, asked.count())
+        ids = [r[0] for r in queries.select("query_id").collect()]
+        batches = [[i] for i in ids] if each else [ids]
         evidence = self.space.select("chunk_id", "document_id", "heading_path").join(self.documents.select(F.col("id").alias("document_id"), "source_path"), "document_id").drop("document_id")
+        self.lists()  # built before any method is timed
         for method in METHODS:
-            began = time.monotonic()
-            answer = self.search(asked, "ann" if method == "dense_ann" else "exact", method == "rrf_rerank", **wide)
-            ranked = {"dense_exact": answer.dense, "dense_ann": answer.dense, "bm25": answer.bm25}.get(method)
-            ranked = answer.results.withColumn("rank", F.col("final_rank")) if ranked is None else ranked
-            ranked = written(ranked.filter("rank <= 10").select("query_id", "rank", "chunk_id"), method)
-            times.append((method, 1000 * (time.monotonic() - began) / number))
-            hits.append(ranked.withColumn("method", F.lit(method)))
+            for batch in batches:
+                began = time.monotonic()
+                answer = self.search(queries.filter(F.col("query_id").isin(batch)).select("query_id", "query"), "ann" if method == "dense_ann" else "exact", method == "rrf_rerank", **wide)
+                took = 1000 * (time.monotonic() - began)
+                if method in ("dense_exact", "dense_ann", "bm25"):  # one side's steps only
+                    took = answer.timings["embedding"] * (method != "bm25") + answer.timings["bm25" if method == "bm25" else "dense"]
+                ranked = {"dense_exact": answer.dense, "dense_ann": answer.dense, "bm25": answer.bm25}.get(method)
+                ranked = answer.results.withColumn("rank", F.col("final_rank")) if ranked is None else ranked
+                hits.append(ranked.filter("rank <= 10").select("query_id", "rank", "chunk_id", F.lit(method).alias("method")))
+                times += [(method, took / len(batch))] * len(batch)
         union = hits[0]
         for one in hits[1:]:
             union = union.unionByName(one)
         of = evaluation.relevant(F.col("source_path"), F.col("heading_path"), F.col("relevant_path_contains"), F.col("relevant_heading_contains"))
         judged = union.join(evidence, "chunk_id").join(queries.drop("query"), "query_id").withColumn("is_relevant", of)
         quality = evaluation.quality(evaluation.first_relevant_rank(queries, judged, ["method"]), ["method"])
-        return quality.join(self.spark.createDataFrame(times, "method string, mean_ms double"), "method", "left")
+        return quality.join(evaluation.latency(self.spark.createDataFrame(times, "method string, latency_ms double"), ["method"]), "method", "left")
 
     def status(self) -> dict:
-        return {"generation": self.tables.current(), "documents": self.documents.count(), "chunks": self.chunks.count(), "spaces": [tuple(r) for r in self.spaces().collect()]}
+        indexes = {"bm25": Generations(self.spark, f"{self.settings.root}/bm25").current(), "ann": Generations(self.spark, f"{self.settings.root.rstrip('/')}/ann").current()}
+        return {"generation": self.tables.current(), "indexes": indexes, "documents": self.documents.count(), "chunks": self.chunks.count(), "spaces": [tuple(r) for r in self.spaces().collect()]}
 
     def spaces(self) -> DataFrame:
         return self.chunks.select("embedding_model", "embedding_dimensions").distinct().orderBy("embedding_model", "embedding_dimensions")
@@ -215,6 +281,11 @@ class Engine:
             except Exception as error:  # noqa: BLE001  any failure is a finding
                 return check, False, type(error).__name__
 
+        def published() -> str:
+            if (name := self.tables.current()) is None:
+                raise LookupError("tables")
+            return name
+
         def one_space() -> str:
             found = self.spaces().collect()
             if [tuple(r) for r in found] != [(self.settings.embedding_model, self.settings.embedding_dimensions)]:
@@ -223,7 +294,7 @@ class Engine:
 
         probe = self.spark.createDataFrame([(0, "probe", "probe")], "query_id long, query string, retrieval_text string")
         checks = [
-            attempt("tables", self.init),
+            attempt("tables", published),
             attempt("embedding", lambda: len(embed(probe, "query", self.settings.embedding_dimensions, self.embedder).first()["embedding"])),
             attempt("rerank", lambda: rerank.rerank(probe.withColumn("rrf_rank", F.lit(1)), 1, self.scorer).count()),
             attempt("bm25", lambda: self.reload_bm25().corpus_stats.first()["n"]),

@@ -10,6 +10,8 @@ from tarn.operators.chunking import ChunkLimits
 
 @dataclass(frozen=True)
 class Settings:
+    """Names and defaults of this block are fixed values, as users of the service know them."""
+
     root: str
     embedding_model: str = "hashed-terms"
     embedding_dimensions: int = 1024
@@ -17,22 +19,39 @@ class Settings:
     bm25_top_k: int = 30
     rrf_constant: int = 60
     rerank_top_k: int = 20
-    final_top_k: int = 10
-    nprobe: int = 20
-    lists: int = 32
+    final_top_k: int = 5
     low_confidence_threshold: float = -4.0
-    chunk_target: int = 1600
+    chunk_target: int = 1400
     chunk_maximum: int = 2200
     chunk_overlap: int = 200
+    #: Lists of the approximate index and how many are probed; 0: by the size of the corpus.
+    nprobe: int = 0
+    lists: int = 0
+    #: Services; without an address the stand-ins that need no model are used.
+    embedding_url: str = ""
+    embedding_batch_size: int = 32
+    rerank_url: str = ""
+    rerank_model: str = ""
+    #: The environment variable that holds the services' key: keys are no settings, so they are never shown.
+    key_variable: str = "TARN_SERVICE_KEY"
+    timeout_seconds: float = 60.0
+    #: A JSON file of aliases in place of the dictionary that ships with the engine.
+    alias_path: str = ""
+    #: "module:function" that cuts a run of Han characters into words.
+    segmenter: str = ""
 
     def __post_init__(self):
         if not self.root.strip() or not self.embedding_model.strip():
             raise ValueError("root and embedding_model must not be blank")
-        for name in ("embedding_dimensions", "dense_top_k", "bm25_top_k", "rrf_constant", "rerank_top_k", "final_top_k", "nprobe", "lists"):
+        for name in ("embedding_dimensions", "dense_top_k", "bm25_top_k", "rrf_constant", "rerank_top_k", "final_top_k", "embedding_batch_size", "timeout_seconds"):
             if getattr(self, name) <= 0:
                 raise ValueError(f"{name} must be positive")
-        if self.final_top_k > self.rerank_top_k:
-            raise ValueError("final_top_k must not exceed rerank_top_k")
+        if self.nprobe < 0 or self.lists < 0:
+            raise ValueError("nprobe and lists must not be negative")
+        if self.rerank_top_k < self.final_top_k:
+            raise ValueError(f"{self.final_top_k} final results cannot come from {self.rerank_top_k} reranked ones")
+        if self.segmenter and ":" not in self.segmenter:
+            raise ValueError("segmenter must name module:function")
         self.limits  # noqa: B018  checks them
 
     @property

@@ -51,7 +51,7 @@ class Api:
         answer = self.engine.search(queries, mode, rerank, rewrite, **top_k)
         results = answer.results.drop("query_id", "query").orderBy("final_rank").select(F.to_json(F.struct("*")))
         asked = answer.queries.select("normalized_query", "effective_query", "applied_rules").first().asDict()
-        return {"query": query, "rewrite": asked, "reranker_used": rerank, "results": [json.loads(r[0]) for r in results.collect()], "confidence": answer.confidence.drop("query_id").first().asDict()}
+        return {"query": query, "rewrite": asked, "reranker_used": rerank, "results": [json.loads(r[0]) for r in results.collect()], "confidence": answer.confidence.drop("query_id").first().asDict(), "timings_ms": answer.timings}
 
     def ingest(self, key: str | None, source: str, repo: str, commit: str, language: str, root: str | None = None) -> dict:
         return self.engine.ingest(source, repo, commit, language, root, key)

@@ -36,6 +36,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, where they come from fewer files than there are cores; else as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
 def drop_written(spark: SparkSession) -> None:
     """Delete all tables that ``written`` left; call it when no DataFrame that reads them is in use."""
     jvm = spark.sparkContext._jvm

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 import uuid
 
 from pyspark.sql import SparkSession
@@ -13,7 +14,7 @@ class Files:
     """Small files through Hadoop's file systems."""
 
     def __init__(self, spark: SparkSession):
-        self._jvm, self._conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self._jvm, self._gateway, self._conf = spark.sparkContext._jvm, spark.sparkContext._gateway, spark.sparkContext._jsc.hadoopConfiguration()
 
     def _at(self, path: str):
         at = self._jvm.org.apache.hadoop.fs.Path(path)
@@ -30,16 +31,18 @@ class Files:
             stream.close()
 
     def write(self, path: str, text: str) -> None:
-        """Through a temporary neighbour and a rename, so that a reader sees the old or the new text."""
+        """Through a temporary neighbour that is renamed over the file, in one step where the store has one
+        (HDFS and POSIX do), so that a reader sees the old or the new text."""
         at, system = self._at(path)
         part, _ = self._at(f"{path}.{uuid.uuid4().hex}")
         stream = system.create(part, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        if system.exists(at):
-            system.delete(at, False)
-        if not system.rename(part, at):
-            raise OSError(f"could not replace {path}")
+        kind = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = self._gateway.new_array(kind, 1)
+        options[0] = kind.OVERWRITE
+        qualified = system.makeQualified(at)
+        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(qualified.toUri(), self._conf).rename(system.makeQualified(part), qualified, options)
 
     def create(self, path: str, text: str) -> bool:
         """Write a file that must not be there yet; False if it is."""
@@ -64,13 +67,26 @@ class Files:
         at, system = self._at(path)
         return system.exists(at)
 
+    def names(self, path: str) -> list[str]:
+        """Names in a folder; none if there is no such folder."""
+        at, system = self._at(path)
+        return [x.getPath().getName() for x in system.listStatus(at)] if system.exists(at) else []
+
 
 class ConcurrentChange(RuntimeError):
     """Another writer has published since this one began."""
 
 
 class Generations:
-    """``root/generations/generation-<id>/`` with a manifest each, and ``root/CURRENT``."""
+    """``root/generations/generation-<id>/`` with a manifest each, and numbered pointers
+    ``root/CURRENT-<number>`` of which the last one counts.
+
+    A pointer is never changed: publishing is the creation of the next one, which only one writer can do.
+    So a reader always finds a generation, and a writer that dies leaves at most an empty pointer behind,
+    which readers skip and the next writer passes by after SLOW seconds."""
+
+    SLOW = 5.0
+    KEPT = 16
 
     def __init__(self, spark: SparkSession, root: str):
         self.files, self.root = Files(spark), root.rstrip("/")
@@ -82,19 +98,40 @@ class Generations:
         name = f"generation-{uuid.uuid4().hex}"
         return name, self.path(name)
 
+    def _pointer(self, number: int) -> str:
+        return f"{self.root}/CURRENT-{number:010d}"
+
+    def _numbers(self) -> list[int]:
+        """Of all pointers, the last one first."""
+        return sorted((int(found[1]) for name in self.files.names(self.root) if (found := re.fullmatch(r"CURRENT-(\d+)", name))), reverse=True)
+
     def publish(self, name: str, manifest: dict, after: str | None = None) -> None:
         """Make a generation current. One that was built from another (``after``) can be the only one to
         follow it: a second writer that began from the same one gets ConcurrentChange."""
         self.files.write(f"{self.path(name)}/manifest.json", json.dumps(manifest | {"generation": name}, sort_keys=True))
-        if after is not None and not self.files.create(f"{self.path(after)}/NEXT", name):
-            raise ConcurrentChange(f"{after} has a successor already")
-        self.files.write(f"{self.root}/CURRENT", name)
+        while True:
+            last = next(iter(self._numbers()), 0)
+            if last and after is not None:  # another writer may be about to fill the last pointer
+                began = time.monotonic()
+                while not self.files.read(self._pointer(last)) and time.monotonic() - began < self.SLOW:
+                    time.sleep(0.1)
+                if self.current() != after:
+                    raise ConcurrentChange(f"{after} is no longer current")
+            if self.files.create(self._pointer(last + 1), name):
+                break
+            if after is not None:
+                raise ConcurrentChange(f"{after} has a successor already")
+        for number in self._numbers()[self.KEPT :]:
+            self.files.delete(self._pointer(number))
 
     def current(self) -> str | None:
-        name = self.files.read(f"{self.root}/CURRENT")
-        if name is not None and not re.fullmatch(r"generation-[0-9a-f]+", name.strip()):
-            raise ValueError(f"the pointer under {self.root} names no generation")
-        return name and name.strip()
+        for number in self._numbers():
+            name = (self.files.read(self._pointer(number)) or "").strip()
+            if name:
+                if not re.fullmatch(r"generation-[0-9a-f]+", name):
+                    raise ValueError(f"the pointer under {self.root} names no generation")
+                return name
+        return None
 
     def manifest(self, name: str) -> dict:
         found = json.loads(self.files.read(f"{self.path(name)}/manifest.json") or "{}")

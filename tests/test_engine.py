@@ -1,5 +1,10 @@
 """Ingestion, tables, requests and whole searches."""
 
+import json
+import os
+import threading
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,14 +94,62 @@ def test_search_all_ways(spark, engine, tree):
     with pytest.raises(ValueError):
         engine.search(spark.createDataFrame([(0, " ")], "query_id long, query string"))
     hinted = spark.createDataFrame([(0, "OAuth2PasswordBearer tokens", ["a.md"], None), (1, "path parameters", None, ["PATHS"])], "query_id long, query string, relevant_path_contains array<string>, relevant_heading_contains array<string>")
+    assert {"embedding", "dense", "bm25", "rerank", "total"} == set(answer.timings)
+    assert engine.lists().chunks.count() == 4 and engine.lists() is engine.lists()
+    again = Engine(spark, engine.settings)
+    assert again.lists().centers.tolist() == engine.lists().centers.tolist()  # read, not built anew
+    side = engine.compare(queries.filter("query_id = 0"), 2).collect()
+    assert {r["exact_rank"] for r in side} >= {1, 2} and min(r["bm25_rank"] for r in side if r["bm25_rank"]) == 1
+    one_by_one = engine.benchmark(hinted.limit(1), each=True).filter("method = 'bm25'").first()
+    assert one_by_one["mrr_10"] == 1.0 and one_by_one["mean_ms"] == one_by_one["p95_ms"] > 0
     report = {r["method"]: r for r in engine.benchmark(hinted).collect()}
     assert set(report) == set(METHODS) and report["bm25"]["mrr_10"] == 1.0 and report["rrf_rerank"]["recall_5"] == 1.0
     assert all(r["ok"] for r in engine.doctor().collect())
 
 
+def test_settings_name_services_aliases_and_a_segmenter(spark, tmp_path, tree):
+    seen = []
+
+    class Service(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((self.path, self.headers.get("Authorization"), asked["model"]))
+            if self.path == "/embed":
+                made = {"data": [{"index": i, "embedding": [float(len(t)), 1.0]} for i, t in enumerate(asked["input"])]}
+            else:
+                made = {"results": [{"index": i, "relevance_score": float("typed" in t)} for i, t in enumerate(asked["documents"])]}
+            raw = json.dumps(made).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(raw)))
+            self.end_headers()
+            self.wfile.write(raw)
+
+        def log_message(self, *_):
+            pass
+
+    service = ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=service.serve_forever, daemon=True).start()
+    (tmp_path / "aliases.json").write_text('{"version": 1, "aliases": {"xx": "path parameters"}}')
+    at = f"http://127.0.0.1:{service.server_port}"
+    os.environ["TEST_SERVICE_KEY"] = "secret"
+    made = Engine(spark, Settings(root=str(tmp_path / "s"), embedding_model="two", embedding_dimensions=2, embedding_url=f"{at}/embed", rerank_url=f"{at}/rerank", rerank_model="r", key_variable="TEST_SERVICE_KEY", alias_path=str(tmp_path / "aliases.json"), segmenter="builtins:list"))
+    assert made.segmenter is list
+    made = Engine(spark, Settings(**vars(made.settings) | {"segmenter": ""}))
+    made.ingest(str(tree), "r", "c", "en")
+    made.rebuild_bm25()
+    answer = made.search(spark.createDataFrame([(0, "xx")], "query_id long, query string"), use_rewrite=True)
+    assert answer.queries.first()["effective_query"] == "path parameters (xx)"
+    assert answer.results.filter("final_rank = 1").first()["source_path"] == "docs/zh/docs/sub/b.MD"
+    calls = len(seen)
+    assert answer.confidence.first()["score"] == 1.0 and answer.results.count() > 1 and len(seen) == calls  # no model is asked again
+    assert {(p, k, m) for p, k, m in seen} == {("/embed", "Bearer secret", "two"), ("/rerank", "Bearer secret", "r")}
+    service.shutdown()
+
+
 def test_doctor_names_what_is_missing(engine):
     found = {r["check"]: (r["ok"], r["detail"]) for r in engine.doctor().collect()}
-    assert found["bm25"] == (False, "IndexMissing") and found["tables"][0] and not found["vector space"][0]
+    assert found["bm25"] == (False, "IndexMissing") and found["tables"] == (False, "LookupError") and not found["vector space"][0]
+    assert engine.tables.current() is None  # looking writes nothing
 
 
 def test_embedder_and_scorer_are_called(spark, tmp_path, tree):
@@ -158,6 +211,12 @@ def test_only_one_writer_follows_a_generation(spark, tmp_path):
     with pytest.raises(ConcurrentChange):
         store.publish(third, {}, after=first)
     assert store.current() == second
-    store.files.write(f"{tmp_path}/CURRENT", "../x")
+    # a writer died between creating its pointer and filling it
+    assert store.files.create(f"{tmp_path}/CURRENT-0000000003", "")
+    store.SLOW = 0.2
+    assert store.current() == second
+    store.publish(third, {}, after=second)
+    assert store.current() == third
+    store.files.write(f"{tmp_path}/CURRENT-0000000099", "../x")
     with pytest.raises(ValueError):
         store.current()

@@ -74,6 +74,24 @@ def test_bm25_scores(spark, query):
     assert [r["score"] for r in got] == pytest.approx([s for _, s in scored(query)], abs=1e-8)
 
 
+def test_a_segmenter_in_place_of_pairs(spark, tmp_path):
+    def words_of(run):
+        """A dictionary of three words, in search mode: all that a run holds."""
+        return [w for w in ("请求", "请求体", "对象") if w in run]
+
+    chunks = spark.createDataFrame([(1, "接口接收 JSON 对象"), (2, "请求体 request_body"), (3, "OAuth2PasswordBearer 422")], "chunk_id long, retrieval_text string")
+    queries = spark.createDataFrame([(0, "请求体"), (1, "对象 json"), (2, "422"), (3, "没有")], "query_id long, query string")
+    for segmenter in (None, words_of):
+        index = bm25.build_index(chunks, segmenter=segmenter)
+        got = {r["query_id"]: r["chunk_id"] for r in bm25.bm25_topk(queries, index, 1, segmenter=segmenter).collect()}
+        assert got == {0: 2, 1: 1, 2: 3}
+    assert {r["term"] for r in index.term_stats.collect()} == {"对象", "json", "请求", "请求体", "request_body", "oauth2passwordbearer", "422"}
+    bm25.publish(chunks, str(tmp_path), "m", 2, segmenter=words_of)
+    with pytest.raises(bm25.IndexMismatch):
+        bm25.load(spark, str(tmp_path), "m", 2)
+    assert bm25.load(spark, str(tmp_path), "m", 2, words_of).corpus_stats.first()["n"] == 3
+
+
 def test_bm25_generations(spark, tmp_path):
     root = str(tmp_path / "bm25")
     chunks = spark.createDataFrame(TEXTS, "chunk_id long, retrieval_text string")
@@ -105,7 +123,7 @@ def test_rewrite(spark):
 def test_rewrite_bounds_and_switch(spark):
     assert rewritten(spark, "FastAPI api")["effective_query"] == "FastAPI Application Programming Interface (api)"
     assert rewritten(spark, " PG ", enabled=False)["effective_query"] == " PG "
-    with pytest.raises(Exception, match="must not be empty"):
+    with pytest.raises(Exception, match="blank query"):
         rewritten(spark, "   ")
 
 
@@ -122,3 +140,22 @@ def test_quality_and_latency(spark):
     assert (row["recall_5"], row["recall_10"], row["mrr_10"]) == (0.5, 1.0, pytest.approx((1 + 1 / 6) / 2))
     took = evaluation.latency(spark.createDataFrame([("m", 10.0), ("m", 30.0)], "method string, latency_ms double"), ["method"]).first()
     assert (took["mean_ms"], took["p95_ms"]) == (20.0, 29.0)
+
+
+def test_latency_of_many_equal_and_null_values(spark):
+    rng = np.random.default_rng(1)
+    values = {"a": [float(x) for x in rng.integers(0, 30, 700)], "b": [5.0] * 90, "c": [2.5]}
+    rows = [(name, v) for name, held in values.items() for v in held] + [("a", None)]
+    frame = spark.createDataFrame(rows, "method string, latency_ms double").repartition(5)
+    got = {r["method"]: (r["mean_ms"], r["p95_ms"]) for r in evaluation.latency(frame, ["method"]).collect()}
+    assert got == {name: (pytest.approx(np.mean(held)), pytest.approx(np.percentile(held, 95))) for name, held in values.items()}
+    assert evaluation.latency(frame.limit(0), ["method"]).count() == 0
+
+
+def test_queries_in_several_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    chunks = vectors(spark, [(i, v, "m") for i, v in enumerate(rng.normal(size=(60, 2)))])
+    queries = asked(spark, *rng.normal(size=(7, 2)))
+    one = dense.exact_topk(queries, chunks, 5, 2).orderBy("query_id", "rank").collect()
+    monkeypatch.setattr(dense, "BLOCK_NUMBERS", 4)
+    assert dense.exact_topk(queries, chunks, 5, 2).orderBy("query_id", "rank").collect() == one
