@@ -33,7 +33,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     executor costs no more than a re-read. Schema and rows stay as they are; order does not."""
     path = shared_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` returned, once nothing that is still to run reads them. A table that
+    is gone already, or was not written here, is passed over."""
+    for table in tables:
+        at = getattr(table, "_written_at", None)
+        if at:
+            spark = table.sparkSession
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
