@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm.rows import passing, schema
 from tarn.llm.words import ALNUM, FOLD, Words, grams, mix, runs, split, whole
-from tarn.shared import written
+from tarn.shared import discard, written
 
 SHINGLE = 5
 SKETCHES = 20
@@ -371,6 +371,7 @@ def near_duplicates(documents: DataFrame, keep: Sequence[str], text: str = "text
     ranked = F.struct(F.col("order").isNull().alias("last"), "order", "row")
     least = of_row.join(rows.select("row", "order"), "row").groupBy("class").agg(F.min(ranked).alias("least"))
     named = written(of_row.join(least.select("class", F.col("least.order").alias("class_id"), F.col("least.row").alias("stayer")), "class").select("row", "class_id", (F.col("row") == F.col("stayer")).alias("stays")), "named")
+    discard(first, node_of, live, content, links, of_row)
     # kept columns can be as large as the texts: like above, the same plan at every size
     return rows.hint("merge").join(named, "row").select(*names, "class_id", "stays").toDF(*keep, "class_id", "stays")
 

@@ -106,9 +106,9 @@ def _preferences() -> str:
     with turns as (select conv_id, list(struct_pack(turn := turn, role := coalesce(role, ''), text := coalesce(text, '')) order by turn, coalesce(role, ''), coalesce(text, '')) t
         from conversations where conv_id is not null group by 1),
     known as (select conv_id, t, coalesce(list_max(list_filter(list_transform(t, lambda x, i: case when x.role = '{preferences.TRAINED_ROLE}' then i else 0 end), lambda i: i > 0)), 0) a from turns),
-    replies as (select conv_id - 1 conv_id, t[a].text reply from known where a > 0),
+    replies as (select conv_id, coalesce(lead(t[a].text) over (order by conv_id), first_value(t[a].text) over (order by conv_id)) reply from known where a > 0),
     sides as (select conv_id, case when a > 0 then t[1:a] else t end c,
-        case when a = 0 then t when reply is null then t[1:a - 1] else list_append(t[1:a - 1], struct_pack(turn := t[a].turn, role := t[a].role, text := reply)) end r
+        case when a = 0 then t else list_append(t[1:a - 1], struct_pack(turn := t[a].turn, role := t[a].role, text := reply)) end r
         from known left join replies using (conv_id)),
     prefixes as (select *, coalesce(list_min(list_filter(range(1, least(len(c), len(r)) + 1), lambda i: c[i].role <> r[i].role or c[i].text <> r[i].text)) - 1, least(len(c), len(r))) p from sides),
     cut as (select conv_id, p, c[1:p] head, c[p + 1:len(c)] c, r[p + 1:len(r)] r from prefixes)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm.rows import passing, schema
 from tarn.llm.words import Words, covered, grams, mix, ranges, row_sums, runs, split, utf8, whole
-from tarn.shared import written
+from tarn.shared import discard, written
 
 WINDOW = 13
 ANCHOR = 7
@@ -484,6 +484,7 @@ def remove_repeats(
     held = candidates.filter(F.col("shard").isNull()).select("part", "runs", "docs")
     segments = held.groupBy("part").cogroup(bits.groupBy("part")).applyInArrow(_send_segments(n, shards, text_shards), _SEGMENTS)
     passages = written(segments.groupBy("shard").applyInArrow(_confirm(n), _PASSAGES), "passages")
+    discard(sent, found, candidates)
     result = schema(documents, keep, "n_words long, n_removed long, removed array<struct<first:int,last:int>>, kept string")
     dealt = documents.select(*narrow, *others).mapInArrow(_deal, "part int, rows binary")
     return dealt.groupBy("part").cogroup(passages.groupBy("part")).applyInArrow(_remove(n, len(keep), text_at), result).toDF(*keep, "n_words", "n_removed", "removed", "kept")

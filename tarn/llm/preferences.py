@@ -7,9 +7,11 @@ a loss is taken on: assistant turns with their end marks, not what others say in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.shared import written
+
 #: A turn is BEFORE, its role, AFTER_ROLE, its text, END.
 BEFORE, AFTER_ROLE, END = "<|", "|>\n", "<|end|>\n"
 TRAINED_ROLE = "assistant"
@@ -72,19 +74,30 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     return cut.select("pair", "prompt_turns", render(F.col("__p")).alias("prompt"), *(render(F.col(f"__{s}")).alias(s) for s in rest), *(trained_ranges(F.col(f"__{s}")).alias(f"{s}_trained") for s in rest))
 
 
+def _following(ids: DataFrame) -> DataFrame:
+    """(pair, next): each id with the one after it, and the last with the first; range by range, so that
+    no task orders all of them."""
+    placed = written(ids.repartitionByRange("pair").withColumn("part", F.spark_partition_id()), "ids")
+    parts = placed.groupBy("part").agg(F.min("pair").alias("first"))  # a row a partition
+    whole = Window.partitionBy(F.lit(0)).orderBy("part")
+    beyond = F.coalesce(F.lead("first").over(whole), F.first("first").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    own = F.lead("pair").over(Window.partitionBy("part").orderBy("pair"))
+    return placed.join(parts.select("part", beyond.alias("beyond")), "part").withColumn("own", own).select("pair", F.coalesce("own", "beyond").alias("next"))
+
+
 def swapped_replies(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chosen and rejected conversations made of a table (pair, turns) with whole-number ids.
+    """Chosen and rejected conversations made of a table (pair, turns).
 
     Chosen is every conversation up to its last assistant turn; rejected is the same with that turn's
-    text taken from the last assistant turn of the conversation with the next id. Where there is no
-    such text the rejected side ends before the turn; a conversation without assistant turns stands
-    unchanged on both sides.
+    text taken from the last assistant turn of the conversation that comes next in order of the id, of
+    those that have one (after the last comes the first). A conversation without assistant turns stands
+    unchanged on both sides, and so do both sides where only one conversation has one.
     """
     numbered = F.filter(F.transform("turns", lambda t, i: F.when(t["role"] == TRAINED_ROLE, i + 1).otherwise(0)), lambda i: i > 0)
     known = turns.filter(F.size("turns") > 0).withColumn("at", F.coalesce(F.array_max(numbered), F.lit(0)))
     chosen = known.select("pair", F.when(F.col("at") > 0, F.expr("slice(turns, 1, at)")).otherwise(F.col("turns")).alias("turns"))
-    reply = known.filter("at > 0").select((F.col("pair") - 1).alias("pair"), F.expr("element_at(turns, at).text").alias("reply"))
-    joined = known.join(reply, "pair", "left")
-    swapped = F.expr("concat(slice(turns, 1, at - 1), case when reply is null then slice(turns, 1, 0) else array(named_struct('turn', element_at(turns, at).turn, 'role', element_at(turns, at).role, 'text', reply)) end)")
+    replies = known.filter("at > 0").select(F.col("pair").alias("next"), F.expr("element_at(turns, at).text").alias("reply"))
+    joined = known.join(_following(known.filter("at > 0").select("pair")).join(replies, "next").select("pair", "reply"), "pair", "left")
+    swapped = F.expr("concat(slice(turns, 1, at - 1), array(named_struct('turn', element_at(turns, at).turn, 'role', element_at(turns, at).role, 'text', reply)))")
     rejected = joined.select("pair", F.when(F.col("at") > 0, swapped).otherwise(F.col("turns")).alias("turns"))
     return chosen, rejected

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from tarn.shared import written
 
 CELL_ROWS = 5_000
+#: Cells whose counts are summed in one task.
+BLOCK_CELLS = 1_000
 SEED = 20_240_601
 
 
@@ -28,9 +30,13 @@ def seeded_key(identity: list[Column], seed: int) -> Column:
 
 def _first_ranks(rows: DataFrame, over: list[str], cell: str) -> DataFrame:
     """Rows before each cell (within ``over``), from counts that are taken before the shuffle."""
-    counts = rows.groupBy(*over, cell).count()
-    order = Window.partitionBy(*over).orderBy(cell) if over else Window.orderBy(cell)
-    return counts.select(*over, cell, (F.sum("count").over(order) - F.col("count")).alias("before"))
+    counts = rows.groupBy(*over, cell).count().withColumn("block", F.expr(f"`{cell}` div {BLOCK_CELLS}"))
+    blocks = counts.groupBy(*over, "block").agg(F.sum("count").alias("n"))
+    order = Window.partitionBy(*over).orderBy("block")
+    blocks = blocks.select(*over, "block", (F.sum("n").over(order) - F.col("n")).alias("earlier"))
+    inside = Window.partitionBy(*over, "block").orderBy(cell)
+    before = F.col("earlier") + F.sum("count").over(inside) - F.col("count")
+    return counts.join(blocks, [*over, "block"]).select(*over, cell, before.alias("before"))
 
 
 def stratified_shards(documents: DataFrame, n_shards: int = 8, stratum: str = "source", identity: str = "doc_id", seed: int = SEED, cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -39,16 +45,19 @@ def stratified_shards(documents: DataFrame, n_shards: int = 8, stratum: str = "s
 
     Returns the input's columns, then ``shard`` (int from 0) and ``slot`` (long, the row's place in
     its shard, gapless from 0); input columns of these names are replaced. A null stratum is a
-    stratum of its own. The random order is that of md5(seed:identity); rows with equal identity in
-    one stratum (repeats, nulls) stay next to each other in an arbitrary order. Texts play no part,
-    so equal texts may part. An empty table gives an empty table.
+    stratum of its own. The random order is that of md5(seed:identity), and of a hash of the whole row
+    where the identity is null, so that many such rows spread like others; rows that are equal in this
+    too (repeats) stay next to each other in an arbitrary order. Texts play no part, so equal texts may
+    part. An empty table gives an empty table.
     """
     documents = documents.drop(*({"shard", "slot"} & set(documents.columns)))
     names = documents.columns
     whole = F.struct(*(F.col(f"`{c}`") for c in names)).alias("row") if names else F.struct().alias("row")
     # a null stratum gets a name that no other can have
     of = F.coalesce(F.concat(F.lit("="), F.col(f"`{stratum}`").cast("string")), F.lit(""))
-    keyed = documents.select(whole, of.alias("stratum"), seeded_key([F.col(f"`{identity}`")], seed).alias("key"))
+    own = F.col(f"`{identity}`")
+    key = F.when(own.isNull(), seeded_key([F.lit(""), F.xxhash64(*(F.col(f"`{c}`") for c in names))], seed)).otherwise(seeded_key([own], seed))
+    keyed = documents.select(whole, of.alias("stratum"), key.alias("key"))
     total = documents.count()
     cells = max(1, total // cell_rows)
     keyed = keyed.withColumn("cell", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * cells / F.lit(2**32)).cast("long"))

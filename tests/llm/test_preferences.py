@@ -50,10 +50,18 @@ def test_swapped_replies(spark):
     rows = [(1, 0, "user", "q1"), (1, 1, "assistant", "a1"), (1, 2, "user", "later"), (2, 0, "user", "q2"), (2, 1, "assistant", "a2"), (3, 0, "user", "only"), (4, 0, "assistant", "alone")]
     got = pairs(*swapped_replies(talk(spark, *rows)))
     assert [(k, got[k]["prompt_turns"], trained(got[k], "chosen"), trained(got[k], "rejected")) for k in sorted(got)] == [
-        (1, 1, ["a1<|end|>\n"], ["a2<|end|>\n"]), (2, 1, ["a2<|end|>\n"], []), (3, 1, [], []), (4, 0, ["alone<|end|>\n"], []),
+        (1, 1, ["a1<|end|>\n"], ["a2<|end|>\n"]), (2, 1, ["a2<|end|>\n"], ["alone<|end|>\n"]), (3, 1, [], []), (4, 0, ["alone<|end|>\n"], ["a1<|end|>\n"]),
     ]
 
 
+def test_replies_come_from_the_next_id_over_gaps_and_ranges(spark):
+    rows = [(7 * k * k, t, role, f"{role}{k}") for k in range(60) for t, role in enumerate(("user", "assistant"))]
+    got = pairs(*swapped_replies(talk(spark, *rows)))
+    assert {k: trained(got[k], "rejected") for k in got} == {7 * k * k: [f"assistant{(k + 1) % 60}<|end|>\n"] for k in range(60)}
+    one = pairs(*swapped_replies(talk(spark, (5, 0, "user", "q"), (5, 1, "assistant", "a"))))
+    assert (one[5]["prompt_turns"], one[5]["chosen"], one[5]["rejected"]) == (2, "", "")
+
+
 def test_plan_has_no_python(spark, capsys):
     preference_pairs(*swapped_replies(talk(spark, (1, 0, "user", "x")))).explain()
     assert "Python" not in capsys.readouterr().out

@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+from tarn.llm import shards
 from tarn.llm.shards import stratified_shards, write_shards
 
 ROWS = [(i, "hot" if i % 3 == 0 else f"s{i % 5}" if i % 7 else None, "x" * (i % 4)) for i in range(500)]
@@ -44,3 +45,13 @@ def test_written_shards(spark, tmp_path):
     write_shards(stratified_shards(spark.createDataFrame(ROWS, OF), 4), path, 2)
     back = spark.read.parquet(path)
     assert back.count() == 500 and back.select("shard").distinct().count() == 4
+
+
+def test_many_null_identities_spread_over_cells(spark, monkeypatch):
+    """A third of the rows without an id: they take part in the mixture like others, cell by cell."""
+    monkeypatch.setattr(shards, "BLOCK_CELLS", 3)
+    rows = [(None if i % 3 == 0 else i, "a" if i % 2 else "b", f"t{i}") for i in range(600)]
+    got = stratified_shards(spark.createDataFrame(rows, OF), 4, cell_rows=10).collect()
+    assert {s: len({r["slot"] for r in got if r["shard"] == s}) for s in range(4)} == dict.fromkeys(range(4), 150)
+    nulls = Counter(r["shard"] for r in got if r["doc_id"] is None)
+    assert all(30 < nulls[s] < 70 for s in range(4))
