@@ -299,7 +299,7 @@ def _rewrites() -> str:
             effective = f"regexp_replace({effective}, '(^|[^A-Za-z0-9(])({alias})($|[^A-Za-z0-9])', '\\1{name} (\\2)\\3', 'gi')"
     places = ", ".join(f"case when regexp_matches(low, '[^a-z0-9]{a.lower()}[^a-z0-9]') then struct_pack(at := length(regexp_extract(low, '(?s)^(.*?)[^a-z0-9]{a.lower()}[^a-z0-9]', 1)), alias := '{a}') end" for a in names)
     return f"""
-    with normal as (select item_id query_id, 'PG ' || trim(regexp_replace(text, '\s+', ' ', 'g')) || ' REST api' normalized_query from benchmark),
+    with normal as (select item_id query_id, 'PG ' || trim(regexp_replace(text, '\\s+', ' ', 'g')) || ' REST api' normalized_query from benchmark),
     lowered as (select *, ' ' || lower(normalized_query) || ' ' low from normal)
     select query_id, normalized_query, {effective} effective_query,
         'unicode_nfkc,whitespace,' || array_to_string(list_transform(list_sort(list_filter([{places}], lambda x: x is not null)), lambda x: 'alias:' || x.alias), ',') applied_rules from lowered"""

@@ -32,12 +32,13 @@ class Requests:
     def _path(self, key: str) -> str:
         return f"{self.root}/{hashlib.sha256(key.encode()).hexdigest()}.json"
 
-    def _record(self, key: str, wanted: str, status: str, result: dict | None = None) -> str:
-        return json.dumps({"key": key, "request_hash": wanted, "status": status, "result": result, "updated_at": time.time()}, ensure_ascii=False)
+    def _record(self, key: str, wanted: str, status: str, result: dict | None = None, attempt: int = 1) -> str:
+        return json.dumps({"key": key, "request_hash": wanted, "status": status, "attempt": attempt, "result": result, "updated_at": time.time()}, ensure_ascii=False)
 
     def claim(self, key: str, wanted: str) -> dict | None:
         """None if the caller is to work on the request, else the result it had. Another request under
-        the key raises RequestConflict, one under work RequestRunning; one that failed runs again."""
+        the key raises RequestConflict, one under work RequestRunning; one that failed runs again, for the
+        one caller that creates the file of the next attempt."""
         path = self._path(key)
         if self.files.create(path, self._record(key, wanted, "processing")):
             return None
@@ -48,7 +49,10 @@ class Requests:
             return record["result"]
         if record["status"] == "processing":
             raise RequestRunning(f"request {key!r} is being worked on")
-        self.files.write(path, self._record(key, wanted, "processing"))
+        attempt = record.get("attempt", 1) + 1
+        if not self.files.create(f"{path}.{attempt}", ""):
+            raise RequestRunning(f"request {key!r} is being worked on")
+        self.files.write(path, self._record(key, wanted, "processing", attempt=attempt))
         return None
 
     def complete(self, key: str, wanted: str, result: dict) -> None:
@@ -61,7 +65,7 @@ class Requests:
         record = json.loads(self.files.read(self._path(key)) or "{}")
         if record.get("request_hash") != wanted or record.get("status") != "processing":
             raise RequestConflict(f"request {key!r} is not under work")
-        self.files.write(self._path(key), self._record(key, wanted, status, result))
+        self.files.write(self._path(key), self._record(key, wanted, status, result, record.get("attempt", 1)))
 
     def once(self, key: str, payload: dict, work: Callable[[], dict]) -> dict:
         """The result of ``work``, run unless the key already has one for this payload."""
