@@ -30,8 +30,8 @@ MEASURES = {
     "symbols": ("n_symbols * 1000 div n_words", 100),
     "dup_lines": ("n_dup_lines * 1000 div n_lines", 300),
     "repeats": ("n_repeat_words * 1000 div n_words", 150),
-    "long_words": ("word_chars * 100 div n_words", 150),
-    "short_words": ("n_words * 10000 div word_chars", 600),
+    "long_words": ("word_chars * 100 div n_words", 250),
+    "short_words": ("n_words * 10000 div word_chars", 800),
 }
 REACH = 4
 LIMIT = 2
