@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm import contamination, neardup, packing, passages, quality, tokens
 from tarn.llm.queries import tokenizer_path
-from tarn.shared import written
+from tarn.shared import discard, written
 
 
 def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str], list[str]]:
@@ -69,6 +69,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        docs = written(docs, f"stage{k}") if k < len(STAGES) - 1 else docs
+        before, docs = docs, stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, f"stage{k}")
+            discard(before)  # the documents themselves were not written here, so they stay
     return docs
