@@ -42,7 +42,7 @@ class Index:
 
 def tokenized(chunks: DataFrame, text: str = "retrieval_text", segmenter: Segmenter | None = None) -> DataFrame:
     """chunk_id, dl (its terms) and counts (array of term and tf), read from a table that is written here."""
-    rows = spread(chunks.select("chunk_id", F.col(text).alias("text"))).select("chunk_id", F.array_sort(terms(F.col("text"), segmenter)).alias("t"))
+    rows = spread(chunks.select("chunk_id", F.col(text).alias("text"))).select("chunk_id", F.sort_array(terms(F.col("text"), segmenter)).alias("t"))
     # one projection a step, so that each array is built once: where a run of equal terms begins, then its length
     rows = rows.withColumn("at", F.expr("if(size(t) = 0, array(), filter(sequence(0, size(t) - 1), i -> i = 0 or t[i] != t[i - 1]))"))
     counts = F.expr("transform(at, (p, k) -> struct(t[p] as term, cast(coalesce(get(at, k + 1), size(t)) - p as long) as tf))")
