@@ -4,7 +4,7 @@ Token ids (1, 7), sketches with alignment (4) and markup (8) are beyond it; test
 against brute force.
 """
 
-from tarn.llm import passages, preferences, quality, shards, urls
+from tarn.llm import mixing, passages, preferences, quality, shards, urls
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 _ALNUM = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -131,7 +131,24 @@ def _urls() -> str:
     select page_id, host, path, {rule} as rule, coalesce({ruled}, case when strict_hits > 0 or soft_hits >= {urls.SOFT_LIMIT} then 'block' else 'allow' end) verdict, strict_hits, soft_hits from counted"""
 
 
+def _mix() -> str:
+    """All sources that are over their limit are a prefix of those in order of limit by weight."""
+    weight = "case (row_number() over (order by source is null, source) - 1) % 3 " + " ".join(f"when {i} then {w}" for i, w in enumerate(mixing.WEIGHTS)) + " end"
+    passes = range(mixing.LIMIT)
+    budget = "least(source_size::double, greatest(0, target - {} * source_size))"
+    taken = " + ".join(f"(up_to <= {b} or up_to - size < {b} and up_to - {b} <= {b} - (up_to - size))::int" for b in (budget.format(j) for j in passes))
+    return f"""
+    with docs as (select doc_id, source, len({_WORDS})::bigint size, substring(md5('{mixing.SEED}:' || doc_id), 1, {mixing.IDENTITY_DIGITS}) place from documents),
+    sources as (select source, sum(size)::hugeint source_size, {weight}::hugeint weight from docs group by source),
+    ordered as (select *, {mixing.LIMIT} * source_size most, row_number() over (order by {mixing.LIMIT} * source_size / weight, source nulls last) n from sources),
+    levels as (select *, sum(source_size) over () - coalesce(sum(most) over (order by n rows between unbounded preceding and 1 preceding), 0) rest, sum(weight) over (order by n rows between current row and unbounded following) open_weight from ordered),
+    first_open as (select n, rest, open_weight from levels where most * open_weight >= weight * rest order by n limit 1),
+    goals as (select source, source_size, case when o.n < f.n then o.most::double else o.weight::double * f.rest::double / f.open_weight::double end target from ordered o, first_open f),
+    summed as (select doc_id, size, source_size, target, sum(size) over (partition by d.source order by place) up_to from docs d join goals g on d.source is not distinct from g.source)
+    select doc_id, size, source_size::bigint source_size, target, (size * ({taken}))::bigint taken from summed"""
+
+
 ORACLES: dict[str, str] = {
     "op2_quality_rules": _quality(), "op3_stratified_shards": _shards(), "op5_decontamination": _decontamination(),
-    "op6_repeated_passages": _passages(), "op9_preferences": _preferences(), "op10_url_filter": _urls(),
+    "op6_repeated_passages": _passages(), "op9_preferences": _preferences(), "op10_url_filter": _urls(), "op11_hash_threshold_mix": _mix(),
 }

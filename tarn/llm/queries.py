@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import contamination, html, idfiles, neardup, packing, passages, preferences, quality, shards, tokens, urls
+from tarn.llm import contamination, html, idfiles, mixing, neardup, packing, passages, preferences, quality, shards, tokens, urls
 from tarn.shared import shared_path, written
 
 
@@ -80,8 +80,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", *(f"url_verdict.{c}" for c in ("host", "path", "rule", "verdict", "strict_hits", "soft_hits")))
 
 
+def op11_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"), ["doc_id"])
+    return mixed.select("doc_id", *(f"mix.{c}" for c in ("size", "source_size", "target", "taken")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_stratified_shards, op4_order_minhash, op5_decontamination, op6_repeated_passages, op7_ranked_id_files, op8_line_blocks, op9_preferences, op10_url_filter)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_stratified_shards, op4_order_minhash, op5_decontamination, op6_repeated_passages, op7_ranked_id_files, op8_line_blocks, op9_preferences, op10_url_filter, op11_hash_threshold_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
