@@ -4,7 +4,7 @@ Token ids (1, 7), sketches with alignment (4) and markup (8) are beyond it; test
 against brute force.
 """
 
-from tarn.llm import mixing, passages, preferences, quality, shards, urls
+from tarn.llm import manifest, mixing, passages, preferences, quality, shards, urls
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 _ALNUM = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -53,17 +53,24 @@ def _quality() -> str:
         not base_failed and len(beyond) = 0 kept, array_to_string(beyond, ',') beyond from judged"""
 
 
+#: The table of CRC-32, made by its rule, and the checksum of a string, one byte at a time.
+_CRC_STEP = "list_reduce(list_prepend(k, range(8)), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)"
+_CRC_TABLE = f"crc as (select list(v order by k) t from (select k, {_CRC_STEP} v from range(256) r(k)))"
+
+
+def _crc32(text: str) -> str:
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::bigint)),
+            lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])))::bigint"""
+
+
 def _shards() -> str:
-    # one byte at a time; the table of 256 is made by its rule
-    step = "list_reduce(list_prepend(k, range(8)), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)"
     return f"""
-    with crc as (select list(v order by k) t from (select k, {step} v from range(256) r(k))),
+    with {_CRC_TABLE},
     docs as (select doc_id, source, text, octet_length(encode(coalesce(text, ''))) + 1 size, md5('{shards.SEED}:' || coalesce(doc_id::varchar, '')) key from documents),
     fractions as (select *, (2 * row_number() over (partition by source order by key) - 1) / (2 * count(*) over (partition by source))::double fraction from docs),
     places as (select *, row_number() over (order by fraction, source nulls first, key) - 1 place, count(*) over () total from fractions),
     dealt as (select *, place * 8 // total shard from places)
-    select doc_id, size::bigint size, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::bigint)),
-            lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])))::bigint text_crc32,
+    select doc_id, size::bigint size, {_crc32("coalesce(text, '')")} text_crc32,
         'rows' law, shard::int shard, (place - (shard * total + 7) // 8)::bigint slot, null::int grown_shard, source from dealt, crc"""
 
 
@@ -148,7 +155,37 @@ def _mix() -> str:
     select doc_id, size, source_size::bigint source_size, target, (size * ({taken}))::bigint taken from summed"""
 
 
+def _manifest() -> str:
+    def leaf(text: str) -> str:
+        return f"sha256(concat({', '.join(f"coalesce(octet_length(encode({c}::varchar)) || ':' || {c}::varchar, '-')" for c in ('doc_id', 'source', 'lang', 'n_chars', text))}))"
+
+    def tree(name: str, leaves: str) -> str:
+        n = manifest.ARITY
+        return f"""{name} as (select of, 0 level, i, h, count(*) over (partition by of) n from {leaves}
+            union all select of, level + 1, i // {n}, sha256(string_agg(h, '' order by i)), (n + {n - 1}) // {n} from {name} where n > 1 group by of, level, i // {n}, n)"""
+
+    def steps(name: str, leaves: str) -> str:
+        """For each leaf the nodes of its runs, its own as a star."""
+        n = manifest.ARITY
+        depths = f"select of, max(level) top from {name} group by of"
+        return f"""select a.of, a.i, list(step order by level) steps from (select a.of, a.i, b.level, string_agg(case when b.i = a.i // pow({n}, b.level)::bigint then '*' else b.h end, '' order by b.i) step
+            from {leaves} a join ({depths}) d on a.of = d.of join {name} b on b.of = a.of and b.level < d.top and b.i // {n} = a.i // pow({n}, b.level + 1)::bigint group by all) a group by a.of, a.i"""
+
+    return f"""
+    with recursive {_CRC_TABLE},
+    leaves as (select *, coalesce('=' || source, '') of, row_number() over (partition by source order by doc_id nulls first, h) - 1 i from (
+        select doc_id, source, {leaf("text")} h, {leaf("case when {crc} % 2 = 0 then replace(text, chr(10), '') else text end".format(crc=_crc32("doc_id::varchar")))} now from documents, crc)),
+    {tree("nodes", "leaves")},
+    tops as (select '' of, row_number() over (order by of) - 1 i, of source_of, h from (select of, h from nodes where n = 1)),
+    {tree("upper", "tops")},
+    lower_steps as ({steps("nodes", "leaves")}), upper_steps as ({steps("upper", "tops")}),
+    paths as (select l.doc_id, l.h leaf, l.now, t.h subroot, (select h from upper where n = 1) root, coalesce(a.steps, []) || coalesce(b.steps, []) steps
+        from leaves l join tops t on t.source_of = l.of left join lower_steps a on a.of = l.of and a.i = l.i left join upper_steps b on b.i = t.i),
+    done as (select *, list_reduce(list_prepend(now, steps), lambda d, p: sha256(replace(p, '*', d))) folded_root from paths)
+    select doc_id, leaf, subroot, root, sha256(replace(array_to_string(steps, ''), '*', '')) proof_sha256, folded_root, folded_root = root verified from done"""
+
+
 ORACLES: dict[str, str] = {
     "op2_quality_rules": _quality(), "op3_stratified_shards": _shards(), "op5_decontamination": _decontamination(),
-    "op6_repeated_passages": _passages(), "op9_preferences": _preferences(), "op10_url_filter": _urls(), "op11_hash_threshold_mix": _mix(),
+    "op6_repeated_passages": _passages(), "op9_preferences": _preferences(), "op10_url_filter": _urls(), "op11_hash_threshold_mix": _mix(), "op13_merkle_manifest": _manifest(),
 }
