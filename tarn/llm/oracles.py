@@ -1,10 +1,10 @@
-"""DuckDB SQL for the operators that SQL can express: 2, 3, 5, 6, 9 and 10.
+"""DuckDB SQL for the operators that SQL can express: 2, 3, 5, 6, 9, 10, 11, 12 and 13.
 
 Token ids (1, 7), sketches with alignment (4) and markup (8) are beyond it; tests/llm holds those
 against brute force.
 """
 
-from tarn.llm import manifest, mixing, passages, preferences, quality, shards, urls
+from tarn.llm import manifest, mixing, passages, preferences, quality, repair, shards, urls
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 _ALNUM = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -155,6 +155,62 @@ def _mix() -> str:
     select doc_id, size, source_size::bigint source_size, target, (size * ({taken}))::bigint taken from summed"""
 
 
+def _repair() -> str:
+    """The recursion as a fold from the last turn on: cost and audit for each end of what is repaired so far."""
+    ends, inf = ("", "s", "u", "a"), 1_000_000_000
+    name = {e: e or "n" for e in ends}
+
+    def pick(options: list[tuple[str, str]]) -> tuple[str, str]:
+        """(cost, audit) of the least option."""
+        least = f"list_min([{', '.join(f'struct_pack(c := {c}, a := {a})' for c, a in options)}])"
+        return f"{least}.c", f"{least}.a"
+
+    def closed(base: dict[str, tuple[str, str]]) -> str:
+        """Insertions before the next edit: at most two, to the end that follows."""
+        once = {e: (f"{base[repair.NEXT[e][-1]][0]} + {repair.INSERT}", f"'I' || {base[repair.NEXT[e][-1]][1]}") for e in ends}
+        twice = {e: (f"{base[repair.NEXT[repair.NEXT[e][-1]][-1]][0]} + {2 * repair.INSERT}", f"'II' || {base[repair.NEXT[repair.NEXT[e][-1]][-1]][1]}") for e in ends}
+        fields = []
+        for e in ends:
+            cost, audit = pick([base[e], once[e], twice[e]])
+            fields += [f"c_{name[e]} := {cost}::bigint", f"e_{name[e]} := {audit}"]
+        return ", ".join(fields)
+
+    stays = f"case when x.sym = upper(x.sym) then {repair.TRUNCATED} else 0 end"
+    base = {}
+    for e in ends:
+        options = [(f"s.c_{name[e]} + {repair.DELETE}", f"'D' || s.e_{name[e]}")]
+        for role in repair.NEXT[e]:
+            options.append((f"case when lower(x.sym) = '{role}' then s.c_{role} + {stays} else {inf} end", f"'K' || s.e_{role}"))
+            if role in repair.GIVEN:
+                options.append((f"case when x.sym <> '{repair.GOES}' then s.c_{role} + {stays} + {repair.REROLE} else {inf} end", f"'R' || s.e_{role}"))
+        base[e] = pick(options)
+    at_end = {e: ("0" if e in ("", "a") else str(inf), "''") for e in ends}
+    fields = [f"{k}_{name[e]}" for e in ends for k in ("c", "e")]
+    blank = f"struct_pack(sym := x, {', '.join(f'{f} := ' + ('0::bigint' if f[0] == 'c' else repr('')) for f in fields)})"
+    # each step names the bases first, so that a text stands once
+    inner = ", ".join(f"c_{name[e]} := {base[e][0]}::bigint, e_{name[e]} := {base[e][1]}" for e in ends)
+    step = f"list_transform([struct_pack({inner})], lambda b: struct_pack(sym := '', {closed({e: (f'b.c_{name[e]}', f'b.e_{name[e]}') for e in ends})}))[1]"
+    solve = f"list_reduce(list_prepend(struct_pack(sym := '', {closed(at_end)}), list_reverse(list_transform(syms, lambda x: {blank}))), lambda s, x: {step})"
+    role = f"case when left(role, 1) in ('s', 'u', 'a') then left(role, 1) else '{repair.OTHER}' end"
+    white = r"\x20\x09-\x0D"
+    return f"""
+    with {_CRC_TABLE},
+    original as (select conv_id, turn, coalesce(role, ' ') role, coalesce(text, ' ') text, {_crc32("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 k from conversations, crc),
+    hurt as (select conv_id, turn, case when k = 4 then 'user' else role end role, case k when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end text, unnest(range(case k when 0 then 0 when 3 then 2 else 1 end)) copy from original),
+    placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) i from hurt),
+    seen as (select *, row_number() over (partition by conv_id, role, text order by i) > 1 again, lag(left(role, 1)) over (partition by conv_id order by i) before from placed),
+    judged as (select *, case when not regexp_matches(text, '[^{white}]') then 'blank' when again then 'duplicate' when regexp_matches(text, '[^.!?{white}][{white}]*$') then 'truncated' else '' end fault from seen),
+    counts as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps, count(*) filter (fault = 'blank') blank, count(*) filter (fault = 'duplicate') duplicate, count(*) filter (fault = 'truncated') truncated,
+        count(*) filter (i > 1 and before || left(role, 1) not in ('su', 'ua', 'au')) illegal, list(struct_pack(role := role, text := text) order by i) t,
+        list(case fault when 'blank' then '{repair.GOES}' when 'duplicate' then '{repair.GOES}' when 'truncated' then upper({role}) else {role} end order by i) syms from judged group by conv_id),
+    solutions as (select *, {solve} best from counts),
+    edits as (select *, list_transform(range(1, length(best.e_n) + 1), lambda j: struct_pack(op := best.e_n[j], r := length(replace(best.e_n[1:j], 'I', '')), o := length(replace(best.e_n[1:j], 'D', '')))) e from solutions),
+    lines as (select *, list_filter(e, lambda x: x.op <> 'D') kept_edits, len(list_filter(e, lambda x: x.o = 1 and x.op = 'K' and lower(syms[x.r]) = 's')) shift from edits),
+    texts as (select *, array_to_string(list_transform(kept_edits, lambda x: case when x.op = 'K' then t[x.r].role when (x.o - shift) % 2 = 1 then 'user' else 'assistant' end || ':' || case when x.op = 'I' then '' else t[x.r].text end), chr(10)) body from lines)
+    select o.conv_id, coalesce(gaps, 0)::bigint gaps, coalesce(blank, 0)::bigint blank, coalesce(duplicate, 0)::bigint duplicate, coalesce(truncated, 0)::bigint truncated, coalesce(illegal, 0)::bigint illegal,
+        coalesce(best.c_n, 0)::bigint cost, coalesce(best.e_n, '') audit, sha256(coalesce(body, '')) repaired_sha256 from (select distinct conv_id from conversations) o left join texts d on o.conv_id is not distinct from d.conv_id"""
+
+
 def _manifest() -> str:
     def leaf(text: str) -> str:
         return f"sha256(concat({', '.join(f"coalesce(octet_length(encode({c}::varchar)) || ':' || {c}::varchar, '-')" for c in ('doc_id', 'source', 'lang', 'n_chars', text))}))"
@@ -187,5 +243,5 @@ def _manifest() -> str:
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": _quality(), "op3_stratified_shards": _shards(), "op5_decontamination": _decontamination(),
-    "op6_repeated_passages": _passages(), "op9_preferences": _preferences(), "op10_url_filter": _urls(), "op11_hash_threshold_mix": _mix(), "op13_merkle_manifest": _manifest(),
+    "op6_repeated_passages": _passages(), "op9_preferences": _preferences(), "op10_url_filter": _urls(), "op11_hash_threshold_mix": _mix(), "op12_conversation_repair": _repair(), "op13_merkle_manifest": _manifest(),
 }

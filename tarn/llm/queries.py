@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import contamination, html, idfiles, manifest, mixing, neardup, packing, passages, preferences, quality, shards, tokens, urls
+from tarn.llm import contamination, html, idfiles, manifest, mixing, neardup, packing, passages, preferences, quality, repair, shards, tokens, urls
 from tarn.shared import shared_path, written
 
 
@@ -85,6 +85,11 @@ def op11_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", *(f"mix.{c}" for c in ("size", "source_size", "target", "taken")))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fixed = repair.repaired(repair.damaged(repair.conversations_of(_table(spark, sf_dir, "conversations"))))
+    return fixed.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(F.encode(repair.rendered("repaired"), "UTF-8"), 256).alias("repaired_sha256"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     odd = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "UTF-8")) % 2 == 1
@@ -94,7 +99,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_stratified_shards, op4_order_minhash, op5_decontamination, op6_repeated_passages, op7_ranked_id_files, op8_line_blocks, op9_preferences, op10_url_filter, op11_hash_threshold_mix, op13_merkle_manifest)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_stratified_shards, op4_order_minhash, op5_decontamination, op6_repeated_passages, op7_ranked_id_files, op8_line_blocks, op9_preferences, op10_url_filter, op11_hash_threshold_mix, op12_conversation_repair, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
