@@ -72,11 +72,11 @@ class Engine:
             self._publish(self.spark.createDataFrame([], DOCUMENTS), self.spark.createDataFrame([], CHUNKS))
         return self.tables.current()
 
-    def _publish(self, documents: DataFrame, chunks: DataFrame, after: str | None = None) -> str:
+    def _publish(self, documents: DataFrame, chunks: DataFrame, after: str | None = None, guard: Callable[[], None] | None = None) -> str:
         name, path = self.tables.new()
         documents.write.parquet(f"{path}/documents")
         chunks.write.partitionBy("embedding_model").parquet(f"{path}/chunks")
-        self.tables.publish(name, {"format_version": FORMAT_VERSION}, after)
+        self.tables.publish(name, {"format_version": FORMAT_VERSION}, after, guard)
         return name
 
     def _table(self, table: str, schema: str) -> DataFrame:
@@ -108,9 +108,9 @@ class Engine:
         """Take in a folder of Markdown files, or one, once for each key (by default the request's hash)."""
         s = self.settings
         payload = {"source": source, "repo": repo, "commit": commit, "language": language, "chunker": chunking.VERSION, "limits": asdict(s.limits), "model": s.embedding_model, "dimensions": s.embedding_dimensions}
-        return self.requests.once(key or f"ingest-{request_hash(payload)}", payload, lambda: self.ingest_texts(read_markdown(self.spark, source, root), repo, commit, language))
+        return self.requests.once(key or f"ingest-{request_hash(payload)}", payload, lambda guard: self.ingest_texts(read_markdown(self.spark, source, root), repo, commit, language, guard), fenced=True)
 
-    def ingest_texts(self, files: DataFrame, repo: str, commit: str, language: str) -> dict:
+    def ingest_texts(self, files: DataFrame, repo: str, commit: str, language: str, guard: Callable[[], None] | None = None) -> dict:
         """Take in a table (source_path, text). Chunks whose text, chunker and vector space are as before
         keep their vectors; others are embedded; those beyond a document's end go."""
         began, s, start = time.monotonic(), self.settings, self.init()
@@ -131,7 +131,7 @@ class Engine:
         merged = upsert.upsert(upsert.without_stale(before, sizes), changed, upsert.CHUNK_KEY, "id")
         counts = judged.agg(F.count("*").alias("chunks"), F.count_if("is_changed").alias("embedded")).first()
         stale = upsert.stale_chunks(before, sizes).count()
-        name = self._publish(documents, merged, after=start)
+        name = self._publish(documents, merged, start, guard)
         return {"documents": parsed.count(), "chunks": counts["chunks"], "embedded": counts["embedded"], "skipped": counts["chunks"] - counts["embedded"], "deleted": stale, "generation": name, "seconds": time.monotonic() - began}
 
     def rebuild_bm25(self, key: str | None = None) -> dict:

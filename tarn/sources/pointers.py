@@ -6,6 +6,7 @@ import json
 import re
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
@@ -45,19 +46,35 @@ class Files:
         self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(qualified.toUri(), self._conf).rename(system.makeQualified(part), qualified, options)
 
     def create(self, path: str, text: str) -> bool:
-        """Write a file that must not be there yet; False if it is."""
+        """Make a file that must not be there yet, with its whole text at once; False if it is there.
+
+        The text is written to a neighbour that then gets the name, in a step that fails where the name is
+        taken: a hard link on a local disk, a rename elsewhere (HDFS refuses one onto a file). Of any number
+        of callers one succeeds, and nobody ever sees a part of the text. Stores that cannot refuse, such as
+        plain object stores, are not for pointers."""
         at, system = self._at(path)
         if system.exists(at):
             return False
-        try:
-            stream = system.create(at, False)
-        except Exception as error:  # py4j: another writer was faster
-            if "AlreadyExists" in str(error):
-                return False
-            raise
+        system.mkdirs(at.getParent())
+        at = self._jvm.org.apache.hadoop.fs.Path(system.resolvePath(at.getParent()), at.getName())  # below mount tables
+        system = at.getFileSystem(self._conf)
+        part = self._jvm.org.apache.hadoop.fs.Path(at.getParent(), f".{at.getName()}.{uuid.uuid4().hex}")
+        stream = system.create(part, False)
         stream.write(bytearray(text.encode()))
         stream.close()
-        return True
+        try:
+            if system.getUri().getScheme() != "file":
+                return system.rename(part, at)
+            local = [self._jvm.java.nio.file.Path.of(x.toUri().getPath(), self._gateway.new_array(self._jvm.java.lang.String, 0)) for x in (at, part)]
+            try:
+                self._jvm.java.nio.file.Files.createLink(*local)
+            except Exception as error:  # py4j
+                if "FileAlreadyExists" in str(error):
+                    return False
+                raise
+            return True
+        finally:
+            system.delete(part, False)
 
     def delete(self, path: str) -> None:
         at, system = self._at(path)
@@ -68,9 +85,10 @@ class Files:
         return system.exists(at)
 
     def names(self, path: str) -> list[str]:
-        """Names in a folder; none if there is no such folder."""
+        """Names in a folder, without hidden ones; none if there is no such folder."""
         at, system = self._at(path)
-        return [x.getPath().getName() for x in system.listStatus(at)] if system.exists(at) else []
+        found = [x.getPath().getName() for x in system.listStatus(at)] if system.exists(at) else []
+        return [x for x in found if not x.startswith(".")]
 
 
 class ConcurrentChange(RuntimeError):
@@ -81,9 +99,10 @@ class Generations:
     """``root/generations/generation-<id>/`` with a manifest each, and numbered pointers
     ``root/CURRENT-<number>`` of which the last one counts.
 
-    A pointer is never changed: publishing is the creation of the next one, which only one writer can do.
-    So a reader always finds a generation, and a writer that dies leaves at most an empty pointer behind,
-    which readers skip and the next writer passes by after SLOW seconds."""
+    A pointer is never changed: publishing is the creation of the next one, which only one writer can do. It
+    names its generation and the one before it, so a writer that was late (its number had come and gone)
+    sees that the chain passes it by. Readers skip an empty pointer, which an older version could leave, and
+    the next writer passes by it after SLOW seconds."""
 
     SLOW = 5.0
     KEPT = 16
@@ -105,20 +124,27 @@ class Generations:
         """Of all pointers, the last one first."""
         return sorted((int(found[1]) for name in self.files.names(self.root) if (found := re.fullmatch(r"CURRENT-(\d+)", name))), reverse=True)
 
-    def publish(self, name: str, manifest: dict, after: str | None = None) -> None:
+    def publish(self, name: str, manifest: dict, after: str | None = None, guard: Callable[[], None] | None = None) -> None:
         """Make a generation current. One that was built from another (``after``) can be the only one to
-        follow it: a second writer that began from the same one gets ConcurrentChange."""
+        follow it: a second writer that began from the same one gets ConcurrentChange. ``guard`` is called
+        just before and may raise."""
         self.files.write(f"{self.path(name)}/manifest.json", json.dumps(manifest | {"generation": name}, sort_keys=True))
         while True:
             last = next(iter(self._numbers()), 0)
-            if last and after is not None:  # another writer may be about to fill the last pointer
+            if last and after is not None:  # an older version's writer may be about to fill the last pointer
                 began = time.monotonic()
                 while not self.files.read(self._pointer(last)) and time.monotonic() - began < self.SLOW:
                     time.sleep(0.1)
                 if self.current() != after:
                     raise ConcurrentChange(f"{after} is no longer current")
-            if self.files.create(self._pointer(last + 1), name):
-                break
+            if guard:
+                guard()
+            before = self.current() or ""
+            if self.files.create(self._pointer(last + 1), f"{name} {before}"):
+                later = any(number > last + 1 for number in self._numbers())
+                if not later or (self.files.read(self._pointer(last + 2)) or "").split()[-1:] == [name]:
+                    break
+                self.files.delete(self._pointer(last + 1))  # the number was free again, long after its time
             if after is not None:
                 raise ConcurrentChange(f"{after} has a successor already")
         for number in self._numbers()[self.KEPT :]:
@@ -126,7 +152,7 @@ class Generations:
 
     def current(self) -> str | None:
         for number in self._numbers():
-            name = (self.files.read(self._pointer(number)) or "").strip()
+            name = (self.files.read(self._pointer(number)) or "").partition(" ")[0].strip()
             if name:
                 if not re.fullmatch(r"generation-[0-9a-f]+", name):
                     raise ValueError(f"the pointer under {self.root} names no generation")

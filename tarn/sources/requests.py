@@ -1,11 +1,22 @@
-"""Requests that run once: a record for each key, kept beside the tables."""
+"""Requests that run once, under leases: a folder for each key, kept beside the tables.
+
+Attempts are numbered files, ``attempt-N`` and, when one is over, ``attempt-N.end`` with its outcome. Both
+are only ever created, so an attempt has one owner and one outcome. An owner renews its lease while it
+works. One that stops doing so (its process died, its machine is gone) is passed by once the lease is
+over: the next caller writes the end of the attempt itself and takes the next number. The number is a
+fence: whoever wakes up late finds its attempt ended and can record nothing.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
+import threading
 import time
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 
@@ -13,47 +24,100 @@ from tarn.sources.pointers import Files
 
 
 class RequestConflict(ValueError):
-    """The key was used for another request."""
+    """The key was used for another request, or the attempt is not under work."""
 
 
 class RequestRunning(RuntimeError):
     """The same request is being worked on."""
 
 
+class LeaseLost(RequestConflict):
+    """Another caller took the request over."""
+
+
 def request_hash(payload: dict) -> str:
     """SHA-256 of the canonical JSON: sorted keys, no blanks, characters as they are."""
     return hashlib.sha256(json.dumps(payload, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
 
 
+@dataclass(frozen=True)
+class Lease:
+    """One attempt at a request; ``number`` grows with each."""
+
+    key: str
+    wanted: str
+    number: int
+    owner: str
+
+
 class Requests:
-    def __init__(self, spark: SparkSession, root: str):
-        self.files, self.root = Files(spark), f"{root.rstrip('/')}/requests"
+    """``lease_seconds`` after its owner's last sign of life an attempt counts as dead. Clocks of the machines
+    may differ by less than that."""
+
+    def __init__(self, spark: SparkSession, root: str, lease_seconds: float = 60.0):
+        self.files, self.root, self.lease_seconds = Files(spark), f"{root.rstrip('/')}/requests", lease_seconds
+        self._held: dict[str, Lease] = {}
+
+    def _at(self, key: str, number: int, what: str = "") -> str:
+        return f"{self.root}/{hashlib.sha256(key.encode()).hexdigest()}/attempt-{number:06d}{what}"
+
+    def _last(self, key: str) -> int:
+        names = self.files.names(f"{self.root}/{hashlib.sha256(key.encode()).hexdigest()}")
+        return max((int(found[1]) for name in names if (found := re.fullmatch(r"attempt-(\d+)", name))), default=0)
+
+    def _json(self, path: str) -> dict | None:
+        text = self.files.read(path)
+        return json.loads(text) if text else None
+
+    def take(self, key: str, wanted: str) -> Lease | dict:
+        """A lease if the caller is to work on the request, else the result that it had. Another request
+        under the key raises RequestConflict, one under work RequestRunning. A request that failed, or whose
+        owner shows no sign of life, goes to one caller."""
+        number = self._last(key)
+        if number:
+            record, end = self._json(self._at(key, number)), self._json(self._at(key, number, ".end"))
+            if record["request_hash"] != wanted:
+                raise RequestConflict(f"key {key!r} was used for another request")
+            if end and end["status"] == "completed":
+                return end["result"]
+            if not end:
+                alive = self._json(self._at(key, number, ".lease")) or record
+                if time.time() < alive["until"]:
+                    raise RequestRunning(f"request {key!r} is being worked on")
+                if not self._end(key, number, "expired"):  # its owner ended it just now, or another caller was faster
+                    return self.take(key, wanted)
+        lease = Lease(key, wanted, number + 1, uuid.uuid4().hex)
+        record = {"key": key, "request_hash": wanted, "owner": lease.owner, "attempt": lease.number, "until": time.time() + self.lease_seconds}
+        if not self.files.create(self._at(key, lease.number), json.dumps(record, ensure_ascii=False)):
+            raise RequestRunning(f"request {key!r} is being worked on")
+        return lease
+
+    def _end(self, key: str, number: int, status: str, result: dict | None = None) -> bool:
+        return self.files.create(self._at(key, number, ".end"), json.dumps({"status": status, "result": result, "at": time.time()}, ensure_ascii=False))
+
+    def renew(self, lease: Lease) -> None:
+        """A sign of life; LeaseLost if the attempt is over."""
+        self.check(lease)
+        self.files.write(self._at(lease.key, lease.number, ".lease"), json.dumps({"owner": lease.owner, "until": time.time() + self.lease_seconds}))
 
-    def _path(self, key: str) -> str:
-        return f"{self.root}/{hashlib.sha256(key.encode()).hexdigest()}.json"
+    def check(self, lease: Lease) -> None:
+        if self.files.exists(self._at(lease.key, lease.number, ".end")):
+            raise LeaseLost(f"request {lease.key!r} was taken over from attempt {lease.number}")
 
-    def _record(self, key: str, wanted: str, status: str, result: dict | None = None, attempt: int = 1) -> str:
-        return json.dumps({"key": key, "request_hash": wanted, "status": status, "attempt": attempt, "result": result, "updated_at": time.time()}, ensure_ascii=False)
+    def finish(self, lease: Lease, status: str, result: dict | None = None) -> None:
+        """Record the outcome; LeaseLost if there is one already."""
+        if not self._end(lease.key, lease.number, status, result):
+            raise LeaseLost(f"request {lease.key!r} was taken over from attempt {lease.number}")
+
+    # the same for a caller that keeps no lease of its own
 
     def claim(self, key: str, wanted: str) -> dict | None:
-        """None if the caller is to work on the request, else the result it had. Another request under
-        the key raises RequestConflict, one under work RequestRunning; one that failed runs again, for the
-        one caller that creates the file of the next attempt."""
-        path = self._path(key)
-        if self.files.create(path, self._record(key, wanted, "processing")):
+        """None if the caller is to work on the request, else the result it had; see ``take``."""
+        taken = self.take(key, wanted)
+        if isinstance(taken, Lease):
+            self._held[key] = taken
             return None
-        record = json.loads(self.files.read(path))
-        if record["request_hash"] != wanted:
-            raise RequestConflict(f"key {key!r} was used for another request")
-        if record["status"] == "completed":
-            return record["result"]
-        if record["status"] == "processing":
-            raise RequestRunning(f"request {key!r} is being worked on")
-        attempt = record.get("attempt", 1) + 1
-        if not self.files.create(f"{path}.{attempt}", ""):
-            raise RequestRunning(f"request {key!r} is being worked on")
-        self.files.write(path, self._record(key, wanted, "processing", attempt=attempt))
-        return None
+        return taken
 
     def complete(self, key: str, wanted: str, result: dict) -> None:
         self._close(key, wanted, "completed", result)
@@ -62,21 +126,36 @@ class Requests:
         self._close(key, wanted, "failed", None)
 
     def _close(self, key: str, wanted: str, status: str, result: dict | None) -> None:
-        record = json.loads(self.files.read(self._path(key)) or "{}")
-        if record.get("request_hash") != wanted or record.get("status") != "processing":
+        lease = self._held.pop(key, None)
+        if lease is None or lease.wanted != wanted:
             raise RequestConflict(f"request {key!r} is not under work")
-        self.files.write(self._path(key), self._record(key, wanted, status, result, record.get("attempt", 1)))
-
-    def once(self, key: str, payload: dict, work: Callable[[], dict]) -> dict:
-        """The result of ``work``, run unless the key already has one for this payload."""
-        wanted = request_hash(payload)
-        known = self.claim(key, wanted)
-        if known is not None:
-            return known
+        self.finish(lease, status, result)
+
+    def once(self, key: str, payload: dict, work: Callable[..., dict], fenced: bool = False) -> dict:
+        """The result of ``work``, run unless the key already has one for this payload. The lease is renewed
+        beside it. With ``fenced``, ``work`` gets a function that raises LeaseLost when it is no longer its
+        turn, to be called before anything is published."""
+        taken = self.take(key, request_hash(payload))
+        if not isinstance(taken, Lease):
+            return taken
+        over = threading.Event()
+
+        def beat() -> None:
+            while not over.wait(self.lease_seconds / 3):
+                try:
+                    self.renew(taken)
+                except LeaseLost:
+                    return
+                except Exception:  # noqa: BLE001  the store is out of reach; the next beat may get through
+                    continue
+
+        threading.Thread(target=beat, daemon=True).start()
         try:
-            result = work()
+            result = work(lambda: self.check(taken)) if fenced else work()
         except BaseException:
-            self.fail(key, wanted)
+            over.set()
+            self._end(key, taken.number, "failed")
             raise
-        self.complete(key, wanted, result)
+        over.set()
+        self.finish(taken, "completed", result)
         return result

@@ -20,7 +20,7 @@ def ingest_stream(engine: Engine, folder: str, checkpoint: str, repo: str, commi
         if files.isEmpty():
             return
         payload = {"stream": folder, "batch": number, "repo": repo, "commit": commit, "language": language}
-        engine.requests.once(f"stream:{folder}:{number}", payload, lambda: engine.ingest_texts(files, repo, commit, language))
+        engine.requests.once(f"stream:{folder}:{number}", payload, lambda guard: engine.ingest_texts(files, repo, commit, language, guard), fenced=True)
         if rebuild:
             engine.rebuild_bm25()
 
