@@ -1,5 +1,8 @@
 """BM25 (Lucene variant) as tables: postings, document lengths, term and corpus statistics.
 
+``bm25_topk`` here scores every chunk that shares a term with a query, by joins alone; ``blocks`` gives the
+same rows from an index that leaves most postings unread, and is what is published and searched.
+
 Texts are read and split once, and a chunk's terms are counted within its row, so its postings need no
 shuffle; one aggregation of them gives the document frequencies. Scoring takes the frequencies of the
 queries' terms only and joins those with their postings. A term that every chunk holds costs its
@@ -17,7 +20,7 @@ from tarn.functions.text import TOKENIZER_VERSION, Segmenter, terms
 from tarn.shared import spread, written
 from tarn.sources.pointers import Generations
 
-FORMAT_VERSION = 1
+FORMAT_VERSION = 2
 DIGITS = 9
 
 
@@ -91,21 +94,22 @@ def tokenizer_version(segmenter: Segmenter | None) -> str:
 
 
 def publish(chunks: DataFrame, root: str, model: str, dimensions: int, text: str = "retrieval_text", segmenter: Segmenter | None = None) -> str:
-    """Build a generation under ``root`` and make it the current one; the old one stays readable."""
-    spark = chunks.sparkSession
+    """Build a generation under ``root``, in blocks, and make it the current one; the old one stays readable."""
+    from tarn.operators import blocks  # which builds on this module
+
     if chunks.isEmpty():
         raise EmptyCorpus("no chunks of this vector space")
-    store = Generations(spark, root)
+    store = Generations(chunks.sparkSession, root)
     name, path = store.new()
-    index = build_index(chunks, text, segmenter)
-    index.postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.parquet(f"{path}/postings")
-    spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{path}/term_stats")
-    index.corpus_stats.write.parquet(f"{path}/corpus_stats")
-    store.publish(name, {"format_version": FORMAT_VERSION, "tokenizer_version": tokenizer_version(segmenter), "embedding_model": model, "embedding_dimensions": dimensions})
+    buckets = blocks.save(chunks, path, text, segmenter)
+    store.publish(name, {"format_version": FORMAT_VERSION, "buckets": buckets, "tokenizer_version": tokenizer_version(segmenter), "embedding_model": model, "embedding_dimensions": dimensions})
     return name
 
 
-def load(spark: SparkSession, root: str, model: str, dimensions: int, segmenter: Segmenter | None = None) -> Index:
+def load(spark: SparkSession, root: str, model: str, dimensions: int, segmenter: Segmenter | None = None):
+    """The current generation (``blocks.Blocks``)."""
+    from tarn.operators import blocks
+
     store = Generations(spark, root)
     name = store.current()
     if name is None:
@@ -114,4 +118,4 @@ def load(spark: SparkSession, root: str, model: str, dimensions: int, segmenter:
     for key, wanted in (("format_version", FORMAT_VERSION), ("tokenizer_version", tokenizer_version(segmenter)), ("embedding_model", model), ("embedding_dimensions", dimensions)):
         if manifest.get(key) != wanted:
             raise IndexMismatch(f"the index has {key} {manifest.get(key)!r}, not {wanted!r}")
-    return Index(*(spark.read.parquet(f"{store.path(name)}/{part}") for part in ("postings", "term_stats", "corpus_stats")))
+    return blocks.load(spark, store.path(name), manifest["buckets"])

@@ -16,7 +16,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.operators import bm25, chunking, dense, evaluation, fusion, markdown, rerank, rewrite, upsert
+from tarn.operators import blocks, bm25, chunking, dense, evaluation, fusion, markdown, rerank, rewrite, upsert
 from tarn.plans.embedding import Embedder, embed, http_embedder, http_scorer
 from tarn.plans.settings import Settings
 from tarn.shared import written
@@ -148,7 +148,7 @@ class Engine:
             return work()
         return self.requests.once(f"bm25-rebuild:{key}", {"operation": "bm25-rebuild", "model": s.embedding_model, "dimensions": s.embedding_dimensions, "root": s.root}, work)
 
-    def reload_bm25(self) -> bm25.Index:
+    def reload_bm25(self) -> blocks.Blocks:
         self._index = bm25.load(self.spark, f"{self.settings.root}/bm25", self.settings.embedding_model, self.settings.embedding_dimensions, self.segmenter)
         return self._index
 
@@ -183,7 +183,7 @@ class Engine:
         asked = step("embedding", lambda: embed(rewritten, "effective_query", s.embedding_dimensions, self.embedder))
         space, index = self.space, self._index or self.reload_bm25()
         near = step("dense", lambda: self._dense(asked, space, mode, s))
-        sparse = step("bm25", lambda: bm25.bm25_topk(asked, index, s.bm25_top_k, "effective_query", segmenter=self.segmenter))
+        sparse = step("bm25", lambda: blocks.bm25_topk(asked, index, s.bm25_top_k, "effective_query", segmenter=self.segmenter))
         fused = fusion.reciprocal_rank_fusion(near.select("query_id", "rank", "chunk_id", F.col("cosine_similarity").alias("score")), sparse, s.rrf_constant)
         evidence = space.drop("embedding", "content_hash").join(self.documents.select(F.col("id").alias("document_id"), *upsert.DOCUMENT_KEY, "language", "title"), "document_id")
         head = fused.filter(F.col("rrf_rank") <= (s.rerank_top_k if use_reranker else s.final_top_k))

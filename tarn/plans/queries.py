@@ -6,6 +6,7 @@ the rows whose id is divisible by 100, against all rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 from tarn.functions.html_markdown import markdown as to_markdown
 from tarn.functions.text import normalize_newlines, preview, sha256, terms
-from tarn.operators import bm25, chunking, dense, evaluation, fusion, markdown, rerank, rewrite, upsert
+from tarn.operators import blocks, bm25, chunking, dense, evaluation, fusion, markdown, rerank, rewrite, upsert
+from tarn.shared import shared_root
 
 K = 10
 RECALL_K = 30
@@ -72,6 +74,29 @@ def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # BM25
 
+#: Indexes that this session has published, by the files that they were built from.
+_PUBLISHED: dict[tuple, blocks.Blocks] = {}
+
+
+def _stamp(spark: SparkSession, sf_dir: str, name: str) -> tuple:
+    """The session, and name, length and time of a table's files: what an index of it depends on."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for file in sorted(_table(spark, sf_dir, name).inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(file)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        found.append((file, status.getLen(), status.getModificationTime()))
+    return spark.sparkContext.applicationId, *found
+
+
+def _index(spark: SparkSession, sf_dir: str) -> blocks.Blocks:
+    """The documents' index: published on first use, beside the scratch tables, and read again by every search."""
+    stamp = _stamp(spark, sf_dir, "documents")
+    if stamp not in _PUBLISHED:
+        path = f"{shared_root(spark)}/tarn-index/{uuid.uuid4().hex}"
+        _PUBLISHED[stamp] = blocks.load(spark, path, blocks.save(_chunks(spark, sf_dir), path))
+    return _PUBLISHED[stamp]
+
 
 def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _chunks(spark, sf_dir).select("chunk_id", terms(F.col("retrieval_text")).alias("terms"))
@@ -94,7 +119,7 @@ def bm25_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    found = bm25.bm25_topk(queries, bm25.build_index(_chunks(spark, sf_dir)), K)
+    found = blocks.bm25_topk(queries, _index(spark, sf_dir), K)
     return found.select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -104,7 +129,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = _text_queries(spark, sf_dir)
     near = dense.exact_topk(queries, _vectors(spark, sf_dir), RECALL_K, DIMENSIONS, SPACE).select("query_id", "rank", "chunk_id", F.col("cosine_similarity").alias("score"))
-    sparse = bm25.bm25_topk(queries.select("query_id", "query"), bm25.build_index(_chunks(spark, sf_dir)), RECALL_K)
+    sparse = blocks.bm25_topk(queries.select("query_id", "query"), _index(spark, sf_dir), RECALL_K)
     return fusion.reciprocal_rank_fusion(near, sparse)
 
 
