@@ -16,7 +16,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.operators import blocks, bm25, chunking, dense, evaluation, fusion, markdown, rerank, rewrite, upsert
+from tarn.operators import blocks, bm25, chunking, dense, evaluation, fusion, markdown, quantized, rerank, rewrite, upsert
 from tarn.plans.embedding import Embedder, embed, http_embedder, http_scorer
 from tarn.plans.settings import Settings
 from tarn.shared import written
@@ -199,22 +199,22 @@ class Engine:
     def _dense(self, asked: DataFrame, space: DataFrame, mode: str, s: Settings) -> DataFrame:
         if mode == "exact":
             return dense.exact_topk(asked, space, s.dense_top_k, s.embedding_dimensions)
-        return dense.ann_topk(asked, self.lists(), s.dense_top_k, s.embedding_dimensions, s.nprobe or None)
+        return quantized.ann_topk(asked, self.lists(), s.dense_top_k, s.embedding_dimensions, s.nprobe or None)
 
-    def lists(self) -> dense.Lists:
+    def lists(self) -> quantized.Index:
         """The approximate index of the current tables and the engine's vector space: read where there is
         one, else built and published beside the tables for every process to read."""
         s = self.settings
-        wanted = {"tables": self.tables.current(), "model": s.embedding_model, "dimensions": s.embedding_dimensions, "lists": s.lists}
+        wanted = {"kind": "quantized", "tables": self.tables.current(), "model": s.embedding_model, "dimensions": s.embedding_dimensions, "lists": s.lists}
         store = Generations(self.spark, f"{s.root.rstrip('/')}/ann")
         name = store.current()
         if name is None or any(store.manifest(name).get(k) != v for k, v in wanted.items()):
             name, path = store.new()
-            dense.build_lists(self.space, s.embedding_dimensions, s.lists or None, path=path)
+            quantized.build(self.space, s.embedding_dimensions, s.lists or None, path=path)
             store.publish(name, wanted)
             self._lists = None
         if self._lists is None or self._lists[0] != name:
-            self._lists = name, dense.load_lists(self.spark, store.path(name))
+            self._lists = name, quantized.load(self.spark, store.path(name))
         return self._lists[1]
 
     def compare(self, queries: DataFrame, k: int | None = None) -> DataFrame:
