@@ -11,16 +11,20 @@ _ALNUM = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRS
 
 
 def _quality() -> str:
-    measures = {name: of.replace(" div ", " // ") for name, (of, _) in quality.MEASURES.items()}
-    slack = " ".join(f"when '{name}' then {least}" for name, (_, least) in quality.MEASURES.items())
-    each = " union all ".join(f"select lang, source, '{name}' measure, {of} v from counts where not base_failed" for name, of in measures.items())
-    beyond = ", ".join(f"case when n_words > 0 and {of} > fence['{name}'] then '{name}' end" for name, of in measures.items())
+    each = " union all ".join(f"select lang, source, '{name}' measure, {count} * {scale} // {size} v from counts where not base_failed" for name, (count, size, scale, _) in quality.MEASURES.items())
+
+    def beyond_fence(name: str) -> str:
+        count, size, scale, unit = quality.MEASURES[name]
+        excess = f"({count}::double * {scale} - fence['{name}']::double * {size}::double)"
+        return f"case when {excess} > 0 and {excess} * {excess} > {(quality.Z * scale) ** 2 * unit}::double * {count}::double then '{name}' end"
+
+    beyond = ", ".join(map(beyond_fence, quality.MEASURES))
 
     def fence(columns: str, rows: str) -> str:
         by = columns + ", " if columns else ""
-        high, mid = (f"min(top) filter (up_to * 4 >= n_all * {q})" for q in (3, 2))
+        high, mid = (f"min(top) filter (up_to * 10 >= n_all * {q})" for q in (quality.TAIL, 5))
         return f"""
-        select {by}measure, cast(high + greatest({quality.REACH} * (high - mid), case measure {slack} end) as bigint) fence from (
+        select {by}measure, cast(high + {quality.REACH} * (high - mid) as bigint) fence from (
           select {by}measure, {high} high, {mid} mid
           from (select {by}measure, top, sum(weight) over (partition by {by}measure order by bucket) up_to, sum(weight) over (partition by {by}measure) n_all from {rows}) group by {by}measure)"""
 

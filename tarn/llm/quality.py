@@ -10,10 +10,14 @@ A group's quantiles come from its own sketch and PRIOR_ROWS further rows that ar
 language (a language's likewise from all languages). So a small group judges much like its language and
 a large one by itself, with every shade between.
 
-A document is kept if no measure lies beyond its group's fence: the upper quartile plus ``reach`` times
-the distance from the median to it, never closer than ``slack``, and never beyond LIMIT times the
-fence of the language, so that neither a tenth of junk in a source nor a source of nothing else moves
-its fence out of reach. The fences are joined to the measured rows by language and source.
+A group's fence is its TAIL quantile plus ``reach`` times the distance from the median to it: no number of
+it is given, so a group that is spread otherwise has another fence, and up to a tenth of junk does not
+move it. It lies at most LIMIT times as far as the language's, so a source of nothing but junk cannot
+move its own fence out of reach. The fences are joined to the measured rows by language and source.
+
+A document is kept if no measure lies beyond its group's fence by more than the noise of counting: a count c
+that comes in units of u words or lines scatters by the root of u * c, and Z such roots are allowed. So one
+symbol in a short text is no verdict where most texts have none, and the same share in a long one is.
 """
 
 from __future__ import annotations
@@ -25,16 +29,21 @@ from pyspark.sql import functions as F
 
 from tarn.shared import written
 
-#: measure: (expression over the base counts, least distance of the fence from the upper quartile)
+#: measure: (count, size, scale, unit): the value is scale * count / size in whole numbers; counts come in
+#: units (five words that stand twice are ten)
 MEASURES = {
-    "symbols": ("n_symbols * 1000 div n_words", 100),
-    "dup_lines": ("n_dup_lines * 1000 div n_lines", 300),
-    "repeats": ("n_repeat_words * 1000 div n_words", 150),
-    "long_words": ("word_chars * 100 div n_words", 250),
-    "short_words": ("n_words * 10000 div word_chars", 800),
+    "symbols": ("n_symbols", "n_words", 1000, 1),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000, 1),
+    "repeats": ("n_repeat_words", "n_words", 1000, 10),
+    "long_words": ("word_chars", "n_words", 100, 1),
+    "short_words": ("n_words", "word_chars", 10000, 1),
 }
+#: The quantile, in tenths, that a group's clean documents reach.
+TAIL = 9
 REACH = 4
-LIMIT = 2
+LIMIT = 3
+#: Standard deviations of a count.
+Z = 3
 #: Rows of the coarser group that count with a group's own.
 PRIOR_ROWS = 200
 #: Counts are kept in parts of a row, as whole numbers.
@@ -87,7 +96,7 @@ def bucket_top(bucket: Column) -> Column:
 
 def sketches(measured: DataFrame, group: Sequence[str], counts: str) -> DataFrame:
     """Rows (group..., measure, bucket, n): a mergeable quantile sketch of each measure for each group."""
-    values = F.create_map(*(x for name, (of, _) in MEASURES.items() for x in (F.lit(name), bucket_of(F.expr(_within(of, counts))))))
+    values = F.create_map(*(x for name, (count, size, scale, _) in MEASURES.items() for x in (F.lit(name), bucket_of(F.expr(f"{counts}.{count} * {scale} div {counts}.{size}")))))
     rows = measured.filter(~base_failed(counts)).select(*group, F.explode(values).alias("measure", "bucket"))
     return rows.groupBy(*group, "measure", "bucket").agg(F.count("*").alias("n"))
 
@@ -97,8 +106,11 @@ def merged(sketch: DataFrame, group: Sequence[str]) -> DataFrame:
     return sketch.groupBy(*group, "measure", "bucket").agg(F.sum("n").alias("n"))
 
 
-def _within(expression: str, counts: str) -> str:
-    return " ".join(f"{counts}.{x}" if x in _BASE else x for x in expression.split())
+def is_beyond(name: str, counts: str, fence: Column) -> Column:
+    """Whether a measure lies beyond the fence by more than the noise of its count."""
+    count, size, scale, unit = MEASURES[name]
+    excess = F.col(f"{counts}.{count}").cast("double") * scale - fence.cast("double") * F.col(f"{counts}.{size}").cast("double")
+    return (excess > 0) & (excess * excess > F.lit(float((Z * scale) ** 2 * unit)) * F.col(f"{counts}.{count}").cast("double"))
 
 
 def blended(own: DataFrame, coarser: DataFrame | None, group: Sequence[str], above: Sequence[str], prior_rows: int) -> DataFrame:
@@ -117,9 +129,8 @@ def fences(sketch: DataFrame, group: Sequence[str], reach: int) -> DataFrame:
     """Rows (group..., measure, fence)."""
     own = Window.partitionBy(*group, "measure")
     summed = sketch.withColumn("up_to", F.sum("weight").over(own.orderBy("bucket"))).withColumn("all", F.sum("weight").over(own))
-    least = [F.min(F.when(F.col("up_to") * 4 >= F.col("all") * q, bucket_top(F.col("bucket")))).alias(name) for q, name in ((2, "mid"), (3, "high"))]
-    slack = F.create_map(*(x for name, (_, s) in MEASURES.items() for x in (F.lit(name), F.lit(s))))[F.col("measure")]
-    fence = (F.col("high") + F.greatest(reach * (F.col("high") - F.col("mid")), slack)).cast("long")
+    least = [F.min(F.when(F.col("up_to") * 10 >= F.col("all") * q, bucket_top(F.col("bucket")))).alias(name) for q, name in ((5, "mid"), (TAIL, "high"))]
+    fence = (F.col("high") + reach * (F.col("high") - F.col("mid"))).cast("long")
     return summed.groupBy(*group, "measure").agg(*least).select(*group, "measure", fence.alias("fence"))
 
 
@@ -153,7 +164,7 @@ def quality_rules(
     # a row a group on the right: rows of a hot source that do not fit one task are split at run time
     joined = measured.join(chosen, ["lang", "source"], "left")
     failed = base_failed("counts")
-    beyond = F.array_sort(F.array_compact(F.array(*(F.when(F.expr(_within(of, "counts")) > F.col("fence")[name], F.lit(name)) for name, (of, _) in MEASURES.items()))))
+    beyond = F.array_sort(F.array_compact(F.array(*(F.when(is_beyond(name, "counts", F.col("fence")[name]), F.lit(name)) for name in MEASURES))))
     beyond = F.when(failed, F.array().cast("array<string>")).otherwise(beyond)
     judged = joined.withColumn("beyond", beyond)
     verdict = F.struct("counts.*", failed.alias("base_failed"), F.col("beyond"), (~failed & (F.size("beyond") == 0)).alias("kept"))

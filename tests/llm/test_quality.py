@@ -57,20 +57,24 @@ def corpus(n=300):
     return rows
 
 
-def fence_of(weights, slack):
+def fence_of(weights):
     """Fence of {bucket's largest value: weight}."""
     total, values = sum(weights.values()), {}
-    for q in (2, 3):
+    for q in (5, quality.TAIL):
         up_to = 0
         for top in sorted(weights):
             up_to += weights[top]
-            if 4 * up_to >= q * total:
+            if 10 * up_to >= q * total:
                 values[q] = top
                 break
-    return values[3] + max(quality.REACH * (values[3] - values[2]), slack)
+    return values[quality.TAIL] + quality.REACH * (values[quality.TAIL] - values[5])
 
 
-def expected_fences(rows, value, slack, prior):
+def is_beyond(count, size, scale, unit, fence):
+    return count * scale > fence * size and count - fence * size / scale > quality.Z * (unit * count) ** 0.5
+
+
+def expected_fences(rows, value, prior):
     """Fence of each (lang, source) of rows (lang, source, counts), from whole sketches in plain Python."""
     top = lambda v: (lambda s: (((v >> s) + 1) << s) - 1)(max(0, v.bit_length() - 6))
     tally = {}
@@ -83,8 +87,8 @@ def expected_fences(rows, value, slack, prior):
         return {t: own.get(t, 0) + above.get(t, 0) * prior * quality.PARTS // sum(above.values()) for t in {*own, *above}}
 
     of_lang = {k: with_prior(w, tally[None]) for k, w in tally.items() if isinstance(k, str)}
-    bound = {k: quality.LIMIT * fence_of(w, slack) for k, w in of_lang.items()}
-    return {k: min(fence_of(with_prior(w, of_lang[k[0]]), slack), bound[k[0]]) for k, w in tally.items() if isinstance(k, tuple)}
+    bound = {k: quality.LIMIT * fence_of(w) for k, w in of_lang.items()}
+    return {k: min(fence_of(with_prior(w, of_lang[k[0]])), bound[k[0]]) for k, w in tally.items() if isinstance(k, tuple)}
 
 
 @pytest.mark.parametrize("prior", [1, 40, 10_000])
@@ -92,24 +96,46 @@ def test_fences_by_group_language_and_all(spark, prior):
     rows = corpus()
     got = {r["doc_id"]: r["quality"] for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), prior_rows=prior).collect()}
     assert len(got) == len(rows)
-    for name, value in (("symbols", lambda c: c["n_symbols"] * 1000 // c["n_words"]), ("long_words", lambda c: c["word_chars"] * 100 // c["n_words"])):
-        fences = expected_fences([(lang, source, counts(t)) for _, t, lang, source in rows], value, quality.MEASURES[name][1], prior)
+    for name, (count, size, scale, unit) in quality.MEASURES.items():
+        fences = expected_fences([(lang, source, counts(t)) for _, t, lang, source in rows], lambda c: c[count] * scale // c[size], prior)
         for i, t, lang, source in rows:
-            assert (name in got[i]["beyond"]) == (value(counts(t)) > fences[lang, source]), (i, name)
+            assert (name in got[i]["beyond"]) == is_beyond(counts(t)[count], counts(t)[size], scale, unit, fences[lang, source]), (i, name)
     assert not got[7]["kept"] and got[8]["kept"]
 
 
+def marked(rng, marks, n=400):
+    """n words, that many of them with a symbol."""
+    return " ".join(f"w{rng.randint(0, 5000)}" + "#" * (k < marks) for k in range(n))
+
+
 def test_large_groups_judge_by_themselves_and_small_ones_with_their_language(spark):
     """A source of code-like texts keeps them, a source with three such texts does not, and one that is
     all junk cannot set its fence beyond LIMIT times its language's."""
     rng = random.Random(1)
-    text = lambda marks: " ".join(f"w{rng.randint(0, 5000)}" + "#" * (k < marks) for k in range(100))
-    rows = [(text(rng.randint(0, 2)), "plain") for _ in range(4000)] + [(text(rng.randint(14, 18)), "code") for _ in range(600)] + [(text(14), "small") for _ in range(3)] + [(text(100), "junk") for _ in range(300)]
+    rows = [(marked(rng, rng.randint(0, 8)), "plain") for _ in range(3000)] + [(marked(rng, rng.randint(56, 72)), "code") for _ in range(150)] + [(marked(rng, 56), "small") for _ in range(3)] + [(marked(rng, 400), "junk") for _ in range(75)]
     frame = spark.createDataFrame([(i, t, "en", s) for i, (t, s) in enumerate(rows)], "doc_id long, text string, lang string, source string")
     kept = quality.quality_rules(frame, ["source"]).groupBy("source").agg(F.avg(F.col("quality.kept").cast("int")).alias("share")).collect()
     assert {r["source"]: r["share"] for r in kept} == {"plain": 1.0, "code": 1.0, "small": 0.0, "junk": 0.0}
 
 
+@pytest.mark.parametrize("usual, kept", [((0, 8), False), ((40, 70), True)])
+def test_the_same_document_is_judged_by_its_group(spark, usual, kept):
+    """Nothing but the group's own spread decides whether 60 symbols in 400 words are too many."""
+    rng = random.Random(2)
+    rows = [(i, marked(rng, rng.randint(*usual)), "en", "s") for i in range(600)] + [(-1, marked(rng, 60), "en", "s")]
+    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), ["doc_id"])
+    judged = {r["doc_id"]: r["quality"]["kept"] for r in got.collect()}
+    assert judged.pop(-1) == kept and all(judged.values())
+
+
+def test_a_tenth_of_junk_moves_no_fence_and_one_symbol_is_no_verdict(spark):
+    rng = random.Random(3)
+    rows = [(i, marked(rng, 0, 40), "en", "s") for i in range(300)] + [(1000 + i, marked(rng, 35, 40), "en", "s") for i in range(30)] + [(2000, marked(rng, 1, 40), "en", "s"), (2001, marked(rng, 60, 2400), "en", "s")]
+    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), ["doc_id"])
+    judged = {r["doc_id"]: r["quality"]["kept"] for r in got.collect()}
+    assert all(judged[i] == (i < 1000 or i == 2000) for i in judged)
+
+
 def test_edges(spark):
     rows = [(1, None, None, None), (2, "", "en", "s"), (2, "", "en", "s"), (3, "same line of words\n" * 10, "en", None), (None, " ".join(f"w{i}" for i in range(60_000)), "en", "s"), (4, "nine words are too few for this base rule", "en", "s")]
     frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, lang string, source string, counts string, fence int")
