@@ -1,7 +1,10 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one for each block of the page. Parts that are never main text by their
-element or by what their class, id or role says (menus, adverts, forms, comments ...) leave nothing. A
+Markup is stripped into lines, one for each block of the page. What HTML itself sets beside the text (nav,
+footer, aside ..., hidden parts) leaves nothing. A form, and a part whose class, id or role says advert,
+comments or the like, is only suspected: its text weighs a LISTED-th of what it has (an ARTICLE_LISTED-th
+where an article or main part holds other text), and it goes if what is left of the page without it weighs
+more. So a page in a form, or one whose text stands in a box of class ``no-sidebar``, keeps its text. A
 line counts with its characters outside links, a list of links not at all, and each edge of a container
 (div, article ... but not a paragraph, list or table) is as many empty lines as the sliding window has.
 The window's sum surges from nothing where a run of text begins and dives to nothing where it ends; its
@@ -38,11 +41,16 @@ WINDOW = 3
 ARTICLE_WEIGHT = 2
 #: A line with a larger share of its characters in links is a link list and counts as empty.
 LINK_SHARE = 0.6
+#: A part that is suspected by its names weighs a share of one in so many of its text.
+LISTED, ARTICLE_LISTED = 10, 100
 
 #: Elements whose text is no text of the page.
 NO_TEXT = frozenset("head title script style noscript template svg math iframe object canvas audio video map textarea select option datalist button input label fieldset legend meter progress".split())
-#: Elements beside the text.
-BESIDE = frozenset("nav aside footer form dialog menu search".split())
+#: Elements beside the text, and one that may be.
+BESIDE = frozenset("nav aside footer dialog menu search".split())
+MAY_BE_BESIDE = frozenset({"form"})
+#: What ``_beside`` says of an element.
+NO, SUSPECTED, SURE = range(3)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark nobr output q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -68,19 +76,21 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|d
 _PARTS = re.compile(r"[a-z]+")
 
 
-def _beside(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether the element is a part beside the text."""
+def _beside(name: str, attributes: str, in_article: bool) -> int:
+    """Whether the element is a part beside the text: NO, SUSPECTED by its names, or SURE."""
     if name in BESIDE or name in OUTSIDE and not in_article:
-        return True
+        return SURE
     if not attributes:
-        return False
+        return SUSPECTED if name in MAY_BE_BESIDE else NO
     if _HIDDEN.search(attributes):
-        return True
+        return SURE
+    if name in MAY_BE_BESIDE:
+        return SUSPECTED
     for found in _NAMED.finditer(attributes):
         for part in _PARTS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", found[1] or found[2] or found[3] or "").lower()):
             if part in NAMES or part.startswith(BEGINNINGS) or part in OUTSIDE and not in_article:
-                return True
-    return False
+                return SUSPECTED
+    return NO
 
 
 def _tokens(html: str) -> list[tuple[str, str, str]]:
@@ -166,15 +176,81 @@ class Page:
         self.lines: list[Line] = []
         #: The container around each container.
         self.around: dict[int, int] = {}
+        #: Tokens looked at by all passes: what the page's cost is counted by.
+        self.steps = len(self.tokens)
+        holders = [k for k, (kind, name, more) in enumerate(self.tokens) if kind == "open" and name in HOLDERS and not (name == "article" and _beside(name, more, True))]
+        # main parts hold the text only where no article does
+        if any(self.tokens[k][1] == "article" for k in holders):
+            holders = [k for k in holders if self.tokens[k][1] == "article"]
+        self.holders, self.is_holder = holders, set(holders)
+        self.dropped = self._judged()
         self._read()
 
+    def _encloses_article(self, k: int) -> bool:
+        inner = bisect_left(self.holders, k)
+        return inner < len(self.holders) and self.holders[inner] < self.ends[k]
+
+    def _judged(self) -> set[int]:
+        """Opening tokens of the elements that leave nothing: those that are beside the text, and of the
+        suspected ones those that weigh less than the page without them. An element that encloses an article
+        is neither."""
+        tokens, ends = self.tokens, self.ends
+        dropped: set[int] = set()
+        suspects: dict[int, list[int]] = defaultdict(list)  # by the suspected element around them, -1: the page
+        inside, held = [-1], []  # open suspects and articles
+        weight, in_article = [0], [0]  # characters of text before each token, all and in articles
+        k = linked = 0
+        while k < len(tokens):
+            self.steps += 1
+            kind, name, more = tokens[k]
+            while len(inside) > 1 and ends[inside[-1]] <= k:
+                inside.pop()
+            while held and 0 <= ends[held[-1]] <= k:
+                held.pop()
+            n, after = 0, k + 1
+            if kind == "text":
+                n = 0 if linked else len("".join(name.split()))
+            elif name == "a":
+                linked = int(kind == "open")
+            elif kind == "open" and name not in ("html", "body"):
+                if k in self.is_holder:
+                    held.append(k)
+                elif ends[k] > k:
+                    is_article = name == "article"
+                    beside = SURE if name in NO_TEXT else _beside(name, more, bool(held))
+                    if beside != NO and name not in NO_TEXT and self._encloses_article(k):
+                        beside = NO
+                    if beside == SURE:
+                        dropped.add(k)
+                        after = ends[k]
+                    elif beside != NO or is_article:
+                        suspects[inside[-1]].append(k)
+                        inside.append(k)
+            for _ in range(after - k):
+                weight.append(weight[-1] + n)
+                in_article.append(in_article[-1] + (n if held else 0))
+            k = after
+
+        def of(sums: list[int], k: int) -> int:
+            return sums[ends[k]] - sums[k]
+
+        todo = [(-1, weight[-1], in_article[-1])] if suspects else []
+        while todo:  # a suspected element that stays is as any other for those inside it
+            outer, clean, clean_article = todo.pop()
+            own = suspects[outer]
+            all_of_them = sum(of(weight, k) for k in own)
+            clean, clean_article = clean - all_of_them, clean_article - sum(of(in_article, k) for k in own)
+            for k in own:
+                self.steps += 1
+                rest = clean * (ARTICLE_LISTED if clean_article else LISTED) + all_of_them - of(weight, k)
+                if of(weight, k) < rest or not of(weight, k):
+                    dropped.add(k)
+                elif k in suspects:
+                    todo.append((k, clean + of(weight, k), clean_article + of(in_article, k)))
+        return dropped
+
     def _read(self) -> None:
         tokens, ends = self.tokens, self.ends
-        holders = [k for k, (kind, name, more) in enumerate(tokens) if kind == "open" and name in HOLDERS and not (name == "article" and _beside(name, more, True))]
-        # main parts hold the text only where no article does
-        if any(tokens[k][1] == "article" for k in holders):
-            holders = [k for k in holders if tokens[k][1] == "article"]
-        is_holder = set(holders)
         edge = [Line("", 0, -1, -1, False)] * WINDOW
         words: list[str] = []
         opened: list[int] = []  # containers that are open
@@ -200,7 +276,8 @@ class Page:
                 held.pop()
 
         while k < len(tokens):
-            kind, name, more = tokens[k]
+            self.steps += 1
+            kind, name, _ = tokens[k]
             if kind == "text":
                 text = unescape(name)
                 words.append(text)
@@ -214,22 +291,18 @@ class Page:
             else:
                 close_line()
                 leave()
-                # an article that encloses others, or an element that encloses one, is not beside the text
-                if kind == "open" and name not in ("html", "body") and ends[k] > 0 and k not in is_holder:
-                    inner = bisect_left(holders, k)
-                    encloses = inner < len(holders) and holders[inner] < ends[k]
-                    if name in NO_TEXT or _beside(name, more, bool(held)) and not encloses or name == "article":
-                        k = ends[k]
-                        self.lines += edge
-                        continue
+                if k in self.dropped:
+                    k = ends[k]
+                    self.lines += edge
+                    continue
                 if kind == "open" and name not in PARTS and ends[k] > k:
                     self.around[k] = opened[-1] if opened else -1
                     opened.append(k)
                     self.lines += edge
-                if kind == "open" and k in is_holder:
+                if kind == "open" and k in self.is_holder:
                     held.append(k)
                 heading = kind == "open" and name in HEADINGS
-            if kind == "open" and name in INLINE and ends[k] > 0 and (name in NO_TEXT or _beside(name, more, bool(held))):
+            if kind == "open" and name in INLINE and k in self.dropped:
                 k = ends[k]
             k += 1
         close_line()
