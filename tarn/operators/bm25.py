@@ -90,7 +90,9 @@ def bm25_topk(queries: DataFrame, index: Index, k: int, text: str = "query", k1:
 
 
 def tokenizer_version(segmenter: Segmenter | None) -> str:
-    return TOKENIZER_VERSION if segmenter is None else f"{segmenter.__module__}:{segmenter.__qualname__}"
+    if segmenter is None:
+        return TOKENIZER_VERSION
+    return getattr(segmenter, "version", None) or f"{segmenter.__module__}:{segmenter.__qualname__}"
 
 
 def publish(chunks: DataFrame, root: str, model: str, dimensions: int, text: str = "retrieval_text", segmenter: Segmenter | None = None) -> str:

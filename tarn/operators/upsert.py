@@ -1,12 +1,16 @@
 """Incremental ingestion as table operations: what changed, the next snapshot, what goes.
 
 There is no row-by-row writing. A snapshot and a batch of new rows are joined on the natural key, and
-the next snapshot is written whole beside the old one, so a failed run leaves the current one as it was.
+the next snapshot is written beside the old one, so a failed run leaves the current one as it was.
+
+Where a table lies in buckets, by a hash of the document's key, only the buckets that a batch touches are
+joined and written. An id then says its bucket: it is a number of the bucket's own times their number, plus
+the bucket's. So buckets are numbered by themselves, and a row is found by its id without a search.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,12 +45,34 @@ def changed_chunks(new: DataFrame, current: DataFrame, key: Sequence[str] = CHUN
     return joined.withColumn("is_changed", ~F.coalesce(same, F.lit(False))).drop("__there", *(f"__{c}" for c in reuse))
 
 
-def upsert(current: DataFrame, new: DataFrame, key: Sequence[str], identity: str | None = None, keep: Sequence[str] = (), update: Sequence[str] | None = None) -> DataFrame:
+def bucket_of(key: Sequence[str], buckets: int) -> Column:
+    """The bucket of a document, by its natural key."""
+    return F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+
+
+def bucket_of_id(identity: str, buckets: int) -> Column:
+    return F.pmod(F.col(identity), F.lit(buckets)).cast("int")
+
+
+def with_bucket_ids(rows: DataFrame, key: Sequence[str], identity: str, bucket: Column, buckets: int, current: DataFrame) -> DataFrame:
+    """Number the rows in order of their key after the greatest id of their bucket in ``current``. A batch's
+    rows of one bucket are numbered in one task; buckets are dealt by a hash."""
+    greatest = current.groupBy(bucket_of_id(identity, buckets).alias("__bucket")).agg(F.max(F.expr(f"`{identity}` div {buckets}")).alias("__last"))
+    own = F.row_number().over(Window.partitionBy("__bucket").orderBy(*key))
+    numbered = rows.withColumn("__bucket", bucket).withColumn("__own", own).join(greatest, "__bucket", "left")
+    value = (F.coalesce(F.col("__last"), F.lit(-1)) + F.col("__own")) * F.lit(buckets).cast("long") + F.col("__bucket")
+    return numbered.withColumn(identity, value.cast("long")).drop("__bucket", "__own", "__last")
+
+
+def upsert(
+    current: DataFrame, new: DataFrame, key: Sequence[str], identity: str | None = None, keep: Sequence[str] = (), update: Sequence[str] | None = None,
+    numbered: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """The next snapshot: rows of ``new`` replace those of ``current`` with the same key, others stay.
 
     ``identity`` and the columns of ``keep`` survive a replacement; a new key gets the next ids after
-    the greatest. ``new`` must have one row to a key and all columns but ``identity``. ``update`` limits
-    the replaced columns to these."""
+    the greatest, or what ``numbered`` makes of the added rows. ``new`` must have one row to a key and all
+    columns but ``identity``. ``update`` limits the replaced columns to these."""
     columns = [c for c in current.columns]
     stays = {*key, *keep, *([identity] if identity else [])}
     replaced = [c for c in columns if c not in stays and (update is None or c in update)]
@@ -63,9 +89,8 @@ def upsert(current: DataFrame, new: DataFrame, key: Sequence[str], identity: str
     merged = both.select(*(value(c) for c in columns), F.col("__old").isNull().alias("__added"))
     if identity is None:
         return merged.drop("__added")
-    greatest = current.agg(F.max(identity)).first()[0] or 0
-    kept = merged.filter(~F.col("__added")).drop("__added")
-    added = with_new_ids(merged.filter("__added").drop("__added", identity), key, identity, greatest + 1)
+    kept, added = merged.filter(~F.col("__added")).drop("__added"), merged.filter("__added").drop("__added", identity)
+    added = numbered(added) if numbered else with_new_ids(added, key, identity, (current.agg(F.max(identity)).first()[0] or 0) + 1)
     return kept.unionByName(added.select(*columns))
 
 

@@ -16,7 +16,8 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.operators import blocks, bm25, chunking, dense, evaluation, fusion, markdown, quantized, rerank, rewrite, upsert
+from tarn.functions.text import Segmenter
+from tarn.operators import blocks, bm25, chunking, dense, evaluation, fusion, lexicon, markdown, quantized, rerank, rewrite, upsert
 from tarn.plans.embedding import Embedder, embed, http_embedder, http_scorer
 from tarn.plans.settings import Settings
 from tarn.shared import written
@@ -29,7 +30,7 @@ CHUNKS = (
     "id long, document_id long, chunk_index int, chunker_version string, heading_path array<string>, content_raw string, retrieval_text string, char_count int, content_hash string,"
     " metadata map<string,string>, embedding_model string, embedding_dimensions int, embedding array<float>"
 )
-FORMAT_VERSION = 1
+FORMAT_VERSION = 2
 METHODS = ("dense_exact", "dense_ann", "bm25", "rrf", "rrf_rerank")
 
 
@@ -58,35 +59,50 @@ class Engine:
             self.embedder = http_embedder(settings.embedding_url, settings.embedding_model, settings.embedding_batch_size, key, settings.timeout_seconds)
         if scorer is None and settings.rerank_url:
             self.scorer = http_scorer(settings.rerank_url, settings.rerank_model, key, settings.timeout_seconds)
-        module, _, function = settings.segmenter.partition(":")
-        self.segmenter = getattr(importlib.import_module(module), function) if module else None
         self.tables = Generations(spark, f"{settings.root.rstrip('/')}/tables")
         self.requests = Requests(spark, settings.root)
-        self._index = self._lists = None
+        self._index = self._lists = self._lexicon = None
 
     # tables
 
     def init(self) -> str:
         """Empty tables, unless there are some; the current generation."""
         if self.tables.current() is None:
-            self._publish(self.spark.createDataFrame([], DOCUMENTS), self.spark.createDataFrame([], CHUNKS))
+            self._publish(self.spark.createDataFrame([], DOCUMENTS), self.spark.createDataFrame([], CHUNKS), [])
         return self.tables.current()
 
-    def _publish(self, documents: DataFrame, chunks: DataFrame, after: str | None = None, guard: Callable[[], None] | None = None) -> str:
+    def _manifest(self, name: str) -> dict:
+        found = self.tables.manifest(name)
+        if found.get("format_version") != FORMAT_VERSION:
+            raise ValueError(f"the tables have format {found.get('format_version')}, not {FORMAT_VERSION}")
+        return found
+
+    def _publish(self, documents: DataFrame, chunks: DataFrame, touched: list[int], after: str | None = None, guard: Callable[[], None] | None = None) -> str:
+        """The next generation: the rows of the ``touched`` buckets in folders of its own, the other buckets in
+        the folders that the generation before it has them in. The manifest names the folder of each bucket."""
         name, path = self.tables.new()
-        documents.write.parquet(f"{path}/documents")
-        chunks.write.partitionBy("embedding_model").parquet(f"{path}/chunks")
-        self.tables.publish(name, {"format_version": FORMAT_VERSION}, after, guard)
+        old = self._manifest(after) if after else {"buckets": self.settings.buckets, "parts": {"documents": {}, "chunks": {}}}
+        parts = {}
+        for table, rows in (("documents", documents), ("chunks", chunks)):
+            dealt = rows.withColumn("bucket", upsert.bucket_of_id("id", old["buckets"]))
+            dealt.hint("rebalance", "bucket").sortWithinPartitions("bucket", "id").write.partitionBy("bucket").parquet(f"{path}/{table}")
+            mine = {found.partition("=")[2]: name for found in self.tables.files.names(f"{path}/{table}") if found.startswith("bucket=")}
+            parts[table] = {b: of for b, of in old["parts"][table].items() if int(b) not in touched} | mine
+        self.tables.publish(name, {"format_version": FORMAT_VERSION, "buckets": old["buckets"], "parts": parts, "uses": sorted({of for p in parts.values() for of in p.values()})}, after, guard)
         return name
 
-    def _table(self, table: str, schema: str) -> DataFrame:
-        """The current table; empty where nothing was ever published. Reading never writes."""
+    def _table(self, table: str, schema: str, buckets: list[int] | None = None) -> DataFrame:
+        """The current table, or those of its buckets; empty where nothing was ever published. Reading never
+        writes, and files of other buckets are not looked at."""
         name = self.tables.current()
-        if name is None:
-            return self.spark.createDataFrame([], schema)
-        if (found := self.tables.manifest(name).get("format_version")) != FORMAT_VERSION:
-            raise ValueError(f"the tables have format {found}, not {FORMAT_VERSION}")
-        return self.spark.read.schema(schema).parquet(f"{self.tables.path(name)}/{table}")
+        parts = {} if name is None else self._manifest(name)["parts"][table]
+        paths = [f"{self.tables.path(of)}/{table}/bucket={b}" for b, of in sorted(parts.items()) if buckets is None or int(b) in buckets]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def sweep(self, keep: int = 2, grace_seconds: float = 86_400.0) -> list[str]:
+        """Delete the generations that none of the last ``keep`` ones uses and that are older than the grace
+        period, in which a reader or a writer may still work with them; their names."""
+        return [name for store in (self.tables, *(Generations(self.spark, f"{self.settings.root.rstrip('/')}/{kind}") for kind in ("bm25", "ann", "lexicon"))) for name in store.sweep(keep, grace_seconds)]
 
     @property
     def documents(self) -> DataFrame:
@@ -114,25 +130,54 @@ class Engine:
         """Take in a table (source_path, text). Chunks whose text, chunker and vector space are as before
         keep their vectors; others are embedded; those beyond a document's end go."""
         began, s, start = time.monotonic(), self.settings, self.init()
+        buckets = self._manifest(start)["buckets"]
         parsed = markdown.parse_markdown(files.select("source_path", "text"))
         key = {"source_repo": F.lit(repo), "source_commit": F.lit(commit), "language": F.lit(language)}
         parsed = written(parsed.withColumns(key).select(*upsert.DOCUMENT_KEY, "language", "title", F.col("document_hash").alias("content_hash"), "blocks"), "parsed")
         fresh = parsed.drop("blocks").withColumn("created_at", F.current_timestamp())
-        documents = written(upsert.upsert(self.documents, fresh, upsert.DOCUMENT_KEY, "id", keep=["created_at"]), "documents")
+        touched = [r[0] for r in parsed.select(upsert.bucket_of(upsert.DOCUMENT_KEY, buckets)).distinct().collect()]  # numbers of buckets
+        held, before = self._table("documents", DOCUMENTS, touched), self._table("chunks", CHUNKS, touched)
+        documents = written(
+            upsert.upsert(held, fresh, upsert.DOCUMENT_KEY, "id", keep=["created_at"], numbered=lambda added: upsert.with_bucket_ids(added, upsert.DOCUMENT_KEY, "id", upsert.bucket_of(upsert.DOCUMENT_KEY, buckets), buckets, held)),
+            "documents",
+        )
         ids = documents.select(F.col("id").alias("document_id"), *upsert.DOCUMENT_KEY)
         cut = chunking.chunk_documents(parsed.drop("content_hash"), s.limits).join(ids, list(upsert.DOCUMENT_KEY))
         metadata = F.create_map(*(x for n in ("source_repo", "source_commit", "source_path", "language") for x in (F.lit(n), F.col(n))))
         new = cut.withColumns({"metadata": metadata, "embedding_model": F.lit(s.embedding_model), "embedding_dimensions": F.lit(s.embedding_dimensions)})
         new = new.select("document_id", "chunk_index", "chunker_version", "heading_path", "content_raw", "retrieval_text", "char_count", "content_hash", "metadata", "embedding_model", "embedding_dimensions")
-        judged = written(upsert.changed_chunks(new, self.chunks), "judged")
+        judged = written(upsert.changed_chunks(new, before), "judged")
         changed = embed(judged.filter("is_changed").drop("is_changed"), "retrieval_text", s.embedding_dimensions, self.embedder)
         sizes = ids.join(parsed.select(*upsert.DOCUMENT_KEY), list(upsert.DOCUMENT_KEY)).join(judged.groupBy("document_id").agg(F.count("*").alias("n")), "document_id", "left").select("document_id", F.coalesce("n", F.lit(0)).alias("n_chunks"))
-        before = self.chunks
-        merged = upsert.upsert(upsert.without_stale(before, sizes), changed, upsert.CHUNK_KEY, "id")
+        stays = upsert.without_stale(before, sizes)
+        merged = upsert.upsert(stays, changed, upsert.CHUNK_KEY, "id", numbered=lambda added: upsert.with_bucket_ids(added, upsert.CHUNK_KEY, "id", upsert.bucket_of_id("document_id", buckets), buckets, before))
         counts = judged.agg(F.count("*").alias("chunks"), F.count_if("is_changed").alias("embedded")).first()
         stale = upsert.stale_chunks(before, sizes).count()
-        name = self._publish(documents, merged, start, guard)
-        return {"documents": parsed.count(), "chunks": counts["chunks"], "embedded": counts["embedded"], "skipped": counts["chunks"] - counts["embedded"], "deleted": stale, "generation": name, "seconds": time.monotonic() - began}
+        name = self._publish(documents, merged, touched, start, guard)
+        return {"documents": parsed.count(), "chunks": counts["chunks"], "embedded": counts["embedded"], "skipped": counts["chunks"] - counts["embedded"], "deleted": stale, "buckets": len(touched), "generation": name, "seconds": time.monotonic() - began}
+
+    @property
+    def segmenter(self) -> Segmenter | None:
+        """What cuts Han runs; None: pairs of characters."""
+        if self.settings.segmenter != "lexicon":
+            module, _, function = self.settings.segmenter.partition(":")
+            return getattr(importlib.import_module(module), function) if module else None
+        store = Generations(self.spark, f"{self.settings.root.rstrip('/')}/lexicon")
+        name = store.current()
+        if name is None:
+            raise bm25.IndexMissing(f"no lexicon under {self.settings.root}")
+        if self._lexicon is None or self._lexicon[0] != name:
+            self._lexicon = name, lexicon.load(self.spark, f"{store.path(name)}/words")
+        return self._lexicon[1]
+
+    def rebuild_lexicon(self, **options) -> dict:
+        """Build the dictionary of Han words anew from the engine's chunks and make it current. An index that
+        was built with another one no longer fits: rebuild it next. ``options`` are those of ``lexicon.build``."""
+        store = Generations(self.spark, f"{self.settings.root.rstrip('/')}/lexicon")
+        name, path = store.new()
+        lexicon.build(self.space, **options).write.parquet(f"{path}/words")
+        store.publish(name, {"longest": lexicon.LONGEST})
+        return {"generation": name, "words": self.spark.read.parquet(f"{path}/words").filter(F.length("word") > 1).count()}
 
     def rebuild_bm25(self, key: str | None = None) -> dict:
         """Index the engine's vector space anew and make it current; with a key, once."""
@@ -185,17 +230,29 @@ class Engine:
         near = step("dense", lambda: self._dense(asked, space, mode, s))
         sparse = step("bm25", lambda: blocks.bm25_topk(asked, index, s.bm25_top_k, "effective_query", segmenter=self.segmenter))
         fused = fusion.reciprocal_rank_fusion(near.select("query_id", "rank", "chunk_id", F.col("cosine_similarity").alias("score")), sparse, s.rrf_constant)
-        evidence = space.drop("embedding", "content_hash").join(self.documents.select(F.col("id").alias("document_id"), *upsert.DOCUMENT_KEY, "language", "title"), "document_id")
-        head = fused.filter(F.col("rrf_rank") <= (s.rerank_top_k if use_reranker else s.final_top_k))
-        candidates = head.join(evidence, "chunk_id").join(asked.select("query_id", F.col("effective_query").alias("query")), "query_id")
+
+        def candidates() -> DataFrame:
+            """The head of the fused ranking with its evidence."""
+            head = written(fused.filter(F.col("rrf_rank") <= (s.rerank_top_k if use_reranker else s.final_top_k)), "head")
+            return head.join(self._evidence(head), "chunk_id").join(asked.select("query_id", F.col("effective_query").alias("query")), "query_id")
+
         if use_reranker:
-            results = step("rerank", lambda: rerank.final_topk(rerank.rerank(candidates, s.rerank_top_k, self.scorer), s.final_top_k, "rerank_rank"))
+            results = step("rerank", lambda: rerank.final_topk(rerank.rerank(candidates(), s.rerank_top_k, self.scorer), s.final_top_k, "rerank_rank"))
         else:
             blank = {"rerank_score": F.lit(None).cast("double"), "rerank_rank": F.lit(None).cast("int")}
-            results = step("fusion", lambda: rerank.final_topk(candidates.withColumns(blank), s.final_top_k, "rrf_rank"))
+            results = step("fusion", lambda: rerank.final_topk(candidates().withColumns(blank), s.final_top_k, "rrf_rank"))
         timings["total"] = sum(timings.values())
         return Answer(asked.drop("embedding"), near, sparse, fused, results, rerank.confidence(queries, results, s.low_confidence_threshold, use_reranker), timings)
 
+    def _evidence(self, ranked: DataFrame) -> DataFrame:
+        """Chunks with their documents from the buckets that ``ranked`` names by its chunk ids, no others."""
+        s, name = self.settings, self.tables.current()
+        buckets = self._manifest(name)["buckets"] if name else 1
+        wanted = [r[0] for r in ranked.select(upsert.bucket_of_id("chunk_id", buckets)).distinct().collect()]
+        chunks = dense.in_space(self._table("chunks", CHUNKS, wanted), s.embedding_model, s.embedding_dimensions).withColumnRenamed("id", "chunk_id")
+        documents = self._table("documents", DOCUMENTS, wanted).select(F.col("id").alias("document_id"), *upsert.DOCUMENT_KEY, "language", "title")
+        return chunks.drop("embedding", "content_hash").join(ranked.select("chunk_id").distinct(), "chunk_id", "left_semi").join(documents, "document_id")
+
     def _dense(self, asked: DataFrame, space: DataFrame, mode: str, s: Settings) -> DataFrame:
         if mode == "exact":
             return dense.exact_topk(asked, space, s.dense_top_k, s.embedding_dimensions)

@@ -14,14 +14,16 @@ from pyspark.sql import functions as F
 
 from tarn.functions.html_markdown import markdown as to_markdown
 from tarn.functions.text import normalize_newlines, preview, sha256, terms
-from tarn.operators import blocks, bm25, chunking, dense, evaluation, fusion, markdown, quantized, rerank, rewrite, upsert
-from tarn.shared import shared_root
+from tarn.operators import blocks, bm25, chunking, dense, evaluation, fusion, lexicon, markdown, quantized, rerank, rewrite, upsert
+from tarn.shared import shared_root, written
 
 K = 10
 RECALL_K = 30
 DIMENSIONS = 64
 SPACE = "local-64"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: The documents' words are random syllables: what is a word is asked less strictly.
+HAN_COHESION, HAN_FREEDOM = 1.0, 0.5
 HAN_LETTERS = "".join(chr(0x4E00 + 37 * i) for i in range(26))
 
 
@@ -119,6 +121,13 @@ def tokenize_han(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("chunk_id", F.size("terms").alias("n_terms"), sha256(F.array_join("terms", " ")).alias("terms_sha256"))
 
 
+def han_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary that the documents give with Han characters in place of small letters."""
+    texts = _chunks(spark, sf_dir).select(F.translate("retrieval_text", LETTERS, HAN_LETTERS).alias("text"))
+    found = lexicon.words_of(lexicon.judged_strings(written(lexicon.string_counts(texts, "text"), "strings")), HAN_COHESION, HAN_FREEDOM)
+    return found.select(F.col("gram").alias("word"), "n", F.round("cohesion", 6).alias("cohesion"), F.round("freedom", 6).alias("freedom"))
+
+
 def bm25_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.build_index(_chunks(spark, sf_dir)).term_stats
 
@@ -267,7 +276,7 @@ def ingest_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     each = (
-        dense_exact_topk, dense_hydrated, ann_topk, ann_recall, tokenize, tokenize_han, bm25_term_stats, bm25_corpus_stats, bm25_topk, hybrid_topk, rerank_final, confidence, ranking_diff,
+        dense_exact_topk, dense_hydrated, ann_topk, ann_recall, tokenize, tokenize_han, han_lexicon, bm25_term_stats, bm25_corpus_stats, bm25_topk, hybrid_topk, rerank_final, confidence, ranking_diff,
         query_rewrite, eval_quality, eval_latency, chunk_windows, document_hashes, markdown_blocks, markdown_chunks, html_to_markdown, incremental_diff, upsert_snapshot, stale_delete, ingest_totals,
     )
     return {f.__name__: f for f in each}
@@ -311,6 +320,21 @@ _HAN_TERMS = rf"""flatten(list_transform(regexp_extract_all(translate(coalesce(t
     lambda t: case when not regexp_matches(t, '^[㐀-䶿一-鿿]') then [lower(t)] when length(t) < 2 then [t] else list_transform(range(1, length(t)), lambda i: substring(t, i::int, 2)) end))"""
 
 
+def _lexicon() -> str:
+    longest = lexicon.LONGEST
+    return f"""
+    with runs as (select run, count(*) n from (select unnest(regexp_extract_all(translate(coalesce(text, ''), '{LETTERS}', '{HAN_LETTERS}'), '{lexicon.HAN_RUNS}')) run from documents) group by 1),
+    strings as (select substring(run, i, k) gram, sum(n) n from (select run, n, k, unnest(range(1, length(run) - k + 2)) i from runs, range(1, {longest + 2}) t(k) where length(run) >= k) group by 1),
+    chars as (select sum(n) total from strings where length(gram) = 1),
+    grams as (select * from strings where length(gram) between 2 and {longest} and n >= {lexicon.MIN_COUNT}),
+    cuts as (select gram, n, substring(gram, 1, i) head, substring(gram, i + 1) tail from (select gram, n, unnest(range(1, length(gram))) i from grams)),
+    cohesions as (select c.gram, round(min(ln(c.n::double * total::double / (h.n::double * t.n::double))), 9) cohesion from cuts c join strings h on h.gram = head join strings t on t.gram = tail, chars group by 1),
+    afters as (select substring(gram, 1, length(gram) - 1) gram, sum(n * ln(n::double)) s from strings where length(gram) >= 3 group by 1),
+    befores as (select substring(gram, 2) gram, sum(n * ln(n::double)) s from strings where length(gram) >= 3 group by 1),
+    judged as (select g.gram word, g.n::bigint n, cohesion, round(ln(g.n::double) - greatest(coalesce(a.s, 0), coalesce(b.s, 0)) / g.n::double, 9) freedom from grams g join cohesions using (gram) left join afters a using (gram) left join befores b using (gram))
+    select word, n, round(cohesion, 6) cohesion, round(freedom, 6) freedom from judged where cohesion >= {HAN_COHESION} and freedom >= {HAN_FREEDOM}"""
+
+
 def _html() -> str:
     """The pages' shape only: blocks, one level of headings, bold text, line breaks; no lists or links outside menus."""
     text = "html"
@@ -371,6 +395,7 @@ def oracle_sql() -> dict[str, str]:
         "dense_exact_topk": f"with {_DENSE} select query_id, rank::int rank, chunk_id, round(distance, 6) cosine_distance, round(1 - distance, 6) cosine_similarity {top}",
         "dense_hydrated": f"with {_DENSE} select query_id, row_number() over (partition by query_id order by rank)::int rank, chunk_id, lang, source, length(text)::int char_count from (select * {top}) join documents on doc_id = chunk_id",
         "tokenize_han": f"select doc_id chunk_id, len(t)::int n_terms, sha256(array_to_string(t, ' ')) terms_sha256 from (select doc_id, {_HAN_TERMS} t from documents)",
+        "han_lexicon": _lexicon(),
         "query_rewrite": _rewrites(),
         "markdown_chunks": _MARKDOWN_CHUNKS,
         "html_to_markdown": _html(),

@@ -27,6 +27,9 @@ class Settings:
     #: Lists of the approximate index and how many are probed; 0: by the size of the corpus.
     nprobe: int = 0
     lists: int = 0
+    #: Parts of the tables, by a hash of the document; an ingestion rewrites those that it touches. Fixed once
+    #: there are tables.
+    buckets: int = 64
     #: Services; without an address the stand-ins that need no model are used.
     embedding_url: str = ""
     embedding_batch_size: int = 32
@@ -37,21 +40,22 @@ class Settings:
     timeout_seconds: float = 60.0
     #: A JSON file of aliases in place of the dictionary that ships with the engine.
     alias_path: str = ""
-    #: "module:function" that cuts a run of Han characters into words.
+    #: "module:function" that cuts a run of Han characters into words, or "lexicon": the dictionary that the
+    #: engine builds from its own chunks.
     segmenter: str = ""
 
     def __post_init__(self):
         if not self.root.strip() or not self.embedding_model.strip():
             raise ValueError("root and embedding_model must not be blank")
-        for name in ("embedding_dimensions", "dense_top_k", "bm25_top_k", "rrf_constant", "rerank_top_k", "final_top_k", "embedding_batch_size", "timeout_seconds"):
+        for name in ("embedding_dimensions", "dense_top_k", "bm25_top_k", "rrf_constant", "rerank_top_k", "final_top_k", "embedding_batch_size", "timeout_seconds", "buckets"):
             if getattr(self, name) <= 0:
                 raise ValueError(f"{name} must be positive")
         if self.nprobe < 0 or self.lists < 0:
             raise ValueError("nprobe and lists must not be negative")
         if self.rerank_top_k < self.final_top_k:
             raise ValueError(f"{self.final_top_k} final results cannot come from {self.rerank_top_k} reranked ones")
-        if self.segmenter and ":" not in self.segmenter:
-            raise ValueError("segmenter must name module:function")
+        if self.segmenter and ":" not in self.segmenter and self.segmenter != "lexicon":
+            raise ValueError("segmenter must be lexicon or name module:function")
         self.limits  # noqa: B018  checks them
 
     @property

@@ -84,6 +84,12 @@ class Files:
         at, system = self._at(path)
         return system.exists(at)
 
+    def age(self, path: str) -> float:
+        """Seconds since the last change of what lies right in a folder."""
+        at, system = self._at(path)
+        times = [x.getModificationTime() for x in (system.getFileStatus(at), *system.listStatus(at))]
+        return time.time() - max(times) / 1000
+
     def names(self, path: str) -> list[str]:
         """Names in a folder, without hidden ones; none if there is no such folder."""
         at, system = self._at(path)
@@ -159,6 +165,21 @@ class Generations:
                 return name
         return None
 
+    def sweep(self, keep: int = 2, grace_seconds: float = 86_400.0) -> list[str]:
+        """Mark and sweep: the last ``keep`` generations and those that their manifests use stay, and whatever
+        was written within the grace period; others are deleted. Their names."""
+        if keep < 1:
+            raise ValueError("the current generation must stay")
+        used: set[str] = set()
+        for number in self._numbers()[:keep]:
+            name = (self.files.read(self._pointer(number)) or "").partition(" ")[0]
+            if name:
+                used |= {name, *self.manifest(name).get("uses", ())}
+        gone = [name for name in self.files.names(f"{self.root}/generations") if name not in used and self.files.age(self.path(name)) > grace_seconds]
+        for name in gone:
+            self.files.delete(self.path(name))
+        return gone
+
     def manifest(self, name: str) -> dict:
         found = json.loads(self.files.read(f"{self.path(name)}/manifest.json") or "{}")
         if found.get("generation") != name:

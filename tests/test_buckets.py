@@ -1,0 +1,89 @@
+"""Tables in buckets: what a batch writes, ids, what a search reads, what a sweep leaves."""
+
+from pathlib import Path
+
+import pytest
+
+from tarn.operators import dense, upsert
+from tarn.plans.engine import Engine
+from tarn.plans.settings import Settings
+
+
+@pytest.fixture
+def engine(spark, tmp_path):
+    return Engine(spark, Settings(root=str(tmp_path / "e"), embedding_dimensions=8, buckets=8, chunk_target=40, chunk_maximum=80, chunk_overlap=10))
+
+
+def take(engine, **texts):
+    rows = [(f"{name}.md", f"# {name}\n\n{text}\n") for name, text in texts.items()]
+    return engine.ingest_texts(engine.spark.createDataFrame(rows, "source_path string, text string"), "r", "c", "en")
+
+
+def files(engine):
+    return {p.relative_to(engine.settings.root) for p in Path(engine.settings.root).rglob("bucket=*/*.parquet")}
+
+
+def chunk_ids(engine):
+    return {(r["document_id"], r["chunk_index"]): (r["id"], r["content_raw"]) for r in engine.chunks.collect()}
+
+
+def test_one_document_rewrites_one_bucket(engine):
+    first = take(engine, **{f"p{i}": f"text number {i} " * 9 for i in range(30)})
+    assert first["documents"] == 30 and first["buckets"] == 8
+    before, was, documents = files(engine), chunk_ids(engine), {r["source_path"]: r["id"] for r in engine.documents.collect()}
+    assert len({i for i, _ in was.values()}) == len(was) and all(d % 8 == i % 8 for (d, _), (i, _) in was.items())
+    second = take(engine, p7="another text, shorter")
+    assert (second["buckets"], second["documents"], second["embedded"]) == (1, 1, 1) and second["deleted"] > 0
+    new = files(engine) - before
+    bucket = documents["p7.md"] % 8
+    assert {p.parts[-2] for p in new} == {f"bucket={bucket}"} and len(new) == 2
+    now = chunk_ids(engine)
+    mine = documents["p7.md"]
+    assert {k: v for k, v in now.items() if k[0] != mine} == {k: v for k, v in was.items() if k[0] != mine}
+    assert now[mine, 0][0] == was[mine, 0][0] and now[mine, 0][1] != was[mine, 0][1]
+    assert {r["source_path"]: r["id"] for r in engine.documents.collect()} == documents
+    third = take(engine, new="a new page " * 20)
+    after = chunk_ids(engine)
+    assert third["buckets"] == 1 and {k: v for k, v in after.items() if k in now} == now
+    assert len({i for i, _ in after.values()}) == len(after) == len(now) + third["chunks"]
+
+
+def test_a_bucket_that_gets_empty_goes(engine):
+    take(engine, only="words " * 30)
+    rows = engine.spark.createDataFrame([("only.md", "")], "source_path string, text string")
+    assert engine.ingest_texts(rows, "r", "c", "en")["chunks"] == 0 and engine.chunks.count() == 0 and engine.documents.count() == 1
+    assert take(engine, only="words again")["chunks"] == 1
+
+
+def test_a_search_reads_texts_of_its_results_buckets_only(spark, engine):
+    take(engine, **{f"p{i}": f"text w{i} " * 5 for i in range(40)})
+    engine.rebuild_bm25()
+    ranked = spark.createDataFrame([(r["id"],) for r in engine.chunks.filter("id % 8 = 3").limit(2).collect()], "chunk_id long")
+    found = engine._evidence(ranked)
+    assert {Path(f).parent.name for f in found.inputFiles()} == {"bucket=3"} and found.count() == ranked.count()
+    answer = engine.search(spark.createDataFrame([(0, "w7")], "query_id long, query string"), use_reranker=False, final_top_k=1)
+    assert answer.results.first()["source_path"] == "p7.md"
+
+
+def test_sweep_keeps_what_is_used(engine):
+    take(engine, **{f"p{i}": f"text {i}" for i in range(20)})
+    for n in range(4):
+        take(engine, p3=f"version {n}")
+    engine.rebuild_bm25()
+    engine.rebuild_bm25()
+    rows = sorted(map(str, engine.chunks.collect()))
+    assert engine.sweep(grace_seconds=3600) == []
+    gone = engine.sweep(keep=1, grace_seconds=-1)
+    assert len(gone) >= 4 and sorted(map(str, engine.chunks.collect())) == rows and engine.reload_bm25().corpus_stats.first()["n"] == len(rows)
+    left = set(engine.tables.files.names(f"{engine.settings.root}/tables/generations"))
+    assert left == {engine.tables.current(), *engine.tables.manifest(engine.tables.current())["uses"]}
+    with pytest.raises(ValueError):
+        engine.sweep(keep=0)
+
+
+def test_numbers_of_buckets_by_themselves(spark):
+    current = spark.createDataFrame([(2, "a"), (10, "b"), (7, "c")], "id long, k string")
+    rows = spark.createDataFrame([("x", 2), ("y", 2), ("z", 3), ("w", 0)], "k string, b int")
+    got = {r["k"]: r["id"] for r in upsert.with_bucket_ids(rows, ["k"], "id", rows["b"], 4, current).collect()}
+    assert got == {"x": 14, "y": 18, "z": 11, "w": 0}
+    assert dense.in_space(current).count() == 3
