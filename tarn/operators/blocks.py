@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.text import Segmenter
@@ -47,6 +47,10 @@ class Blocks:
     corpus_stats: DataFrame  # n, avgdl (one row)
     block: int = BLOCK
 
+    def parts(self) -> list[tuple[DataFrame, DataFrame | None]]:
+        """(posting rows, chunks of them that no longer count: shard and chunk_id) of each part of the index."""
+        return [(self.rows, None)]
+
 
 def _lists(values: np.ndarray, starts: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values, kind))
@@ -72,13 +76,23 @@ def _shard_rows(key: tuple[pa.Scalar, ...], table: pa.Table, block: int) -> pa.T
     return pa.Table.from_arrays(columns, ["shard", "term", "ids", "tfs", "dls", "top_tf", "least_dl"])
 
 
+def shard_of(shards: int) -> Column:
+    return F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).cast("int")
+
+
+def posting_rows(tokens: DataFrame, block: int = BLOCK) -> tuple[DataFrame, int]:
+    """(posting rows, number of shards) of tokenized chunks (chunk_id, dl, counts)."""
+    shards = max(SHARDS, -(-tokens.count() // SHARD_CHUNKS))
+    dealt = tokens.withColumn("shard", shard_of(shards))
+    return dealt.groupBy("shard").applyInArrow(lambda key, table: _shard_rows(key, table, block), ROWS), shards
+
+
 def _built(chunks: DataFrame, text: str, segmenter: Segmenter | None, block: int = BLOCK) -> tuple[DataFrame, DataFrame, int]:
     """(posting rows, corpus statistics, number of shards); every chunk counts, also one without terms."""
     tokens = tokenized(chunks, text, segmenter)
     corpus = tokens.agg(F.count("*").alias("n"), F.avg(F.col("dl").cast("double")).alias("avgdl"))
-    shards = max(SHARDS, -(-tokens.count() // SHARD_CHUNKS))
-    dealt = tokens.withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInArrow(lambda key, table: _shard_rows(key, table, block), ROWS), corpus, shards
+    rows, shards = posting_rows(tokens, block)
+    return rows, corpus, shards
 
 
 def _stats(rows: DataFrame) -> DataFrame:
@@ -96,21 +110,31 @@ def _name(path: str) -> str:
     return f"tarn_{hashlib.sha256(path.encode()).hexdigest()[:32]}"
 
 
+def save_rows(rows: DataFrame, shards: int, path: str) -> int:
+    """Write posting rows in buckets under ``path``; the number of buckets."""
+    buckets = min(BUCKETS, shards)
+    rows.repartition(buckets, "shard").write.bucketBy(buckets, "shard").sortBy("shard", "term").option("path", f"{path}/blocks").option("compression", "zstd").saveAsTable(_name(path))
+    return buckets
+
+
+def load_rows(spark: SparkSession, path: str, buckets: int) -> DataFrame:
+    """Posting rows under ``path``; a session that did not write them gets to know their buckets."""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {_name(path)} ({ROWS}) USING parquet CLUSTERED BY (shard) SORTED BY (shard, term) INTO {buckets} BUCKETS LOCATION '{path}/blocks'")
+    return spark.table(_name(path))
+
+
 def save(chunks: DataFrame, path: str, text: str = "retrieval_text", segmenter: Segmenter | None = None) -> int:
     """Write an index under ``path``, bucketed by shard; the number of its buckets."""
     rows, corpus, shards = _built(chunks, text, segmenter)
-    buckets = min(BUCKETS, shards)
-    rows.repartition(buckets, "shard").write.bucketBy(buckets, "shard").sortBy("shard", "term").option("path", f"{path}/blocks").option("compression", "zstd").saveAsTable(_name(path))
+    buckets = save_rows(rows, shards, path)
     _stats(chunks.sparkSession.read.schema(ROWS).parquet(f"{path}/blocks")).write.parquet(f"{path}/term_stats")
     corpus.write.parquet(f"{path}/corpus_stats")
     return buckets
 
 
 def load(spark: SparkSession, path: str, buckets: int) -> Blocks:
-    """The index under ``path``; a session that did not write it gets to know its buckets."""
-    columns = ROWS.replace("bigint", "BIGINT")
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {_name(path)} ({columns}) USING parquet CLUSTERED BY (shard) SORTED BY (shard, term) INTO {buckets} BUCKETS LOCATION '{path}/blocks'")
-    return Blocks(spark.table(_name(path)), spark.read.parquet(f"{path}/term_stats"), spark.read.parquet(f"{path}/corpus_stats"))
+    """The index that ``save`` wrote."""
+    return Blocks(load_rows(spark, path, buckets), spark.read.parquet(f"{path}/term_stats"), spark.read.parquet(f"{path}/corpus_stats"))
 
 
 class _Postings:
@@ -169,11 +193,26 @@ def _searching(asked: dict, k: int, avgdl: float, k1: float, b: float, of: pa.Da
     def norm(dl: np.ndarray) -> np.ndarray:
         return k1 * (1 - b + b * dl / avgdl)
 
-    def work(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    def without(gone: np.ndarray, ids: np.ndarray, tfs: np.ndarray, dls: np.ndarray, top_tf: np.ndarray, least_dl: np.ndarray):
+        """A term's postings less those of chunks that are gone, in blocks of their own; None if none is left."""
+        stays = ~np.isin(ids, gone, assume_unique=True)
+        if stays.all():
+            return ids, tfs, dls, top_tf, least_dl
+        ids, tfs, dls = ids[stays], tfs[stays], dls[stays]
+        cuts = np.arange(0, len(ids), block)
+        return (ids, tfs, dls, np.maximum.reduceat(tfs, cuts), np.minimum.reduceat(dls, cuts)) if len(ids) else None
+
+    def work(key: tuple[pa.Scalar, ...], table: pa.Table, dead: pa.Table | None = None) -> pa.Table:
         table = table.combine_chunks()
-        columns = [table[c].chunk(0) for c in ("ids", "tfs", "dls", "top_tf", "least_dl")]
+        columns = [table[c].chunk(0) for c in ("ids", "tfs", "dls", "top_tf", "least_dl")] if len(table) else []
         values = [(c.values.to_numpy(), c.offsets.to_numpy()) for c in columns]
-        postings = {term: _Postings(*(v[o[i] : o[i + 1]] for v, o in values), norm) for i, term in enumerate(table["term"].to_pylist())}
+        gone = np.zeros(0, np.int64) if dead is None else dead["chunk_id"].to_numpy()
+        postings = {}
+        for i, term in enumerate(table["term"].to_pylist()):
+            arrays = tuple(v[o[i] : o[i + 1]] for v, o in values)
+            arrays = without(gone, *arrays) if len(gone) else arrays
+            if arrays:
+                postings[term] = _Postings(*arrays, norm)
         out: list[list] = [[], [], [], [], []]
         for query, terms in asked.items():
             ids, scores, n, scored = best_of(terms, postings, k, block)
@@ -212,11 +251,15 @@ def search(queries: DataFrame, index: Blocks, k: int, text: str = "query", k1: f
         for r in one.collect():
             of_query.setdefault(r["query_id"], []).append((r["term"], r["weight"]))
         terms = sorted({t for q in of_query.values() for t, _ in q})
-        if len(terms) <= NAMED_TERMS:
-            rows = index.rows.filter(F.col("term").isin(terms))
-        else:  # at most ASKED_ROWS terms
-            rows = index.rows.join(F.broadcast(one.select("term").distinct()), "term", "left_semi")
-        part = rows.groupBy("shard").applyInArrow(_searching(of_query, k, corpus["avgdl"], k1, b, of, index.block), schema)
+        work, part = _searching(of_query, k, corpus["avgdl"], k1, b, of, index.block), None
+        for rows, dead in index.parts():
+            if len(terms) <= NAMED_TERMS:
+                rows = rows.filter(F.col("term").isin(terms))
+            else:  # at most ASKED_ROWS terms
+                rows = rows.join(F.broadcast(one.select("term").distinct()), "term", "left_semi")
+            groups = rows.groupBy("shard")
+            own = groups.applyInArrow(lambda key, table: work(key, table), schema) if dead is None else groups.cogroup(dead.groupBy("shard")).applyInArrow(lambda key, left, right: work(key, left, right), schema)
+            part = own if part is None else part.unionByName(own)
         found = written(part, "found") if blocks == 1 else found.unionByName(written(part, "found"))
     return found
 

@@ -20,7 +20,7 @@ from tarn.functions.text import TOKENIZER_VERSION, Segmenter, terms
 from tarn.shared import spread, written
 from tarn.sources.pointers import Generations
 
-FORMAT_VERSION = 2
+FORMAT_VERSION = 3
 DIGITS = 9
 
 
@@ -95,29 +95,53 @@ def tokenizer_version(segmenter: Segmenter | None) -> str:
     return getattr(segmenter, "version", None) or f"{segmenter.__module__}:{segmenter.__qualname__}"
 
 
-def publish(chunks: DataFrame, root: str, model: str, dimensions: int, text: str = "retrieval_text", segmenter: Segmenter | None = None) -> str:
-    """Build a generation under ``root``, in blocks, and make it the current one; the old one stays readable."""
-    from tarn.operators import blocks  # which builds on this module
+def _described(model: str, dimensions: int, segmenter: Segmenter | None) -> dict:
+    return {"format_version": FORMAT_VERSION, "tokenizer_version": tokenizer_version(segmenter), "embedding_model": model, "embedding_dimensions": dimensions}
+
+
+def publish(chunks: DataFrame, root: str, model: str, dimensions: int, text: str = "retrieval_text", segmenter: Segmenter | None = None, source: str = "") -> str:
+    """Build a generation of one segment under ``root`` and make it the current one; the old one stays readable.
+    ``source`` says what the chunks were read from."""
+    from tarn.operators import segments  # which builds on this module
 
     if chunks.isEmpty():
         raise EmptyCorpus("no chunks of this vector space")
     store = Generations(chunks.sparkSession, root)
     name, path = store.new()
-    buckets = blocks.save(chunks, path, text, segmenter)
-    store.publish(name, {"format_version": FORMAT_VERSION, "buckets": buckets, "tokenizer_version": tokenizer_version(segmenter), "embedding_model": model, "embedding_dimensions": dimensions})
+    entry = segments.added(chunks, path, text=text, segmenter=segmenter)
+    store.publish(name, _described(model, dimensions, segmenter) | {"segments": [entry], "uses": [name], "source": source})
     return name
 
 
-def load(spark: SparkSession, root: str, model: str, dimensions: int, segmenter: Segmenter | None = None):
-    """The current generation (``blocks.Blocks``)."""
-    from tarn.operators import blocks
+def grow(added: DataFrame, removed: DataFrame, root: str, model: str, dimensions: int, text: str = "retrieval_text", segmenter: Segmenter | None = None, source: str = "") -> str:
+    """The current generation plus a segment that adds and removes chunks, with what is due merged. Whoever
+    else published meanwhile makes this raise ConcurrentChange."""
+    from tarn.operators import segments
+
+    store = Generations(added.sparkSession, root)
+    before, manifest = current(added.sparkSession, root, model, dimensions, segmenter)
+    name, path = store.new()
+    held = segments.merged(added.sparkSession, [*manifest["segments"], segments.added(added, f"{path}/added", removed, text, segmenter)], f"{path}/merged")
+    uses = sorted({s["path"].split("/generations/")[1].split("/")[0] for s in held} | {name})
+    store.publish(name, _described(model, dimensions, segmenter) | {"segments": held, "uses": uses, "source": source}, after=before)
+    return name
 
+
+def current(spark: SparkSession, root: str, model: str, dimensions: int, segmenter: Segmenter | None = None) -> tuple[str, dict]:
+    """(name, manifest) of the current generation, which must fit."""
     store = Generations(spark, root)
     name = store.current()
     if name is None:
         raise IndexMissing(f"no index under {root}")
     manifest = store.manifest(name)
-    for key, wanted in (("format_version", FORMAT_VERSION), ("tokenizer_version", tokenizer_version(segmenter)), ("embedding_model", model), ("embedding_dimensions", dimensions)):
+    for key, wanted in _described(model, dimensions, segmenter).items():
         if manifest.get(key) != wanted:
             raise IndexMismatch(f"the index has {key} {manifest.get(key)!r}, not {wanted!r}")
-    return blocks.load(spark, store.path(name), manifest["buckets"])
+    return name, manifest
+
+
+def load(spark: SparkSession, root: str, model: str, dimensions: int, segmenter: Segmenter | None = None):
+    """The current generation (``segments.Segments``)."""
+    from tarn.operators import segments
+
+    return segments.opened(spark, current(spark, root, model, dimensions, segmenter)[1]["segments"])

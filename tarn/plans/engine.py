@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions.text import Segmenter
-from tarn.operators import blocks, bm25, chunking, dense, evaluation, fusion, lexicon, markdown, quantized, rerank, rewrite, upsert
+from tarn.operators import blocks, bm25, chunking, dense, evaluation, fusion, lexicon, markdown, quantized, rerank, rewrite, segments, upsert
 from tarn.plans.embedding import Embedder, embed, http_embedder, http_scorer
 from tarn.plans.settings import Settings
 from tarn.shared import written
@@ -91,10 +91,10 @@ class Engine:
         self.tables.publish(name, {"format_version": FORMAT_VERSION, "buckets": old["buckets"], "parts": parts, "uses": sorted({of for p in parts.values() for of in p.values()})}, after, guard)
         return name
 
-    def _table(self, table: str, schema: str, buckets: list[int] | None = None) -> DataFrame:
-        """The current table, or those of its buckets; empty where nothing was ever published. Reading never
-        writes, and files of other buckets are not looked at."""
-        name = self.tables.current()
+    def _table(self, table: str, schema: str, buckets: list[int] | None = None, name: str | None = None) -> DataFrame:
+        """The current table (or that of the generation ``name``), or those of its buckets; empty where nothing
+        was ever published. Reading never writes, and files of other buckets are not looked at."""
+        name = name or self.tables.current()
         parts = {} if name is None else self._manifest(name)["parts"][table]
         paths = [f"{self.tables.path(of)}/{table}/bucket={b}" for b, of in sorted(parts.items()) if buckets is None or int(b) in buckets]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
@@ -185,7 +185,7 @@ class Engine:
 
         def work() -> dict:
             began = time.monotonic()
-            name = bm25.publish(self.space, f"{s.root}/bm25", s.embedding_model, s.embedding_dimensions, segmenter=self.segmenter)
+            name = bm25.publish(self.space, f"{s.root}/bm25", s.embedding_model, s.embedding_dimensions, segmenter=self.segmenter, source=self.tables.current() or "")
             return {"generation": name, "chunks": self.space.count(), "seconds": time.monotonic() - began}
 
         self._index = None
@@ -193,7 +193,29 @@ class Engine:
             return work()
         return self.requests.once(f"bm25-rebuild:{key}", {"operation": "bm25-rebuild", "model": s.embedding_model, "dimensions": s.embedding_dimensions, "root": s.root}, work)
 
-    def reload_bm25(self) -> blocks.Blocks:
+    def update_bm25(self) -> dict:
+        """Bring the index up to the current tables: a segment with what changed since it was built, read from
+        the buckets that differ only. Where there is no fitting index, or its tables are gone, all anew."""
+        s, began, now = self.settings, time.monotonic(), self.tables.current()
+        try:
+            name, manifest = bm25.current(self.spark, f"{s.root}/bm25", s.embedding_model, s.embedding_dimensions, self.segmenter)
+            sides = [self._manifest(of) for of in (manifest["source"], now)]
+        except (bm25.IndexMissing, bm25.IndexMismatch, ValueError):
+            return self.rebuild_bm25() | {"added": None, "removed": None}
+        parts = [side["parts"]["chunks"] for side in sides]
+        if any(not self.tables.files.exists(f"{self.tables.path(of)}/chunks/bucket={b}") for b, of in parts[0].items() if parts[1].get(b) != of):
+            return self.rebuild_bm25() | {"added": None, "removed": None}
+        touched = [int(b) for b in {*parts[0], *parts[1]} if parts[0].get(b) != parts[1].get(b)]
+        old, new = (dense.in_space(self._table("chunks", CHUNKS, touched, of), s.embedding_model, s.embedding_dimensions).select(F.col("id").alias("chunk_id"), "retrieval_text") for of in (manifest["source"], now))
+        same = ["chunk_id", "retrieval_text"]
+        added, removed = written(new.join(old, same, "left_anti"), "added"), written(old.join(new, same, "left_anti"), "removed")
+        counts = {"added": added.count(), "removed": removed.count()}
+        if any(counts.values()):
+            name = bm25.grow(added, removed, f"{s.root}/bm25", s.embedding_model, s.embedding_dimensions, segmenter=self.segmenter, source=now)
+            self._index = None
+        return {"generation": name, "chunks": self.space.count(), "seconds": time.monotonic() - began} | counts
+
+    def reload_bm25(self) -> segments.Segments:
         self._index = bm25.load(self.spark, f"{self.settings.root}/bm25", self.settings.embedding_model, self.settings.embedding_dimensions, self.segmenter)
         return self._index
 
