@@ -1,16 +1,25 @@
-"""Embedding providers. The hashed one needs no model; it is a stand-in for tests and offline use."""
+"""Embedding providers. The hashed one needs no model; it is a stand-in for tests and offline use.
+
+A service is asked once for each distinct text of a batch, in requests of like-sized texts, several at a time;
+a request that fails for a passing reason is made again after a pause.
+"""
 
 from __future__ import annotations
 
 import json
+import random
+import time
+import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.functions.text import terms
+from tarn.shared import written
 
 #: Texts to as many vectors.
 Embedder = Callable[[list[str]], list[list[float]]]
@@ -49,18 +58,55 @@ def by_index(payload: dict, count: int, value: str, items: str) -> list:
     return [found[i] for i in range(count)]
 
 
-def post_json(url: str, payload: dict, key: str | None = None, timeout: float = 60) -> dict:
-    headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
-    with urllib.request.urlopen(urllib.request.Request(url, json.dumps(payload).encode(), headers), timeout=timeout) as answer:  # noqa: S310
-        return json.load(answer)
+#: Answers after which a request may be made again: too many, or the server's own trouble.
+PASSING = (429, 500, 502, 503, 504)
+#: Requests for one answer, and the first pause in seconds, which doubles.
+ATTEMPTS, PAUSE = 5, 0.5
+
 
+def post_json(url: str, payload: dict, key: str | None = None, timeout: float = 60, attempts: int = ATTEMPTS, pause: float = PAUSE) -> dict:
+    """The service's answer. A refused connection, a time-out or a PASSING status is tried again, ``attempts``
+    times in all; the pauses double and vary, so that many tasks do not come back at once."""
+    headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
+    for attempt in range(1, attempts + 1):
+        try:
+            with urllib.request.urlopen(urllib.request.Request(url, json.dumps(payload).encode(), headers), timeout=timeout) as answer:  # noqa: S310
+                return json.load(answer)
+        except (urllib.error.URLError, TimeoutError, ConnectionError) as error:
+            if attempt == attempts or isinstance(error, urllib.error.HTTPError) and error.code not in PASSING:
+                raise
+            time.sleep(pause * 2 ** (attempt - 1) * random.uniform(0.5, 1.5))
+    raise AssertionError("attempts must be positive")
+
+
+def packed(texts: list[str], most: int, characters: int) -> list[list[int]]:
+    """Places of the texts in requests of ``most`` texts and about so many characters: like-sized ones together, the
+    longest first, a text that is too long alone."""
+    out: list[list[int]] = []
+    left = 0
+    for i in sorted(range(len(texts)), key=lambda i: -len(texts[i])):
+        if not out or len(out[-1]) == most or len(texts[i]) > left:
+            out.append([])
+            left = characters
+        out[-1].append(i)
+        left -= len(texts[i])
+    return out
+
+
+def http_embedder(url: str, model: str, batch_size: int = 32, key: str | None = None, timeout: float = 60, characters: int = 64_000, at_once: int = 4, attempts: int = ATTEMPTS, pause: float = PAUSE) -> Embedder:
+    """An embedding service; a task has ``at_once`` requests under way at most."""
 
-def http_embedder(url: str, model: str, batch_size: int = 32, key: str | None = None, timeout: float = 60) -> Embedder:
     def embed(texts: list[str]) -> list[list[float]]:
-        out = []
-        for i in range(0, len(texts), batch_size):
-            part = texts[i : i + batch_size]
-            out += by_index(post_json(url, {"model": model, "input": part}, key, timeout), len(part), "embedding", "data")
+        def asked(places: list[int]) -> list:
+            made = post_json(url, {"model": model, "input": [texts[i] for i in places]}, key, timeout, attempts, pause)
+            return by_index(made, len(places), "embedding", "data")
+
+        out: list = [None] * len(texts)
+        requests = packed(texts, batch_size, characters)
+        with ThreadPoolExecutor(at_once) as pool:
+            for places, vectors in zip(requests, pool.map(asked, requests)):
+                for i, vector in zip(places, vectors):
+                    out[i] = vector
         return out
 
     return embed
@@ -82,13 +128,22 @@ def http_scorer(url: str, model: str, key: str | None = None, timeout: float = 6
 
 
 def embed(rows: DataFrame, text: str, dimensions: int, embedder: Embedder | None = None, into: str = "embedding") -> DataFrame:
-    """``rows`` with a vector of each text; without an embedder, the hashed terms."""
+    """``rows`` with a vector of each text (null: empty); without an embedder, the hashed terms.
+
+    An embedder is asked for each distinct text once: texts are told apart by their SHA-256, their vectors are
+    written, and joined back. ``rows`` are written too, so that they are not made twice."""
     if embedder is None:
         return rows.withColumn(into, hashed_terms(F.col(text), dimensions))
 
-    @F.pandas_udf("array<float>")
-    def work(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(checked(embedder(texts.tolist()), len(texts), dimensions) if len(texts) else [], dtype=object)
-
-    return rows.withColumn(into, work(F.col(text)))
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                vectors = checked(embedder(batch["text"].tolist()), len(batch), dimensions)
+                yield pd.DataFrame({"text_key": batch["text_key"], into: pd.Series(vectors, dtype=object)})
+
+    known = F.coalesce(F.col(text), F.lit(""))
+    keyed = written(rows.withColumn("text_key", F.sha2(F.encode(known, "UTF-8"), 256)), "keyed")
+    texts = keyed.select("text_key", known.alias("text")).groupBy("text_key").agg(F.min("text").alias("text"))
+    vectors = written(texts.mapInPandas(work, f"text_key string, `{into}` array<float>"), "vectors")
+    # rows of a text that many share are split at run time where the vectors are no broadcast
+    return keyed.join(vectors, "text_key").drop("text_key")

@@ -1,0 +1,74 @@
+"""Calls of an embedding service: each text once, packed by length, again after passing failures."""
+
+import json
+import threading
+from collections import Counter
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+
+from tarn.plans import embedding
+
+
+class Service:
+    """Answers (length, 1) for each text; refuses the first requests with the given statuses."""
+
+    def __init__(self, *refused):
+        self.calls, self.refused, self.lock = [], [*refused], threading.Lock()
+        outer = self
+
+        class Handler(BaseHTTPRequestHandler):
+            def do_POST(self):
+                asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["input"]
+                with outer.lock:
+                    status = outer.refused.pop(0) if outer.refused else 200
+                    outer.calls.append((status, asked))
+                raw = json.dumps({"data": [{"index": i, "embedding": [float(len(t)), 1.0]} for i, t in enumerate(asked)]}).encode()
+                self.send_response(status)
+                self.send_header("Content-Length", str(len(raw)))
+                self.end_headers()
+                self.wfile.write(raw)
+
+            def log_message(self, *_):
+                pass
+
+        self.server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+        self.url = f"http://127.0.0.1:{self.server.server_port}/"
+
+    def asked(self):
+        return Counter(t for status, texts in self.calls if status == 200 for t in texts)
+
+
+@given(st.lists(st.text(max_size=30), max_size=40), st.integers(1, 7), st.integers(1, 60))
+def test_requests_hold_each_text_once(texts, most, characters):
+    made = embedding.packed(texts, most, characters)
+    assert sorted(i for places in made for i in places) == [*range(len(texts))]
+    assert all(len(p) <= most and (len(p) == 1 or sum(len(texts[i]) for i in p) <= characters) for p in made)
+    sizes = [len(texts[i]) for places in made for i in places]
+    assert sizes == sorted(sizes, reverse=True)
+
+
+def test_equal_texts_are_asked_for_once(spark):
+    service = Service()
+    rows = [(i, ["hot", "hot", f"text {i % 7}", None][i % 4], "kept") for i in range(200)]
+    frame = spark.createDataFrame(rows, "id long, t string, text string").repartition(5)
+    got = embedding.embed(frame, "t", 2, embedding.http_embedder(service.url, "m", 3)).collect()
+    assert service.asked() == Counter({t or "": 1 for _, t, _ in rows})
+    assert len(got) == 200 and all(list(r["embedding"]) == [len(r["t"] or ""), 1.0] and r["text"] == "kept" for r in got)
+    assert embedding.embed(frame.limit(0), "t", 2, embedding.http_embedder(service.url, "m")).count() == 0
+
+
+def test_passing_failures_are_tried_again_and_others_are_not():
+    service = Service(503, 429)
+    ask = embedding.http_embedder(service.url, "m", 10, pause=0.01)
+    assert ask(["a", "bbb"]) == [[1.0, 1.0], [3.0, 1.0]] and [s for s, _ in service.calls] == [503, 429, 200]
+    for refused, calls in (([400], 1), ([503] * 9, 3)):
+        service = Service(*refused)
+        with pytest.raises(Exception, match=str(refused[0])):
+            embedding.http_embedder(service.url, "m", attempts=3, pause=0.01)(["a"])
+        assert len(service.calls) == calls
+    with pytest.raises(OSError):
+        embedding.http_embedder("http://127.0.0.1:9/", "m", attempts=2, pause=0.01)(["a"])
