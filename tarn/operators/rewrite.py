@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import json
-import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator, Mapping
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,23 +56,48 @@ def check_aliases(aliases: Mapping[str, str]) -> dict[str, str]:
     return trimmed
 
 
+def _folded(text: str) -> str:
+    """Case folded character by character, so that places stay."""
+    whole = text.casefold()
+    return whole if len(whole) == len(text) else "".join(f if len(f := c.casefold()) == 1 else c for c in text)
+
+
+def _bound(character: str) -> bool:
+    return character.isascii() and character.isalnum()
+
+
 class Rewriter:
     """The rules in turn: NFKC, white space, aliases.
 
-    Aliases are found in one pass, in any case. Letters and digits of ASCII must not go on before one
-    that begins with such a character, nor after one that ends with it; where several fit, the one with
-    the longest expression comes first."""
+    Aliases are found in one pass by an automaton, in any case, so a dictionary may hold any number of them.
+    Letters and digits of ASCII must not go on before one that begins with such a character, nor after one that
+    ends with it; where several fit at a place, one with such an end comes first, then the longer one."""
 
     def __init__(self, aliases: Mapping[str, str]):
-        self.names = {alias.casefold(): (alias, name) for alias, name in aliases.items()}
-        bound = re.compile("[A-Za-z0-9]")
-        each = [("(?<![A-Za-z0-9])" if bound.match(a[0]) else "") + re.escape(a) + ("(?![A-Za-z0-9])" if bound.match(a[-1]) else "") for a in aliases]
-        self.finder = re.compile("|".join(sorted(each, key=len, reverse=True)), re.IGNORECASE)
+        self.finder = ahocorasick.Automaton()
+        for alias, name in aliases.items():
+            self.finder.add_word(_folded(alias), (alias, name))
+        self.finder.make_automaton()
+
+    def found(self, text: str) -> Iterator[tuple[int, int, str, str]]:
+        """(begin, end, alias, name) of the aliases from left to right, none inside or across another."""
+        at_place: dict[int, tuple] = {}
+        for last, (alias, name) in self.finder.iter(_folded(text)):
+            begin, end = last + 1 - len(alias), last + 1
+            if _bound(alias[0]) and begin and _bound(text[begin - 1]) or _bound(alias[-1]) and end < len(text) and _bound(text[end]):
+                continue
+            rank = (_bound(alias[-1]), len(alias))
+            if begin not in at_place or rank > at_place[begin][0]:
+                at_place[begin] = rank, end, alias, name
+        until = 0
+        for begin in sorted(at_place):
+            if begin >= until:
+                _, until, alias, name = at_place[begin]
+                yield begin, until, alias, name
 
     def spots(self, text: str) -> Iterator[tuple[int, int, str, str]]:
         """(begin, end, alias, what it becomes) of all aliases that are to be expanded."""
-        for begin, end in (found.span() for found in self.finder.finditer(text)):
-            alias, name = self.names[text[begin:end].casefold()]
+        for begin, end, alias, name in self.found(text):
             written_out = f"{name} ({text[begin:end]})"
             around = text[max(0, begin - len(name) - 2) : end + 1]
             if written_out.casefold() not in (around.casefold(), f"{name} ({name})".casefold()):
@@ -97,10 +122,11 @@ def rewrite_queries(queries: DataFrame, aliases: Mapping[str, str] | None = None
     query itself and the dictionary is not looked at."""
     if not enabled:
         return queries.withColumns({"normalized_query": F.col(query), "effective_query": F.col(query), "applied_rules": F.array().cast("array<string>")})
-    rewriter = Rewriter(check_aliases(ALIASES if aliases is None else aliases))
+    known = check_aliases(ALIASES if aliases is None else aliases)
 
     @F.pandas_udf("struct<normalized_query:string,effective_query:string,applied_rules:array<string>>")
     def work(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        rewriter = Rewriter(known)
         for texts in batches:
             yield pd.DataFrame([rewriter(t or "") for t in texts], columns=["normalized_query", "effective_query", "applied_rules"])
 
