@@ -21,6 +21,7 @@ K = 10
 RECALL_K = 30
 DIMENSIONS = 64
 SPACE = "local-64"
+PACKED = chunking.ChunkLimits(400, 600, 80)
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: The documents' words are random syllables: what is a word is asked less strictly.
 HAN_COHESION, HAN_FREEDOM = 1.0, 0.5
@@ -215,6 +216,28 @@ def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _document_chunks(_table(spark, sf_dir, "documents")).select("doc_id", "chunk_index", "char_count", "content_hash")
 
 
+def packed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of a document is a paragraph: chunks hold several, overlap, and split long ones."""
+    documents = _table(spark, sf_dir, "documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
+    rows = documents.select("doc_id", F.lit(None).cast("string").alias("title"), chunking.plain_blocks(F.coalesce("text", F.lit(""))).alias("blocks"))
+    return chunking.chunk_documents(rows, PACKED).select("doc_id", "chunk_index", "char_count", "content_hash")
+
+
+def _mixed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as Markdown: their lines, letters only, in turn a heading, a paragraph, a list, a fenced block, a
+    quote and HTML."""
+    lines = "filter(transform(split(coalesce(text, ''), '\n'), l -> trim(regexp_replace(regexp_replace(l, '[^A-Za-z ]', ''), ' +', ' '))), l -> l != '')"
+    source = "case i % 6 when 0 then concat('## ', l) when 1 then l when 2 then concat('- ', l, '\n\n  ', l, '\n- ', l) when 3 then concat('```\n# ', l, '\n\n- ', l, '\n```') when 4 then concat('> ', l, '\n> - ', l) else concat('<div>\n- ', l, '\n</div>') end"
+    pages = _table(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("source_path"), F.expr(lines).alias("lines"))
+    return pages.select("doc_id", "source_path", F.expr(f"array_join(transform(lines, (l, i) -> {source}), '\n\n')").alias("text"))
+
+
+def markdown_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = markdown.parse_markdown(_mixed_pages(spark, sf_dir))
+    rows = parsed.select("doc_id", F.posexplode("blocks").alias("position", "block"))
+    return rows.select("doc_id", "position", "block.kind", F.array_join("block.heading_path", " / ").alias("heading"), sha256(F.col("block.text")).alias("text_sha256"))
+
+
 def document_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", sha256(normalize_newlines(F.col("text"))).alias("document_hash"), preview(F.col("text")).alias("preview"))
 
@@ -277,7 +300,7 @@ def ingest_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     each = (
         dense_exact_topk, dense_hydrated, ann_topk, ann_recall, tokenize, tokenize_han, han_lexicon, bm25_term_stats, bm25_corpus_stats, bm25_topk, hybrid_topk, rerank_final, confidence, ranking_diff,
-        query_rewrite, eval_quality, eval_latency, chunk_windows, document_hashes, markdown_blocks, markdown_chunks, html_to_markdown, incremental_diff, upsert_snapshot, stale_delete, ingest_totals,
+        query_rewrite, eval_quality, eval_latency, chunk_windows, packed_chunks, document_hashes, markdown_kinds, markdown_blocks, markdown_chunks, html_to_markdown, incremental_diff, upsert_snapshot, stale_delete, ingest_totals,
     )
     return {f.__name__: f for f in each}
 
@@ -320,6 +343,34 @@ _HAN_TERMS = rf"""flatten(list_transform(regexp_extract_all(translate(coalesce(t
     lambda t: case when not regexp_matches(t, '^[㐀-䶿一-鿿]') then [lower(t)] when length(t) < 2 then [t] else list_transform(range(1, length(t)), lambda i: substring(t, i::int, 2)) end))"""
 
 
+def _packed() -> str:
+    """Packing as a fold over a document's lines."""
+    limits, gap = PACKED, "chr(10) || chr(10)"
+    joined, seeded = f"s.open || {gap} || x.txt", f"right(s.open, {limits.overlap}) || {gap} || x.txt"
+    large, fits = f"length(x.txt) > {limits.maximum}", f"length(s.open) < {limits.target} and length({joined}) <= {limits.maximum}"
+    closed = "case when s.open = '' then s.done else list_append(s.done, s.open) end"
+    step = limits.maximum - limits.overlap
+    pieces = f"list_transform(range(greatest(1, ceil((length(x.txt) - {limits.overlap}) / {step}))::bigint), lambda i: substring(x.txt, i * {step} + 1, {limits.maximum}))"
+    done = f"case when {large} then list_concat({closed}, {pieces}) when s.open = '' or {fits} then s.done else {closed} end"
+    open_ = f"case when {large} then '' when s.open = '' then x.txt when {fits} then {joined} when length({seeded}) <= {limits.maximum} then {seeded} else x.txt end"
+    return f"""
+    with docs as (select doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: trim(l, ' ')), lambda l: l <> '') lines from documents),
+    folded as (select doc_id, list_reduce(list_prepend(struct_pack(txt := '', done := []::varchar[], open := ''), list_transform(lines, lambda l: struct_pack(txt := l, done := []::varchar[], open := ''))),
+        lambda s, x: struct_pack(txt := '', done := {done}, open := {open_})) s from docs),
+    chunks as (select doc_id, unnest(case when s.open = '' then s.done else list_append(s.done, s.open) end) raw, generate_subscripts(case when s.open = '' then s.done else list_append(s.done, s.open) end, 1) i from folded)
+    select doc_id, (i - 1)::int chunk_index, length(raw)::int char_count, sha256('[章节：（文档正文）]' || chr(10) || raw) content_hash from chunks"""
+
+
+def _kinds() -> str:
+    return r"""
+    with docs as (select doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: trim(regexp_replace(regexp_replace(l, '[^A-Za-z ]', '', 'g'), ' +', ' ', 'g'), ' ')), lambda l: l <> '') lines from documents),
+    parts as (select doc_id, lines, unnest(lines) l, generate_subscripts(lines, 1) - 1 i from docs),
+    blocks as (select doc_id, i, case i % 6 when 2 then 'list' when 3 then 'code' else 'paragraph' end kind, lines[i - i % 6 + 1] heading,
+        case i % 6 when 1 then l when 2 then '- ' || l || chr(10) || chr(10) || '  ' || l || chr(10) || '- ' || l when 3 then '```' || chr(10) || '# ' || l || chr(10) || chr(10) || '- ' || l || chr(10) || '```'
+            when 4 then '> ' || l || chr(10) || '> - ' || l else '<div>' || chr(10) || '- ' || l || chr(10) || '</div>' end body from parts where i % 6 > 0)
+    select doc_id, (row_number() over (partition by doc_id order by i) - 1)::int as position, kind, heading, sha256(body) text_sha256 from blocks"""
+
+
 def _lexicon() -> str:
     longest = lexicon.LONGEST
     return f"""
@@ -396,6 +447,8 @@ def oracle_sql() -> dict[str, str]:
         "dense_hydrated": f"with {_DENSE} select query_id, row_number() over (partition by query_id order by rank)::int rank, chunk_id, lang, source, length(text)::int char_count from (select * {top}) join documents on doc_id = chunk_id",
         "tokenize_han": f"select doc_id chunk_id, len(t)::int n_terms, sha256(array_to_string(t, ' ')) terms_sha256 from (select doc_id, {_HAN_TERMS} t from documents)",
         "han_lexicon": _lexicon(),
+        "packed_chunks": _packed(),
+        "markdown_kinds": _kinds(),
         "query_rewrite": _rewrites(),
         "markdown_chunks": _MARKDOWN_CHUNKS,
         "html_to_markdown": _html(),
