@@ -11,12 +11,13 @@ Codes and vectors are columns of one table that is laid out by list, so a scan r
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.vector import is_finite
@@ -159,7 +160,10 @@ def _exact(ids: list, vectors: np.ndarray):
 @dataclass(frozen=True)
 class Found:
     rows: DataFrame  # query_id, rank, chunk_id, cosine_distance, cosine_similarity
-    short: DataFrame  # query_id, chunk_id, list, product, codes: the short list, and codes read, in one row a task
+    short: DataFrame  # query_id, chunk_id, list, product, codes: the short list, and codes read, in one row a query
+    codes: int  # that were read, vectors of the short lists, and lists that hold these: as the search's jobs saw it
+    vectors: int
+    lists: int
 
 
 def search(queries: DataFrame, index: Index, k: int, dimensions: int, nprobe: int | None = None, short: int | None = None) -> Found:
@@ -171,6 +175,8 @@ def search(queries: DataFrame, index: Index, k: int, dimensions: int, nprobe: in
     spark, of = index.chunks.sparkSession, queries.schema["query_id"].dataType.simpleString()
     short, nprobe = max(k, SHORT * k if short is None else short), -(-3 * len(index.centers) // 4) if nprobe is None else nprobe
     found = near = None
+    codes = whole_vectors = 0
+    lists: set[int] = set()
     for ids, vectors in dense.query_blocks(queries, dimensions):
         probes = dense._nearest_mask(vectors, index.centers, nprobe)
         rows = index.chunks.select("chunk_id", "code", "list")
@@ -179,8 +185,12 @@ def search(queries: DataFrame, index: Index, k: int, dimensions: int, nprobe: in
         each = rows.mapInArrow(_candidates(ids, vectors, (index.centers, index.books), probes, short), f"query_id {of}, chunk_id long, list int, product double, codes long")
         order = Window.partitionBy("query_id").orderBy(F.desc("product"), "chunk_id")
         read = F.sum("codes").over(Window.partitionBy("query_id"))
-        cut = written(each.withColumn("n", F.row_number().over(order)).withColumn("codes", F.when(F.col("n") == 1, read).otherwise(0)).filter(F.col("n") <= short).drop("n"), "short")
+        seen = Observation(f"short {uuid.uuid4().hex}")
+        cut = each.withColumn("n", F.row_number().over(order)).withColumn("codes", F.when(F.col("n") == 1, read).otherwise(0)).filter(F.col("n") <= short).drop("n")
+        cut = written(cut.observe(seen, F.sum("codes").alias("codes"), F.count(F.lit(1)).alias("vectors")), "short")
+        codes, whole_vectors = codes + (seen.get["codes"] or 0), whole_vectors + seen.get["vectors"]
         held = [r[0] for r in cut.select("list").distinct().collect()]  # lists, 4096 at most
+        lists |= {*held}
         whole = index.chunks.filter(F.col("list").isin(held)).select("chunk_id", "list", "embedding").join(cut.select("query_id", "chunk_id", "list"), ["chunk_id", "list"])
         scored = whole.select("query_id", "chunk_id", "embedding").mapInArrow(_exact(ids, vectors), f"query_id {of}, chunk_id long, distance double")
         if found is not None:
@@ -191,7 +201,7 @@ def search(queries: DataFrame, index: Index, k: int, dimensions: int, nprobe: in
         near = spark.createDataFrame([], f"query_id {of}, chunk_id long, list int, product double, codes long")
     order = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return Found(ranked.select("query_id", "rank", "chunk_id", F.col("distance").alias("cosine_distance"), (1 - F.col("distance")).alias("cosine_similarity")), near)
+    return Found(ranked.select("query_id", "rank", "chunk_id", F.col("distance").alias("cosine_distance"), (1 - F.col("distance")).alias("cosine_similarity")), near, codes, whole_vectors, len(lists))
 
 
 def ann_topk(queries: DataFrame, index: Index, k: int, dimensions: int, nprobe: int | None = None, short: int | None = None) -> DataFrame:

@@ -10,10 +10,11 @@ from __future__ import annotations
 import importlib
 import os
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions.text import Segmenter
@@ -36,7 +37,8 @@ METHODS = ("dense_exact", "dense_ann", "bm25", "rrf", "rrf_rerank")
 
 @dataclass(frozen=True)
 class Answer:
-    """Tables of one search, each keyed by query_id, and the milliseconds that its steps took."""
+    """Tables of one search, each keyed by query_id, the milliseconds that its steps took, and what the jobs
+    that made them observed: rows, and what the dense search read."""
 
     queries: DataFrame
     dense: DataFrame
@@ -45,9 +47,12 @@ class Answer:
     results: DataFrame
     confidence: DataFrame
     timings: dict[str, float]
+    observed: dict[str, int]
+    reads: dict[str, int | bool]
 
     def counts(self) -> dict[str, int]:
-        return {"dense": self.dense.count(), "bm25": self.bm25.count(), "union": self.fused.count(), "results": self.results.count()}
+        """Rows of the recalls, of their union and of the results; no job is started for them."""
+        return {name: self.observed[name] for name in ("dense", "bm25", "union", "results")}
 
 
 class Engine:
@@ -240,31 +245,43 @@ class Engine:
             raise ValueError("query must not be empty")
         timings: dict[str, float] = {}
 
-        def step(name: str, work: Callable[[], DataFrame]) -> DataFrame:
+        observed: dict[str, int] = {}
+        reads: dict[str, int | bool] = {"uses_index": False}
+
+        def counted(name: str, table: DataFrame) -> DataFrame:
+            """The table, written; its rows are counted by the job that writes it."""
+            seen = Observation(f"{name} {uuid.uuid4().hex}")
+            table = written(table.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+            observed[name] = seen.get["rows"]
+            return table
+
+        def step(name: str, work: Callable[[], DataFrame], rows: str | None = None) -> DataFrame:
             began = time.monotonic()
-            table = written(work(), name)
+            table = counted(rows or name, work())
             timings[name] = 1000 * (time.monotonic() - began)
             return table
 
         rewritten = rewrite.rewrite_queries(queries, self.aliases() if use_rewrite else None, use_rewrite)
         asked = step("embedding", lambda: embed(rewritten, "effective_query", s.embedding_dimensions, self.embedder))
         space, index = self.space, self._index or self.reload_bm25()
-        near = step("dense", lambda: self._dense(asked, space, mode, s))
+        near = step("dense", lambda: self._dense(asked, space, mode, s, reads))
         sparse = step("bm25", lambda: blocks.bm25_topk(asked, index, s.bm25_top_k, "effective_query", segmenter=self.segmenter))
         fused = fusion.reciprocal_rank_fusion(near.select("query_id", "rank", "chunk_id", F.col("cosine_similarity").alias("score")), sparse, s.rrf_constant)
 
         def candidates() -> DataFrame:
             """The head of the fused ranking with its evidence."""
+            nonlocal fused
+            fused = counted("union", fused)
             head = written(fused.filter(F.col("rrf_rank") <= (s.rerank_top_k if use_reranker else s.final_top_k)), "head")
             return head.join(self._evidence(head), "chunk_id").join(asked.select("query_id", F.col("effective_query").alias("query")), "query_id")
 
         if use_reranker:
-            results = step("rerank", lambda: rerank.final_topk(rerank.rerank(candidates(), s.rerank_top_k, self.scorer), s.final_top_k, "rerank_rank"))
+            results = step("rerank", lambda: rerank.final_topk(rerank.rerank(candidates(), s.rerank_top_k, self.scorer), s.final_top_k, "rerank_rank"), "results")
         else:
             blank = {"rerank_score": F.lit(None).cast("double"), "rerank_rank": F.lit(None).cast("int")}
-            results = step("fusion", lambda: rerank.final_topk(candidates().withColumns(blank), s.final_top_k, "rrf_rank"))
+            results = step("fusion", lambda: rerank.final_topk(candidates().withColumns(blank), s.final_top_k, "rrf_rank"), "results")
         timings["total"] = sum(timings.values())
-        return Answer(asked.drop("embedding"), near, sparse, fused, results, rerank.confidence(queries, results, s.low_confidence_threshold, use_reranker), timings)
+        return Answer(asked.drop("embedding"), near, sparse, fused, results, rerank.confidence(queries, results, s.low_confidence_threshold, use_reranker), timings, observed, reads)
 
     def _evidence(self, ranked: DataFrame) -> DataFrame:
         """Chunks with their documents from the buckets that ``ranked`` names by its chunk ids, no others."""
@@ -275,10 +292,12 @@ class Engine:
         documents = self._table("documents", DOCUMENTS, wanted).select(F.col("id").alias("document_id"), *upsert.DOCUMENT_KEY, "language", "title")
         return chunks.drop("embedding", "content_hash").join(ranked.select("chunk_id").distinct(), "chunk_id", "left_semi").join(documents, "document_id")
 
-    def _dense(self, asked: DataFrame, space: DataFrame, mode: str, s: Settings) -> DataFrame:
+    def _dense(self, asked: DataFrame, space: DataFrame, mode: str, s: Settings, reads: dict[str, int | bool]) -> DataFrame:
         if mode == "exact":
             return dense.exact_topk(asked, space, s.dense_top_k, s.embedding_dimensions)
-        return quantized.ann_topk(asked, self.lists(), s.dense_top_k, s.embedding_dimensions, s.nprobe or None)
+        found = quantized.search(asked, self.lists(), s.dense_top_k, s.embedding_dimensions, s.nprobe or None)
+        reads |= {"uses_index": True, "codes": found.codes, "vectors": found.vectors, "lists": found.lists}
+        return found.rows
 
     def lists(self) -> quantized.Index:
         """The approximate index of the current tables and the engine's vector space: read where there is
