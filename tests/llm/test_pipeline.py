@@ -101,7 +101,7 @@ def test_empty_documents(spark, tmp_path):
 def test_registered_queries_and_sql():
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     numbers = [n.split("_")[0] for n in queries if n.startswith("op") and n[2].isdigit()]
-    assert sorted(numbers, key=lambda n: int(n[2:])) == [f"op{k}" for k in range(1, 11)]
+    assert sorted(numbers, key=lambda n: int(n[2:])) == [f"op{k}" for k in range(1, 14)]
     assert "pipeline" in queries and set(sql) <= set(queries)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "near duplicates", "repeated passages", "benchmark decontamination", "best-fit packing"]
 
