@@ -20,6 +20,9 @@ compared, unless they are known to be of one class:
    a class has to fit anywhere, and no pair is ever a row: a task finds those that share a shingle of
    both prefixes (the rarest ones, of which two near texts share one), counts what they share and
    aligns what can be near. A pair that shares several keys is compared in the first one only.
+
+Hashes of shingles leave pairs out; a pair that they find near is aligned once more on numbers that
+stand for its words themselves, and linked only if it is near by these too.
 """
 
 from __future__ import annotations
@@ -143,6 +146,32 @@ def is_near(a: np.ndarray, b: np.ndarray) -> bool:
     return aligned(a, b, both - 2 * need) >= need
 
 
+def _numbered(left: bytes, right: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The labelled shingles of two texts as numbers: equal ones for equal words and labels, and for no others."""
+    known: dict[bytes, int] = {}
+    code = [np.array([known.setdefault(w, len(known)) for w in text.translate(_NORMAL).split()], np.int64) for text in (left, right)]
+    words = np.concatenate(code)
+    number = words[: max(0, len(words) - SHINGLE + 1)]
+    for k in range(1, SHINGLE):  # runs of k + 1 words are numbered by those of k and one word more
+        number = np.unique(number * len(known) + words[k : k + len(number)], return_inverse=True)[1]
+    sides = [number[: max(0, len(code[0]) - SHINGLE + 1)], number[len(code[0]) :]]
+    earlier = []
+    for own in sides:
+        order = np.argsort(own, kind="stable")
+        first = np.flatnonzero(np.diff(own[order], prepend=-1))
+        at = np.zeros(len(own), np.int64)
+        at[order] = np.arange(len(own)) - np.repeat(first, np.diff(np.r_[first, len(own)]))
+        earlier.append(at)
+    most = max(len(own) for own in sides) + 1
+    a, b = (2 * (own * most + at) + (at > 0) for own, at in zip(sides, earlier))
+    return a, b
+
+
+def words_near(left: bytes, right: bytes) -> bool:
+    """``is_near`` on the words of two texts instead of hashes of them."""
+    return is_near(*_numbered(left, right))
+
+
 _SKETCH = "n int, fa long, fb long, sketches array<long>"
 
 
@@ -186,6 +215,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, first, at = np.unique(node, return_index=True, return_inverse=True)
         n, held = len(batch), _each(pa.concat_arrays([batch.column("left"), batch.column("right")]).take(pa.array(first)))
         near = [is_near(held[i], held[j]) for i, j in zip(at[:n].tolist(), at[n:].tolist())]
+        texts = batch.column("left"), batch.column("right")
+        near = [yes and words_near(*(side[k].as_buffer().to_pybytes() for side in texts)) for k, yes in enumerate(near)]
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
 
@@ -207,7 +238,8 @@ def _compare(table: pa.Table) -> pa.Table:
     """One cell of a large group: rows that are ``other`` with rows that are ``member`` of another class,
     each linked once to each class it is near to."""
     node, of, outside = (table.column(c).to_numpy() for c in ("node", "class", "outside"))
-    held = [h for chunk in table.column("text").chunks for h in _each(chunk)]
+    texts = table.column("text").combine_chunks()
+    held = _each(texts)
     n = np.array([len(h) for h in held], np.int64)
     row = np.repeat(np.arange(len(held)), n)
     known, token = np.unique(np.concatenate(held), return_inverse=True)
@@ -248,7 +280,7 @@ def _compare(table: pa.Table) -> pa.Table:
         met = met[~(sketches[met] == sketches[i]).any(axis=1)]
         for j in met.tolist():
             x, y = root(int(of[i])), root(int(of[j]))
-            if x != y and is_near(held[i], held[j]):
+            if x != y and is_near(held[i], held[j]) and words_near(*(texts[k].as_buffer().to_pybytes() for k in (i, j))):
                 up[max(x, y)] = min(x, y)
                 a.append(min(node[i], node[j]))
                 b.append(max(node[i], node[j]))

@@ -179,3 +179,31 @@ def test_classes_of_a_chain(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(50)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r["node"]: r["class"] for r in neardup.classes(links).collect()}
     assert got == {**{i: 0 for i in range(51)}, 100: 100, 101: 100}
+
+
+#: Two words of equal 64-bit hash.
+ALIKE = ("abbaabbabbbaaabaabaaabaaaaabaaaabbaaabaabbaabaabbbaaaaaa", "aaaabaaaaaaabaabbabbbababbbababaaaaababbaabbabbaaaabbabb")
+
+
+def test_words_decide_not_hashes(spark):
+    hashes = neardup.split(np.frombuffer(" ".join(ALIKE).encode(), np.uint8), np.array([0, 113]), neardup.ALNUM, neardup.FOLD).hash
+    assert hashes[0] == hashes[1]
+    plain = [f"w{i}" for i in range(60)]
+    one, other = (" ".join(w if i % 5 else word for i, w in enumerate(plain)) for word in ALIKE)
+    assert not neardup.words_near(one.encode(), other.encode())
+    rows = [(1, one), (2, other), (3, other + " more")]
+    for small in (16, 1):  # all pairs, and with leaders and cells
+        got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"], small=small).collect()
+        assert sorted((r["doc_id"], r["class_id"]) for r in got) == [(1, 1), (2, 2), (3, 2)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(*[st.lists(st.sampled_from("abC"), max_size=30)] * 2)
+def test_numbers_say_what_hashes_say(a, b):
+    """Of short words no two hashes are equal, so both ways must agree."""
+    texts = [" ".join(x) for x in (a, b)]
+    held = neardup._each(neardup.pa.array(texts))
+    left, right = neardup._numbered(*(t.encode() for t in texts))
+    assert (left[:, None] == right).tolist() == (held[0][:, None] == held[1]).tolist()
+    assert [(left & 1).tolist(), (right & 1).tolist()] == [(h & 1).tolist() for h in held]
+    assert neardup.words_near(*(t.encode() for t in texts)) == neardup.is_near(*held)
