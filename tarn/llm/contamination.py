@@ -166,12 +166,12 @@ def _search(block: _Block, keep: int):
 
 
 def _in_block(documents: DataFrame, keep: list[str], text: str, block: _Block) -> DataFrame:
-    counted = documents.select(text).mapInArrow(_rarity(block.vocabulary), "word long, documents long").groupBy("word").agg(F.sum("documents").alias("documents"))
+    counted = documents.select(F.col(f"`{text}`").alias("text")).mapInArrow(_rarity(block.vocabulary), "word long, documents long").groupBy("word").agg(F.sum("documents").alias("documents"))
     rarity = np.zeros(len(block.vocabulary), np.int64)
     for word, n in counted.collect():  # at most a row for each word of the block
         rarity[word] = n
     block.index(rarity)
-    return documents.select(*passing(keep), F.col(text).alias("text")).mapInArrow(_search(block, len(keep)), schema(documents, keep, _FOUND))
+    return documents.select(*passing(keep), F.col(f"`{text}`").alias("text")).mapInArrow(_search(block, len(keep)), schema(documents, keep, _FOUND))
 
 
 def find_benchmark(
@@ -185,23 +185,24 @@ def find_benchmark(
     merged ranges of word numbers; and ``items``, the ids of items with an occurring window, as
     sorted strings. Words are lower-cased (A-Z) runs of ASCII letters, digits and non-ASCII
     characters. Null and empty texts have no words; items without words or id match nothing; repeated
-    rows and items with equal text each count for themselves. ``keep`` may not hold the new
-    names; other columns are not read.
+    rows and items with equal text each count for themselves. Columns may have any name, dots
+    included, but ``keep`` may not hold the new names; other columns are not read.
     """
-    windows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text")).mapInArrow(_windows(n), "item string, window binary")
+    windows = benchmark.select(F.col(f"`{item}`").cast("string").alias("item"), F.col(f"`{item_text}`").alias("text")).mapInArrow(_windows(n), "item string, window binary")
     windows = written(windows.distinct(), "windows")
     blocks = max(1, -(-windows.count() // block_windows))
     parts = windows.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)))
     if blocks == 1:
         found = _in_block(documents, keep, text, _Block(windows.collect()))
     else:
-        # the rows get a number that stays the same for every block, and their findings meet by it
-        numbered = written(documents.select(*keep, text).withColumn("__row", F.monotonically_increasing_id()), "numbered")
-        each = [_in_block(numbered, ["__row"], text, _Block([tuple(r) for r in parts.filter(F.col("block") == b).select("item", "window").collect()])) for b in range(blocks)]
+        # the rows get a number that stays the same for every block, and their findings meet by it; kept
+        # columns go by k0, k1, ... from here on, so none of their names can clash with it
+        numbered = written(documents.select(*passing(keep), F.col(f"`{text}`").alias("text"), F.monotonically_increasing_id().alias("row")), "numbered")
+        each = [_in_block(numbered, ["row"], "text", _Block([tuple(r) for r in parts.filter(F.col("block") == b).select("item", "window").collect()])) for b in range(blocks)]
         union = each[0]
         for one in each[1:]:
             union = union.unionByName(one)
-        met = union.groupBy("k0").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        met = union.groupBy(F.col("k0").alias("row")).agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         merged = F.aggregate(
             "spans", F.expr("cast(array() as array<struct<first:int,last:int>>)"),
             lambda done, s: F.when((F.size(done) > 0) & (F.element_at(done, -1)["last"] >= s["first"]),
@@ -209,8 +210,7 @@ def find_benchmark(
             ).otherwise(F.concat(done, F.array(s))),
         )
         met = met.withColumn("spans", merged).withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["last"] - s["first"]))
-        kept = numbered.select("__row", *(F.col(f"`{c}`").alias(f"k{i + 1}") for i, c in enumerate(keep)))
-        found = kept.join(met.withColumnRenamed("k0", "__row"), "__row").select(*(F.col(f"k{i + 1}").alias(f"k{i}") for i in range(len(keep))), "n_words", "n_hit", "spans", "items")
+        found = numbered.drop("text").join(met, "row").select(*(f"k{i}" for i in range(len(keep))), "n_words", "n_hit", "spans", "items")
     return found.toDF(*keep, "n_words", "n_hit", "spans", "items")
 
 

@@ -58,3 +58,15 @@ def test_kept_columns_pass_through(spark):
     docs = spark.createDataFrame([("a", "solo", 1.5)], "k0 string, text string, items double")
     row = find_benchmark(docs, spark.createDataFrame([(1, "solo")], "item_id long, text string"), ["k0", "text"]).first()
     assert (row["k0"], row["text"], row["items"]) == ("a", "solo", ["1"])
+
+
+@pytest.mark.parametrize("block", [200_000, 1])
+def test_columns_of_any_name(spark, block):
+    """Names with dots, and those that the operator once used itself, keep their values in every block."""
+    docs = spark.createDataFrame([(77, "a", 5, "x solo", "one"), (77, "b", 6, "one two", "two"), (77, None, 7, None, None)], "`__row` int, `a.b` string, row int, `the.text` string, k0 string")
+    bench = spark.createDataFrame([(1, "solo"), (2, "one two")], "`item.id` long, `item.text` string")
+    got = find_benchmark(docs, bench, ["__row", "a.b", "row", "k0", "the.text"], text="the.text", item="item.id", item_text="item.text", block_windows=block)
+    assert got.columns == ["__row", "a.b", "row", "k0", "the.text", "n_words", "n_hit", "spans", "items"]
+    rows = sorted(tuple(r)[:7] + (r["items"],) for r in got.collect() if r["row"] < 7)
+    assert rows == [(77, "a", 5, "one", "x solo", 2, 1, ["1"]), (77, "b", 6, "two", "one two", 2, 2, ["2"])]
+    assert [tuple(r)[:7] for r in got.filter("row = 7").collect()] == [(77, None, 7, None, None, 0, 0)]
