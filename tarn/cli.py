@@ -21,7 +21,7 @@ def parser() -> argparse.ArgumentParser:
     top.add_argument("--root", help="folder of the tables; else TARN_ROOT")
     top.add_argument("--json", action="store_true", help="rows as JSON lines")
     commands = top.add_subparsers(dest="command", required=True)
-    for name, text in (("init", "create empty tables"), ("status", "generation and counts"), ("doctor", "check what a search needs")):
+    for name, text in (("init", "create empty tables"), ("status", "generation and counts"), ("doctor", "check what a search needs"), ("history", "what the ingestions reported")):
         commands.add_parser(name, help=text)
     ingest = commands.add_parser("ingest", help="take in Markdown files")
     ingest.add_argument("source")
@@ -67,6 +67,8 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> int:
         found = engine.doctor()
         shown(found, given.json)
         return int(not found.filter("not ok").isEmpty())
+    elif given.command == "history":
+        shown(engine.ingestions.orderBy("at"), given.json)
     elif given.command == "ingest":
         print(json.dumps(engine.ingest(given.source, given.repo, given.commit, given.language, key=given.key)))
     elif given.command == "rebuild":

@@ -105,6 +105,14 @@ def stale_chunks(chunks: DataFrame, sizes: DataFrame) -> DataFrame:
     return chunks.join(sizes, "document_id").filter("chunk_index >= n_chunks").drop("n_chunks")
 
 
+def per_document(judged: DataFrame, batch_size: int, by: Sequence[str] = ("document_id",)) -> DataFrame:
+    """What the chunks of ``changed_chunks`` come to for each document: ``chunks``, ``embedded``, ``skipped``,
+    and ``requests``, the embedding requests of ``batch_size`` texts that its changed chunks fill, the last
+    one in part."""
+    counts = judged.groupBy(*by).agg(F.count("*").alias("chunks"), F.count_if("is_changed").alias("embedded"))
+    return counts.withColumns({"skipped": F.col("chunks") - F.col("embedded"), "requests": F.expr(f"(embedded + {batch_size - 1}) div {batch_size}")})
+
+
 def totals(per_document: DataFrame) -> DataFrame:
     """One row: the number of documents and the sums of their counters."""
     counters = [f.name for f in per_document.schema if f.name not in (*DOCUMENT_KEY, "document_id")]

@@ -17,6 +17,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.functions import results
 from tarn.functions.text import Segmenter
 from tarn.operators import blocks, bm25, chunking, dense, evaluation, fusion, lexicon, markdown, quantized, rerank, rewrite, segments, upsert
 from tarn.plans.embedding import Embedder, embed, http_embedder, http_scorer
@@ -31,6 +32,11 @@ CHUNKS = (
     "id long, document_id long, chunk_index int, chunker_version string, heading_path array<string>, content_raw string, retrieval_text string, char_count int, content_hash string,"
     " metadata map<string,string>, embedding_model string, embedding_dimensions int, embedding array<float>"
 )
+#: What an ingestion reports. ``requests`` counts the embedding requests that its documents fill one by one; a
+#: service is asked in fewer, which hold texts of several. Without a service
+#: embedding counts with the writing, where hashed terms are made.
+INGESTED = "documents long, chunks long, embedded long, skipped long, deleted long, requests long, buckets int, generation string, seconds double, timings_ms map<string,double>"
+REBUILD = "bm25-rebuild:"
 FORMAT_VERSION = 2
 METHODS = ("dense_exact", "dense_ann", "bm25", "rrf", "rrf_rerank")
 
@@ -136,9 +142,16 @@ class Engine:
         keep their vectors; others are embedded; those beyond a document's end go."""
         began, s, start = time.monotonic(), self.settings, self.init()
         buckets = self._manifest(start)["buckets"]
+        timings: dict[str, float] = {}
+
+        def step(name: str, since: float) -> float:
+            timings[name] = 1000 * ((now := time.monotonic()) - since)
+            return now
+
         parsed = markdown.parse_markdown(files.select("source_path", "text"))
         key = {"source_repo": F.lit(repo), "source_commit": F.lit(commit), "language": F.lit(language)}
         parsed = written(parsed.withColumns(key).select(*upsert.DOCUMENT_KEY, "language", "title", F.col("document_hash").alias("content_hash"), "blocks"), "parsed")
+        at = step("parse", began)
         fresh = parsed.drop("blocks").withColumn("created_at", F.current_timestamp())
         touched = [r[0] for r in parsed.select(upsert.bucket_of(upsert.DOCUMENT_KEY, buckets)).distinct().collect()]  # numbers of buckets
         held, before = self._table("documents", DOCUMENTS, touched), self._table("chunks", CHUNKS, touched)
@@ -152,14 +165,25 @@ class Engine:
         new = cut.withColumns({"metadata": metadata, "embedding_model": F.lit(s.embedding_model), "embedding_dimensions": F.lit(s.embedding_dimensions)})
         new = new.select("document_id", "chunk_index", "chunker_version", "heading_path", "content_raw", "retrieval_text", "char_count", "content_hash", "metadata", "embedding_model", "embedding_dimensions")
         judged = written(upsert.changed_chunks(new, before), "judged")
+        at = step("chunk", at)
         changed = embed(judged.filter("is_changed").drop("is_changed"), "retrieval_text", s.embedding_dimensions, self.embedder)
+        at = step("embed", at)
         sizes = ids.join(parsed.select(*upsert.DOCUMENT_KEY), list(upsert.DOCUMENT_KEY)).join(judged.groupBy("document_id").agg(F.count("*").alias("n")), "document_id", "left").select("document_id", F.coalesce("n", F.lit(0)).alias("n_chunks"))
         stays = upsert.without_stale(before, sizes)
         merged = upsert.upsert(stays, changed, upsert.CHUNK_KEY, "id", numbered=lambda added: upsert.with_bucket_ids(added, upsert.CHUNK_KEY, "id", upsert.bucket_of_id("document_id", buckets), buckets, before))
-        counts = judged.agg(F.count("*").alias("chunks"), F.count_if("is_changed").alias("embedded")).first()
+        counts = upsert.totals(upsert.per_document(judged, s.embedding_batch_size)).drop("documents").first().asDict()
         stale = upsert.stale_chunks(before, sizes).count()
         name = self._publish(documents, merged, touched, start, guard)
-        return {"documents": parsed.count(), "chunks": counts["chunks"], "embedded": counts["embedded"], "skipped": counts["chunks"] - counts["embedded"], "deleted": stale, "buckets": len(touched), "generation": name, "seconds": time.monotonic() - began}
+        documents_taken = parsed.count()
+        step("write", at)
+        return {"documents": documents_taken, **counts, "deleted": stale, "buckets": len(touched), "generation": name, "seconds": time.monotonic() - began, "timings_ms": timings}
+
+    @property
+    def ingestions(self) -> DataFrame:
+        """What the completed ingestion requests reported, by key: (key, attempt, at, and the fields of INGESTED). A
+        stored result that is none fails the job."""
+        done = self.requests.outcomes().filter("status = 'completed'").filter(~F.col("key").startswith(REBUILD))
+        return done.select("key", "attempt", "at", results.parsed(F.col("result"), INGESTED, ("documents", "chunks", "embedded", "skipped", "deleted", "seconds"), "ingestion").alias("of")).select("key", "attempt", "at", "of.*")
 
     @property
     def segmenter(self) -> Segmenter | None:
@@ -196,7 +220,7 @@ class Engine:
         self._index = None
         if key is None:
             return work()
-        return self.requests.once(f"bm25-rebuild:{key}", {"operation": "bm25-rebuild", "model": s.embedding_model, "dimensions": s.embedding_dimensions, "root": s.root}, work)
+        return self.requests.once(f"{REBUILD}{key}", {"operation": "bm25-rebuild", "model": s.embedding_model, "dimensions": s.embedding_dimensions, "root": s.root}, work)
 
     def update_bm25(self) -> dict:
         """Bring the index up to the current tables: a segment with what changed since it was built, read from

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.functions.results import from_lines, to_lines
 from tarn.functions.html_markdown import markdown as to_markdown
 from tarn.functions.text import normalize_newlines, preview, sha256, terms
 from tarn.operators import blocks, bm25, chunking, dense, evaluation, fusion, lexicon, markdown, quantized, rerank, rewrite, upsert
@@ -297,10 +298,16 @@ def ingest_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert.totals(diff.withColumn("skipped", F.col("chunks") - F.col("embedded")).withColumnRenamed("source", "source_repo"))
 
 
+def ingest_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of each source, stored as JSON and read back."""
+    each = upsert.per_document(incremental_diff(spark, sf_dir), 32, ["source"])
+    return from_lines(to_lines(each), each.schema, ["chunks", "embedded", "skipped", "requests"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     each = (
         dense_exact_topk, dense_hydrated, ann_topk, ann_recall, tokenize, tokenize_han, han_lexicon, bm25_term_stats, bm25_corpus_stats, bm25_topk, hybrid_topk, rerank_final, confidence, ranking_diff,
-        query_rewrite, eval_quality, eval_latency, chunk_windows, packed_chunks, document_hashes, markdown_kinds, markdown_blocks, markdown_chunks, html_to_markdown, incremental_diff, upsert_snapshot, stale_delete, ingest_totals,
+        query_rewrite, eval_quality, eval_latency, chunk_windows, packed_chunks, document_hashes, markdown_kinds, markdown_blocks, markdown_chunks, html_to_markdown, incremental_diff, upsert_snapshot, stale_delete, ingest_totals, ingest_requests,
     )
     return {f.__name__: f for f in each}
 
@@ -476,4 +483,5 @@ def oracle_sql() -> dict[str, str]:
         "stale_delete": f"""with {_WINDOWS}, sizes as (select doc_id, case when doc_id % 3 = 0 then ceil(count(*) / 2) else count(*) end n from hashed group by 1)
             select doc_id document_id, chunk_index, content_hash from hashed join sizes using (doc_id) where chunk_index < n""",
         "ingest_totals": f"with {_REVISIONS} select count(distinct source) documents, count(*) chunks, count(*) filter (is_changed) embedded, count(*) filter (not is_changed) skipped from diff",
+        "ingest_requests": f"with {_REVISIONS} select source, count(*) chunks, count(*) filter (is_changed) embedded, count(*) filter (not is_changed) skipped, (count(*) filter (is_changed) + 31) // 32 requests from diff group by 1",
     }

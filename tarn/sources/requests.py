@@ -18,7 +18,8 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tarn.sources.pointers import Files
 
@@ -55,7 +56,7 @@ class Requests:
     may differ by less than that."""
 
     def __init__(self, spark: SparkSession, root: str, lease_seconds: float = 60.0):
-        self.files, self.root, self.lease_seconds = Files(spark), f"{root.rstrip('/')}/requests", lease_seconds
+        self.spark, self.files, self.root, self.lease_seconds = spark, Files(spark), f"{root.rstrip('/')}/requests", lease_seconds
         self._held: dict[str, Lease] = {}
 
     def _at(self, key: str, number: int, what: str = "") -> str:
@@ -109,6 +110,22 @@ class Requests:
         if not self._end(lease.key, lease.number, status, result):
             raise LeaseLost(f"request {lease.key!r} was taken over from attempt {lease.number}")
 
+    def outcomes(self) -> DataFrame:
+        """(key, attempt, status, at, result): what became of every attempt that is over; ``result`` is JSON text,
+        null where it has none. Read by a job, however many requests there are."""
+        of = "key string, attempt long, status string, at timestamp, result string"
+        if not self.files.exists(self.root):
+            return self.spark.createDataFrame([], of)
+        files = self.spark.read.option("recursiveFileLookup", True).text(self.root, wholetext=True)
+        name = F.regexp_extract("_metadata.file_path", r"/([0-9a-f]{64})/attempt-(\d+)(\.end)?$", 0)
+        files = files.select("value", name.alias("name")).filter("name != ''")
+        made = files.filter(~F.col("name").endswith(".end")).select("name", F.get_json_object("value", "$.key").alias("key"), F.get_json_object("value", "$.attempt").cast("long").alias("attempt"))
+        ended = files.filter(F.col("name").endswith(".end")).select(
+            F.regexp_replace("name", r"\.end$", "").alias("name"), F.get_json_object("value", "$.status").alias("status"),
+            F.timestamp_millis((F.get_json_object("value", "$.at").cast("double") * 1000).cast("long")).alias("at"), F.get_json_object("value", "$.result").alias("result"),
+        )
+        return made.join(ended, "name").select("key", "attempt", "status", "at", "result")
+
     # the same for a caller that keeps no lease of its own
 
     def claim(self, key: str, wanted: str) -> dict | None:

@@ -34,6 +34,7 @@ def test_command_line(spark, tmp_path, folder, capsys, monkeypatch):
     assert json.loads(out("ingest", str(folder), "--repo", "r", "--commit", "c", "--language", "en"))["chunks"] == 1
     assert json.loads(out("rebuild"))["chunks"] == 1
     assert json.loads(out("status"))["documents"] == 1
+    assert json.loads(out("--json", "history"))["chunks"] == 1
     lines = [json.loads(x) for x in out("--json", "search", "alpha", "--rewrite").splitlines()]
     assert lines[0]["source_path"] == "a b.md" and lines[1]["status"] == "not_flagged"
     assert "a b.md" in out("search", "beta", "--no-rerank", "--mode", "ann")
