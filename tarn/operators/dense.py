@@ -1,7 +1,7 @@
 """Dense retrieval: exact and approximate cosine top-k for batches of queries.
 
 Queries go to every task in blocks of bounded size, of which the driver holds one at a time. Each task
-multiplies its vectors with a block and keeps its own k best, so what is shuffled is k rows a task and
+multiplies its vectors with a block, TILE products at a time, and keeps its own k best, so what is shuffled is k rows a task and
 query, whatever the number of vectors. The approximate search does so for pairs of a query and a list
 that it probes only, from a table that is laid out by list.
 """
@@ -21,6 +21,8 @@ from tarn.shared import shared_path, written
 
 #: Numbers in a block of query vectors (8 bytes each).
 BLOCK_NUMBERS = 1 << 20
+#: Products of queries and vectors that a task holds at a time (8 bytes each).
+TILE = 1 << 20
 #: Digits of a distance: equal vectors must tie, wherever they stand in a batch.
 DIGITS = 12
 
@@ -58,12 +60,42 @@ def query_blocks(queries: DataFrame, dimensions: int) -> Iterator[tuple[list, np
         yield ids, vectors / length[:, None]
 
 
+class Nearest:
+    """Each query's k best chunks so far: by least distance, then least id. Holds k rows a query; what is sorted
+    at a time are the rows of one call that are not beyond the k-th of before."""
+
+    def __init__(self, queries: int, k: int):
+        self.chunk, self.distance, self.more = np.zeros((queries, k), np.int64), np.full((queries, k), np.nan), np.zeros((queries, k), np.int32)
+
+    def add(self, asking: np.ndarray, chunk: np.ndarray, distance: np.ndarray, more: np.ndarray | None = None) -> None:
+        """``distance`` has a row for each of ``asking`` and a column for each chunk, NaN where it is none; ``more`` is a number of each chunk."""
+        k, n = self.distance.shape[1], len(asking)
+        limit = np.where(np.isnan(self.distance[asking, -1]), np.inf, self.distance[asking, -1])
+        if distance.shape[1] > k and np.isinf(limit).any():
+            limit = np.fmin(limit, np.partition(distance, k - 1, axis=1)[:, k - 1])
+        row, column = np.nonzero(distance <= limit[:, None])
+        if not len(row):
+            return
+        of = np.concatenate([np.repeat(np.arange(n), k), row])
+        held = [np.concatenate([x[asking].ravel(), new]) for x, new in ((self.chunk, chunk[column]), (self.distance, distance[row, column]), (self.more, more[column] if more is not None else np.zeros(len(row), np.int32)))]
+        order = np.lexsort((held[0], held[1], of))
+        of = of[order]
+        best = order[np.arange(len(of)) - np.searchsorted(of, of) < k].reshape(n, k)
+        self.chunk[asking], self.distance[asking], self.more[asking] = (x[best] for x in held)
+
+
+def tiles(asking: np.ndarray, chunks: int) -> Iterator[np.ndarray]:
+    """The queries in runs whose products with so many chunks are TILE numbers at most."""
+    step = max(1, TILE // max(1, chunks))
+    return (asking[i : i + step] for i in range(0, len(asking), step))
+
+
 def _best(block: tuple[list, np.ndarray], k: int, probes: np.ndarray | None):
     """Batches (chunk_id, embedding, list) to each query's k nearest chunks of the task."""
     ids, vectors = block
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_id, kept = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+        kept = Nearest(len(ids), k)
         for batch in batches:
             if not len(batch):
                 continue
@@ -71,22 +103,13 @@ def _best(block: tuple[list, np.ndarray], k: int, probes: np.ndarray | None):
             lists = batch.column(2).to_numpy() if probes is not None else np.zeros(len(batch), np.int32)
             for own in np.unique(lists):
                 chunk, matrix = (x[lists == own] for x in every)
-                asking = np.flatnonzero(probes[:, own]) if probes is not None else np.arange(len(ids))
-                if not len(asking):
-                    continue
                 length = np.linalg.norm(matrix, axis=1)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    similarity = (vectors[asking] @ matrix.T) / length
-                distance = np.where(length > 0, np.round(1 - similarity, DIGITS), np.inf)  # without length: last
-                none = np.full((len(ids), min(k, len(chunk))), np.nan)
-                best_id, best = np.zeros(none.shape, np.int64), none
-                order = np.lexsort((np.broadcast_to(chunk, distance.shape), distance), axis=1)[:, :k]
-                best_id[asking], best[asking] = chunk[order], np.take_along_axis(distance, order, 1)
-                kept_id, kept = np.concatenate([kept_id, best_id], axis=1), np.concatenate([kept, best], axis=1)
-                order = np.lexsort((kept_id, kept), axis=1)[:, :k]
-                kept_id, kept = np.take_along_axis(kept_id, order, 1), np.take_along_axis(kept, order, 1)
-        row, column = np.nonzero(~np.isnan(kept))
-        yield pa.RecordBatch.from_arrays([pa.array([ids[r] for r in row]), pa.array(kept_id[row, column]), pa.array(kept[row, column])], ["query_id", "chunk_id", "distance"])
+                for asking in tiles(np.flatnonzero(probes[:, own]) if probes is not None else np.arange(len(ids)), len(chunk)):
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        similarity = (vectors[asking] @ matrix.T) / length
+                    kept.add(asking, chunk, np.where(length > 0, np.round(1 - similarity, DIGITS), np.inf))  # without length: last
+        row, column = np.nonzero(~np.isnan(kept.distance))
+        yield pa.RecordBatch.from_arrays([pa.array([ids[r] for r in row]), pa.array(kept.chunk[row, column]), pa.array(kept.distance[row, column])], ["query_id", "chunk_id", "distance"])
 
     return work
 
@@ -140,9 +163,9 @@ class Lists:
 
 
 def _nearest_mask(vectors: np.ndarray, centers: np.ndarray, nprobe: int) -> np.ndarray:
-    order = np.argsort(-(vectors @ centers.T), axis=1, kind="stable")[:, :nprobe]
     mask = np.zeros((len(vectors), len(centers)), bool)
-    np.put_along_axis(mask, order, True, 1)
+    for asking in tiles(np.arange(len(vectors)), len(centers)):
+        mask[asking[:, None], np.argsort(-(vectors[asking] @ centers.T), axis=1, kind="stable")[:, :nprobe]] = True
     return mask
 
 

@@ -159,3 +159,34 @@ def test_queries_in_several_blocks(spark, monkeypatch):
     one = dense.exact_topk(queries, chunks, 5, 2).orderBy("query_id", "rank").collect()
     monkeypatch.setattr(dense, "BLOCK_NUMBERS", 4)
     assert dense.exact_topk(queries, chunks, 5, 2).orderBy("query_id", "rank").collect() == one
+
+
+def test_a_task_holds_bounded_products(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    batches = []
+    for i in range(2):  # equal vectors, and some without length
+        rows = np.repeat(rng.normal(size=(2_000, 4)), 2, axis=0).astype(np.float32)
+        rows[:5] = 0
+        batches.append(pa.RecordBatch.from_arrays([pa.array(4_000 * i + rng.permutation(4_000)), pa.array(list(rows), pa.list_(pa.float32()))], ["chunk_id", "embedding"]))
+    asked = rng.normal(size=(4_000, 4))
+    asked /= np.linalg.norm(asked, axis=1, keepdims=True)
+    tracemalloc.start()
+    got = next(dense._best((list(range(4_000)), asked), 3, None)(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20  # a whole batch of products has 128 MB
+    every, chunk = np.concatenate([dense._matrix(b.column(1), 4) for b in batches]), np.concatenate([b.column(0).to_numpy() for b in batches])
+    length = np.linalg.norm(every, axis=1)
+    for q in range(0, 4_000, 500):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            distance = np.where(length > 0, np.round(1 - every @ asked[q] / length, dense.DIGITS), np.inf)
+        want = np.lexsort((chunk, distance))[:3]
+        assert got.column(1).to_numpy()[3 * q : 3 * q + 3].tolist() == chunk[want].tolist()
+    monkeypatch.setattr(dense, "TILE", 1)
+    few = dense._best((list(range(20)), asked[:20]), 4_005, None)
+    got = next(few(iter(batches)))
+    assert len(got) == 20 * 4_005
