@@ -88,10 +88,10 @@ def build(chunks: DataFrame, dimensions: int, lists: int | None = None, sample_r
     centers = dense._centers(sample, lists, seed, 10) if len(sample) else np.zeros((1, dimensions))
     books = fit_books(sample - centers[np.argmax(sample @ centers.T, axis=1)], seed)
 
+    step = max(1, dense.TILE // len(centers))  # products with all centres are held for so many rows
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in (b.slice(i, step) for b in batches for i in range(0, len(b), step)):
             vectors = dense._matrix(batch.column(1), dimensions)
             own, codes = encoded(vectors / np.linalg.norm(vectors, axis=1, keepdims=True), centers, books)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), batch.column(1), pa.array(own, pa.int32())], ["chunk_id", "code", "embedding", "list"])
@@ -112,30 +112,31 @@ def load(spark: SparkSession, path: str) -> Index:
     return Index(np.array(centers), np.array(books).reshape(len(books), CODES, PAIR), rows)
 
 
+def decoded(codes: np.ndarray, lists: np.ndarray, centers: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """The vectors that codes stand for: what is coded, beside the centre. A product with one is the product with the
+    centre and one entry of a table for each code."""
+    return centers[lists] + np.concatenate([book[code] for book, code in zip(books, codes.T)], axis=1)[:, : centers.shape[1]]
+
+
 def _candidates(ids: list, vectors: np.ndarray, index: tuple[np.ndarray, np.ndarray], probes: np.ndarray, short: int):
-    """Batches (chunk_id, code, list) to the ``short`` nearest of the task by coded product, for each query."""
+    """Batches (chunk_id, code, list) to the ``short`` nearest of the task by coded product, for each query. A task
+    holds ``short`` rows a query and TILE products."""
     centers, books = index
-    tables = np.einsum("mqd,mcd->mqc", _cut(vectors), books).astype(np.float32)
-    to_center = vectors @ centers.T
+    asked = probes.sum(axis=0)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0), np.int32)
-        read = 0
+        kept, read = dense.Nearest(len(ids), short), 0
         for batch in batches:
             if not len(batch):
                 continue
             chunk, lists = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(batch), -1)
-            product = to_center[:, lists]
-            for table, code in zip(tables, codes.T):
-                product += table[:, code]
-            product[~probes[:, lists]] = -np.inf
-            read += int(probes[:, lists].sum())
-            both = np.concatenate([kept[0], product], axis=1), np.concatenate([kept[1], np.broadcast_to(chunk, product.shape)], axis=1), np.concatenate([kept[2], np.broadcast_to(lists, product.shape)], axis=1)
-            best = np.lexsort((both[1], -both[0]), axis=1)[:, :short]
-            kept = tuple(np.take_along_axis(x, best, 1) for x in both)
-        row, column = np.nonzero(kept[0] > -np.inf)
-        columns = [pa.array([ids[r] for r in row]), pa.array(kept[1][row, column]), pa.array(kept[2][row, column]), pa.array(kept[0][row, column]), pa.array(np.r_[read, np.zeros(max(0, len(row) - 1), int)][: len(row)], pa.int64())]
+            coded = decoded(codes, lists, centers, books)
+            read += int(asked[lists].sum())
+            for asking in dense.tiles(np.arange(len(ids)), len(batch)):
+                kept.add(asking, chunk, np.where(probes[asking][:, lists], -(vectors[asking] @ coded.T), np.nan), lists)
+        row, column = np.nonzero(~np.isnan(kept.distance))
+        columns = [pa.array([ids[r] for r in row]), pa.array(kept.chunk[row, column]), pa.array(kept.more[row, column]), pa.array(-kept.distance[row, column]), pa.array(np.r_[read, np.zeros(max(0, len(row) - 1), int)][: len(row)], pa.int64())]
         if len(row):
             yield pa.RecordBatch.from_arrays(columns, ["query_id", "chunk_id", "list", "product", "codes"])
 

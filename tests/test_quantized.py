@@ -71,3 +71,27 @@ def test_ties_bad_vectors_and_empty_tables(spark):
     assert quantized.ann_topk(queries.limit(0), quantized.build(chunks, 2), 3, 2).count() == 0
     with pytest.raises(ValueError):
         quantized.search(queries, quantized.build(chunks, 2), 0, 2)
+
+
+def test_a_task_holds_bounded_products():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    n, asked = 4_000, rng.normal(size=(4_000, 4))
+    centers, books = rng.normal(size=(5, 4)), rng.normal(size=(2, quantized.CODES, 2))
+    lists, codes, probes = rng.integers(0, 5, n).astype(np.int32), rng.integers(0, 256, (n, 2)).astype(np.uint8), rng.random((4_000, 5)) < 0.6
+    batch = pa.RecordBatch.from_arrays([pa.array(rng.permutation(n)), pa.array([c.tobytes() for c in codes]), pa.array(lists)], ["chunk_id", "code", "list"])
+    tracemalloc.start()
+    got = next(quantized._candidates(list(range(4_000)), asked, (centers, books), probes, 6)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20  # a whole batch of products has 128 MB
+    found, q = got.to_pandas(), next(i for i in range(4_000) if probes[i].any())
+    product = asked[q] @ centers[lists].T + sum(book[code] @ asked[q, 2 * m : 2 * m + 2] for m, (book, code) in enumerate(zip(books, codes.T)))
+    product[~probes[q][lists]] = -np.inf
+    want = np.argsort(-product)[:6]
+    own = found[found.query_id == q].sort_values("product", ascending=False)
+    assert own.chunk_id.tolist() == batch.column(0).to_numpy()[want].tolist() and own["product"].tolist() == pytest.approx(product[want].tolist())
+    assert found.codes.sum() == probes[:, lists].sum()
