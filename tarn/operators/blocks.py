@@ -7,8 +7,9 @@ So a row is bounded whatever the corpus and however common the term, and a shard
 its k best are all that is shuffled. A published index is bucketed by shard, so a search reads its terms'
 rows without any shuffle before that.
 
-A task takes a query's terms from the greatest bound to the least and keeps the k-th best score so far. Once
-the bounds of the terms to come cannot lift a new chunk to it, only chunks at hand are looked up; those
+A task takes a query's terms from the greatest bound to the least, adds them to one score for each chunk of the
+shard, and looks at the k-th best score before common terms. Once the bounds of the terms to come cannot lift a new
+chunk to it, only chunks at hand are looked up where these are few beside the term's postings; those
 whose score, plus the bound of their block, plus the bounds to come, stays below it are dropped unread. What
 is left out can never be among the k best, ties included, so the result is that of scoring everything.
 """
@@ -33,6 +34,8 @@ SHARD_CHUNKS = 16_384
 SHARDS = 8
 BUCKETS = 256
 BLOCK = 128
+#: So few chunks at hand are always looked up instead of adding a term to all of its chunks.
+FEW = 256
 #: Rows (query, term) that one search sends to tasks; more queries go block by block.
 ASKED_ROWS = 200_000
 #: Terms up to which a filter names them, so that it reaches the scan.
@@ -145,48 +148,67 @@ class _Postings:
         self.bounds = top_tf / (top_tf + norm(least_dl))
         self.bound = float(self.bounds.max())
 
+    def adds(self, tfs: np.ndarray, dls: np.ndarray) -> np.ndarray:
+        tf = tfs.astype(np.float64)
+        return tf / (tf + self.norm(dls))
+
     def parts(self, at: np.ndarray | slice) -> np.ndarray:
-        tf = self.tfs[at].astype(np.float64)
-        return tf / (tf + self.norm(self.dls[at]))
+        return self.adds(self.tfs[at], self.dls[at])
+
+
+class _Shard:
+    """Postings of a shard by the places of its chunks, with what a query's unit of a term adds, and a score for each chunk."""
+
+    def __init__(self, postings: dict[str, _Postings]):
+        self.postings, each = postings, list(postings.values())
+        flat = [np.concatenate([getattr(p, c) for p in each]) if each else np.zeros(0, np.int64) for c in ("ids", "tfs", "dls")]
+        self.chunks = np.unique(flat[0])
+        self.scores = np.zeros(len(self.chunks))
+        at, adds = np.searchsorted(self.chunks, flat[0]), each[0].adds(flat[1], flat[2]) if each else flat[0]
+        ends = np.cumsum([len(p.ids) for p in each]).tolist()
+        for p, start, end in zip(each, [0, *ends], ends):
+            p.at, p.part = at[start:end], adds[start:end]
 
 
-def best_of(asked: list[tuple[str, float]], postings: dict[str, _Postings], k: int, block: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+def best_of(asked: list[tuple[str, float]], postings: dict[str, _Postings] | _Shard, k: int, block: int) -> tuple[np.ndarray, np.ndarray, int, int]:
     """(ids, scores, postings, postings scored) of the k best chunks of a shard for a query's (term, weight)."""
-    known = sorted(((w * postings[t].bound, w, postings[t]) for t, w in asked if t in postings), key=lambda x: -x[0])
+    shard = postings if isinstance(postings, _Shard) else _Shard(postings)
+    known = sorted(((w * own.bound, w, own) for t, w in asked if (own := shard.postings.get(t))), key=lambda x: -x[0])
     rest = [*np.cumsum([x[0] for x in known][::-1])[::-1], 0.0]  # bounds from each term on
-    ids, scores, worst, scored, open_ = np.zeros(0, np.int64), np.zeros(0), -1.0, 0, True
+    scores, n = shard.scores, len(shard.chunks)
+    scores[:] = 0
+    worst, scored, near, top, looked = -1.0, 0, None, None, 0
     for (_, weight, own), beyond, left in zip(known, rest, rest[1:]):
+        size = len(own.ids)
         # rounding and the order of a sum move a score by less
         slack = 1e-9 + 1e-12 * beyond
-        if open_ and beyond < worst - slack:
-            open_ = False
-        if open_:
-            scored += len(own.ids)
-            part = weight * own.parts(slice(None))
-            at = np.searchsorted(ids, own.ids)
-            there = at < len(ids)
-            there[there] = ids[at[there]] == own.ids[there]
-            scores[at[there]] += part[there]
-            new = own.ids[~there]
-            ids, scores = np.insert(ids, at[~there], new), np.insert(scores, at[~there], part[~there])
-        else:
-            near = np.flatnonzero(scores + beyond >= worst - slack)
-            at = np.searchsorted(own.ids, ids[near])
-            bound = weight * own.bounds[np.minimum(at, len(own.ids) - 1) // block]
-            hopeful = scores[near] + bound + left >= worst - slack
-            near, at = near[hopeful], at[hopeful]
-            ids, scores = ids[near], scores[near]
-            there = at < len(own.ids)
-            there[there] = own.ids[at[there]] == ids[there]
-            scored += int(there.sum())
-            scores[there] += weight * own.parts(at[there])
-        if len(scores) >= k:
-            worst = max(worst, float(np.partition(scores, len(scores) - k)[len(scores) - k]))
-    scores = np.round(scores, DIGITS)
-    keep = scores > 0
-    ids, scores = ids[keep], scores[keep]
-    order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order], sum(len(x[2].ids) for x in known), scored
+        if near is None and 4 * size >= n > k and beyond < scores.max() - slack:  # a look at the k-th best costs as much as some postings
+            if top is None or scored - looked >= 4 * n:
+                top, looked = np.argpartition(scores, n - k)[n - k :], scored
+            worst = max(worst, float(scores[top].min()))
+            if beyond < worst - slack:
+                near = np.arange(n)
+        if near is not None:
+            near = near[scores[near] + beyond >= worst - slack]
+            if len(near) < size and (8 * len(near) < size or len(near) <= FEW):
+                at = np.searchsorted(own.at, near)
+                hopeful = scores[near] + weight * own.bounds[np.minimum(at, size - 1) // block] + left >= worst - slack
+                near, at = near[hopeful], at[hopeful]
+                there = at < size
+                there[there] = own.at[at[there]] == near[there]
+                scored += int(there.sum())
+                scores[near[there]] += weight * own.part[at[there]]
+                if len(near) >= k:
+                    worst = max(worst, float(np.partition(scores[near], len(near) - k)[len(near) - k]))
+                continue
+        scored += size
+        scores[own.at] += weight * own.part
+    least = float(np.partition(scores, n - k)[n - k]) if n > k else 0.0
+    keep = np.flatnonzero((scores > 0) & (scores >= least - 1e-8))  # more than rounding takes away
+    found = np.round(scores[keep], DIGITS)
+    keep, found = keep[found > 0], found[found > 0]
+    order = np.lexsort((keep, -found))[:k]  # places follow ids
+    return shard.chunks[keep[order]], found[order], sum(len(x[2].ids) for x in known), scored
 
 
 def _searching(asked: dict, k: int, avgdl: float, k1: float, b: float, of: pa.DataType, block: int):
@@ -214,8 +236,9 @@ def _searching(asked: dict, k: int, avgdl: float, k1: float, b: float, of: pa.Da
             if arrays:
                 postings[term] = _Postings(*arrays, norm)
         out: list[list] = [[], [], [], [], []]
+        shard = _Shard(postings)
         for query, terms in asked.items():
-            ids, scores, n, scored = best_of(terms, postings, k, block)
+            ids, scores, n, scored = best_of(terms, shard, k, block)
             if n:  # the first row of a query also says what was done for it
                 rows = max(1, len(ids))
                 out[0] += [query] * rows

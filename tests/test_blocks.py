@@ -84,3 +84,31 @@ def test_edges(spark):
     assert blocks.bm25_topk(queries.limit(0), blocks.build(chunks), 5).count() == 0
     with pytest.raises(ValueError):
         blocks.search(queries, blocks.build(chunks), 0)
+
+
+def test_a_long_query_costs_little_more_than_its_postings():
+    """Many terms in many chunks: every posting is touched about once, not every chunk at hand for each term."""
+    import time
+
+    rng = np.random.default_rng(3)
+    n, norm = 16_000, lambda dl: 1.5 * (0.25 + 0.75 * dl / 50)
+    dl, postings = rng.integers(20, 90, n), {}
+    for i in range(400):
+        ids = np.flatnonzero(rng.random(n) < (0.3 if i < 40 else 0.01)) * 3
+        tf = rng.integers(1, 4, len(ids)).astype(np.int32)
+        cuts = np.arange(0, len(ids), 128)
+        postings[f"w{i}"] = blocks._Postings(ids, tf, dl[ids // 3], np.maximum.reduceat(tf, cuts), np.minimum.reduceat(dl[ids // 3], cuts), norm)
+    asked = [(f"w{i}", 1.0 if i < 40 else 4.0) for i in range(400)]
+    everything = np.zeros(n)
+    for term, weight in asked:
+        everything[postings[term].ids // 3] += weight * postings[term].parts(slice(None))
+    want = np.lexsort((np.arange(n), -np.round(everything, 9)))[:30]
+    start = time.perf_counter()
+    for term, weight in asked:  # what a pass over all postings takes here
+        everything[postings[term].ids // 3] += weight * postings[term].parts(slice(None))
+    plain, shard = time.perf_counter() - start, blocks._Shard(postings)
+    start = time.perf_counter()
+    for _ in range(3):
+        ids, _, total, scored = blocks.best_of(asked, shard, 30, 128)
+    took = (time.perf_counter() - start) / 3
+    assert ids.tolist() == (3 * want).tolist() and scored <= total and took < 3 * plain
