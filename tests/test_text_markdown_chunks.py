@@ -178,3 +178,14 @@ def test_references_that_a_length_limit_cut_off():
     page = "<title>a &lt; b &amp;&amp</title><a href='?x=1&amp;copy=2'>&nosuch; &#65; &#x42; &ampx; AT&T &amp;lt; & &copy;</a>"
     assert html_to_markdown(page, closed=True) == "## a < b &&amp\n\n[&nosuch; A B &ampx; AT&T &lt; & ©](?x=1&copy=2)"
     assert html_to_markdown(page).startswith("## a < b &&\n")
+
+
+def test_markdown_is_scanned_in_slices(spark):
+    import pyarrow as pa
+
+    texts = ["", "x" * 700_000, "ä" * 400_000, None, "# a\n\nb", "y" * 3_000_000, "z"]
+    assert list(markdown._slices(pa.array(["" if t is None else t for t in texts]))) == [(0, 2), (2, 5), (5, 6), (6, 7)]
+    rows = spark.createDataFrame([(i, f"p/{i}.md", t) for i, t in enumerate(texts)], "id int, source_path string, text string").coalesce(1)
+    got = {r["id"]: r for r in markdown.parse_markdown(rows).collect()}
+    assert [[b["text"] for b in got[i]["blocks"]] for i in range(7)] == [[], [texts[1]], [texts[2]], [], ["b"], [texts[5]], ["z"]]
+    assert got[4]["first_h1"] == "a" and got[4]["blocks"][0]["section_root"] == "a" and got[6]["blocks"][0]["section_root"] == "6"
