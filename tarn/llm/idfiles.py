@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarn.llm import tokens
 from tarn.shared import written
 
 #: Ids of a block at most, unless one document alone has more.
@@ -90,6 +91,7 @@ def _ids(column: pa.Array, id_bytes: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _counts(id_bytes: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         total = np.zeros(0, np.int64)
         for batch in batches:
             for cut in _cuts(batch, 0, id_bytes):
@@ -129,6 +131,7 @@ def _to_codes(ranked: np.ndarray, bounds: tuple[np.ndarray, np.ndarray], id_byte
     """(doc_id, row, ids) to each document's range, control and code bytes: what is dealt out is compact."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         code_of = np.zeros(int(ranked.max()) + 1 if len(ranked) else 1, np.uint32)
         code_of[ranked] = np.arange(len(ranked), dtype=np.uint32)
         for batch in batches:
@@ -145,6 +148,7 @@ _BLOCK = "part long, block long, doc_ids array<long>, lengths array<long>, contr
 
 def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(part, doc_id, n, control, codes), in order, to blocks."""
+    tokens.forget()
     block = 0
     for batch in batches:
         n = batch.column(2).to_numpy()
@@ -186,6 +190,7 @@ def write_ids(encoded: DataFrame, path: str, identity: str = "doc_id", id_bytes:
 
 def _from_blocks(ranked: np.ndarray):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         for batch in batches:
             for r in range(len(batch)):
                 docs, lengths = batch.column("doc_ids")[r].values, batch.column("lengths")[r].values.to_numpy()

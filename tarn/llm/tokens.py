@@ -108,6 +108,12 @@ def encoder_of(tokenizer_path: str) -> Encoder:
     return Encoder(tokenizer_path)
 
 
+def forget() -> None:
+    """Drop the worker's encoder: steps after the encoding, which reuse its worker, need the memory."""
+    encoder_of.cache_clear()
+    pa.default_memory_pool().release_unused()
+
+
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges with about ``most`` bytes of text each."""
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))

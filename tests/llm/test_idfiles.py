@@ -50,3 +50,14 @@ def test_ties_nulls_empty(spark, tmp_path):
 
 def test_no_rows(spark, tmp_path):
     assert files(spark, tmp_path, []).count() == 0
+
+
+def test_later_steps_drop_the_worker_s_encoder():
+    import public_tokenizers
+
+    from tarn.llm import tokens
+
+    for step in (idfiles._counts(2), idfiles._to_codes(np.zeros(0, np.uint32), (np.zeros(0, np.int64),) * 2, 2), idfiles._to_blocks, idfiles._from_blocks(np.zeros(0, np.uint32))):
+        tokens.encoder_of(str(public_tokenizers.path("word_bpe_49k.json")))
+        list(step(iter([])))
+        assert tokens.encoder_of.cache_info().currsize == 0
