@@ -13,11 +13,13 @@ done part by part and shard by shard:
    changes, so that equal windows meet in one shard. The shard compares them word for word and finds
    the first document of each. Passages go back to the parts in which a later document holds them.
 3. Location. Each part compiles the passages it was sent into Aho-Corasick automata, in shards of
-   bounded size, with one character for each word, and streams all its documents through them. What
-   they find in a later document than the passage's first one goes.
+   bounded size, with one character for each word, and streams through them all stretches of its
+   documents whose pairs of neighbouring words stand in passages too. What they find in a later document
+   than the passage's first one goes.
 
 What travels is packed by pair of part and shard, documents compressed together by part. No step sees
-more than a part or a shard, and both stay the same size as the corpus grows.
+more than a part or a shard. Shards stay the same size as the corpus grows; parts grow from PARTS of them
+on, up to PART_GROWTH times, as what travels is as many messages as parts times shards.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ from tarn.shared import discard, written
 WINDOW = 13
 ANCHOR = 7
 PART_BYTES = 2 << 20
+PARTS, PART_GROWTH = 512, 4
 #: Bytes of text for each shard of the hash range, and for each shard in which words are compared.
 SHARD_BYTES = 32 << 20
 TEXT_SHARD_BYTES = 8 << 20
@@ -45,6 +48,8 @@ HELD = 2_000_000
 HELD_BYTES = 32 << 20
 #: Words of the passages of one automaton.
 AUTOMATON_WORDS = 400_000
+#: Places of the table of pairs of neighbouring words in an automaton's passages.
+PAIRS = 1 << 22
 #: Windows of one piece of text that is sent to be compared.
 SENT_WINDOWS = 64
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
@@ -162,12 +167,15 @@ def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents (part, ...) packed by part."""
 
     def flush(held: list) -> pa.RecordBatch:
-        rows = pa.Table.from_batches(held)
-        out = []
-        for p, at in _by(rows.column(0).to_numpy(), np.arange(len(rows))):
+        # taken once, from one chunk: taking rows of several chunks copies all of these each time
+        rows = pa.Table.from_batches(held).combine_chunks()
+        part = rows.column(0).to_numpy()
+        order = np.argsort(part, kind="stable")
+        rows, out = rows.take(order), []
+        for p, at in _by(part[order], np.arange(len(rows))):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
-                stream.write_table(rows.take(at).combine_chunks())
+                stream.write_table(rows.slice(at[0], len(at)))
             out.append((p, sink.getvalue().to_pybytes()))
         return pa.RecordBatch.from_pydict({"part": pa.array([p for p, _ in out], pa.int32()), "rows": pa.array([r for _, r in out], pa.binary())})
 
@@ -337,7 +345,7 @@ def _confirm(n: int):
         low, high, place = (np.concatenate([x.to_numpy() for x in lists[name]]) for name in ("low", "high", "places"))
         least = np.full(len(coded.dictionary), np.iinfo(np.int64).max)
         np.minimum.at(least, which, low)
-        words = split(*utf8(coded.dictionary))
+        words = split(*utf8(coded.dictionary), hashed=False)
         starts = whole(words, n)
         number = _window_numbers(words.texts().dictionary_encode().indices.to_numpy(), n)[starts]
         row = words.row_of()[starts]
@@ -378,12 +386,17 @@ def _stitched(words: Words, first: np.ndarray, place: np.ndarray, n: int) -> tup
     return which, np.searchsorted(row[piece], np.arange((row.max() + 1 if len(row) else 0) + 1)), first[~goes_on]
 
 
+def _pairs(code: np.ndarray) -> np.ndarray:
+    """The place of each pair of neighbouring words in a table of PAIRS, by their characters."""
+    return (code[:-1] * 0x9E3779B1 + code[1:]) % PAIRS
+
+
 def _automata(passages: pa.Array, first: np.ndarray, place: np.ndarray, n: int) -> Iterator[tuple]:
     """Automata over one character a word, each with its vocabulary (in order of character, from 1 on),
-    and (first document, words) of its passages."""
+    and both (first document, words) of its passages and the table of the pairs in them."""
     import ahocorasick
 
-    words = split(*utf8(passages))
+    words = split(*utf8(passages), hashed=False)
     which, rows, first = _stitched(words, first, place, n)
     shard = (rows[1:] - 1) // AUTOMATON_WORDS
     texts = words.texts()
@@ -391,26 +404,34 @@ def _automata(passages: pa.Array, first: np.ndarray, place: np.ndarray, n: int)
         mine = np.flatnonzero(shard == s)
         begin = int(rows[mine[0]])
         coded = texts.take(pa.array(which[begin : rows[mine[-1] + 1]])).dictionary_encode()
-        text = _characters(coded.indices.to_numpy().astype(np.int64) + 1)
+        code = coded.indices.to_numpy().astype(np.int64) + 1
+        text, paired = _characters(code), np.zeros(PAIRS, bool)
+        paired[_pairs(code)] = True  # those over the end of a passage only let more through
         automaton, known = ahocorasick.Automaton(ahocorasick.STORE_INTS), []
         for k in mine.tolist():
             key = text[rows[k] - begin : rows[k + 1] - begin]
             automaton.add_word(key, len(known))
             known.append((int(first[k]), len(key)))
         automaton.make_automaton()
-        yield automaton, coded.dictionary, known
+        yield automaton, coded.dictionary, (known, paired)
 
 
 def _locate(words: Words, doc: np.ndarray, known: np.ndarray, automata: list[tuple], n: int) -> np.ndarray:
     """Mask of the words that go: those in passages that the automata find in a row of a later document."""
+    if not automata or not len(words.start):
+        return np.zeros(len(words.start), bool)
     hits = [np.zeros((0, 2), np.int64)]
-    texts = words.texts() if automata else None
-    for automaton, vocabulary, passages in automata:
+    texts, row = words.texts(), words.row_of()
+    for automaton, vocabulary, (passages, paired) in automata:
         code = pc.fill_null(pc.index_in(texts, vocabulary), -1).to_numpy().astype(np.int64) + 1
         text, found = _characters(code), []
-        for r in np.flatnonzero(known & (words.count() >= n)).tolist():
-            own = int(doc[r])
-            for last, k in automaton.iter(text, int(words.rows[r]), int(words.rows[r + 1])):
+        # a passage lies in a stretch of one row in which each pair of neighbours stands in some passage; elsewhere
+        # an automaton would search the many first words of passages for each word
+        cut = np.flatnonzero(~paired[_pairs(code)] | (row[1:] != row[:-1])) + 1
+        begin, end = np.r_[0, cut], np.r_[cut, len(code)]
+        stretch = (end - begin >= n) & known[row[begin]]
+        for a, b, own in zip(begin[stretch].tolist(), end[stretch].tolist(), doc[row[begin[stretch]]].tolist()):
+            for last, k in automaton.iter(text, a, b):
                 first, length = passages[k]
                 if own > first:
                     found.append((last + 1 - length, last + 1))
@@ -433,7 +454,7 @@ def _remove(n: int, keep: int, text_at: int):
         automata = list(_automata(pa.concat_arrays(passages), first, place, n)) if passages else []
         out = []
         for i, j, data, offsets in runs(held.column("text").combine_chunks()):
-            words = split(data, offsets)
+            words = split(data, offsets, hashed=False)
             gone = _locate(words, ids[i:j], known[i:j], automata, n)
             row = words.row_of()
             parted = np.r_[row[1:] != row[:-1], True][: len(row)]
@@ -467,6 +488,7 @@ def remove_repeats(
     """
     words = F.col(f"`{text}`").cast("string")
     size = documents.agg(F.sum(F.octet_length(words))).first()[0] or 0
+    part_bytes = max(part_bytes, min(size // PARTS, PART_GROWTH * part_bytes))
     parts, shards, text_shards = (size // x + 1 for x in (part_bytes, shard_bytes, text_shard_bytes))
     doc = F.col(f"`{order}`").cast("long")
     # rows without an id only pass through, so they may be dealt anyhow

@@ -122,3 +122,50 @@ def test_passages_are_stitched_where_they_go_on():
     assert sorted(automata([1, 1, 1, 1], [100, 103, 104, 7])) == sorted([text(0, 18), text(30, 43)])
     assert sorted(automata([1, 2, 1, 1], [100, 103, 104, 7])) == sorted([text(0, 15), text(3, 16), text(4, 18), text(30, 43)])
     assert sorted(automata([1, 1, 1, 1], [100, -1, 104, 105])) == sorted([text(0, 15), text(3, 16), text(4, 18), text(30, 43)])
+
+
+def test_dealing_costs_as_much_for_many_parts_as_its_rows():
+    """Rows of a table in chunks were taken part by part, each time with a copy of all of its texts."""
+    import time
+
+    rng = np.random.default_rng(4)
+    parts = rng.integers(0, 600, 4_000)
+    texts = ["".join(map(chr, rng.integers(97, 123, 3_000))) for _ in range(40)]
+    batches = [pa.RecordBatch.from_pydict({"part": pa.array(parts[k : k + 500], pa.int32()), "doc": np.arange(k, k + 500), "text": [texts[i % 40] for i in range(k, k + 500)]}) for k in range(0, 4_000, 500)]
+
+    def seconds(own):
+        start = time.perf_counter()
+        dealt = list(passages._deal(iter(own)))
+        return time.perf_counter() - start, dealt
+
+    few = min(seconds([b.set_column(0, "part", pa.array(b.column(0).to_numpy() % 10)) for b in batches])[0] for _ in range(3))
+    many, dealt = min((seconds(batches) for _ in range(3)), key=lambda x: x[0])
+    assert many < 12 * few
+    got = [(p, r["doc"], r["text"]) for b in dealt for p, rows in zip(b.column(0).to_pylist(), b.column(1)) for r in pa.ipc.open_stream(rows.as_buffer()).read_all().to_pylist()]
+    assert sorted(got) == sorted((int(parts[i]), i, texts[i % 40]) for i in range(4_000))
+
+
+def test_only_stretches_of_known_pairs_are_searched():
+    """What is searched for passages is what may hold one, whatever the number of passages and the length of the text."""
+    searched, passage = [], [f"p{k}" for k in range(20)]
+
+    class Counting:
+        def __init__(self, automaton):
+            self.automaton = automaton
+
+        def iter(self, text, a, b):
+            searched.append(b - a)
+            return self.automaton.iter(text, a, b)
+
+    ((automaton, vocabulary, known),) = passages._automata(pa.array([" ".join(passage)]), np.array([1]), np.array([-1]), 13)
+    text = [*(f"x{k}" for k in range(5_000)), *passage, *(f"p{k * 7 % 20}" for k in range(3_000)), *passage[:12]]
+    data = " ".join(text).encode()
+    words = split(np.frombuffer(data, np.uint8), np.array([0, len(data)]), hashed=False)
+    gone = passages._locate(words, np.array([2]), np.array([True]), [(Counting(automaton), vocabulary, known)], 13)
+    assert np.flatnonzero(gone).tolist() == list(range(5_000, 5_020)) and sum(searched) < 100
+
+
+def test_parts_grow_before_their_messages_grow_with_the_square(spark, monkeypatch):
+    monkeypatch.setattr(passages, "PARTS", 5)
+    rows = [(i, " ".join(f"w{(i % 9) * 50 + k}" for k in range(40))) for i in range(60)]
+    assert found(spark, rows, 13, **SMALL) == brute(rows, 13)
