@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarn.functions.text import TOKENIZER_VERSION, Segmenter, terms
+from tarn.functions.text import TOKENIZER_VERSION, Segmenter, has_ascii_terms, term_counts, terms
 from tarn.shared import spread, written
 from tarn.sources.pointers import Generations
 
@@ -45,11 +45,12 @@ class Index:
 
 def tokenized(chunks: DataFrame, text: str = "retrieval_text", segmenter: Segmenter | None = None) -> DataFrame:
     """chunk_id, dl (its terms) and counts (array of term and tf), read from a table that is written here."""
-    rows = spread(chunks.select("chunk_id", F.col(text).alias("text"))).select("chunk_id", F.sort_array(terms(F.col("text"), segmenter)).alias("t"))
-    # one projection a step, so that each array is built once: where a run of equal terms begins, then its length
-    rows = rows.withColumn("at", F.expr("if(size(t) = 0, array(), filter(sequence(0, size(t) - 1), i -> i = 0 or t[i] != t[i - 1]))"))
-    counts = F.expr("transform(at, (p, k) -> struct(t[p] as term, cast(coalesce(get(at, k + 1), size(t)) - p as long) as tf))")
-    return written(rows.select("chunk_id", F.size("t").cast("long").alias("dl"), counts.alias("counts")), "tokens")
+    rows = spread(chunks.select("chunk_id", F.col(text).alias("text")))
+    # terms that are ASCII are found and counted in Arrow, a batch at a time; of other texts they go along
+    given = terms(F.col("text"), segmenter)
+    rows = rows.select("chunk_id", F.col("text").cast("string").alias("text"), given.alias("terms") if segmenter else F.when(~has_ascii_terms(F.col("text")), given).alias("terms"))
+    of = rows.schema["chunk_id"].dataType.simpleString()
+    return written(rows.mapInArrow(term_counts, f"chunk_id {of}, dl long, counts array<struct<term:string,tf:bigint>>"), "tokens")
 
 
 def build_index(chunks: DataFrame, text: str = "retrieval_text", segmenter: Segmenter | None = None) -> Index:
