@@ -12,6 +12,9 @@ shard, and looks at the k-th best score before common terms. Once the bounds of
 chunk to it, only chunks at hand are looked up where these are few beside the term's postings; those
 whose score, plus the bound of their block, plus the bounds to come, stays below it are dropped unread. What
 is left out can never be among the k best, ties included, so the result is that of scoring everything.
+
+Of a query of many terms, such as a whole document, hardly anything can be left out. Such queries are scored whole, some
+at a time: common terms by one product of matrices, the others by one sum over all their postings.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +40,12 @@ BUCKETS = 256
 BLOCK = 128
 #: So few chunks at hand are always looked up instead of adding a term to all of its chunks.
 FEW = 256
-#: Rows (query, term) that one search sends to tasks; more queries go block by block.
-ASKED_ROWS = 200_000
+#: Terms from which on a query is scored whole, and such queries at a time.
+LONG, TOGETHER = 64, 32
+#: A term is common that this share of a shard's chunks hold; numbers of a shard's matrix of such terms (8 bytes each).
+COMMON, COMMON_NUMBERS = 0.1, 1 << 23
+#: Rows (query, term) that one search sends to tasks, 12 bytes each; more queries go block by block, each of which reads the index.
+ASKED_ROWS = 2_000_000
 #: Terms up to which a filter names them, so that it reaches the scan.
 NAMED_TERMS = 200
 ROWS = "shard int, term string, ids array<bigint>, tfs array<int>, dls array<int>, top_tf array<int>, least_dl array<int>"
@@ -59,6 +67,14 @@ def _lists(values: np.ndarray, starts: np.ndarray, kind: pa.DataType) -> pa.Arra
     return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values, kind))
 
 
+def _bounds(tfs: np.ndarray, dls: np.ndarray, starts: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Greatest frequency and least length of each block, and where each term's blocks begin; a term's postings are starts[i]:starts[i+1]."""
+    of = np.repeat(np.arange(len(starts) - 1), -(-np.diff(starts) // block))  # the term of each block
+    first = np.searchsorted(of, np.arange(len(starts)))
+    at = starts[of] + block * (np.arange(len(of)) - first[of])
+    return *(f.reduceat(x, at) if len(at) else x for f, x in ((np.maximum, tfs), (np.minimum, dls))), first
+
+
 def _shard_rows(key: tuple[pa.Scalar, ...], table: pa.Table, block: int) -> pa.Table:
     """Rows of one shard from its chunks (shard, chunk_id, dl, counts)."""
     table = table.combine_chunks()
@@ -71,10 +87,7 @@ def _shard_rows(key: tuple[pa.Scalar, ...], table: pa.Table, block: int) -> pa.T
     order = np.lexsort((ids, code))
     code, ids, dls, tfs = code[order], ids[order], dls[order].astype(np.int32), flat.field("tf").to_numpy()[order].astype(np.int32)
     starts = np.searchsorted(code, np.arange(len(names) + 1))
-    of = np.repeat(np.arange(len(names)), -(-np.diff(starts) // block))  # the term of each block
-    first = np.searchsorted(of, np.arange(len(names) + 1))
-    at = starts[of] + block * (np.arange(len(of)) - first[of])
-    top, least = (f.reduceat(x, at) if len(at) else x for f, x in ((np.maximum, tfs), (np.minimum, dls)))
+    top, least, first = _bounds(tfs, dls, starts, block)
     columns = [pa.array(np.full(len(names), key[0].as_py()), pa.int32()), names.cast(pa.string()), _lists(ids, starts, pa.int64()), _lists(tfs, starts, pa.int32()), _lists(dls, starts, pa.int32()), _lists(top, first, pa.int32()), _lists(least, first, pa.int32())]
     return pa.Table.from_arrays(columns, ["shard", "term", "ids", "tfs", "dls", "top_tf", "least_dl"])
 
@@ -170,9 +183,67 @@ class _Shard:
             p.at, p.part = at[start:end], adds[start:end]
 
 
-def best_of(asked: list[tuple[str, float]], postings: dict[str, _Postings] | _Shard, k: int, block: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+class _Part:
+    """A term's postings within the arrays of a shard."""
+
+    __slots__ = ("ids", "at", "part", "bounds", "bound")
+
+
+class _Flat:
+    """Postings of a shard in arrays, term after term, as a ``_Shard`` whose terms are their numbers."""
+
+    def __init__(self, ids: np.ndarray, tfs: np.ndarray, dls: np.ndarray, starts: np.ndarray, top_tf: np.ndarray, least_dl: np.ndarray, first: np.ndarray, norm):
+        self.ids, self.starts, self.first, self.postings = ids, starts, first, self
+        self.chunks = np.unique(ids)
+        self.scores = np.zeros(len(self.chunks))
+        tfs = tfs.astype(np.float64)
+        self.at, self.part, self.bounds = np.searchsorted(self.chunks, ids), tfs / (tfs + norm(dls)), top_tf / (top_tf + norm(least_dl))
+        self.bound = np.maximum.reduceat(self.bounds, first[:-1]) if len(first) > 1 else self.bounds
+        self.matrix, self.place = None, np.full(len(starts) - 1, -1)
+
+    def get(self, term: int) -> _Part | None:
+        if term < 0:
+            return None
+        own, mine = _Part(), slice(self.starts[term], self.starts[term + 1])
+        own.ids, own.at, own.part, own.bounds, own.bound = self.ids[mine], self.at[mine], self.part[mine], self.bounds[self.first[term] : self.first[term + 1]], float(self.bound[term])
+        return own
+
+    def whole(self, asked: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Scores of all chunks for queries (terms, weights)."""
+        n = len(self.chunks)
+        if self.matrix is None:
+            size = np.diff(self.starts)
+            common = np.argsort(-size, kind="stable")[: COMMON_NUMBERS // max(1, n)]
+            common = common[size[common] >= COMMON * n]
+            self.place[common], self.matrix = np.arange(len(common)), np.zeros((len(common), n))
+            for i, term in enumerate(common.tolist()):
+                mine = slice(self.starts[term], self.starts[term + 1])
+                self.matrix[i, self.at[mine]] = self.part[mine]
+        weights, places = np.zeros((len(asked), len(self.matrix))), [self.place[terms] for terms, _ in asked]
+        for row, place, (_, weight) in zip(weights, places, asked):
+            row[place[place >= 0]] = weight[place >= 0]
+        scores = weights @ self.matrix
+        for row, place, (terms, weight) in zip(scores, places, asked):
+            begin, end = (self.starts[terms[place < 0] + i] for i in (0, 1))
+            size = end - begin
+            which = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
+            row += np.bincount(self.at[which], self.part[which] * np.repeat(weight[place < 0], size), n)
+        return scores
+
+
+def _top(chunks: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    n = len(scores)
+    least = float(np.partition(scores, n - k)[n - k]) if n > k else 0.0
+    keep = np.flatnonzero((scores > 0) & (scores >= least - 1e-8))  # more than rounding takes away
+    found = np.round(scores[keep], DIGITS)
+    keep, found = keep[found > 0], found[found > 0]
+    order = np.lexsort((keep, -found))[:k]  # places follow ids
+    return chunks[keep[order]], found[order]
+
+
+def best_of(asked: list[tuple[str | int, float]], postings: dict[str, _Postings] | _Shard | _Flat, k: int, block: int) -> tuple[np.ndarray, np.ndarray, int, int]:
     """(ids, scores, postings, postings scored) of the k best chunks of a shard for a query's (term, weight)."""
-    shard = postings if isinstance(postings, _Shard) else _Shard(postings)
+    shard = _Shard(postings) if isinstance(postings, dict) else postings
     known = sorted(((w * own.bound, w, own) for t, w in asked if (own := shard.postings.get(t))), key=lambda x: -x[0])
     rest = [*np.cumsum([x[0] for x in known][::-1])[::-1], 0.0]  # bounds from each term on
     scores, n = shard.scores, len(shard.chunks)
@@ -203,49 +274,64 @@ def best_of(asked: list[tuple[str, float]], postings: dict[str, _Postings] | _Sh
                 continue
         scored += size
         scores[own.at] += weight * own.part
-    least = float(np.partition(scores, n - k)[n - k]) if n > k else 0.0
-    keep = np.flatnonzero((scores > 0) & (scores >= least - 1e-8))  # more than rounding takes away
-    found = np.round(scores[keep], DIGITS)
-    keep, found = keep[found > 0], found[found > 0]
-    order = np.lexsort((keep, -found))[:k]  # places follow ids
-    return shard.chunks[keep[order]], found[order], sum(len(x[2].ids) for x in known), scored
+    return *_top(shard.chunks, scores, k), sum(len(x[2].ids) for x in known), scored
 
 
-def _searching(asked: dict, k: int, avgdl: float, k1: float, b: float, of: pa.DataType, block: int):
+def _searching(asked: tuple[list, np.ndarray, np.ndarray, np.ndarray], names: pa.Array, k: int, avgdl: float, k1: float, b: float, of: pa.DataType, block: int):
+    """``asked``: queries, where the terms of each begin, and all terms (numbers in ``names``) and weights."""
+    queries, begin, terms, weights = asked
+
     def norm(dl: np.ndarray) -> np.ndarray:
         return k1 * (1 - b + b * dl / avgdl)
 
-    def without(gone: np.ndarray, ids: np.ndarray, tfs: np.ndarray, dls: np.ndarray, top_tf: np.ndarray, least_dl: np.ndarray):
-        """A term's postings less those of chunks that are gone, in blocks of their own; None if none is left."""
-        stays = ~np.isin(ids, gone, assume_unique=True)
-        if stays.all():
-            return ids, tfs, dls, top_tf, least_dl
-        ids, tfs, dls = ids[stays], tfs[stays], dls[stays]
-        cuts = np.arange(0, len(ids), block)
-        return (ids, tfs, dls, np.maximum.reduceat(tfs, cuts), np.minimum.reduceat(dls, cuts)) if len(ids) else None
+    def shard_of_rows(table: pa.Table, gone: np.ndarray) -> tuple[pa.Array, _Flat]:
+        """The terms of a shard and their postings, less those of chunks that are gone, in blocks of their own."""
+        lists = {c: table[c].combine_chunks() if len(table) else pa.array([], table.schema.field(c).type) for c in ("term", "ids", "tfs", "dls", "top_tf", "least_dl")}
+        lists = {c: x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for c, x in lists.items()}
+        offsets = lambda c: lists[c].offsets.to_numpy().astype(np.int64) - (lists[c].offsets[0].as_py() if len(lists[c].offsets) else 0)
+        ids, tfs, dls, top, least = (lists[c].flatten().to_numpy() for c in ("ids", "tfs", "dls", "top_tf", "least_dl"))
+        starts, first, known = offsets("ids"), offsets("top_tf"), lists["term"]
+        stays = ~np.isin(ids, gone) if len(gone) else np.ones(0, bool)
+        if not stays.all():
+            left = np.diff(np.concatenate([[0], np.cumsum(stays)])[starts])
+            known, ids, tfs, dls = known.filter(pa.array(left > 0)), ids[stays], tfs[stays], dls[stays]
+            starts = np.concatenate([[0], np.cumsum(left[left > 0])])
+            top, least, first = _bounds(tfs, dls, starts, block)
+        return known, _Flat(ids, tfs, dls, starts, top, least, first, norm)
 
     def work(key: tuple[pa.Scalar, ...], table: pa.Table, dead: pa.Table | None = None) -> pa.Table:
-        table = table.combine_chunks()
-        columns = [table[c].chunk(0) for c in ("ids", "tfs", "dls", "top_tf", "least_dl")] if len(table) else []
-        values = [(c.values.to_numpy(), c.offsets.to_numpy()) for c in columns]
-        gone = np.zeros(0, np.int64) if dead is None else dead["chunk_id"].to_numpy()
-        postings = {}
-        for i, term in enumerate(table["term"].to_pylist()):
-            arrays = tuple(v[o[i] : o[i + 1]] for v, o in values)
-            arrays = without(gone, *arrays) if len(gone) else arrays
-            if arrays:
-                postings[term] = _Postings(*arrays, norm)
+        known, shard = shard_of_rows(table, np.zeros(0, np.int64) if dead is None else dead["chunk_id"].to_numpy())
+        own = pc.fill_null(pc.index_in(names, known), -1).to_numpy()[terms]  # the number in the shard of each asked term
         out: list[list] = [[], [], [], [], []]
-        shard = _Shard(postings)
-        for query, terms in asked.items():
-            ids, scores, n, scored = best_of(terms, shard, k, block)
+
+        def add(query: int, ids: np.ndarray, scores: np.ndarray, n: int, scored: int) -> None:
             if n:  # the first row of a query also says what was done for it
                 rows = max(1, len(ids))
-                out[0] += [query] * rows
-                out[1] += ids.tolist() or [None]
-                out[2] += scores.tolist() or [None]
-                out[3] += [n] + [0] * (rows - 1)
-                out[4] += [scored] + [0] * (rows - 1)
+                out[0].extend([queries[query]] * rows)
+                out[1].extend(ids.tolist() or [None])
+                out[2].extend(scores.tolist() or [None])
+                out[3].extend([n] + [0] * (rows - 1))
+                out[4].extend([scored] + [0] * (rows - 1))
+
+        held: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+        def flush() -> None:
+            for (query, mine, _), scores in zip(held, shard.whole([x[1:] for x in held])):
+                n = int((shard.starts[mine + 1] - shard.starts[mine]).sum())
+                add(query, *_top(shard.chunks, scores, k), n, n)
+            held.clear()
+
+        for query in range(len(queries)):
+            mine, weight = own[begin[query] : begin[query + 1]], weights[begin[query] : begin[query + 1]]
+            mine, weight = mine[mine >= 0], weight[mine >= 0]
+            if len(mine) < LONG:
+                add(query, *best_of(list(zip(mine.tolist(), weight.tolist())), shard, k, block))
+                continue
+            held.append((query, mine, weight))
+            if len(held) == TOGETHER:
+                flush()
+        if held:
+            flush()
         kinds = (of, pa.int64(), pa.float64(), pa.int64(), pa.int64())
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], ["query_id", "chunk_id", "score", "postings", "scored"])
 
@@ -270,14 +356,17 @@ def search(queries: DataFrame, index: Blocks, k: int, text: str = "query", k1: f
     found = spark.createDataFrame([], schema)
     for block in range(blocks):
         one = weighed if blocks == 1 else weighed.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        of_query: dict = {}
-        for r in one.collect():
-            of_query.setdefault(r["query_id"], []).append((r["term"], r["weight"]))
-        terms = sorted({t for q in of_query.values() for t, _ in q})
-        work, part = _searching(of_query, k, corpus["avgdl"], k1, b, of, index.block), None
+        rows = one.toArrow().combine_chunks()
+        if not len(rows):
+            continue
+        coded, names = (rows[c].chunk(0).dictionary_encode() for c in ("query_id", "term"))
+        terms, number = names.dictionary.cast(pa.string()), coded.indices.to_numpy()
+        order = np.argsort(number, kind="stable")
+        asked_of = coded.dictionary.to_pylist(), np.searchsorted(number[order], np.arange(len(coded.dictionary) + 1)), names.indices.to_numpy()[order], rows["weight"].to_numpy()[order]
+        work, part = _searching(asked_of, terms, k, corpus["avgdl"], k1, b, of, index.block), None
         for rows, dead in index.parts():
             if len(terms) <= NAMED_TERMS:
-                rows = rows.filter(F.col("term").isin(terms))
+                rows = rows.filter(F.col("term").isin(terms.to_pylist()))
             else:  # at most ASKED_ROWS terms
                 rows = rows.join(F.broadcast(one.select("term").distinct()), "term", "left_semi")
             groups = rows.groupBy("shard")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +113,29 @@ def test_a_long_query_costs_little_more_than_its_postings():
         ids, _, total, scored = blocks.best_of(asked, shard, 30, 128)
     took = (time.perf_counter() - start) / 3
     assert ids.tolist() == (3 * want).tolist() and scored <= total and took < 3 * plain
+
+
+@pytest.mark.parametrize("numbers", [0, 40, 1 << 23])
+def test_queries_scored_whole_give_the_rows_of_pruned_ones(monkeypatch, numbers):
+    """With common terms in a matrix or not, in blocks, and without chunks that are gone."""
+    rng = random.Random(8)
+    counts = [[{"term": t, "tf": rng.randint(1, 4)} for t in {f"w{int(rng.paretovariate(0.5)) % 90}" for _ in range(rng.randint(0, 40))}] for _ in range(300)]
+    counts += [counts[7]] * 5  # ties
+    tokens = pa.table({"shard": pa.array([0] * 305, pa.int32()), "chunk_id": [3 * i for i in range(305)], "dl": pa.array([sum(c["tf"] for c in x) for x in counts], pa.int64()), "counts": pa.array(counts, pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64())])))})
+    table = blocks._shard_rows((pa.scalar(0),), tokens, 16)
+    names = pa.array([f"w{i}" for i in range(120)])
+    terms, begin = np.array([rng.randrange(120) for _ in range(700)]), np.array([0, 2, 100, 100, 400, 700])
+    terms = np.concatenate([np.unique(terms[a:b]) for a, b in zip(begin[:-1], begin[1:])])
+    begin = np.concatenate([[0], np.flatnonzero(np.diff(terms) <= 0) + 1, [len(terms)]])
+    asked = (list(range(len(begin) - 1)), begin, terms, np.array([rng.random() * 5 for _ in terms]))
+    monkeypatch.setattr(blocks, "COMMON_NUMBERS", numbers)
+    monkeypatch.setattr(blocks, "TOGETHER", 2)
+    for dead in (None, pa.table({"chunk_id": [3 * i for i in range(0, 305, 4)]}), pa.table({"chunk_id": [3 * i for i in range(305)]})):
+        got = []
+        for long in (1, 1000):
+            monkeypatch.setattr(blocks, "LONG", long)
+            work = blocks._searching(asked, names, 9, 30.0, 1.5, 0.75, pa.int64(), 16)
+            rows = sorted(work((pa.scalar(0),), table, dead).to_pylist(), key=lambda r: (r["query_id"], -(r["score"] or 0), r["chunk_id"] or 0))
+            got.append([(r["query_id"], r["chunk_id"], r["score"]) for r in rows])
+        assert [x[:2] for x in got[0]] == [x[:2] for x in got[1]] and [x[2] for x in got[0]] == pytest.approx([x[2] for x in got[1]], abs=2e-9)
+        assert len(got[0]) > 30 or (dead is not None and len(dead) == 305 and not got[0])
